@@ -141,7 +141,7 @@ def dag_cost(queries: DataFrame, credits: DataFrame) -> DataFrame:
 _PERIODS = (("yesterday", 1), ("last_week", 7), ("last_month", 28))
 
 
-def dag_cost_delta(cost: DataFrame, by_warehouse: bool = False) -> DataFrame:
+def dag_cost_delta(cost: DataFrame, by_warehouse: bool = False, materialize: bool = True) -> DataFrame:
     """Task cost of the last day against 1, 7 and 28 days before, plus the same
     comparison one day earlier (the "yesterday warning").
 
@@ -153,12 +153,18 @@ def dag_cost_delta(cost: DataFrame, by_warehouse: bool = False) -> DataFrame:
     warehouses multiplies rows; ``by_warehouse=True`` adds the warehouse to
     the keys.  Rows without a task are kept for the last day only.
     """
-    last = cost.agg(F.max("ds")).scalar()
-    days = [F.date_sub(last, k) for k in (0, 1, 2, 7, 8, 28, 29)]
+    last_all = cost.agg(F.max("ds")).scalar()
+    days = [F.date_sub(last_all, k) for k in (0, 1, 2, 7, 8, 28, 29)]
     keys = ["airflow_dag_id", "airflow_task_id", "ds", "warehouse_name"]
     grouped = (cost.where(F.col("ds").isin(*days))
                .groupBy(*keys)
                .agg(F.sum("task_dollar_cost").alias("dollar"), F.sum("task_credit_cost").alias("credit")))
+    if materialize:
+        # Seven days of per-task sums: small, and read by five branches below.
+        # A reliable checkpoint (shared spark.checkpoint.dir) runs the scan,
+        # join and aggregation once and cuts the lineage for the self-joins.
+        grouped = grouped.checkpoint(eager=True)
+    last = grouped.agg(F.max("ds")).scalar()
     task_ok = F.col("airflow_task_id").isNotNull()
     today = grouped.where((F.col("ds") == last) | ((F.col("ds") == F.date_sub(last, 1)) & task_ok))
     join_keys = ["airflow_task_id", "airflow_dag_id", "ds"] + (["warehouse_name"] if by_warehouse else [])

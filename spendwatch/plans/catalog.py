@@ -194,3 +194,41 @@ def q_source_check(spark, sf):
         df = checks.check_source(spark, name, source(spark, sf, name), schema)
         out = df if out is None else out.unionByName(df)
     return out
+
+
+# ---------------------------------------------------------------- decomposition
+from ..operators import decompose  # noqa: E402
+
+COMPONENTS = ["trend", "seasonal", "residual"]
+
+
+def _round_to(df: DataFrame, cols, digits: int) -> DataFrame:
+    cols = set(cols)
+    return df.select(*[F.round(F.col(c).cast("double"), digits).alias(c) if c in cols else F.col(c)
+                       for c in df.columns])
+
+
+def _features(spark, sf) -> DataFrame:
+    """Production path: raw -> metrics matrix -> two-sided decomposition up to the last day."""
+    m = _metrics(spark, sf)
+    return decompose.seasonal_features(m, ds=None, two_sided=True)
+
+
+def _daily_long(spark, sf) -> DataFrame:
+    return cal.fill_daily_gaps(source(spark, sf, "metering_long"))
+
+
+def _features_one_sided(spark, sf) -> DataFrame:
+    """Notebook path: gap-filled long series -> trailing-average decomposition."""
+    return decompose.seasonal_features(_daily_long(spark, sf), two_sided=False)
+
+
+@register("seasonal_two_sided")
+def q_seasonal_two_sided(spark, sf):
+    return _round_floats(_features(spark, sf), COMPONENTS)
+
+
+@register("seasonal_one_sided")
+def q_seasonal_one_sided(spark, sf):
+    # daily sums of order prices are ~1e6: compare components at 1e-3
+    return _round_to(_features_one_sided(spark, sf), COMPONENTS, 3)

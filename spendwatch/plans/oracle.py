@@ -417,3 +417,65 @@ select year, coalesce(columns(* exclude (year)), 0) from (
                "from (" + adapter_sql('currency_src', 'duckdb') + ") currency_src")}) cat)
   on category using sum(usage_in_currency) group by year)
 """
+
+
+# ---------------------------------------------------------------- decomposition
+
+
+def decompose_sql(src: str, two_sided: bool, period: int = 7, prefix: str = "dx") -> str:
+    """CTE chain decomposing the dense series in ``src`` (warehouse_name, usage_date, credits_used);
+    the last CTE is ``{prefix}_out``."""
+    h = period // 2
+    if two_sided:
+        t0 = (f"case when i >= {h} and i <= n - 1 - {h} then avg(x) over (partition by warehouse_name "
+              f"order by usage_date rows between {h} preceding and {h} following) end")
+        front, back = f"{h}", f"n - 1 - {h}"
+    else:
+        t0 = (f"case when i >= {period - 1} then avg(x) over (partition by warehouse_name "
+              f"order by usage_date rows between {period - 1} preceding and current row) end")
+        front, back = f"{period - 1}", "n - 1"
+    head = f"i >= {front} and i < least({front} + {period}, {back})"
+    tail = f"i >= greatest({front}, {back} - {period}) and i < {back}"
+    p = prefix
+    return f"""
+{p}_0 AS (select warehouse_name, usage_date, credits_used, cast(credits_used as double) as x,
+          row_number() over (partition by warehouse_name order by usage_date) - 1 as i,
+          count(*) over (partition by warehouse_name) as n
+        from {src}),
+{p}_1 AS (select *, {t0} as t0 from {p}_0 where n >= {2 * period}),
+{p}_l AS (select warehouse_name,
+          regr_slope(t0, cast(i as double)) filter (where {head}) as hs,
+          regr_intercept(t0, cast(i as double)) filter (where {head}) as hi,
+          regr_slope(t0, cast(i as double)) filter (where {tail}) as ts,
+          regr_intercept(t0, cast(i as double)) filter (where {tail}) as ti
+        from {p}_1 group by warehouse_name),
+{p}_2 AS (select a.*, case when i < {front} then hs * i + hi when i > {back} then ts * i + ti else t0 end as trend
+        from {p}_1 a join {p}_l using (warehouse_name)),
+{p}_3 AS (select *, x - trend as det, i % {period} as ph from {p}_2),
+{p}_p AS (select warehouse_name, ph, avg(det) as pm from {p}_3 group by 1, 2),
+{p}_c AS (select warehouse_name, avg(pm) as c from {p}_p group by 1),
+{p}_out AS (select a.usage_date, cast(a.credits_used as decimal(38,9)) as credits_used, a.trend,
+                 p.pm - c.c as seasonal, a.det - (p.pm - c.c) as residual, a.warehouse_name
+          from {p}_3 a join {p}_p p on a.warehouse_name = p.warehouse_name and a.ph = p.ph
+               join {p}_c c on a.warehouse_name = c.warehouse_name)"""
+
+
+def _rounded_components(src: str, digits: int) -> str:
+    return (f"select usage_date, credits_used, round(trend, {digits}) as trend, "
+            f"round(seasonal, {digits}) as seasonal, round(residual, {digits}) as residual, "
+            f"warehouse_name from {src}")
+
+
+ORACLE["seasonal_two_sided"] = f"""
+{duck_cte('metering_sparse')},
+{_METRICS_BODY},
+{decompose_sql('metrics', True)}
+{_rounded_components('dx_out', 6)}
+"""
+
+ORACLE["seasonal_one_sided"] = f"""
+{duck_cte('metering_long')},
+{_FILL},
+{decompose_sql('filled', False)}
+{_rounded_components('dx_out', 3)}
+"""
