@@ -232,3 +232,79 @@ def q_seasonal_two_sided(spark, sf):
 def q_seasonal_one_sided(spark, sf):
     # daily sums of order prices are ~1e6: compare components at 1e-3
     return _round_to(_features_one_sided(spark, sf), COMPONENTS, 3)
+
+
+# ---------------------------------------------------------------- forests and anomalies
+from ..operators import anomalies, forest  # noqa: E402
+
+SEED = 0
+FOREST_FLOATS = ["lo", "hi", "path_len", "score", "score_mean", "score_std", "threshold", "residual",
+                 "trend", "seasonal", "mean_path"]
+
+
+def _weekly(spark, sf):
+    """Features (checkpointed: they feed the fit and the scoring), the last day, and a
+    forest trained on every day before the scoring window [last - 7, last]."""
+    feats = _features(spark, sf).checkpoint(eager=True)
+    last = _last_day(feats)
+    fit = forest.train_forest(feats, F.date_sub(last, 7), seed=SEED, version=1)
+    return feats, last, fit
+
+
+def _scored(spark, sf):
+    feats, last, fit = _weekly(spark, sf)
+    return forest.score_forest(feats, fit.segments, fit.meta, last)
+
+
+@register("forest_model")
+def q_forest_model(spark, sf):
+    _, _, fit = _weekly(spark, sf)
+    return _round_floats(fit.leaves, ["lo", "hi", "path_len"])
+
+
+@register("forest_train_anomalies")
+def q_forest_train_anomalies(spark, sf):
+    _, _, fit = _weekly(spark, sf)
+    out = forest.training_anomalies(fit.scores)
+    return _round_floats(out, [c for c in FOREST_FLOATS if c in out.columns])
+
+
+@register("forest_scores")
+def q_forest_scores(spark, sf):
+    out = _scored(spark, sf)
+    return _round_floats(out, [c for c in FOREST_FLOATS if c in out.columns])
+
+
+@register("forest_history")
+def q_forest_history(spark, sf):
+    """Notebook scan: one-sided residuals of the long series, every day scored,
+    threshold at 2 sd, anomalies above the global mean of credits."""
+    feats = _features_one_sided(spark, sf).select("warehouse_name", "usage_date", "credits_used", "residual")
+    fit = forest.fit_forest(feats, seed=SEED, sigmas=2.0)
+    out = forest.training_anomalies(fit.scores, global_mean=True)
+    return _round_to(out, [c for c in FOREST_FLOATS if c in out.columns], 6)
+
+
+@register("anomalies_view")
+def q_anomalies_view(spark, sf):
+    scored = _scored(spark, sf)
+    out = anomalies.anomalies_view(_metrics(spark, sf), forest.predicted_anomalies(scored))
+    return _round_floats(out, METRIC_FLOATS + [c for c in FOREST_FLOATS if c in out.columns])
+
+
+@register("anomaly_report")
+def q_anomaly_report(spark, sf):
+    scored = _scored(spark, sf)
+    raw = source(spark, sf, "metering_sparse")
+    out = anomalies.anomaly_report(raw, forest.predicted_anomalies(scored))
+    return _round_floats(out, ["score"])
+
+
+@register("warehouses")
+def q_warehouses(spark, sf):
+    return anomalies.list_warehouses(_features(spark, sf))
+
+
+@register("alert_gate")
+def q_alert_gate(spark, sf):
+    return anomalies.alert_gate(forest.predicted_anomalies(_scored(spark, sf)))

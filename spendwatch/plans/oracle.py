@@ -479,3 +479,164 @@ ORACLE["seasonal_one_sided"] = f"""
 {decompose_sql('filled', False)}
 {_rounded_components('dx_out', 3)}
 """
+
+
+# ---------------------------------------------------------------- forests
+
+
+def _c(n: str) -> str:
+    return (f"(case when {n} <= 1 then 0.0 when {n} = 2 then 1.0 "
+            f"else 2.0 * (ln({n} - 1.0) + 0.5772156649015329) - 2.0 * ({n} - 1.0) / {n} end)")
+
+
+def _u(*parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::bigint / 4294967296.0)"
+
+
+def forest_sql(src: str, p: str, n_trees: int = 100, max_samples: int = 256, seed: int = 0,
+               levels: int = 8) -> str:
+    """CTEs growing seeded isolation trees over ``src`` (warehouse_name, usage_date, x, ...);
+    ``{p}_g`` holds every row x tree with its leaf, ``{p}_leaves`` the leaves."""
+    s = [f"""
+{p}_t AS (select b.*, least(n, {max_samples}) as psi,
+            ceil(log2(greatest(least(n, {max_samples}), 2))) as dl, t.range as tree_id
+          from (select *, count(*) over (partition by warehouse_name) as n from {src}) b, range({n_trees}) t),
+{p}_0 AS (select *, row_number() over (partition by warehouse_name, tree_id
+            order by md5(concat_ws('|', '{seed}', warehouse_name, cast(tree_id as varchar),
+                                   cast(usage_date as varchar))), usage_date) <= psi as sampled,
+          1 as node, 0 as depth, '-inf'::double as lo, 'inf'::double as hi from {p}_t)"""]
+    for k in range(levels):
+        a, b = f"{p}_{k}", f"{p}_{k + 1}"
+        s.append(f"""
+{a}s AS (select *, min(case when sampled then x end) over w as slo,
+            max(case when sampled then x end) over w as shi,
+            count(case when sampled then x end) over w as scnt
+          from {a} window w as (partition by warehouse_name, tree_id, node)),
+{a}p AS (select *, ({k} < dl and scnt >= 2 and shi > slo + 1e-7) as ok,
+            case when slo + {_u(f"'{seed}'", 'warehouse_name', 'cast(tree_id as varchar)',
+                                'cast(node as varchar)')} * (shi - slo) >= shi then slo
+                 else slo + {_u(f"'{seed}'", 'warehouse_name', 'cast(tree_id as varchar)',
+                                'cast(node as varchar)')} * (shi - slo) end as split
+          from {a}s),
+{b} AS (select * exclude (slo, shi, scnt, ok, split, node, depth, lo, hi),
+          case when ok then node * 2 + cast(x > split as integer) else node end as node,
+          depth + cast(ok as integer) as depth,
+          case when ok and x > split then split else lo end as lo,
+          case when ok and not (x > split) then split else hi end as hi
+        from {a}p)""")
+    s.append(f"""
+{p}_g AS (select *, depth + {_c('count(case when sampled then 1 end) over (partition by warehouse_name, tree_id, node)')}
+            as path_len from {p}_{levels}),
+{p}_leaves AS (select distinct warehouse_name, tree_id, node, lo, hi, path_len from {p}_g where sampled),
+{p}_sc AS (select warehouse_name, usage_date, any_value(x) as x, any_value(psi) as psi,
+             0.5 - pow(2.0, -avg(path_len) / {_c('any_value(psi)')}) as score
+           from {p}_g group by warehouse_name, usage_date),
+{p}_st AS (select warehouse_name, avg(score) as score_mean, stddev_samp(score) as score_std,
+             any_value(psi) as psi from {p}_sc group by warehouse_name)""")
+    return ",".join(s)
+
+
+_FEATS = f"""
+{duck_cte('metering_sparse')},
+{_METRICS_BODY},
+{decompose_sql('metrics', True)},
+last AS (select max(usage_date) as d from dx_out),
+train AS (select warehouse_name, usage_date, credits_used, coalesce(residual, 0) as x
+          from dx_out where usage_date < (select d from last) - 7),
+{forest_sql('train', 'fz')}
+"""
+
+ORACLE["forest_model"] = f"""
+{_FEATS}
+select warehouse_name, tree_id, node, round(lo, 6) as lo, round(hi, 6) as hi, round(path_len, 6) as path_len,
+       1 as model_version
+from fz_leaves
+"""
+
+ORACLE["forest_train_anomalies"] = f"""
+{_FEATS},
+sc AS (select s.warehouse_name, s.usage_date, t.credits_used, s.x as residual, s.score,
+              st.score_mean, st.score_std, st.score_mean - 3 * st.score_std as threshold,
+              avg(cast(t.credits_used as double)) over (partition by s.warehouse_name) as mc
+       from fz_sc s join fz_st st using (warehouse_name)
+            join train t on t.warehouse_name = s.warehouse_name and t.usage_date = s.usage_date)
+select warehouse_name, usage_date, credits_used, round(residual, 6) as residual, round(score, 6) as score,
+       round(score_mean, 6) as score_mean, round(score_std, 6) as score_std, round(threshold, 6) as threshold
+from sc where score <= threshold and cast(credits_used as double) > mc
+"""
+
+_SCORED = f"""
+{_FEATS},
+win AS (select warehouse_name, usage_date, credits_used, trend, seasonal, residual
+        from dx_out where usage_date between (select d from last) - 7 and (select d from last)),
+hit AS (select w.warehouse_name, w.usage_date, avg(l.path_len) as mp
+        from win w join fz_leaves l on l.warehouse_name = w.warehouse_name
+             and l.lo < coalesce(w.residual, 0) and coalesce(w.residual, 0) <= l.hi
+        group by 1, 2),
+scored AS (select w.*, st.score_mean - 3 * st.score_std as threshold,
+                  0.5 - pow(2.0, -h.mp / {_c('st.psi')}) as score
+           from win w join hit h using (warehouse_name, usage_date) join fz_st st using (warehouse_name)),
+flagged AS (select *, score <= threshold as is_anomaly,
+                   cast((select d from last) as timestamp) as prediction_datetime from scored)
+"""
+
+ORACLE["forest_scores"] = f"""
+{_SCORED}
+select warehouse_name, usage_date, credits_used, round(trend, 6) as trend, round(seasonal, 6) as seasonal,
+       round(residual, 6) as residual, round(threshold, 6) as threshold, round(score, 6) as score,
+       is_anomaly, prediction_datetime
+from flagged
+"""
+
+ORACLE["alert_gate"] = f"""
+{_SCORED}
+select count(*) as n_anomalies, count(*) > 0 as send_alert from flagged where is_anomaly
+"""
+
+ORACLE["anomalies_view"] = f"""
+{_SCORED}
+select m.warehouse_name, m.usage_date, m.credits_used, m.credits_used_compute, m.credits_used_cloud_services,
+       {r6('m.credits_used_sma30')} as credits_used_sma30,
+       {r6('m.credits_used_compute_sma30')} as credits_used_compute_sma30,
+       {r6('m.credits_used_cloud_services_sma30')} as credits_used_cloud_services_sma30,
+       {r6('m.credits_used_std30')} as credits_used_std30,
+       {r6('m.credits_used_compute_std30')} as credits_used_compute_std30,
+       {r6('m.credits_used_cloud_services_std30')} as credits_used_cloud_services_std30,
+       round(o.trend, 6) as trend, round(o.seasonal, 6) as seasonal, round(o.residual, 6) as residual,
+       round(o.score, 6) as score, o.prediction_datetime, o.score is not null as is_anomaly
+from metrics m left join (select * from flagged where is_anomaly) o
+  on m.warehouse_name = o.warehouse_name and m.usage_date = o.usage_date
+"""
+
+ORACLE["anomaly_report"] = f"""
+{_SCORED},
+an AS (select * from flagged where is_anomaly)
+select u.warehouse_name, u.usage_date, u.credits_used, u.credits_used_compute, u.credits_used_cloud_services,
+       round(an.score, 6) as score, an.score is not null as is_anomaly
+from metering_sparse u left join an on u.usage_date = an.usage_date and u.warehouse_name = an.warehouse_name
+where u.usage_date between (select min(usage_date) from an) - 7 and (select max(usage_date) from an) + 7
+  and u.warehouse_name in (select warehouse_name from an)
+"""
+
+ORACLE["warehouses"] = f"""
+{duck_cte('metering_sparse')},
+{_METRICS_BODY},
+{decompose_sql('metrics', True)}
+select distinct warehouse_name from dx_out
+"""
+
+ORACLE["forest_history"] = f"""
+{duck_cte('metering_long')},
+{_FILL},
+{decompose_sql('filled', False)},
+hist AS (select warehouse_name, usage_date, credits_used, coalesce(residual, 0) as x from dx_out),
+{forest_sql('hist', 'fh')},
+sc AS (select s.warehouse_name, s.usage_date, h.credits_used, s.x as residual, s.score,
+              st.score_mean, st.score_std, st.score_mean - 2 * st.score_std as threshold
+       from fh_sc s join fh_st st using (warehouse_name)
+            join hist h on h.warehouse_name = s.warehouse_name and h.usage_date = s.usage_date)
+select warehouse_name, usage_date, credits_used, round(residual, 6) as residual, round(score, 6) as score,
+       round(score_mean, 6) as score_mean, round(score_std, 6) as score_std, round(threshold, 6) as threshold
+from sc where score <= threshold
+  and cast(credits_used as double) > (select avg(cast(credits_used as double)) from hist)
+"""
