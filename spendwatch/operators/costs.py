@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import TB_BYTES, in_day, json_text, lit_date
+from ..sources.tables import materialize as write_stage
 
 TAG_KEYS = ("dag_id", "task_id", "run_id", "logical_date", "started", "operator")
 
@@ -161,9 +162,9 @@ def dag_cost_delta(cost: DataFrame, by_warehouse: bool = False, materialize: boo
                .agg(F.sum("task_dollar_cost").alias("dollar"), F.sum("task_credit_cost").alias("credit")))
     if materialize:
         # Seven days of per-task sums: small, and read by five branches below.
-        # A reliable checkpoint (shared spark.checkpoint.dir) runs the scan,
-        # join and aggregation once and cuts the lineage for the self-joins.
-        grouped = grouped.checkpoint(eager=True)
+        # Written once to the shared checkpoint folder: the scan, join and
+        # aggregation run once and the self-joins read the small result.
+        grouped = write_stage(grouped, "dag_cost_7d")
     last = grouped.agg(F.max("ds")).scalar()
     task_ok = F.col("airflow_task_id").isNotNull()
     today = grouped.where((F.col("ds") == last) | ((F.col("ds") == F.date_sub(last, 1)) & task_ok))

@@ -12,9 +12,10 @@ Fit (``fit_forest``)
     of the sampled values are window aggregates; a node splits when it has at
     least two sampled rows, a value range above 1e-7 and depth below
     ``ceil(log2(psi))``; the split is ``lo + u * (hi - lo)`` with ``u`` from an
-    md5 of (seed, warehouse, tree, node); all rows, sampled or not, are routed
-    down while the tree grows, so training scores need no join;
-  * a leaf's path length is ``depth + c(sampled rows in the leaf)``.
+    integer mix of the node id and the tree's seed (md5 of seed, warehouse,
+    tree; computed once per row, not once per level);
+  * a leaf's path length is ``depth + c(sampled rows in the leaf)``;
+  * training rows are scored like any other rows, by the lookup below.
 
 Model tables
   * leaves: (warehouse, version, tree_id, node, lo, hi, path_len): interval
@@ -40,7 +41,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import avg_path_length, lit_date, md5_uniform
+from ..functions.columns import avg_path_length, lit_date, mix_uniform, tree_seed
+from ..sources.tables import materialize as write_stage
 
 FEATURE_THRESHOLD = 1e-7  # a node whose value range is at most this is constant
 
@@ -60,78 +62,79 @@ def _levels(max_samples: int) -> int:
 def fit_forest(rows: DataFrame, key: str = "warehouse_name", date_col: str = "usage_date",
                value: str = "residual", n_trees: int = 100, max_samples: int = 256, seed: int = 0,
                sigmas: float = 3.0, version: int | Column = 0, materialize: bool = True) -> Forest:
-    """Fit one forest per ``key`` on ``value`` of the given (gap-free) rows."""
-    base = rows.select(key, date_col, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x"),
-                       *[c for c in rows.columns if c not in (key, date_col)])
-    per_key = Window.partitionBy(key)
-    t = (base.withColumn("_n", F.count(F.lit(1)).over(per_key))
-         .withColumn("_psi", F.least(F.col("_n"), F.lit(max_samples)))
-         .withColumn("_depth_limit", F.ceil(F.log2(F.greatest(F.col("_psi"), F.lit(2)).cast("double"))))
-         .withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-         .repartition(key, "tree_id"))
+    """Fit one forest per ``key`` on ``value`` of the given (gap-free) rows.
 
+    Plan: rows x trees (``explode``) -> one shuffle on (key, tree) -> sample
+    window -> growth windows on the sampled rows only (at most ``max_samples``
+    per tree, one Window operator per level) -> leaves -> merged step function
+    -> every training row scored by the as-of lookup (``score_rows``).
+    """
+    per_key = Window.partitionBy(key)
+    base = (rows.select(key, date_col, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x"))
+            .withColumn("_n", F.count(F.lit(1)).over(per_key))
+            .withColumn("_psi", F.least(F.col("_n"), F.lit(max_samples))))
     in_tree = Window.partitionBy(key, "tree_id").orderBy(
         F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key), F.col("tree_id").cast("string"),
                           F.col(date_col).cast("string"))), date_col)
-    t = (t.withColumn("_sampled", F.row_number().over(in_tree) <= F.col("_psi"))
-         .withColumn("node", F.lit(1))
-         .withColumn("_depth", F.lit(0))
-         .withColumn("lo", F.lit(float("-inf")))
-         .withColumn("hi", F.lit(float("inf"))))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = (base.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+         .repartition(parts, key, "tree_id")
+         .withColumn("_rank", F.row_number().over(in_tree))
+         .where(F.col("_rank") <= F.col("_psi"))
+         .select(key, "tree_id", "_x", "_psi",
+                 F.ceil(F.log2(F.greatest(F.col("_psi"), F.lit(2)).cast("double"))).alias("_depth_limit"),
+                 tree_seed(F.lit(seed), F.col(key), F.col("tree_id")).alias("_tseed"),
+                 F.lit(1).alias("node"), F.lit(0).alias("_depth"),
+                 F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi")))
 
     x = F.col("_x")
+    carry = [key, "tree_id", "_x", "_psi", "_depth_limit", "_tseed"]
     for level in range(_levels(max_samples)):
-        w = Window.partitionBy(key, "tree_id", "node")
-        smp = F.when(F.col("_sampled"), x)
-        t = (t.withColumn("_lo", F.min(smp).over(w))
-             .withColumn("_hi", F.max(smp).over(w))
-             .withColumn("_cnt", F.count(smp).over(w)))
+        # one window partition per tree; the RANGE frame 0..0 on the node id is
+        # the node itself (a partition per node would pay per-group overhead on
+        # up to psi groups of one row)
+        w = Window.partitionBy(key, "tree_id").orderBy("node").rangeBetween(0, 0)
+        t = t.withColumns({"_lo": F.min(x).over(w), "_hi": F.max(x).over(w), "_cnt": F.count(x).over(w)})
         ok = ((F.lit(level) < F.col("_depth_limit")) & (F.col("_cnt") >= 2)
               & (F.col("_hi") > F.col("_lo") + F.lit(FEATURE_THRESHOLD)))
-        u = md5_uniform(F.lit(seed), F.col(key), F.col("tree_id"), F.col("node"))
+        u = mix_uniform(F.col("_tseed"), F.col("node"))
         raw = F.col("_lo") + u * (F.col("_hi") - F.col("_lo"))
-        split = F.when(raw >= F.col("_hi"), F.col("_lo")).otherwise(raw)
-        t = t.withColumn("_ok", ok).withColumn("_split", split).withColumn("_right", x > F.col("_split"))
+        t = t.select(*carry, "node", "_depth", "lo", "hi", ok.alias("_ok"),
+                     F.when(raw >= F.col("_hi"), F.col("_lo")).otherwise(raw).alias("_split"))
+        right = x > F.col("_split")
         t = t.select(
-            *[c for c in t.columns if c not in ("node", "_depth", "lo", "hi", "_lo", "_hi", "_cnt",
-                                               "_ok", "_split", "_right")],
-            F.when(F.col("_ok"), F.col("node") * 2 + F.col("_right").cast("int")).otherwise(F.col("node"))
-             .alias("node"),
+            *carry,
+            F.when(F.col("_ok"), F.col("node") * 2 + right.cast("int")).otherwise(F.col("node")).alias("node"),
             (F.col("_depth") + F.col("_ok").cast("int")).alias("_depth"),
-            F.when(F.col("_ok") & F.col("_right"), F.col("_split")).otherwise(F.col("lo")).alias("lo"),
-            F.when(F.col("_ok") & ~F.col("_right"), F.col("_split")).otherwise(F.col("hi")).alias("hi"),
-        )
-
-    leaf_w = Window.partitionBy(key, "tree_id", "node")
-    t = t.withColumn("path_len", F.col("_depth") + avg_path_length(F.count(F.when(F.col("_sampled"), 1))
-                                                                   .over(leaf_w)))
-    if materialize:
-        # the grown frame feeds the scores, the leaves and the segments: cut the
-        # eight-level lineage once (reliable checkpoint on the shared folder)
-        t = t.checkpoint(eager=True)
+            F.when(F.col("_ok") & right, F.col("_split")).otherwise(F.col("lo")).alias("lo"),
+            F.when(F.col("_ok") & ~right, F.col("_split")).otherwise(F.col("hi")).alias("hi"))
 
     version_col = version if isinstance(version, Column) else F.lit(version)
-    c_psi = avg_path_length(F.col("_psi"))
-    extra = [c for c in rows.columns if c not in (key, date_col, value)]
-    scores = (t.groupBy(key, date_col, "_x", "_psi", *extra)
-              .agg(F.avg("path_len").alias("_mean_path"))
-              .select(key, date_col, F.col("_x").alias(value), *extra, "_psi",
-                      (F.lit(0.5) - F.pow(F.lit(2.0), -F.col("_mean_path") / c_psi)).alias("score")))
+    leaves = (t.groupBy(key, "tree_id", "node", "lo", "hi")
+              .agg(F.max("_depth").alias("_depth"), F.count(F.lit(1)).alias("_size"), F.max("_psi").alias("_psi"))
+              .select(key, "tree_id", "node", "lo", "hi",
+                      (F.col("_depth") + avg_path_length(F.col("_size"))).alias("path_len"),
+                      version_col.alias("model_version"), "_psi"))
+    if materialize:
+        # the leaves feed the model tables and the training scores: grow once
+        # (a table written to the shared checkpoint folder cuts the lineage)
+        leaves = write_stage(leaves, "forest_leaves")
+    psi = leaves.groupBy(key).agg(F.max("_psi").alias("psi"))
+    leaves = leaves.drop("_psi")
+    segments = merge_leaves(leaves, key, n_trees)
+    shape = psi.select(key, version_col.alias("model_version"), F.lit(n_trees).alias("n_trees"), "psi",
+                       avg_path_length(F.col("psi")).alias("c_psi"))
+    scored = score_rows(rows, segments, shape, key, value)
     stats = Window.partitionBy(key)
-    scores = (scores.withColumn("score_mean", F.avg("score").over(stats))
+    scores = (scored.withColumn("score_mean", F.avg("score").over(stats))
               .withColumn("score_std", F.stddev_samp("score").over(stats))
               .withColumn("threshold", F.col("score_mean") - F.lit(sigmas) * F.col("score_std")))
-
-    leaves = (t.where("_sampled")
-              .select(key, "tree_id", "node", "lo", "hi", "path_len").distinct()
-              .withColumn("model_version", version_col))
-    meta = (scores.groupBy(key)
-            .agg(F.first("_psi").alias("psi"), F.first("score_mean").alias("score_mean"),
-                 F.first("score_std").alias("score_std"), F.first("threshold").alias("threshold"))
-            .select(key, version_col.alias("model_version"), F.lit(n_trees).alias("n_trees"), "psi",
-                    avg_path_length(F.col("psi")).alias("c_psi"), "score_mean", "score_std", "threshold"))
-    segments = merge_leaves(leaves, key, n_trees)
-    return Forest(leaves=leaves, segments=segments, meta=meta, scores=scores.drop("_psi"))
+    if materialize:
+        scores = write_stage(scores, "forest_scores")
+    meta = shape.join(scores.groupBy(key).agg(F.first("score_mean").alias("score_mean"),
+                                              F.first("score_std").alias("score_std"),
+                                              F.first("threshold").alias("threshold")), [key])
+    return Forest(leaves=leaves, segments=segments, meta=meta, scores=scores)
 
 
 def merge_leaves(leaves: DataFrame, key: str = "warehouse_name", n_trees: int = 100) -> DataFrame:
@@ -165,7 +168,7 @@ def score_rows(rows: DataFrame, segments: DataFrame, meta: DataFrame, key: str =
     ``latest_model``).  Rows of warehouses without a model are dropped, as a
     prediction without a model cannot run.
     """
-    m = meta.select(key, "c_psi", "threshold")
+    m = meta.select(key, "c_psi", *(["threshold"] if "threshold" in meta.columns else []))
     q = (rows.join(m, [key])  # one meta row per warehouse
          .withColumn("_v", F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
          .withColumn("_kind", F.lit(0)).withColumn("_mp", F.lit(None).cast("double")))

@@ -245,7 +245,7 @@ FOREST_FLOATS = ["lo", "hi", "path_len", "score", "score_mean", "score_std", "th
 def _weekly(spark, sf):
     """Features (checkpointed: they feed the fit and the scoring), the last day, and a
     forest trained on every day before the scoring window [last - 7, last]."""
-    feats = _features(spark, sf).checkpoint(eager=True)
+    feats = tables.materialize(_features(spark, sf), "features")
     last = _last_day(feats)
     fit = forest.train_forest(feats, F.date_sub(last, 7), seed=SEED, version=1)
     return feats, last, fit

@@ -493,6 +493,13 @@ def _u(*parts: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::bigint / 4294967296.0)"
 
 
+def _mix() -> str:
+    a = "((tseed * 69069 + cast(node as bigint) * 362437 + 1) % 2147483648)"
+    b = f"(({a} * 1103515245 + 12345) % 2147483648)"
+    c = f"(({b} * 1103515245 + 12345) % 2147483648)"
+    return f"(cast({c} as double) / 2147483648.0)"
+
+
 def forest_sql(src: str, p: str, n_trees: int = 100, max_samples: int = 256, seed: int = 0,
                levels: int = 8) -> str:
     """CTEs growing seeded isolation trees over ``src`` (warehouse_name, usage_date, x, ...);
@@ -504,7 +511,10 @@ def forest_sql(src: str, p: str, n_trees: int = 100, max_samples: int = 256, see
 {p}_0 AS (select *, row_number() over (partition by warehouse_name, tree_id
             order by md5(concat_ws('|', '{seed}', warehouse_name, cast(tree_id as varchar),
                                    cast(usage_date as varchar))), usage_date) <= psi as sampled,
-          1 as node, 0 as depth, '-inf'::double as lo, 'inf'::double as hi from {p}_t)"""]
+          1 as node, 0 as depth, '-inf'::double as lo, 'inf'::double as hi,
+          ('0x' || substr(md5(concat_ws('|', '{seed}', warehouse_name, cast(tree_id as varchar))), 1, 7))::bigint
+              as tseed
+          from {p}_t)"""]
     for k in range(levels):
         a, b = f"{p}_{k}", f"{p}_{k + 1}"
         s.append(f"""
@@ -513,10 +523,8 @@ def forest_sql(src: str, p: str, n_trees: int = 100, max_samples: int = 256, see
             count(case when sampled then x end) over w as scnt
           from {a} window w as (partition by warehouse_name, tree_id, node)),
 {a}p AS (select *, ({k} < dl and scnt >= 2 and shi > slo + 1e-7) as ok,
-            case when slo + {_u(f"'{seed}'", 'warehouse_name', 'cast(tree_id as varchar)',
-                                'cast(node as varchar)')} * (shi - slo) >= shi then slo
-                 else slo + {_u(f"'{seed}'", 'warehouse_name', 'cast(tree_id as varchar)',
-                                'cast(node as varchar)')} * (shi - slo) end as split
+            case when slo + {_mix()} * (shi - slo) >= shi then slo
+                 else slo + {_mix()} * (shi - slo) end as split
           from {a}s),
 {b} AS (select * exclude (slo, shi, scnt, ok, split, node, depth, lo, hi),
           case when ok then node * 2 + cast(x > split as integer) else node end as node,

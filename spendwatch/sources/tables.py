@@ -97,3 +97,17 @@ def latest_per_key(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
     """One row per ``keys``: the one with the greatest ``order_col`` (dedupe of appends)."""
     w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` but computes the plan a single time
+    (a reliable RDD checkpoint of an unpersisted plan computes it twice), and
+    the files live on the storage the cluster names in ``spark.checkpoint.dir``,
+    so a lost executor cannot lose them.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
