@@ -308,3 +308,31 @@ def q_warehouses(spark, sf):
 @register("alert_gate")
 def q_alert_gate(spark, sf):
     return anomalies.alert_gate(forest.predicted_anomalies(_scored(spark, sf)))
+
+
+# ---------------------------------------------------------------- drift
+from ..operators import drift  # noqa: E402
+
+
+@register("daily_pivot")
+def q_daily_pivot(spark, sf):
+    return drift.daily_pivot(_daily_long(spark, sf))
+
+
+@register("usage_drift_stat")
+def q_usage_drift_stat(spark, sf):
+    """KS distance and asymptotic p-value per warehouse (SQL-checkable part)."""
+    stat = drift.ks_statistic(_daily_long(spark, sf))
+    return stat.withColumn("p_value_asymptotic", F.round(drift.asymptotic_p(), 6)).withColumn(
+        "ks_d", F.round("ks_d", 9))
+
+
+@register("usage_drift")
+def q_usage_drift(spark, sf):
+    """KS test per warehouse with the exact p-value (checked against path enumeration in tests)."""
+    return drift.usage_drift(_daily_long(spark, sf))
+
+
+@register("drift_share")
+def q_drift_share(spark, sf):
+    return drift.drift_share(drift.usage_drift(_daily_long(spark, sf)))

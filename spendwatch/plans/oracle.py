@@ -648,3 +648,37 @@ select warehouse_name, usage_date, credits_used, round(residual, 6) as residual,
 from sc where score <= threshold
   and cast(credits_used as double) > (select avg(cast(credits_used as double)) from hist)
 """
+
+
+# ---------------------------------------------------------------- drift
+
+_FILL_SUB = f"""(with metering_long as ({adapter_sql('metering_long', 'duckdb')}),
+{_FILL}
+select warehouse_name, usage_date, credits_used from filled)"""
+
+ORACLE["daily_pivot"] = f"""
+pivot (select usage_date, warehouse_name, cast(credits_used as decimal(38,9)) as credits_used from {_FILL_SUB} f)
+on warehouse_name using first(credits_used) group by usage_date
+"""
+
+ORACLE["usage_drift_stat"] = f"""
+{duck_cte('metering_long')},
+{_FILL},
+s AS (select warehouse_name, cast(credits_used as double) as v,
+             usage_date >= (select max(usage_date) from filled) - 7 as cur from filled),
+e AS (select warehouse_name,
+             sum(cast(cur as bigint)) over p as n2,
+             count(*) over p - sum(cast(cur as bigint)) over p as n1,
+             sum(cast(cur as bigint)) over c as c2,
+             count(*) over c - sum(cast(cur as bigint)) over c as c1
+      from s window p as (partition by warehouse_name),
+                    c as (partition by warehouse_name order by v range between unbounded preceding and current row)),
+kd AS (select warehouse_name, any_value(n1) as n_reference, any_value(n2) as n_current,
+             max(abs(c1 / n1 - c2 / n2)) as ks_d from e group by warehouse_name),
+l AS (select *, ks_d * sqrt(n_reference * n_current / (n_reference + n_current)) as lam from kd)
+select warehouse_name, n_reference, n_current, round(ks_d, 9) as ks_d,
+       round(case when lam <= 0 then 1.0 else least(1.0, greatest(0.0,
+           2 * list_sum(list_transform(range(1, 101), lambda k: pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam)))))
+       end, 6) as p_value_asymptotic
+from l
+"""
