@@ -89,25 +89,24 @@ def fit_forest(rows: DataFrame, key: str = "warehouse_name", date_col: str = "us
 
     x = F.col("_x")
     carry = [key, "tree_id", "_x", "_psi", "_depth_limit", "_tseed"]
-    for level in range(_levels(max_samples)):
-        # one window partition per tree; the RANGE frame 0..0 on the node id is
-        # the node itself (a partition per node would pay per-group overhead on
-        # up to psi groups of one row)
-        w = Window.partitionBy(key, "tree_id").orderBy("node").rangeBetween(0, 0)
+    # one window partition per tree; the RANGE frame 0..0 on the node id is the
+    # node itself.  The depth test uses the node's own depth (a node that
+    # stopped splitting never splits later), so every level generates the same
+    # code and compiles once.
+    w = Window.partitionBy(key, "tree_id").orderBy("node").rangeBetween(0, 0)
+    ok = ((F.col("_depth") < F.col("_depth_limit")) & (F.col("_cnt") >= 2)
+          & (F.col("_hi") > F.col("_lo") + F.lit(FEATURE_THRESHOLD)))
+    raw = F.col("_lo") + mix_uniform(F.col("_tseed"), F.col("node")) * (F.col("_hi") - F.col("_lo"))
+    split = F.when(raw >= F.col("_hi"), F.col("_lo")).otherwise(raw)
+    right = x > split
+    for _ in range(_levels(max_samples)):
         t = t.withColumns({"_lo": F.min(x).over(w), "_hi": F.max(x).over(w), "_cnt": F.count(x).over(w)})
-        ok = ((F.lit(level) < F.col("_depth_limit")) & (F.col("_cnt") >= 2)
-              & (F.col("_hi") > F.col("_lo") + F.lit(FEATURE_THRESHOLD)))
-        u = mix_uniform(F.col("_tseed"), F.col("node"))
-        raw = F.col("_lo") + u * (F.col("_hi") - F.col("_lo"))
-        t = t.select(*carry, "node", "_depth", "lo", "hi", ok.alias("_ok"),
-                     F.when(raw >= F.col("_hi"), F.col("_lo")).otherwise(raw).alias("_split"))
-        right = x > F.col("_split")
         t = t.select(
             *carry,
-            F.when(F.col("_ok"), F.col("node") * 2 + right.cast("int")).otherwise(F.col("node")).alias("node"),
-            (F.col("_depth") + F.col("_ok").cast("int")).alias("_depth"),
-            F.when(F.col("_ok") & right, F.col("_split")).otherwise(F.col("lo")).alias("lo"),
-            F.when(F.col("_ok") & ~right, F.col("_split")).otherwise(F.col("hi")).alias("hi"))
+            F.when(ok, F.col("node") * 2 + right.cast("int")).otherwise(F.col("node")).alias("node"),
+            (F.col("_depth") + ok.cast("int")).alias("_depth"),
+            F.when(ok & right, split).otherwise(F.col("lo")).alias("lo"),
+            F.when(ok & ~right, split).otherwise(F.col("hi")).alias("hi"))
 
     version_col = version if isinstance(version, Column) else F.lit(version)
     leaves = (t.groupBy(key, "tree_id", "node", "lo", "hi")

@@ -522,7 +522,7 @@ def forest_sql(src: str, p: str, n_trees: int = 100, max_samples: int = 256, see
             max(case when sampled then x end) over w as shi,
             count(case when sampled then x end) over w as scnt
           from {a} window w as (partition by warehouse_name, tree_id, node)),
-{a}p AS (select *, ({k} < dl and scnt >= 2 and shi > slo + 1e-7) as ok,
+{a}p AS (select *, (depth < dl and scnt >= 2 and shi > slo + 1e-7) as ok,
             case when slo + {_mix()} * (shi - slo) >= shi then slo
                  else slo + {_mix()} * (shi - slo) end as split
           from {a}s),
