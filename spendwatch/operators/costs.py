@@ -22,7 +22,45 @@ def _ds(ds, default: Column) -> Column:
     return lit_date(ds) if ds is not None else default
 
 
-def load_query_history(src: DataFrame, ds=None) -> DataFrame:
+def rank_desc_nulls_first(df: DataFrame, keys: list[str], value: str, out: str,
+                          bucket: int = 1000) -> DataFrame:
+    """``rank() over (partition by keys order by value desc nulls first)`` without
+    sorting a whole key group in one task.
+
+    rank(v) = 1 + (rows of the group with NULL) + (rows with a greater value).
+    The counts come from a histogram of distinct values (grouped map-side, so a
+    group holding a third of all rows is reduced before it moves), prefix sums
+    over coarse buckets of ``bucket`` units (one window row per bucket) and
+    prefix sums inside a bucket (at most ``bucket`` distinct whole values per
+    window group); the ranks are joined back on (keys, value).
+    """
+    v = F.col(value)
+    hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    nulls = hist.where(v.isNull()).select(*keys, F.col("_c").alias("_nulls"))
+    vals = hist.where(v.isNotNull()).withColumn("_b", F.floor(v / F.lit(bucket)))
+    coarse = vals.groupBy(*keys, "_b").agg(F.sum("_c").alias("_cb"))
+    higher = Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.select(*keys, "_b", F.coalesce(F.sum("_cb").over(higher), F.lit(0)).alias("_above_b"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(v.desc()).rowsBetween(Window.unboundedPreceding, -1)
+    fine = vals.select(*keys, value, "_b", F.coalesce(F.sum("_c").over(inside), F.lit(0)).alias("_above_v"))
+    def same(a: DataFrame, b: DataFrame, cols) -> Column:  # NULL keys (no warehouse) match too
+        c = None
+        for k in cols:
+            e = a[k].eqNullSafe(b[k])
+            c = e if c is None else c & e
+        return c
+
+    fc = fine.join(coarse, same(fine, coarse, [*keys, "_b"])).select(fine["*"], coarse["_above_b"])
+    ranks = (fc.join(nulls, same(fc, nulls, keys), "left")
+             .select(*[fc[k] for k in keys], fc[value],
+                     (1 + F.coalesce(F.col("_nulls"), F.lit(0)) + F.col("_above_b")
+                      + F.col("_above_v")).cast("long").alias(out)))
+    ranks = ranks.unionByName(nulls.select(*keys, F.lit(None).cast(df.schema[value].dataType).alias(value),
+                                           F.lit(1).cast("long").alias(out)))
+    return df.join(ranks, same(df, ranks, [*keys, value]), "left").select(df["*"], ranks[out])
+
+
+def load_query_history(src: DataFrame, ds=None, rank_strategy: str = "histogram") -> DataFrame:
     """One day (``ds``) or every day (``ds=None``) of queries, with parsed tags,
     seconds, queue share and the rank of elapsed time within the warehouse-day.
 
@@ -30,7 +68,9 @@ def load_query_history(src: DataFrame, ds=None) -> DataFrame:
     (``try_parse_json``; bad text gives NULL) and read as text per key.  The
     queue share divides by elapsed time with ``try_divide`` (0 or NULL elapsed
     gives NULL instead of an error).  Rank orders NULL elapsed first, as the
-    vendor does for descending order; its window is one warehouse on one day.
+    vendor does for descending order.  ``rank_strategy="histogram"`` (default)
+    computes it without sorting a warehouse-day in one task (see
+    ``rank_desc_nulls_first``); ``"window"`` is the plain rank window.
     """
     q = _day_filter(src, "end_time", ds)
     ds_col = _ds(ds, F.to_date("end_time"))
@@ -58,7 +98,11 @@ def load_query_history(src: DataFrame, ds=None) -> DataFrame:
         F.try_to_timestamp(json_text(tag, "started")).cast("timestamp_ntz").alias("airflow_started"),
         json_text(tag, "operator").alias("airflow_operator"),
         ds_col.alias("ds"),
-    ).withColumn("query_time_rank", F.rank().over(rank_w))
+    )
+    if rank_strategy == "window":
+        out = out.withColumn("query_time_rank", F.rank().over(rank_w))
+    else:
+        out = rank_desc_nulls_first(out, ["ds", "warehouse_name"], "total_elapsed_time", "query_time_rank")
     return schemas.conform(out, schemas.QUERY_HISTORY)
 
 

@@ -99,7 +99,10 @@ def fit_forest(rows: DataFrame, key: str = "warehouse_name", date_col: str = "us
     raw = F.col("_lo") + mix_uniform(F.col("_tseed"), F.col("node")) * (F.col("_hi") - F.col("_lo"))
     split = F.when(raw >= F.col("_hi"), F.col("_lo")).otherwise(raw)
     right = x > split
-    for _ in range(_levels(max_samples)):
+    # levels actually needed: the depth limit of the longest series (one scalar
+    # fetched on the driver), at most ceil(log2(max_samples))
+    longest = rows.groupBy(key).count().agg(F.max("count")).first()[0] or 1
+    for _ in range(_levels(min(longest, max_samples))):
         t = t.withColumns({"_lo": F.min(x).over(w), "_hi": F.max(x).over(w), "_cnt": F.count(x).over(w)})
         t = t.select(
             *carry,
