@@ -28,12 +28,15 @@ def anomaly_report(raw: DataFrame, anomalies: DataFrame, days: int = 7) -> DataF
     """Raw usage of the anomalous warehouses from ``days`` before the first to ``days``
     after the last anomaly, each row flagged with its anomaly score.
 
-    The date bounds are one scalar subquery; the warehouse list is a semi join
+    The date bounds are two scalars (literals prune the raw scan); the
+    warehouse list is a semi join
     (no literal IN list); the score comes from a left join on (day, warehouse).
     """
-    bounds = anomalies.agg(F.struct(F.min("usage_date").alias("lo"), F.max("usage_date").alias("hi"))).scalar()
+    row = anomalies.agg(F.min("usage_date").alias("lo"), F.max("usage_date").alias("hi")).first()
+    lo = F.lit(row["lo"]).cast("date")
+    hi = F.lit(row["hi"]).cast("date")
     names = anomalies.select("warehouse_name").distinct()
-    usage = (raw.where(F.col("usage_date").between(F.date_sub(bounds["lo"], days), F.date_add(bounds["hi"], days)))
+    usage = (raw.where(F.col("usage_date").between(F.date_sub(lo, days), F.date_add(hi, days)))
              .join(names, ["warehouse_name"], "left_semi")
              .select("warehouse_name", "usage_date", "credits_used", "credits_used_compute",
                      "credits_used_cloud_services"))

@@ -43,9 +43,19 @@ def dense_grid(keys: DataFrame, key: str, first: Column, last: Column, date_col:
     return keys.select(key, F.explode(F.sequence(first, last)).alias(date_col))
 
 
-def date_bounds(df: DataFrame, col: str) -> Column:
-    """(lo, hi) of ``col`` as one struct-valued scalar subquery (one scan, reused)."""
-    return df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
+def date_bounds(df: DataFrame, col: str):
+    """(first, last) value of ``col``: two scalars fetched in one small job.
+
+    Used as literals, the bounds prune partitions and reach the Parquet scan
+    as pushed filters, which a scalar subquery in a filter cannot.
+    """
+    row = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    return row["lo"], row["hi"]
+
+
+def last_value(df: DataFrame, col: str):
+    """Greatest value of ``col`` (one scalar fetched on the driver)."""
+    return df.agg(F.max(col)).first()[0]
 
 
 def fill_daily_gaps(metering: DataFrame, value: str = "credits_used") -> DataFrame:
@@ -55,8 +65,11 @@ def fill_daily_gaps(metering: DataFrame, value: str = "credits_used") -> DataFra
     drops them) but still count for the date bounds.  Zero rows are unioned in
     and summed, so there is one partial + final aggregation and no join.
     """
-    bounds = date_bounds(metering, "usage_date")
-    first, last = bounds["lo"], bounds["hi"]
+    first, last = date_bounds(metering, "usage_date")
+    if first is None:
+        return metering.sparkSession.createDataFrame(
+            [], "warehouse_name string, usage_date date, " + f"{value} {metering.schema[value].dataType.simpleString()}")
+    first, last = lit_date(first), lit_date(last)
     named = metering.where(F.col("warehouse_name").isNotNull())
     keys = named.select("warehouse_name").distinct()
     zeros = dense_grid(keys, "warehouse_name", first, last).withColumn(

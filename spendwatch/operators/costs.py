@@ -192,13 +192,17 @@ def dag_cost_delta(cost: DataFrame, by_warehouse: bool = False, materialize: boo
 
     The reference scans and groups the cost four times; here it is grouped once
     over the seven days it needs (last, -1, -2, -7, -8, -28, -29) and each
-    period is a filter of that one result.  The last day comes from one scalar
-    subquery.  As in the reference, the period joins are keyed on (task, dag,
+    period is a filter of that one result.  The last day is fetched first (one
+    scalar) and used as a literal, so a ds-partitioned cost table is pruned to
+    the seven days.  As in the reference, the period joins are keyed on (task, dag,
     shifted day) without the warehouse, so a task that ran in several
     warehouses multiplies rows; ``by_warehouse=True`` adds the warehouse to
     the keys.  Rows without a task are kept for the last day only.
     """
-    last_all = cost.agg(F.max("ds")).scalar()
+    last_day = cost.agg(F.max("ds")).first()[0]  # one scalar; as a literal it prunes ds partitions
+    if last_day is None:
+        last_day = "1970-01-01"
+    last_all = lit_date(last_day)
     days = [F.date_sub(last_all, k) for k in (0, 1, 2, 7, 8, 28, 29)]
     keys = ["airflow_dag_id", "airflow_task_id", "ds", "warehouse_name"]
     grouped = (cost.where(F.col("ds").isin(*days))
@@ -209,7 +213,7 @@ def dag_cost_delta(cost: DataFrame, by_warehouse: bool = False, materialize: boo
         # Written once to the shared checkpoint folder: the scan, join and
         # aggregation run once and the self-joins read the small result.
         grouped = write_stage(grouped, "dag_cost_7d")
-    last = grouped.agg(F.max("ds")).scalar()
+    last = last_all
     task_ok = F.col("airflow_task_id").isNotNull()
     today = grouped.where((F.col("ds") == last) | ((F.col("ds") == F.date_sub(last, 1)) & task_ok))
     join_keys = ["airflow_task_id", "airflow_dag_id", "ds"] + (["warehouse_name"] if by_warehouse else [])

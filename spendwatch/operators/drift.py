@@ -34,8 +34,8 @@ def daily_pivot(daily: DataFrame, value: str = "credits_used") -> DataFrame:
 
 def split_recent(daily: DataFrame, days: int = 7) -> DataFrame:
     """Flag rows of the last ``days + 1`` days (from max date - days on) as current."""
-    last = daily.agg(F.max("usage_date")).scalar()
-    return daily.withColumn("is_current", F.col("usage_date") >= F.date_sub(last, days))
+    last = daily.agg(F.max("usage_date")).first()[0]
+    return daily.withColumn("is_current", F.col("usage_date") >= F.date_sub(F.lit(last).cast("date"), days))
 
 
 def ks_statistic(daily: DataFrame, days: int = 7, value: str = "credits_used") -> DataFrame:

@@ -198,7 +198,7 @@ def training_anomalies(scores: DataFrame, key: str = "warehouse_name", credits:
     """
     w = Window.partitionBy() if global_mean else Window.partitionBy(key)
     if global_mean:
-        mean = scores.agg(F.avg(F.col(credits).cast("double"))).scalar()
+        mean = F.lit(scores.agg(F.avg(F.col(credits).cast("double"))).first()[0]).cast("double")
     else:
         mean = F.avg(F.col(credits).cast("double")).over(w)
     return (scores.withColumn("_mean_credits", mean)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import in_day, lit_date, week_ending_sunday
-from .calendar import dense_grid
+from .calendar import date_bounds, dense_grid
 
 MEASURES = ("credits_used", "credits_used_compute", "credits_used_cloud_services")
 
@@ -35,21 +35,22 @@ def ingest_metering(src: DataFrame, account: str, ds=None) -> DataFrame:
 def metering_metrics(raw: DataFrame, calendar: DataFrame, ds) -> DataFrame:
     """Dense warehouse x day matrix up to ``ds``, zero filled, with 30-row SMA and STD.
 
-    Plan: the grid (named warehouses x calendar days <= ds) is generated per
-    warehouse with ``sequence``; the raw rows of those days are unioned with
+    Plan: the first and last calendar day up to ``ds`` are fetched as two
+    literals (they prune the raw scan); the grid (named warehouses x those
+    days) is generated per warehouse with ``sequence``; the raw rows of those days are unioned with
     zero rows and summed once (partial aggregation before the shuffle, so a
     warehouse with a third of the rows is pre-reduced map-side); the six
     moving statistics share one window spec, hence one sort.  Each window
     partition holds one warehouse's days, bounded by the calendar length.
     """
-    cal = calendar.where(F.col("usage_date") <= lit_date(ds))
-    bounds = cal.agg(F.struct(F.min("usage_date").alias("lo"), F.max("usage_date").alias("hi"))).scalar()
+    lo, hi = date_bounds(calendar.where(F.col("usage_date") <= lit_date(ds)), "usage_date")
+    lo, hi = lit_date(lo), lit_date(hi)
     named = raw.where(F.col("warehouse_name").isNotNull())
     keys = named.select("warehouse_name").distinct()
     zero = F.lit(0).cast(schemas.CREDITS)
-    grid = dense_grid(keys, "warehouse_name", bounds["lo"], bounds["hi"]).select(
+    grid = dense_grid(keys, "warehouse_name", lo, hi).select(
         "warehouse_name", "usage_date", *[zero.alias(m) for m in MEASURES])
-    facts = named.where(F.col("usage_date").between(bounds["lo"], bounds["hi"])).select(
+    facts = named.where(F.col("usage_date").between(lo, hi)).select(
         "warehouse_name", "usage_date", *MEASURES)
     daily = (grid.unionByName(facts)
              .groupBy("warehouse_name", "usage_date")

@@ -7,6 +7,7 @@ Outputs keep the job's columns; floating and averaged columns are rounded to
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,11 +39,11 @@ def _round_floats(df: DataFrame, cols) -> DataFrame:
 
 
 def _first_day(df: DataFrame, col: str = "usage_date"):
-    return df.agg(F.min(col)).scalar()
+    return df.agg(F.min(col)).first()[0]
 
 
 def _last_day(df: DataFrame, col: str = "usage_date"):
-    return df.agg(F.max(col)).scalar()
+    return df.agg(F.max(col)).first()[0]
 
 
 # ---------------------------------------------------------------- metering
@@ -91,9 +92,12 @@ def q_missing_dates_list(spark, sf):
 
 
 def _metrics(spark, sf) -> DataFrame:
-    raw = source(spark, sf, "metering_sparse")
-    calendar = cal.build_calendar(spark, _first_day(raw))
-    return metering.metering_metrics(raw, calendar, _last_day(raw))
+    """Raw table (written once, as the daily loads would have) -> calendar from its
+    first day -> metrics up to its last day; both days come from one subquery."""
+    raw = tables.materialize(source(spark, sf, "metering_sparse"), "raw_sparse")
+    first, last = cal.date_bounds(raw, "usage_date")
+    calendar = cal.build_calendar(spark, first)
+    return metering.metering_metrics(raw, calendar, last)
 
 
 METRIC_FLOATS = [f"{m}_{s}" for s in ("sma30", "std30") for m in metering.MEASURES]
@@ -247,13 +251,15 @@ def _weekly(spark, sf):
     forest trained on every day before the scoring window [last - 7, last]."""
     feats = tables.materialize(_features(spark, sf), "features")
     last = _last_day(feats)
-    fit = forest.train_forest(feats, F.date_sub(last, 7), seed=SEED, version=1)
+    fit = forest.train_forest(feats, last - _dt.timedelta(days=7), seed=SEED, version=1)
     return feats, last, fit
 
 
 def _scored(spark, sf):
+    """Scored rows of the 8-day window, written once: the report, the view and the
+    gate read them several times (as they read the model output table)."""
     feats, last, fit = _weekly(spark, sf)
-    return forest.score_forest(feats, fit.segments, fit.meta, last)
+    return tables.materialize(forest.score_forest(feats, fit.segments, fit.meta, last), "scored")
 
 
 @register("forest_model")
