@@ -124,6 +124,9 @@ def fit_forest(rows: DataFrame, key: str = "warehouse_name", date_col: str = "us
     psi = leaves.groupBy(key).agg(F.max("_psi").alias("psi"))
     leaves = leaves.drop("_psi")
     segments = merge_leaves(leaves, key, n_trees)
+    if materialize:
+        # read by the training scores and by every later prediction
+        segments = write_stage(segments, "forest_segments")
     shape = psi.select(key, version_col.alias("model_version"), F.lit(n_trees).alias("n_trees"), "psi",
                        avg_path_length(F.col("psi")).alias("c_psi"))
     scored = score_rows(rows, segments, shape, key, value)
