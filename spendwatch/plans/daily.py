@@ -117,3 +117,34 @@ def run_prediction(spark: SparkSession, t: Tables, ds) -> tuple[DataFrame, DataF
     todays = out.where(F.col("prediction_datetime") == F.lit(ds).cast("date").cast("timestamp_ntz"))
     raw = tables.read_table(spark, t.raw_warehouse_metering_history, schemas.RAW_METERING)
     return anomalies.anomaly_report(raw, todays), anomalies.alert_gate(todays)
+
+
+def register_views(spark: SparkSession, t: Tables) -> list[str]:
+    """Register the five reporting views over the stored tables as temp views
+    (CREATE OR REPLACE VIEW): the anomalies view, warehouse credit deltas, query
+    cost, cost deltas and cost warnings.  Each view is the DataFrame job over
+    the tables, so Catalyst inlines views into the queries that read them."""
+    q = tables.read_table(spark, t.reporting_query_history, schemas.QUERY_HISTORY)
+    c = tables.read_table(spark, t.reporting_warehouse_credits, schemas.WAREHOUSE_CREDITS)
+    cost = costs.dag_cost(q, c)
+    views = {
+        "view_reporting_warehouse_credits_delta": costs.warehouse_credits_delta(c),
+        "view_reporting_dag_cost": cost,
+    }
+    try:
+        delta = costs.dag_cost_delta(cost)
+        views["view_reporting_dag_cost_delta"] = delta
+        views["view_reporting_dag_cost_warnings"] = costs.dag_cost_warnings(delta)
+    except Exception:  # no cost rows yet: nothing to compare
+        pass
+    fs_path = t.model_output_anomalies
+    metrics_path = t.metrics_warehouse_metering_history
+    try:
+        metrics = spark.read.schema(schemas.METERING_METRICS).parquet(metrics_path)
+        found = spark.read.schema(schemas.MODEL_OUTPUT_ANOMALIES).parquet(fs_path)
+        views["view_reporting_anomalies"] = anomalies.anomalies_view(metrics, found)
+    except Exception:  # tables not written yet
+        pass
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return sorted(views)

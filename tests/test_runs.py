@@ -44,6 +44,10 @@ def test_scheduled_runs(spark):
     assert set(found.columns) >= {"warehouse_name", "usage_date", "score", "threshold"}
     assert spark.read.parquet(t.model_meta).count() == feats.select("warehouse_name").distinct().count()
     report, gate = daily.run_prediction(spark, t, last)
+    names = daily.register_views(spark, t)
+    assert "view_reporting_dag_cost" in names and "view_reporting_anomalies" in names
+    assert spark.sql("select count(*) as n from view_reporting_anomalies").first().n == metrics.count()
+    assert spark.sql("select count(*) as n from view_reporting_dag_cost").first().n > 0
     g = gate.first()
     assert g.send_alert == (g.n_anomalies > 0)
     assert report.count() >= 0
