@@ -159,7 +159,9 @@ def warehouse_credits_delta(credits: DataFrame) -> DataFrame:
                        F.col("warehouse_credits").alias("_y"))
     return (credits.join(y, ["warehouse_name", "ds"], "left")
             .select("warehouse_name", "warehouse_credits", "ds",
-                    (F.col("warehouse_credits") - F.col("_y")).alias("warehouse_credits_delta_yesterday")))
+                    # at (37, 9) the difference keeps scale 9; (38, 9) - (38, 9) would round to 8 places
+                    (F.col("warehouse_credits").cast("decimal(37,9)") - F.col("_y").cast("decimal(37,9)"))
+                    .alias("warehouse_credits_delta_yesterday")))
 
 
 def dag_cost(queries: DataFrame, credits: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ from metrics
 """
 
 ORACLE["usage_by_year"] = f"""
-select year, coalesce(columns(* exclude (year)), 0) from (
+select cast(year as integer) as year, coalesce(columns(* exclude (year)), 0) from (
   pivot (select year(usage_date) as year, warehouse_name, credits_used
          from ({adapter_sql('metering_long', 'duckdb')}) metering_long where warehouse_name is not null)
   on warehouse_name using sum(credits_used) group by year)
@@ -410,7 +410,7 @@ cat AS (
 ORACLE["cost_categories"] = f"{duck_cte('currency_src')},\n{_CAT}\nselect * from cat"
 
 ORACLE["cost_by_year"] = f"""
-select year, coalesce(columns(* exclude (year)), 0) from (
+select cast(year as integer) as year, coalesce(columns(* exclude (year)), 0) from (
   pivot (select year(usage_date) as year, concat_ws(' | ', rating_type, resource_type) as category,
                 usage_in_currency
          from ({_CAT.split('AS (', 1)[1].rsplit(')', 1)[0].replace('from currency_src',
@@ -556,7 +556,7 @@ train AS (select warehouse_name, usage_date, credits_used, coalesce(residual, 0)
 
 ORACLE["forest_model"] = f"""
 {_FEATS}
-select warehouse_name, tree_id, node, round(lo, 6) as lo, round(hi, 6) as hi, round(path_len, 6) as path_len,
+select warehouse_name, cast(tree_id as integer) as tree_id, node, round(lo, 6) as lo, round(hi, 6) as hi, round(path_len, 6) as path_len,
        1 as model_version
 from fz_leaves
 """
@@ -676,7 +676,8 @@ e AS (select warehouse_name,
 kd AS (select warehouse_name, any_value(n1) as n_reference, any_value(n2) as n_current,
              max(abs(c1 / n1 - c2 / n2)) as ks_d from e group by warehouse_name),
 l AS (select *, ks_d * sqrt(n_reference * n_current / (n_reference + n_current)) as lam from kd)
-select warehouse_name, n_reference, n_current, round(ks_d, 9) as ks_d,
+select warehouse_name, cast(n_reference as bigint) as n_reference, cast(n_current as bigint) as n_current,
+       round(ks_d, 9) as ks_d,
        round(case when lam <= 0 then 1.0 else least(1.0, greatest(0.0,
            2 * list_sum(list_transform(range(1, 101), lambda k: pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam)))))
        end, 6) as p_value_asymptotic
