@@ -86,8 +86,11 @@ def run_preparation(spark: SparkSession, t: Tables, start, ds) -> DataFrame:
     tables.replace_table(metering.metering_metrics(raw, cal, ds), t.metrics_warehouse_metering_history,
                          schemas.METERING_METRICS)
     metrics = spark.read.schema(schemas.METERING_METRICS).parquet(t.metrics_warehouse_metering_history)
-    feats = decompose.seasonal_features(metrics, ds)
-    tables.replace_table(feats, t.feature_metering_seasonal_decompose, schemas.SEASONAL_FEATURES)
+    # staged once: if no series could be decomposed the feature table is left
+    # as it is (the emptiness check reads the small staged result)
+    feats = tables.materialize(decompose.seasonal_features(metrics, ds), "features")
+    if not feats.isEmpty():
+        tables.replace_table(feats, t.feature_metering_seasonal_decompose, schemas.SEASONAL_FEATURES)
     return decompose.skipped_series(metrics, ds)
 
 

@@ -40,9 +40,16 @@ def test_scheduled_runs(spark):
     feats = spark.read.parquet(t.feature_metering_seasonal_decompose)
     assert feats.count() == metrics.count() - 16 * skipped.count()
 
+    # M5: a preparation in which every series is too short leaves the feature table as it is
+    n_feats, n_feat_wh = feats.count(), feats.select("warehouse_name").distinct().count()
+    daily.run_preparation(spark, t, START, START + dt.timedelta(days=5))
+    assert spark.read.parquet(t.feature_metering_seasonal_decompose).count() == n_feats
+    daily.run_preparation(spark, t, START, last)
+    metrics = spark.read.parquet(t.metrics_warehouse_metering_history)
+
     found = daily.run_training(spark, t, before=START + dt.timedelta(days=12), version=1)
     assert set(found.columns) >= {"warehouse_name", "usage_date", "score", "threshold"}
-    assert spark.read.parquet(t.model_meta).count() == feats.select("warehouse_name").distinct().count()
+    assert spark.read.parquet(t.model_meta).count() == n_feat_wh
     report, gate = daily.run_prediction(spark, t, last)
     names = daily.register_views(spark, t)
     assert "view_reporting_dag_cost" in names and "view_reporting_anomalies" in names
