@@ -73,22 +73,24 @@ def fit_forest(rows: DataFrame, key: str = "warehouse_name", date_col: str = "us
     base = (rows.select(key, date_col, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x"))
             .withColumn("_n", F.count(F.lit(1)).over(per_key))
             .withColumn("_psi", F.least(F.col("_n"), F.lit(max_samples))))
-    in_tree = Window.partitionBy(key, "tree_id").orderBy(
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key), F.col("tree_id").cast("string"),
-                          F.col(date_col).cast("string"))), date_col)
+    # a series no longer than max_samples is sampled whole, so its order does
+    # not matter: no md5 for it (NULL sort key)
+    sample_key = F.when(F.col("_n") > max_samples, F.md5(F.concat_ws(
+        "|", F.lit(str(seed)), F.col(key), F.col("tree_id").cast("string"), F.col(date_col).cast("string"))))
+    in_tree = Window.partitionBy(key, "tree_id").orderBy(sample_key, date_col)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = (base.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
          .repartition(parts, key, "tree_id")
          .withColumn("_rank", F.row_number().over(in_tree))
          .where(F.col("_rank") <= F.col("_psi"))
-         .select(key, "tree_id", "_x", "_psi",
+         .select(key, "tree_id", "_x",
                  F.ceil(F.log2(F.greatest(F.col("_psi"), F.lit(2)).cast("double"))).alias("_depth_limit"),
                  tree_seed(F.lit(seed), F.col(key), F.col("tree_id")).alias("_tseed"),
                  F.lit(1).alias("node"), F.lit(0).alias("_depth"),
                  F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi")))
 
     x = F.col("_x")
-    carry = [key, "tree_id", "_x", "_psi", "_depth_limit", "_tseed"]
+    carry = [key, "tree_id", "_x", "_depth_limit", "_tseed"]
     # one window partition per tree; the RANGE frame 0..0 on the node id is the
     # node itself.  The depth test uses the node's own depth (a node that
     # stopped splitting never splits later), so every level generates the same
@@ -113,16 +115,15 @@ def fit_forest(rows: DataFrame, key: str = "warehouse_name", date_col: str = "us
 
     version_col = version if isinstance(version, Column) else F.lit(version)
     leaves = (t.groupBy(key, "tree_id", "node", "lo", "hi")
-              .agg(F.max("_depth").alias("_depth"), F.count(F.lit(1)).alias("_size"), F.max("_psi").alias("_psi"))
+              .agg(F.max("_depth").alias("_depth"), F.count(F.lit(1)).alias("_size"))
               .select(key, "tree_id", "node", "lo", "hi",
                       (F.col("_depth") + avg_path_length(F.col("_size"))).alias("path_len"),
-                      version_col.alias("model_version"), "_psi"))
+                      version_col.alias("model_version")))
     if materialize:
         # the leaves feed the model tables and the training scores: grow once
         # (a table written to the shared checkpoint folder cuts the lineage)
         leaves = write_stage(leaves, "forest_leaves")
-    psi = leaves.groupBy(key).agg(F.max("_psi").alias("psi"))
-    leaves = leaves.drop("_psi")
+    psi = rows.groupBy(key).agg(F.least(F.count(F.lit(1)), F.lit(max_samples)).alias("psi"))
     segments = merge_leaves(leaves, key, n_trees)
     if materialize:
         # read by the training scores and by every later prediction
