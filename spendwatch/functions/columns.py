@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values that must equal the vendor's / library's for right results.
@@ -33,11 +33,6 @@ def in_day(ts: str | Column, d) -> Column:
     return (ts >= start) & (ts < F.date_add(lit_date(d), 1).cast("timestamp_ntz"))
 
 
-def scalar(df: DataFrame) -> Column:
-    """First column of a one-row DataFrame as a scalar subquery (planned once, reused)."""
-    return df.scalar()
-
-
 def json_text(tag: Column, key: str) -> Column:
     """``TRY_PARSE_JSON(tag):key::VARCHAR``: NULL for bad JSON, JSON null, or a missing key."""
     return F.try_variant_get(tag, f"$.{key}", "string")
@@ -54,16 +49,6 @@ def avg_path_length(n: Column) -> Column:
             .otherwise(2.0 * (F.log(n - 1.0) + F.lit(EULER_GAMMA)) - 2.0 * (n - 1.0) / n))
 
 
-def md5_uniform(*parts: Column | str) -> Column:
-    """Deterministic uniform in [0, 1) from the md5 of the '|'-joined parts.
-
-    First 8 hex digits / 2^32; DuckDB computes the same value from the same text.
-    """
-    txt = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.col(p).cast("string")
-                             for p in parts])
-    return F.conv(F.substring(F.md5(txt), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
 def week_ending_sunday(d: Column) -> Column:
     """Label of the week (Monday..Sunday) containing ``d``: its closing Sunday."""
     return F.next_day(F.date_sub(d, 1), "Sun")

@@ -53,11 +53,6 @@ def date_bounds(df: DataFrame, col: str):
     return row["lo"], row["hi"]
 
 
-def last_value(df: DataFrame, col: str):
-    """Greatest value of ``col`` (one scalar fetched on the driver)."""
-    return df.agg(F.max(col)).first()[0]
-
-
 def fill_daily_gaps(metering: DataFrame, value: str = "credits_used") -> DataFrame:
     """Warehouse x date grid between the global first and last day, zero filled.
 

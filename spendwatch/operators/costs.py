@@ -11,9 +11,6 @@ from .. import schemas
 from ..functions.columns import TB_BYTES, in_day, json_text, lit_date
 from ..sources.tables import materialize as write_stage
 
-TAG_KEYS = ("dag_id", "task_id", "run_id", "logical_date", "started", "operator")
-
-
 def _day_filter(df: DataFrame, ts: str, ds) -> DataFrame:
     return df if ds is None else df.where(in_day(ts, ds))
 

@@ -489,10 +489,6 @@ def _c(n: str) -> str:
             f"else 2.0 * (ln({n} - 1.0) + 0.5772156649015329) - 2.0 * ({n} - 1.0) / {n} end)")
 
 
-def _u(*parts: str) -> str:
-    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::bigint / 4294967296.0)"
-
-
 def _mix() -> str:
     a = "((tseed * 69069 + cast(node as bigint) * 362437 + 1) % 2147483648)"
     b = f"(({a} * 1103515245 + 12345) % 2147483648)"
