@@ -63,3 +63,17 @@ def test_report_lines(spark):
     assert rep.where("is_anomaly").count() == 1
     lines = anomalies.report_text(rep).where(F.col("usage_date") == F.lit("2024-01-10").cast("date")).first().line
     assert lines == "W | 2024-01-10 | 1.0 | true"
+
+
+def test_source_probe(spark):
+    from pyspark.sql import types as T
+
+    from spendwatch.plans.catalog import REGISTRY
+
+    from .conftest import SF
+    rows = REGISTRY["source_check"](spark, SF).collect()
+    assert rows and all(r.present and r.type_ok for r in rows)
+    bad = spark.createDataFrame([(1,)], "warehouse_name int")
+    want = T.StructType([T.StructField("warehouse_name", T.StringType()), T.StructField("credits_used", T.DoubleType())])
+    got = {r.column_name: (r.present, r.type_ok) for r in checks.check_source(spark, "x", bad, want).collect()}
+    assert got == {"warehouse_name": (True, False), "credits_used": (False, False)}
