@@ -90,3 +90,21 @@ def test_t10_dedupe_predictions(spark):
     assert df.count() == 2
     one = anomalies.dedupe_predictions(df).collect()
     assert len(one) == 1 and one[0].prediction_datetime == dt.datetime(2024, 1, 7)
+
+
+def test_step_function_boundaries(spark):
+    """A value equal to a split point belongs to the left leaf (x <= split goes left)."""
+    inf = float("inf")
+    leaves = spark.createDataFrame(
+        [("W", 0, 2, -inf, 0.5, 1.0, 1), ("W", 0, 3, 0.5, inf, 2.0, 1),
+         ("W", 1, 2, -inf, 0.2, 3.0, 1), ("W", 1, 3, 0.2, inf, 5.0, 1)],
+        "warehouse_name string, tree_id int, node int, lo double, hi double, path_len double, model_version int")
+    seg = forest.merge_leaves(leaves, n_trees=2)
+    meta = spark.createDataFrame([("W", 1, 1.0, 0.0)], "warehouse_name string, model_version int, c_psi double, "
+                                                       "threshold double")
+    rows = spark.createDataFrame([("W", float(v)) for v in (0.1, 0.2, 0.3, 0.5, 0.7)],
+                                 "warehouse_name string, residual double")
+    got = {r.residual: r.score for r in forest.score_rows(rows, seg, meta).collect()}
+    mean_path = {0.1: 2.0, 0.2: 2.0, 0.3: 3.0, 0.5: 3.0, 0.7: 3.5}
+    for v, p in mean_path.items():
+        assert abs(got[v] - (0.5 - 2 ** -p)) < 1e-12, v
