@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def anomalies_view(metrics: DataFrame, anomalies: DataFrame) -> DataFrame:
+def anomalies_view(metrics: DataFrame, anomalies: DataFrame, latest: bool = False) -> DataFrame:
     """Metrics with the model output of the same warehouse-day and an ``is_anomaly`` flag.
 
     A left join on (warehouse, day); appended predictions of overlapping runs
-    appear once per run, as in the reference (``dedupe_predictions`` removes them).
+    appear once per run, as in the reference.  ``latest=True`` keeps only the
+    latest prediction per warehouse-day (``dedupe_predictions``).
     """
+    if latest:
+        anomalies = dedupe_predictions(anomalies)
     o = anomalies.select("warehouse_name", F.col("usage_date").cast("date").alias("usage_date"),
                          "trend", "seasonal", "residual", "score", "prediction_datetime")
     return (metrics.join(o, ["warehouse_name", "usage_date"], "left")

@@ -108,3 +108,15 @@ def test_step_function_boundaries(spark):
     mean_path = {0.1: 2.0, 0.2: 2.0, 0.3: 3.0, 0.5: 3.0, 0.7: 3.5}
     for v, p in mean_path.items():
         assert abs(got[v] - (0.5 - 2 ** -p)) < 1e-12, v
+
+
+def test_t10_view_latest_option(spark):
+    from spendwatch.operators import anomalies
+    metrics = spark.createDataFrame([("W", D(2024, 1, 5), 1.0)], "warehouse_name string, usage_date date, credits_used double")
+    runs = spark.createDataFrame(
+        [("W", D(2024, 1, 5), 0.0, 0.0, 0.0, -0.1 * d, dt.datetime(2024, 1, d)) for d in (6, 7)],
+        "warehouse_name string, usage_date date, trend double, seasonal double, residual double, score double, "
+        "prediction_datetime timestamp_ntz")
+    assert anomalies.anomalies_view(metrics, runs).count() == 2  # the reference's fan-out
+    one = anomalies.anomalies_view(metrics, runs, latest=True).collect()
+    assert len(one) == 1 and one[0].prediction_datetime == dt.datetime(2024, 1, 7) and one[0].is_anomaly
