@@ -53,12 +53,18 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    A cluster sets ``spark.checkpoint.dir`` to shared storage; only when it is
-    unset (local tests) do we create a private scratch folder.
+    A cluster sets ``spark.checkpoint.dir`` (or the context's checkpoint
+    directory) to shared storage.  Only a local session without one (tests)
+    gets a private scratch folder; a cluster session without one is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            # a machine-local folder would not survive a lost executor
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store)")
         d = tempfile.mkdtemp(prefix="spendwatch-ckpt-", dir=os.environ.get("SPENDWATCH_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
