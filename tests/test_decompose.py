@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spendwatch.operators import decompose
 
@@ -72,3 +73,23 @@ def test_short_series_skipped_and_gaps_filled(spark):
     assert float(by_day[D(2024, 1, 5)].credits_used) == 0.0
     week = sum(o.seasonal for o in sorted(out, key=lambda o: o.usage_date)[:7])
     assert abs(week) < 1e-9
+
+
+@pytest.mark.parametrize("two_sided", [True, False])
+def test_random_lengths_and_gaps(spark, two_sided):
+    rng = np.random.default_rng(5)
+    series = {f"S{n}": rng.gamma(3.0, 20.0, n) for n in (14, 15, 21, 33, 60)}
+    for xs in series.values():
+        xs[len(xs) // 2] = 0.0  # this day is dropped below and must come back as a zero
+    df = _frame(spark, series)
+    gaps = [(k, D(2024, 1, 1) + dt.timedelta(days=len(xs) // 2)) for k, xs in series.items()]
+    for k, d in gaps:
+        df = df.where(~((F.col("warehouse_name") == k) & (F.col("usage_date") == F.lit(d))))
+    out = decompose.seasonal_features(df, two_sided=two_sided).collect()
+    for key, xs in series.items():
+        t, s, r = classical(xs, two_sided=two_sided)
+        got = sorted([o for o in out if o.warehouse_name == key], key=lambda o: o.usage_date)
+        assert len(got) == len(xs), key
+        for i, o in enumerate(got):
+            assert math.isclose(o.trend, t[i], rel_tol=1e-9, abs_tol=1e-7)
+            assert math.isclose(o.residual, r[i], rel_tol=1e-9, abs_tol=1e-7)
