@@ -102,3 +102,10 @@ def test_cost_categories_first_match(spark):
     assert out["priority support"] == ("other", "other")
     assert out["adjustment"] == ("", "")
     assert out["serverless tasks"] == ("compute", "serverless")
+
+
+def test_n7_delta_null_after_missing_day(spark):
+    c = spark.createDataFrame([("W", Decimal("5"), D(2024, 1, d)) for d in (1, 2, 4)] + [("W", Decimal("8"), D(2024, 1, 5))],
+                              "warehouse_name string, warehouse_credits decimal(38,9), ds date")
+    out = {r.ds.day: r.warehouse_credits_delta_yesterday for r in costs.warehouse_credits_delta(c).collect()}
+    assert out[1] is None and out[2] == 0 and out[4] is None and out[5] == 3
