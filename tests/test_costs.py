@@ -109,3 +109,16 @@ def test_n7_delta_null_after_missing_day(spark):
                               "warehouse_name string, warehouse_credits decimal(38,9), ds date")
     out = {r.ds.day: r.warehouse_credits_delta_yesterday for r in costs.warehouse_credits_delta(c).collect()}
     assert out[1] is None and out[2] == 0 and out[4] is None and out[5] == 3
+
+
+def test_storage_cost_arithmetic_and_account(spark):
+    st = spark.createDataFrame([(D(2024, 1, 1), 7, "DB", float(2 * 1024 ** 4))],
+                               "usage_date date, database_id long, database_name string, average_database_bytes double")
+    rates = spark.createDataFrame([(D(2024, 1, 1), "ACME", "storage", Decimal("23")),
+                                   (D(2024, 1, 1), "OTHER", "storage", Decimal("40")),
+                                   (D(2024, 1, 1), "ACME", "compute", Decimal("3"))],
+                                  "date date, account_name string, usage_type string, effective_rate decimal(38,9)")
+    r = costs.load_storage_cost(st, rates, "ACME", "2024-01-01").collect()
+    assert len(r) == 1 and r[0].database_terabytes == 2.0 and r[0].database_storage_cost == 46.0
+    assert costs.load_storage_cost(st, rates, "OTHER").first().database_storage_cost == 80.0
+    assert costs.load_storage_cost(st, rates, "NOBODY").count() == 0  # the rate filter makes the join inner
