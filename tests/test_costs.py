@@ -122,3 +122,16 @@ def test_storage_cost_arithmetic_and_account(spark):
     assert len(r) == 1 and r[0].database_terabytes == 2.0 and r[0].database_storage_cost == 46.0
     assert costs.load_storage_cost(st, rates, "OTHER").first().database_storage_cost == 80.0
     assert costs.load_storage_cost(st, rates, "NOBODY").count() == 0  # the rate filter makes the join inner
+
+
+def test_j14_chained_rounding(spark):
+    t = dt.datetime(2024, 1, 1, 12)
+    q = costs.load_query_history(_queries(spark, [("a", "W", t, 1, 0, None), ("b", "W", t, 2, 0, None)]))
+    credits = spark.createDataFrame([("W", Decimal("10"), Decimal("3"), Decimal("2.5"), D(2024, 1, 1))],
+                                    "warehouse_name string, warehouse_credits decimal(38,9), "
+                                    "total_time_elapsed decimal(38,0), effective_rate decimal(38,9), ds date")
+    out = {r.query_id: r for r in costs.dag_cost(q, credits).collect()}
+    assert out["a"].warehouse_pct == Decimal("0.333333")
+    assert out["a"].task_credit_cost == Decimal("3.333330")
+    assert out["a"].task_dollar_cost == Decimal("8.333325")
+    assert out["b"].warehouse_pct == Decimal("0.666667")  # half up
