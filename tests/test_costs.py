@@ -135,3 +135,19 @@ def test_j14_chained_rounding(spark):
     assert out["a"].task_credit_cost == Decimal("3.333330")
     assert out["a"].task_dollar_cost == Decimal("8.333325")
     assert out["b"].warehouse_pct == Decimal("0.666667")  # half up
+
+
+def test_j10_warehouse_credits(spark):
+    t = dt.datetime(2024, 1, 1, 12)
+    q = _queries(spark, [("a", "W", t, 100, 0, None), ("b", "W", t, 50, 0, None), ("c", "V", t, 7, 0, None)])
+    h = lambda a, b: (dt.datetime(2024, 1, 1, a), dt.datetime(2024, 1, 1, b))
+    met = spark.createDataFrame([("W", *h(1, 2), Decimal("1.5")), ("W", *h(3, 4), Decimal("2")),
+                                 ("V", *h(5, 6), Decimal("4"))],
+                                "warehouse_name string, start_time timestamp_ntz, end_time timestamp_ntz, "
+                                "credits_used decimal(38,9)")
+    rates = spark.createDataFrame([(D(2024, 1, 1), "ACME", "compute", Decimal("3"))],
+                                  "date date, account_name string, usage_type string, effective_rate decimal(38,9)")
+    out = {r.warehouse_name: r for r in costs.load_warehouse_credits(q, met, rates, "ACME", "2024-01-01").collect()}
+    assert out["W"].warehouse_credits == Decimal("3.5") and out["W"].total_time_elapsed == 150
+    assert out["V"].effective_rate == Decimal("3") and out["V"].ds == D(2024, 1, 1)
+    assert costs.load_warehouse_credits(q, met, rates.limit(0), "ACME", "2024-01-01").count() == 0  # no rate row
