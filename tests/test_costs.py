@@ -151,3 +151,11 @@ def test_j10_warehouse_credits(spark):
     assert out["W"].warehouse_credits == Decimal("3.5") and out["W"].total_time_elapsed == 150
     assert out["V"].effective_rate == Decimal("3") and out["V"].ds == D(2024, 1, 1)
     assert costs.load_warehouse_credits(q, met, rates.limit(0), "ACME", "2024-01-01").count() == 0  # no rate row
+
+
+def test_x22_zero_previous_cost_gives_null_pct(spark):
+    last = D(2024, 1, 30)
+    c = _cost(spark, [(last - dt.timedelta(days=1), "t", "W", 0), (last, "t", "W", 40)])
+    r = costs.dag_cost_delta(c).first()
+    assert r.pct_change_yesterday is None and r.dollar_delta_yesterday == 40
+    assert costs.dag_cost_warnings(costs.dag_cost_delta(c)).count() == 0  # no percent, no warning
