@@ -120,3 +120,15 @@ def test_usage_by_year_pivot_fills_zero(spark):
     out = {r.year: r for r in metering.usage_by_year(df).collect()}
     assert sorted(out) == [2023, 2024] and set(metering.usage_by_year(df).columns) == {"year", "A", "B"}
     assert out[2023].B == 0 and out[2024].A == 3 and out[2024].B == 4  # no row for B in 2023: 0, NULL name dropped
+
+
+def test_backfill_equals_daily_loads(spark):
+    from spendwatch.sources.adapters import source
+
+    from .conftest import SF
+    src = source(spark, SF, "metering_src")
+    back = metering.ingest_metering(src, "ACME")
+    for d in ("2024-01-01", "2024-01-15", "2024-01-31"):  # the 31st only holds hours ending at midnight
+        one = metering.ingest_metering(src, "ACME", ds=d)
+        part = back.where(F.col("usage_date") == F.lit(d).cast("date"))
+        assert one.count() == part.count() and one.exceptAll(part).count() == 0, d
