@@ -120,3 +120,16 @@ def test_t10_view_latest_option(spark):
     assert anomalies.anomalies_view(metrics, runs).count() == 2  # the reference's fan-out
     one = anomalies.anomalies_view(metrics, runs, latest=True).collect()
     assert len(one) == 1 and one[0].prediction_datetime == dt.datetime(2024, 1, 7) and one[0].is_anomaly
+
+
+def test_m13_latest_model_version(spark):
+    inf = float("inf")
+    seg = spark.createDataFrame([("W", 1, -inf, 1.0), ("W", 2, -inf, 4.0), ("V", 1, -inf, 2.0)],
+                                "warehouse_name string, model_version int, lo double, mean_path double")
+    meta = spark.createDataFrame([("W", 1, 1.0, 0.9), ("W", 2, 1.0, -0.9), ("V", 1, 1.0, 0.0)],
+                                 "warehouse_name string, model_version int, c_psi double, threshold double")
+    s, m = forest.latest_model(seg, meta)
+    assert sorted((r.warehouse_name, r.model_version) for r in m.collect()) == [("V", 1), ("W", 2)]
+    rows = spark.createDataFrame([("W", 0.3), ("V", 0.3)], "warehouse_name string, residual double")
+    got = {r.warehouse_name: (r.score, r.threshold) for r in forest.score_rows(rows, s, m).collect()}
+    assert got["W"] == (0.5 - 2 ** -4.0, -0.9) and got["V"] == (0.5 - 2 ** -2.0, 0.0)
