@@ -46,3 +46,11 @@ def test_ks_statistic_and_drift(spark):
     assert abs(out["steady"].p_value - drift.exact_p_value(22, 8, want)) < 1e-12
     share = drift.drift_share(drift.usage_drift(df)).first()
     assert share.n_columns == 2 and share.n_drifted >= 1
+
+
+def test_exact_p_symmetric_and_monotone():
+    for m, n in [(8, 22), (5, 12), (30, 8)]:
+        ds = sorted({round(abs(i / m - j / n), 12) for i in range(m + 1) for j in range(n + 1)} - {0.0})
+        ps = [drift.exact_p_value(m, n, d) for d in ds]
+        assert all(abs(p - drift.exact_p_value(n, m, d)) < 1e-12 for p, d in zip(ps, ds))
+        assert all(a >= b - 1e-15 for a, b in zip(ps, ps[1:]))  # larger D, smaller p
