@@ -77,3 +77,12 @@ def test_source_probe(spark):
     want = T.StructType([T.StructField("warehouse_name", T.StringType()), T.StructField("credits_used", T.DoubleType())])
     got = {r.column_name: (r.present, r.type_ok) for r in checks.check_source(spark, "x", bad, want).collect()}
     assert got == {"warehouse_name": (True, False), "credits_used": (False, False)}
+
+
+def test_alert_gate(spark):
+    none = spark.createDataFrame([], "warehouse_name string, usage_date date, score double")
+    g = anomalies.alert_gate(none).first()
+    assert (g.n_anomalies, g.send_alert) == (0, False)
+    one = spark.createDataFrame([("W", D(2024, 1, 1), -0.3)], "warehouse_name string, usage_date date, score double")
+    g = anomalies.alert_gate(one).first()
+    assert (g.n_anomalies, g.send_alert) == (1, True)
