@@ -86,3 +86,12 @@ def test_alert_gate(spark):
     one = spark.createDataFrame([("W", D(2024, 1, 1), -0.3)], "warehouse_name string, usage_date date, score double")
     g = anomalies.alert_gate(one).first()
     assert (g.n_anomalies, g.send_alert) == (1, True)
+
+
+def test_t14_report_keeps_service_type_rows(spark):
+    raw = spark.createDataFrame([("W", D(2024, 1, 5), 1.0, 1.0, 0.0), ("W", D(2024, 1, 5), 2.0, 2.0, 0.0)],
+                                "warehouse_name string, usage_date date, credits_used double, "
+                                "credits_used_compute double, credits_used_cloud_services double")
+    found = spark.createDataFrame([("W", D(2024, 1, 5), -0.2)], "warehouse_name string, usage_date date, score double")
+    rep = anomalies.anomaly_report(raw, found).collect()
+    assert len(rep) == 2 and all(r.is_anomaly for r in rep)
