@@ -159,3 +159,14 @@ def test_x22_zero_previous_cost_gives_null_pct(spark):
     r = costs.dag_cost_delta(c).first()
     assert r.pct_change_yesterday is None and r.dollar_delta_yesterday == 40
     assert costs.dag_cost_warnings(costs.dag_cost_delta(c)).count() == 0  # no percent, no warning
+
+
+def test_t16_rate_change_alone_does_not_warn(spark):
+    last = D(2024, 1, 30)
+    rows = [(last - dt.timedelta(days=1), "dag", "t", "W", Decimal("50"), Decimal("10")),
+            (last, "dag", "t", "W", Decimal("150"), Decimal("10"))]  # same credits, dollars tripled by the rate
+    c = spark.createDataFrame(rows, "ds date, airflow_dag_id string, airflow_task_id string, warehouse_name string, "
+                                    "task_dollar_cost decimal(38,6), task_credit_cost decimal(38,6)")
+    d = costs.dag_cost_delta(c).first()
+    assert d.dollar_delta_yesterday == 100 and d.pct_change_yesterday == 0.0
+    assert costs.dag_cost_warnings(costs.dag_cost_delta(c)).count() == 0
