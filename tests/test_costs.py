@@ -170,3 +170,14 @@ def test_t16_rate_change_alone_does_not_warn(spark):
     d = costs.dag_cost_delta(c).first()
     assert d.dollar_delta_yesterday == 100 and d.pct_change_yesterday == 0.0
     assert costs.dag_cost_warnings(costs.dag_cost_delta(c)).count() == 0
+
+
+def test_j17_account_and_date_range(spark):
+    rows = [("ACME", D(2020, 5, 31)), ("ACME", D(2020, 6, 1)), ("ACME", D(2023, 12, 31)), ("OTHER", D(2021, 1, 1))]
+    df = spark.createDataFrame([(a, d, "compute", Decimal("1.00")) for a, d in rows],
+                               "account_name string, usage_date date, usage_type string, usage_in_currency decimal(38,2)")
+    for c in schemas.SRC_CURRENCY.fieldNames():
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast(schemas.SRC_CURRENCY[c].dataType))
+    got = costs.cost_categories(df, "ACME", "2020-06-01", "2023-12-31").collect()
+    assert sorted(r.usage_date for r in got) == [D(2020, 6, 1), D(2023, 12, 31)]
