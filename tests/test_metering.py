@@ -132,3 +132,9 @@ def test_backfill_equals_daily_loads(spark):
         one = metering.ingest_metering(src, "ACME", ds=d)
         part = back.where(F.col("usage_date") == F.lit(d).cast("date"))
         assert one.count() == part.count() and one.exceptAll(part).count() == 0, d
+
+
+def test_calendar_default_span(spark):
+    c = cal.build_calendar(spark, "2023-01-01")
+    r = c.agg(F.count("*").alias("n"), F.min("usage_date").alias("a"), F.max("usage_date").alias("b")).first()
+    assert (r.n, r.a, r.b) == (1826, D(2023, 1, 1), D(2023, 1, 1) + dt.timedelta(days=1825))
