@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, host_rules, source_mix, token_counts
+from . import (bin_packing, decontaminate, host_rules, lang_id, ngram_join, quality_bayes, source_mix,
+               token_counts)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,11 @@ def register(name: str):
     return deco
 
 
+@register("op1_ngram_join")
+def q_ngram_join(spark, sf):
+    return ngram_join.jaccard_components(read(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @register("op2_sharding")
 def q_sharding(spark, sf):
     out = bin_packing.shard_documents(read(spark, sf, "documents"))
@@ -28,12 +34,34 @@ def q_sharding(spark, sf):
                       F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register("op3_language_id")
+def q_language_id(spark, sf):
+    docs = read(spark, sf, "documents")
+    model = lang_id.learn(docs.where(~lang_id.held_out()))
+    return lang_id.predict(docs, model).select("doc_id", lang_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @register("op4_token_counts")
 def q_token_counts(spark, sf):
     out = token_counts.token_counts(read(spark, sf, "documents"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "budget_chars")
 
 
+@register("op5_quality_classifier")
+def q_quality_classifier(spark, sf):
+    out = quality_bayes.score_documents(read(spark, sf, "documents"), read(spark, sf, "labels"))
+    return out.select("doc_id", "evidence", "site_rate", "path_rate", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
+@register("op6_decontamination")
+def q_decontamination(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    out = decontaminate.decontaminate(docs, read(spark, sf, "benchmark"))
+    return out.select(F.col("c0").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @register("op8_quality_rules")
 def q_quality_rules(spark, sf):
     return host_rules.quality_rules(read(spark, sf, "documents")).select(
