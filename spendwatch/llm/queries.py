@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bin_packing, decontaminate, host_rules, lang_id, ngram_join, quality_bayes, source_mix,
-               token_counts)
+from . import (bin_packing, decontaminate, host_rules, html_wrapper, lang_id, ngram_join, quality_bayes,
+               source_mix, token_counts, warc)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,11 @@ def q_decontamination(spark, sf):
                       (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@register("op7_html_extraction")
+def q_html_extraction(spark, sf):
+    return html_wrapper.extract_pages(read(spark, sf, "pages"))
+
+
 @register("op8_quality_rules")
 def q_quality_rules(spark, sf):
     return host_rules.quality_rules(read(spark, sf, "documents")).select(
@@ -71,3 +76,9 @@ def q_quality_rules(spark, sf):
 @register("op9_source_mix")
 def q_source_mix(spark, sf):
     return source_mix.mix(read(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op10_warc")
+def q_warc(spark, sf):
+    return warc.archive_round_trip(read(spark, sf, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
