@@ -1,3 +1,57 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+1. quality rules: documents that the rules or their host's verdict reject go;
+2. n-gram Jaccard join (five words, 0.8): one document of each group stays;
+3. benchmark decontamination: documents with a hit go;
+4. mixing sources to target weights: each row as often as the mix takes it;
+5. sharding: every row gets its shard and slot.
+
+Stages 1 to 4 return the columns of ``documents``; each works on all that its
+predecessor kept.  Null and empty texts fail the quality rules and go in stage
+1; repeated rows stay once after stage 2 and return as copies in stage 4.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spendwatch.llm import bin_packing, decontaminate, host_rules, ngram_join, source_mix
+from spendwatch.llm.common import materialize, read
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return host_rules.keep_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs, k=5, num=80, den=100)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return found.where("n_hit = 0").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return source_mix.mix_documents(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bin_packing.shard_documents(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+          ("mixing", mixing), ("sharding", sharding)]
+
+# near-duplicate groups, best-fit packing and their md5 draws together are not expressed in SQL;
+# tests/llm/test_pipeline.py holds every stage against a plain loop
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
