@@ -14,7 +14,7 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 TRIM = " \t\n\x0b\f\r"
 
 # a side is broadcast only when it was counted and has at most this many rows
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS = 2_000
 
 
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -236,6 +236,12 @@ def _verifier(k: int, num: int, den: int):
             found = verify(sets, lambda i: probe if strip[i] else every[:0], bands, label)
         else:
             found = verify(sets, lambda i: every[:i], bands, label)
+            if found:                            # as stars: each set with the smallest id of its component
+                order = np.argsort(np.array(ids))
+                least = np.full(len(ids), -1)
+                for i in order[::-1].tolist():
+                    least[label[i]] = i
+                found = [(least[label[i]], i) for i in range(len(ids)) if least[label[i]] != i]
         return [(ids[a], ids[b]) for a, b in found]
 
     def run(batches):
@@ -275,9 +281,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "th")).alias("rep"), F.max("n").alias("n")), "classes")
 
     keys = d.select("text").mapInArrow(_key_rows(k, num, den), "key long, id long")
-    w = Window.partitionBy("key").orderBy("id")
-    met = keys.withColumn("before", F.lag("id").over(w)).where("before <> id")
-    groups = connected_components(met.select(F.col("before").alias("a"), F.col("id").alias("b")).distinct())
+    met = keys.withColumn("least", F.min("id").over(Window.partitionBy("key"))).where("least <> id")
+    groups = connected_components(met.select(F.col("id").alias("a"), F.col("least").alias("b")))
     member = materialize(groups.join(classes, F.col("node") == F.col("fp")).select(
         F.col("component").alias("g"), "fp", "rep", "n"), "members")
 
@@ -287,8 +292,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     member = materialize(member.join(sizes.select("g", "blocks"), "g").select(
         "*", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")), "blocks")
     wanted = member.select(F.col("rep.doc_id").alias("__id"), F.col("rep.th").alias("__th"), "g", "fp", "blocks", "block")
-    wanted = small_side(wanted, member.count())
-    texts = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
+    # texts move once, to their group's row, whatever the number of groups
+    texts = d.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
 
     def linked(parts):
         parts = parts.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "id")
@@ -316,7 +321,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
                     b -> struct(strip as g2, b as g3, 0 as side))""")).otherwise(F.expr("cast(array() as array<struct<g2:int,g3:int,side:int>>)")),
                 F.expr("transform(sequence(0, strips - 1), s -> struct(s as g2, block as g3, 1 as side))"))).alias("x"))
         cross = cross.select(F.col("rep.doc_id").alias("__id"), F.col("rep.th").alias("__th"), "fp", "label", "g1", "x.*")
-        both = d.join(small_side(materialize(cross, "cross")),
+        both = d.join(materialize(cross, "cross").hint("merge"),
                       F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
         more = linked_two(both, k, num, den)
         found = connected_components(links.unionByName(materialize(more, "links2")))
