@@ -39,24 +39,29 @@ def _repeat_words() -> str:
     ``__h`` holds one hash per window.  When all are distinct the answer is 0.
     Otherwise (hash prefix, position) keys are sorted, equal neighbours are the
     repeated windows, and the union of their three-word spans is summed.
+
+    Arrays that lambdas look into are bound by ``transform(array(x), v -> ...)[0]``,
+    so they are built once even where the optimizer puts their expression in
+    place of the column.
     """
-    same = ("get(__h, cast(k & {m} as int)) <=> get(__h, cast(get(s, {j}) & {m} as int))"
+    same = ("get(hs, cast(k & {m} as int)) <=> get(hs, cast(get(s, {j}) & {m} as int))"
             .replace("{m}", str(_POS - 1)))
     short = f"""
-      transform(array(sort_array(transform(__h, (h, i) -> (h & ~{_POS - 1}L) | i))), s ->
+      transform(array(sort_array(transform(hs, (h, i) -> (h & ~{_POS - 1}L) | i))), s ->
         sort_array(transform(filter(s, (k, j) ->
             (j > 0 and {same.format(j='j - 1')}) or (j + 1 < size(s) and {same.format(j='j + 1')})),
           k -> cast(k & {_POS - 1} as int))))[0]"""
     long = """
-      transform(array(sort_array(transform(__h, (h, i) -> struct(h as h, i as i)))), s ->
+      transform(array(sort_array(transform(hs, (h, i) -> struct(h as h, i as i)))), s ->
         sort_array(transform(filter(s, (k, j) ->
             (j > 0 and k.h <=> get(s, j - 1).h) or (j + 1 < size(s) and k.h <=> get(s, j + 1).h)),
           k -> k.i)))[0]"""
     cover = """aggregate({p}, struct(-3 as last, 0L as n),
         (a, p) -> struct(p as last, a.n + least(3, p - a.last) as n), a -> a.n)"""
-    return f"""case when size(array_distinct(__h)) = size(__h) then 0L
-                    when size(__h) < {_POS} then {cover.format(p=short)}
-                    else {cover.format(p=long)} end"""
+    return f"""transform(array(__h), hs ->
+               case when size(array_distinct(hs)) = size(hs) then 0L
+                    when size(hs) < {_POS} then {cover.format(p=short)}
+                    else {cover.format(p=long)} end)[0]"""
 
 
 def measure(docs: DataFrame, keep: list) -> DataFrame:
@@ -71,9 +76,9 @@ def measure(docs: DataFrame, keep: list) -> DataFrame:
                     F.when(trimmed == "", F.array().cast("array<string>"))
                      .otherwise(F.split(trimmed, WORD_GAP)).alias("__w"))
     d = d.select(*names, "__t", "__w",
-                 F.expr("""case when size(__w) < 3 then cast(array() as array<bigint>) else
-                           transform(sequence(0, size(__w) - 3),
-                             i -> xxhash64(get(__w, i), get(__w, i + 1), get(__w, i + 2))) end""").alias("__h"))
+                 F.expr("""transform(array(__w), w -> case when size(w) < 3 then cast(array() as array<bigint>) else
+                           transform(sequence(0, size(w) - 3),
+                             i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))) end)[0]""").alias("__h"))
     lines = r"filter(split(__t, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"
     d = d.select(
         *names,
