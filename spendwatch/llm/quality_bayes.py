@@ -147,8 +147,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     lab = labels.select(F.col("doc_id").alias("__l"), F.col("quality").cast("long").alias("quality")).where(
         "quality is not null")
     sc = d.sparkSession.sparkContext
-    # labels join by id only; their texts move once
-    taught = d.join(small_side(materialize(lab, "labels")), F.col("doc_id") == F.col("__l"))
+    # labels join by id; texts move once, whatever the number of labels
+    taught = d.join(lab.hint("merge"), F.col("doc_id") == F.col("__l"))
     counts = (taught.select("quality", "text").mapInArrow(_label_counts, "f long, good long, bad long")
               .groupBy("f").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
     evidence = Evidence([tuple(r) for r in counts.collect()])      # FEATURES + 1 rows at most
