@@ -48,12 +48,28 @@ def anomaly_report(raw: DataFrame, anomalies: DataFrame, days: int = 7) -> DataF
             .withColumn("is_anomaly", F.col("score").isNotNull()))
 
 
+REPORT_COLUMNS = ("warehouse_name", "usage_date", "credits_used", "credits_used_compute",
+                  "credits_used_cloud_services", "score", "is_anomaly")
+
+
 def report_text(report: DataFrame) -> DataFrame:
-    """One text line per report row (the message body is these lines in order)."""
-    return report.select(
-        "warehouse_name", "usage_date",
-        F.concat_ws(" | ", "warehouse_name", F.col("usage_date").cast("string"),
-                    F.col("credits_used").cast("string"), F.col("is_anomaly").cast("string")).alias("line"))
+    """One text line per report row with all seven columns, empty where a value is missing."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in REPORT_COLUMNS]
+    return report.select("warehouse_name", "usage_date", F.concat_ws(" | ", *text).alias("line"))
+
+
+def report_body(report: DataFrame) -> DataFrame:
+    """The message: one row with a header line and the report lines in order; no row without an anomaly.
+
+    A report covers the anomalous warehouses for some days around the
+    anomalies, which is what a person reads; the rows themselves are the result
+    of ``anomaly_report``.
+    """
+    lines = report_text(report).select(F.struct("usage_date", "warehouse_name", "line").alias("r"))
+    return (lines.agg(F.sort_array(F.collect_list("r")).alias("r"))
+            .where(F.size("r") > 0)
+            .select(F.concat(F.lit(" | ".join(REPORT_COLUMNS) + "\n"),
+                             F.array_join(F.transform("r", lambda x: x["line"]), "\n")).alias("body")))
 
 
 def list_warehouses(features: DataFrame) -> DataFrame:

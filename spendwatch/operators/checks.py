@@ -71,3 +71,20 @@ def check_source(spark: SparkSession, name: str, df: DataFrame, schema: T.Struct
         T.StructField("type_ok", T.BooleanType()),
     ])
     return spark.createDataFrame(rows, out_schema)
+
+
+def check_sources(sources: dict[str, tuple[DataFrame, dict[str, str]]]) -> DataFrame:
+    """One row per declared column of each source: the type found in the source itself (not
+    after a cast to the declared schema), whether it is as declared, the rows and the nulls."""
+    out = None
+    for name, (df, want) in sources.items():
+        found = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        counts = df.agg(F.count(F.lit(1)).alias("rows"),
+                        *[F.count(F.col(c)).alias(c) if c in found else F.lit(None).cast("long").alias(c) for c in want])
+        part = counts.select(F.explode(F.array(*[F.struct(
+            F.lit(name).alias("source"), F.lit(c).alias("column_name"), F.lit(t).alias("expected_type"),
+            F.lit(found.get(c)).alias("actual_type"), F.lit(c in found).alias("present"),
+            F.lit(found.get(c) == t).alias("type_ok"), F.col("rows").alias("n_rows"),
+            (F.col("rows") - F.col(c)).alias("n_null")) for c, t in want.items()])).alias("r")).select("r.*")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -32,34 +32,35 @@ def rank_desc_nulls_first(df: DataFrame, keys: list[str], value: str, out: str,
     window group); the ranks are joined back on (keys, value).
     """
     v = F.col(value)
-    hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    nulls = hist.where(v.isNull()).select(*keys, F.col("_c").alias("_nulls"))
-    vals = hist.where(v.isNotNull()).withColumn("_b", F.floor(v / F.lit(bucket)))
-    coarse = vals.groupBy(*keys, "_b").agg(F.sum("_c").alias("_cb"))
-    higher = Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    coarse = coarse.select(*keys, "_b", F.coalesce(F.sum("_cb").over(higher), F.lit(0)).alias("_above_b"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(v.desc()).rowsBetween(Window.unboundedPreceding, -1)
-    fine = vals.select(*keys, value, "_b", F.coalesce(F.sum("_c").over(inside), F.lit(0)).alias("_above_v"))
-    def same(a: DataFrame, b: DataFrame, cols) -> Column:  # NULL keys (no warehouse) match too
-        c = None
-        for k in cols:
-            e = a[k].eqNullSafe(b[k])
-            c = e if c is None else c & e
-        return c
-
-    fc = fine.join(coarse, same(fine, coarse, [*keys, "_b"])).select(fine["*"], coarse["_above_b"])
-    ranks = (fc.join(nulls, same(fc, nulls, keys), "left")
-             .select(*[fc[k] for k in keys], fc[value],
-                     (1 + F.coalesce(F.col("_nulls"), F.lit(0)) + F.col("_above_b")
-                      + F.col("_above_v")).cast("long").alias(out)))
-    ranks = ranks.unionByName(nulls.select(*keys, F.lit(None).cast(df.schema[value].dataType).alias(value),
-                                           F.lit(1).cast("long").alias(out)))
-    return df.join(ranks, same(df, ranks, [*keys, value]), "left").select(df["*"], ranks[out])
-
-
-def load_query_history(src: DataFrame, ds=None, rank_strategy: str = "histogram") -> DataFrame:
+    # staged: nulls, coarse and fine sums below all read these few rows, not the source
+    hist = write_stage(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), "rank_histogram")
+    # NULL is a bucket above all others: one more coarse row instead of a branch of its own
+    hist = hist.withColumn("_b", F.when(v.isNotNull(), F.floor(v / F.lit(bucket))))
+    coarse = hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_cb"))
+    higher = (Window.partitionBy(*keys).orderBy(F.col("_b").desc_nulls_first())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    coarse = coarse.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_k_b"),
+                           F.coalesce(F.sum("_cb").over(higher), F.lit(0)).alias("_above_b"))
+    inside = (Window.partitionBy(*keys, "_b").orderBy(v.desc_nulls_first())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    fine = hist.withColumn("_above_v", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    on = F.col("_b").eqNullSafe(F.col("_k_b"))
+    for k in keys:                       # NULL keys (no warehouse) match too
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    ranks = fine.join(coarse, on).select(
+        *[F.col(k).alias(f"_r_{k}") for k in [*keys, value]],
+        (1 + F.col("_above_b") + F.col("_above_v")).cast("long").alias(out))
+    on = None
+    for k in [*keys, value]:
+        same = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        on = same if on is None else on & same
+    return df.join(ranks, on, "left").select(*df.columns, out)
+
+
+def load_query_history(src: DataFrame, ds=None, rank_strategy: str | None = "histogram") -> DataFrame:
     """One day (``ds``) or every day (``ds=None``) of queries, with parsed tags,
-    seconds, queue share and the rank of elapsed time within the warehouse-day.
+    seconds, queue share and the rank of elapsed time within the warehouse-day
+    (``rank_strategy=None`` leaves the rank out, for the cost path that has no use for it).
 
     The day of a query is the date of its end.  The tag is parsed once per row
     (``try_parse_json``; bad text gives NULL) and read as text per key.  The
@@ -96,6 +97,8 @@ def load_query_history(src: DataFrame, ds=None, rank_strategy: str = "histogram"
         json_text(tag, "operator").alias("airflow_operator"),
         ds_col.alias("ds"),
     )
+    if rank_strategy is None:
+        return schemas.conform(out, schemas.without(schemas.QUERY_HISTORY, "query_time_rank"))
     if rank_strategy == "window":
         out = out.withColumn("query_time_rank", F.rank().over(rank_w))
     else:
@@ -175,7 +178,7 @@ def dag_cost(queries: DataFrame, credits: DataFrame) -> DataFrame:
                                F.col("total_time_elapsed").cast(schemas.WHOLE)), 6)
     credit = F.round(F.col("warehouse_pct") * F.col("warehouse_credits"), 6)
     dollar = F.round(F.col("task_credit_cost") * F.col("effective_rate"), 6)
-    keep = [c for c in schemas.QUERY_HISTORY.fieldNames()]
+    keep = [c for c in schemas.QUERY_HISTORY.fieldNames() if c in queries.columns]
     return (j.select(*keep, "warehouse_credits", "effective_rate", pct.alias("warehouse_pct"))
             .withColumn("task_credit_cost", credit)
             .withColumn("task_dollar_cost", dollar)
@@ -185,26 +188,27 @@ def dag_cost(queries: DataFrame, credits: DataFrame) -> DataFrame:
 _PERIODS = (("yesterday", 1), ("last_week", 7), ("last_month", 28))
 
 
-def dag_cost_delta(cost: DataFrame, by_warehouse: bool = False, materialize: bool = True) -> DataFrame:
+def dag_cost_delta(cost: DataFrame, by_warehouse: bool = False, materialize: bool = True,
+                   last_day=None) -> DataFrame:
     """Task cost of the last day against 1, 7 and 28 days before, plus the same
     comparison one day earlier (the "yesterday warning").
 
     The reference scans and groups the cost four times; here it is grouped once
     over the seven days it needs (last, -1, -2, -7, -8, -28, -29) and each
-    period is a filter of that one result.  The last day is fetched first (one
-    scalar) and used as a literal, so a ds-partitioned cost table is pruned to
-    the seven days.  As in the reference, the period joins are keyed on (task, dag,
+    period is a filter of that one result.  The last day (``last_day``, else one
+    scalar fetched first) is a literal, so a ds-partitioned cost table is pruned
+    to the seven days; callers that know the last partition pass it and save the
+    first pass.  A Column is taken as it is (views pass a subquery).  As in the reference, the period joins are keyed on (task, dag,
     shifted day) without the warehouse, so a task that ran in several
     warehouses multiplies rows; ``by_warehouse=True`` adds the warehouse to
     the keys.  Rows without a task are kept for the last day only.
     """
-    last_day = cost.agg(F.max("ds")).first()[0]  # one scalar; as a literal it prunes ds partitions
     if last_day is None:
-        last_day = "1970-01-01"
-    last_all = lit_date(last_day)
-    days = [F.date_sub(last_all, k) for k in (0, 1, 2, 7, 8, 28, 29)]
+        last_day = cost.agg(F.max("ds")).first()[0]  # one scalar; as a literal it prunes ds partitions
+    last_all = lit_date(last_day) if last_day is not None else F.lit(None).cast("date")
     keys = ["airflow_dag_id", "airflow_task_id", "ds", "warehouse_name"]
-    grouped = (cost.where(F.col("ds").isin(*days))
+    days = [F.date_sub(last_all, k) for k in (0, 1, 2, 7, 8, 28, 29)]
+    grouped = (cost.where(F.col("ds").isin(*days) if last_day is not None else F.lit(False))
                .groupBy(*keys)
                .agg(F.sum("task_dollar_cost").alias("dollar"), F.sum("task_credit_cost").alias("credit")))
     if materialize:
@@ -335,9 +339,13 @@ def cost_categories(currency: DataFrame, account: str | None = None, start=None,
         "usage_in_currency")
 
 
+# The categories the rules can give, the empty one included.
+COST_CATEGORIES = tuple(dict.fromkeys([f"{rat} | {res}" for _, rat, res in COST_CATEGORY_RULES] + [" | "]))
+
+
 def cost_by_year(categorized: DataFrame) -> DataFrame:
     """Year x (rating type | resource type) matrix of summed currency, 0 where empty."""
     key = F.concat_ws(" | ", "rating_type", "resource_type").alias("category")
     wide = (categorized.select(F.year("usage_date").alias("year"), key, "usage_in_currency")
-            .groupBy("year").pivot("category").agg(F.sum("usage_in_currency")))
-    return wide.na.fill(0)
+            .groupBy("year").pivot("category", list(COST_CATEGORIES)).agg(F.sum("usage_in_currency")))
+    return wide.na.fill(0, subset=list(COST_CATEGORIES))

@@ -27,8 +27,8 @@ from .. import schemas
 from ..functions.columns import lit_date
 
 
-def fill_series_gaps(df: DataFrame, key: str, date_col: str, value: str) -> DataFrame:
-    """Insert zero rows for missing days between a series' first and last day.
+def fill_series_gaps(df: DataFrame, key: str, date_col: str, *values: str) -> DataFrame:
+    """Insert zero rows (0 in every value) for missing days between a series' first and last day.
 
     Each row emits itself and the missing days up to its successor
     (``sequence(d, next - 1)``): one generator, no join, no union.
@@ -36,13 +36,13 @@ def fill_series_gaps(df: DataFrame, key: str, date_col: str, value: str) -> Data
     w = Window.partitionBy(key).orderBy(date_col)
     nxt = F.lead(date_col).over(w)
     last = F.coalesce(F.date_sub(nxt, 1), F.col(date_col))
-    gen = (df.select(key, date_col, value, last.alias("_last"))
-           .select(key, date_col, value, F.explode(F.sequence(F.col(date_col), F.col("_last"))).alias("_d")))
+    gen = (df.select(key, date_col, *values, last.alias("_last"))
+           .select(key, date_col, *values, F.explode(F.sequence(F.col(date_col), F.col("_last"))).alias("_d")))
     return gen.select(
         key,
         F.col("_d").alias(date_col),
-        F.when(F.col("_d") == F.col(date_col), F.col(value))
-         .otherwise(F.lit(0).cast(df.schema[value].dataType)).alias(value))
+        *[F.when(F.col("_d") == F.col(date_col), F.col(v))
+          .otherwise(F.lit(0).cast(df.schema[v].dataType)).alias(v) for v in values])
 
 
 def seasonal_features(metrics: DataFrame, ds=None, period: int = 7, two_sided: bool = True,

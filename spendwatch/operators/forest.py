@@ -3,11 +3,10 @@
 One feature (the residual), so every tree cuts the real line into intervals.
 
 Fit (``fit_forest``)
-  * each training row is repeated for ``n_trees`` trees with ``explode`` and the
-    rows are hash-partitioned once on (warehouse, tree): every later window runs
-    inside that partitioning, so the fit has one shuffle;
-  * each tree samples ``psi = min(max_samples, n)`` rows without replacement,
-    ordered by an md5 of (seed, warehouse, tree, day);
+  * each tree samples ``psi = min(max_samples, n)`` rows without replacement:
+    a seeded permutation gives the positions, which join the rows of the series
+    (``draw_positions``), so the fit moves trees x psi rows per warehouse,
+    however long the history;
   * growth is level by level: per (warehouse, tree, node) the min / max / count
     of the sampled values are window aggregates; a node splits when it has at
     least two sampled rows, a value range above 1e-7 and depth below
@@ -43,6 +42,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import avg_path_length, lit_date, mix_uniform, tree_seed
 from ..sources.tables import materialize as write_stage
+from .decompose import fill_series_gaps
 
 FEATURE_THRESHOLD = 1e-7  # a node whose value range is at most this is constant
 
@@ -59,34 +59,60 @@ def _levels(max_samples: int) -> int:
     return int(math.ceil(math.log2(max(max_samples, 2))))
 
 
+def draw_positions(sizes: DataFrame, key: str, n_trees: int, max_samples: int, seed: int) -> DataFrame:
+    """(key, tree_id, _tseed, _psi, _pos): ``min(n, max_samples)`` distinct positions of 0 .. n - 1 per tree.
+
+    ``sizes`` has one row per key with its row count ``_n``.  The first numbers
+    0 .. psi - 1 go through a seeded permutation of [0, 2^k), 2^k being the next
+    power of two, and numbers that land at n or above go through it again
+    (cycle walking), which permutes [0, n).  A series that is sampled whole
+    needs no permutation: every position is drawn.  Integer arithmetic only, so
+    DuckDB repeats it.
+    """
+    t = (sizes.withColumn("_psi", F.least(F.col("_n"), F.lit(max_samples)))
+         .withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+         .withColumn("_tseed", tree_seed(F.lit(seed), F.col(key), F.col("tree_id")))
+         .withColumn("_k", F.greatest(F.lit(1), F.ceil(F.log2(F.col("_n").cast("double")))).cast("int"))
+         .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_psi") - 1))))
+    step = permute_sql("{v}", "_tseed", "_k")
+    walk = (f"aggregate(sequence(1, {WALKS}), {step.format(v='_j')}, "
+            f"(v, i) -> case when v < _n then v else {step.format(v='v')} end)")
+    return t.select(key, "tree_id", "_tseed", "_psi", F.when(F.col("_n") <= max_samples, F.col("_j"))
+                    .otherwise(F.expr(walk)).alias("_pos"))
+
+
+# 2^k is below 2n, so one pass stays outside with a chance below 1/2; 64 passes are beyond any series
+WALKS = 64
+
+
+def permute_sql(v: str, tseed: str, k: str) -> str:
+    """Three rounds of (odd multiplier, shift, xor with the high half) on k-bit numbers."""
+    for r in (1, 2, 3):
+        m = f"shiftleft(1L, {k})"
+        v = f"pmod({v} * pmod(2 * {tseed} * {r} + 2 * {r} + 1, {m}) + {tseed} + {r}, {m})"
+        v = f"transform(array({v}), w{r} -> w{r} ^ shiftright(w{r}, cast(({k} + 1) / 2 as int)))[0]"
+    return v
+
+
 def fit_forest(rows: DataFrame, key: str = "warehouse_name", date_col: str = "usage_date",
                value: str = "residual", n_trees: int = 100, max_samples: int = 256, seed: int = 0,
                sigmas: float = 3.0, version: int | Column = 0, materialize: bool = True) -> Forest:
     """Fit one forest per ``key`` on ``value`` of the given (gap-free) rows.
 
-    Plan: rows x trees (``explode``) -> one shuffle on (key, tree) -> sample
-    window -> growth windows on the sampled rows only (at most ``max_samples``
-    per tree, one Window operator per level) -> leaves -> merged step function
-    -> every training row scored by the as-of lookup (``score_rows``).
+    Plan: rows get their position in the series (one window); each (key, tree)
+    draws ``psi`` positions, and the draws join the rows by position, so a tree
+    sees ``max_samples`` rows however long the history is -> growth windows on
+    those rows (one Window operator per level) -> leaves -> merged step
+    function -> every training row scored by the as-of lookup (``score_rows``).
     """
-    per_key = Window.partitionBy(key)
-    base = (rows.select(key, date_col, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x"))
-            .withColumn("_n", F.count(F.lit(1)).over(per_key))
-            .withColumn("_psi", F.least(F.col("_n"), F.lit(max_samples))))
-    # a series no longer than max_samples is sampled whole, so its order does
-    # not matter: no md5 for it (NULL sort key)
-    sample_key = F.when(F.col("_n") > max_samples, F.md5(F.concat_ws(
-        "|", F.lit(str(seed)), F.col(key), F.col("tree_id").cast("string"), F.col(date_col).cast("string"))))
-    in_tree = Window.partitionBy(key, "tree_id").orderBy(sample_key, date_col)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t = (base.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-         .repartition(parts, key, "tree_id")
-         .withColumn("_rank", F.row_number().over(in_tree))
-         .where(F.col("_rank") <= F.col("_psi"))
+    rows = write_stage(rows, "forest_rows") if materialize else rows
+    base = rows.select(key, date_col, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x"))
+    base = base.withColumn("_pos", F.row_number().over(Window.partitionBy(key).orderBy(date_col)).cast("long") - 1)
+    picks = draw_positions(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key, n_trees, max_samples, seed)
+    t = (picks.join(base.select(key, "_pos", "_x"), [key, "_pos"])
          .select(key, "tree_id", "_x",
                  F.ceil(F.log2(F.greatest(F.col("_psi"), F.lit(2)).cast("double"))).alias("_depth_limit"),
-                 tree_seed(F.lit(seed), F.col(key), F.col("tree_id")).alias("_tseed"),
-                 F.lit(1).alias("node"), F.lit(0).alias("_depth"),
+                 "_tseed", F.lit(1).alias("node"), F.lit(0).alias("_depth"),
                  F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi")))
 
     x = F.col("_x")
@@ -102,7 +128,8 @@ def fit_forest(rows: DataFrame, key: str = "warehouse_name", date_col: str = "us
     split = F.when(raw >= F.col("_hi"), F.col("_lo")).otherwise(raw)
     right = x > split
     # levels actually needed: the depth limit of the longest series (one scalar
-    # fetched on the driver), at most ceil(log2(max_samples))
+    # fetched on the driver), at most ceil(log2(max_samples)); a level that no
+    # node needs would change nothing, as each node tests its own depth
     longest = rows.groupBy(key).count().agg(F.max("count")).first()[0] or 1
     for _ in range(_levels(min(longest, max_samples))):
         t = t.withColumns({"_lo": F.min(x).over(w), "_hi": F.max(x).over(w), "_cnt": F.count(x).over(w)})
@@ -200,11 +227,10 @@ def training_anomalies(scores: DataFrame, key: str = "warehouse_name", credits:
     The mean is per warehouse for the weekly training (J6) and over all rows in
     the notebook's history scan (J22, ``global_mean=True``).
     """
-    w = Window.partitionBy() if global_mean else Window.partitionBy(key)
     if global_mean:
         mean = F.lit(scores.agg(F.avg(F.col(credits).cast("double"))).first()[0]).cast("double")
     else:
-        mean = F.avg(F.col(credits).cast("double")).over(w)
+        mean = F.avg(F.col(credits).cast("double")).over(Window.partitionBy(key))
     return (scores.withColumn("_mean_credits", mean)
             .where((F.col("score") <= F.col("threshold")) & (F.col(credits).cast("double") > F.col("_mean_credits")))
             .drop("_mean_credits"))
@@ -212,9 +238,12 @@ def training_anomalies(scores: DataFrame, key: str = "warehouse_name", credits:
 
 def train_forest(features: DataFrame, before, n_trees: int = 100, max_samples: int = 256, seed: int = 0,
                  sigmas: float = 3.0, version: int | Column = 0, key: str = "warehouse_name") -> Forest:
-    """Weekly training (J6): rows before ``before`` of every warehouse, residual feature."""
-    rows = features.where(F.col("usage_date") < lit_date(before)).select(
-        key, "usage_date", "credits_used", "residual")
+    """Weekly training (J6): rows before ``before`` of every warehouse, residual feature.
+
+    Days that are missing inside a series are rows of 0, as a daily frequency gives them (M1).
+    """
+    rows = fill_series_gaps(features.where(F.col("usage_date") < lit_date(before)), key, "usage_date",
+                            "credits_used", "residual")
     return fit_forest(rows, key=key, n_trees=n_trees, max_samples=max_samples, seed=seed, sigmas=sigmas,
                       version=version)
 

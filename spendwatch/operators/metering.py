@@ -64,17 +64,24 @@ def metering_metrics(raw: DataFrame, calendar: DataFrame, ds) -> DataFrame:
     return daily.select("warehouse_name", "usage_date", *MEASURES, *stats)
 
 
-def usage_by_year(metering: DataFrame, value: str = "credits_used") -> DataFrame:
-    """Year x warehouse matrix of summed credits, 0 where a warehouse has none.
+def usage_by_year_long(metering: DataFrame, value: str = "credits_used") -> DataFrame:
+    """Year, warehouse and summed credits as rows: the form for any number of warehouses."""
+    return (metering.where(F.col("warehouse_name").isNotNull())
+            .groupBy(F.year("usage_date").alias("year"), "warehouse_name").agg(F.sum(value).alias(value)))
 
-    The pivot values are the distinct warehouse names (a small set Spark
-    collects itself before planning the pivot).
+
+def usage_by_year(metering: DataFrame, warehouses: list[str], start=None, end=None,
+                  value: str = "credits_used") -> DataFrame:
+    """Year x warehouse matrix of summed credits in [start, end], 0 where a warehouse has none.
+
+    The caller lists the warehouses (one column each), so no key is collected;
+    ``usage_by_year_long`` has them as rows.
     """
-    named = metering.where(F.col("warehouse_name").isNotNull())
-    wide = (named.groupBy(F.year("usage_date").alias("year"))
-            .pivot("warehouse_name")
-            .agg(F.sum(value)))
-    return wide.na.fill(0)
+    rows = metering if start is None else metering.where(F.col("usage_date") >= lit_date(start))
+    rows = rows if end is None else rows.where(F.col("usage_date") <= lit_date(end))
+    wide = (rows.where(F.col("warehouse_name").isNotNull()).groupBy(F.year("usage_date").alias("year"))
+            .pivot("warehouse_name", list(warehouses)).agg(F.sum(value)))
+    return wide.na.fill(0, subset=list(warehouses))
 
 
 def weekly_usage(daily: DataFrame, value: str = "credits_used") -> DataFrame:

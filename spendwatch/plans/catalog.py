@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from ..functions.columns import round6
 from ..operators import calendar as cal
 from ..operators import checks, costs, metering
 from ..sources import tables
-from ..sources.adapters import source
+from ..sources.adapters import DRIVER_COLUMNS, read_table, source
+from . import daily
 
 ACCOUNT = "ACME"
 
@@ -69,35 +71,44 @@ def q_ingest_reload(spark, sf):
     """Backfill every day twice, then reload the first day from an empty source."""
     src = source(spark, sf, "metering_src")
     raw = metering.ingest_metering(src, ACCOUNT)
-    days = [r[0] for r in raw.select("usage_date").distinct().collect()]  # the load list: one value per day
-    path = tables.scratch_path(spark, "raw_metering")
-    for _ in range(2):
-        tables.load_partitions(raw, path, schemas.RAW_METERING, "usage_date", days)
-    first = min(days)
-    empty = metering.ingest_metering(src.limit(0), ACCOUNT, ds=first)
-    tables.load_partitions(empty, path, schemas.RAW_METERING, "usage_date", [first])
-    return tables.read_table(spark, path, schemas.RAW_METERING)
+    return _reload(spark, raw, metering.ingest_metering(src.limit(0), ACCOUNT, ds=_first_day(raw)),
+                   schemas.RAW_METERING, "usage_date")
+
+
+def _reload(spark, rows, nothing, schema, key) -> DataFrame:
+    """Backfill every day, load the last day again, load the first day from an empty source, read back."""
+    rows = tables.materialize(rows, "reload")
+    first, last = cal.date_bounds(rows, key)
+    path = tables.scratch_path(spark, "loaded")
+    tables.backfill(rows, path, schema, key)
+    tables.load_partitions(rows.where(F.col(key) == F.lit(last)), path, schema, key, [last])
+    tables.load_partitions(nothing, path, schema, key, [first])
+    return tables.read_table(spark, path, schema)
 
 
 @register("missing_dates")
 def q_missing_dates(spark, sf):
     raw = source(spark, sf, "metering_long")
-    return checks.count_missing_dates(raw, _first_day(raw), _last_day(raw))
+    return checks.count_missing_dates(raw, *cal.date_bounds(raw, "usage_date"))
 
 
 @register("missing_dates_list")
 def q_missing_dates_list(spark, sf):
     raw = source(spark, sf, "metering_long")
-    return checks.missing_dates_list(raw, _first_day(raw), _last_day(raw))
+    return checks.missing_dates_list(raw, *cal.date_bounds(raw, "usage_date"))
 
 
-def _metrics(spark, sf) -> DataFrame:
-    """Raw table (written once, as the daily loads would have) -> calendar from its
-    first day -> metrics up to its last day; both days come from one subquery."""
-    raw = tables.materialize(source(spark, sf, "metering_sparse"), "raw_sparse")
+def _matrix(spark, raw) -> DataFrame:
+    """Metrics up to the last day of the raw table, on a calendar that reaches it."""
     first, last = cal.date_bounds(raw, "usage_date")
-    calendar = cal.build_calendar(spark, first)
-    return metering.metering_metrics(raw, calendar, last)
+    if first is None:
+        return metering.metering_metrics(raw, cal.build_calendar(spark, "1970-01-01", 0), "1970-01-01")
+    return metering.metering_metrics(raw, cal.build_calendar(spark, first, (last - first).days + 1), last)
+
+
+def _metrics(spark, sf) -> DataFrame:
+    """Raw table (written once, as the daily loads would have) -> calendar -> metrics."""
+    return _matrix(spark, tables.materialize(source(spark, sf, "metering_sparse"), "raw_sparse"))
 
 
 METRIC_FLOATS = [f"{m}_{s}" for s in ("sma30", "std30") for m in metering.MEASURES]
@@ -108,9 +119,29 @@ def q_metering_metrics(spark, sf):
     return _round_floats(_metrics(spark, sf), METRIC_FLOATS)
 
 
+@register("metering_metrics_long")
+def q_metering_metrics_long(spark, sf):
+    """The matrix over a history of more than five years, every day present."""
+    return _round_to(_matrix(spark, tables.materialize(source(spark, sf, "metering_long"), "raw_long")), METRIC_FLOATS, 3)
+
+
+# the warehouses of the long series: the order priorities of the source table (fixed values)
+LONG_WAREHOUSES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
 @register("usage_by_year")
 def q_usage_by_year(spark, sf):
-    return metering.usage_by_year(source(spark, sf, "metering_long"))
+    return metering.usage_by_year(source(spark, sf, "metering_long"), LONG_WAREHOUSES)
+
+
+@register("usage_by_year_long")
+def q_usage_by_year_long(spark, sf):
+    return metering.usage_by_year_long(source(spark, sf, "metering_long"))
+
+
+@register("usage_by_year_range")
+def q_usage_by_year_range(spark, sf):
+    return metering.usage_by_year(source(spark, sf, "metering_long"), LONG_WAREHOUSES, "1996-03-01", "1999-02-28")
 
 
 @register("fill_daily_gaps")
@@ -126,8 +157,8 @@ def q_weekly_usage(spark, sf):
 # ---------------------------------------------------------------- costs
 
 
-def _queries(spark, sf) -> DataFrame:
-    return costs.load_query_history(source(spark, sf, "query_src"))
+def _queries(spark, sf, rank: str | None = "histogram") -> DataFrame:
+    return costs.load_query_history(source(spark, sf, "query_src"), rank_strategy=rank)
 
 
 def _credits(spark, sf) -> DataFrame:
@@ -135,8 +166,12 @@ def _credits(spark, sf) -> DataFrame:
                                         source(spark, sf, "rates_src"), ACCOUNT)
 
 
-def _dag_cost(spark, sf) -> DataFrame:
-    return costs.dag_cost(_queries(spark, sf), _credits(spark, sf))
+def _delta(spark, sf, by_warehouse: bool = False) -> DataFrame:
+    """Cost deltas of the last costed day.  The day comes from the credits, one row per
+    warehouse-day and staged once; the ranks of the queries are not needed."""
+    credits = tables.materialize(_credits(spark, sf), "credits")
+    cost = costs.dag_cost(_queries(spark, sf, rank=None), credits)
+    return costs.dag_cost_delta(cost, by_warehouse, last_day=_last_day(credits, "ds"))
 
 
 @register("query_history")
@@ -157,12 +192,36 @@ def q_storage_cost(spark, sf):
 
 @register("credits_delta")
 def q_credits_delta(spark, sf):
-    return costs.warehouse_credits_delta(_credits(spark, sf))
+    return costs.warehouse_credits_delta(tables.materialize(_credits(spark, sf), "credits"))
+
+
+@register("query_history_reload")
+def q_query_history_reload(spark, sf):
+    src = source(spark, sf, "query_src")
+    rows = costs.load_query_history(src)
+    return _reload(spark, rows, costs.load_query_history(src.limit(0), _first_day(rows, "ds")), schemas.QUERY_HISTORY, "ds")
+
+
+@register("warehouse_credits_reload")
+def q_warehouse_credits_reload(spark, sf):
+    src, met, rates = (source(spark, sf, n) for n in ("query_src", "metering_src", "rates_src"))
+    rows = costs.load_warehouse_credits(src, met, rates, ACCOUNT)
+    none = costs.load_warehouse_credits(src.limit(0), met, rates, ACCOUNT, _first_day(rows, "ds"))
+    return _reload(spark, rows, none, schemas.WAREHOUSE_CREDITS, "ds")
+
+
+@register("storage_cost_reload")
+def q_storage_cost_reload(spark, sf):
+    src, rates = source(spark, sf, "storage_src"), source(spark, sf, "storage_rates_src")
+    rows = costs.load_storage_cost(src, rates, ACCOUNT)
+    none = costs.load_storage_cost(src.limit(0), rates, ACCOUNT, _first_day(rows, "ds"))
+    out = _reload(spark, rows, none, schemas.STORAGE_COST, "ds")
+    return _round_floats(out, ["database_bytes", "database_terabytes", "database_storage_cost"])
 
 
 @register("dag_cost")
 def q_dag_cost(spark, sf):
-    return _dag_cost(spark, sf)
+    return costs.dag_cost(_queries(spark, sf), tables.materialize(_credits(spark, sf), "credits"))
 
 
 PCT = [f"{p}pct_change_{n}" for p in ("", "yesterday_warn_") for n in ("yesterday", "last_week", "last_month")]
@@ -170,12 +229,17 @@ PCT = [f"{p}pct_change_{n}" for p in ("", "yesterday_warn_") for n in ("yesterda
 
 @register("dag_cost_delta")
 def q_dag_cost_delta(spark, sf):
-    return _round_floats(costs.dag_cost_delta(_dag_cost(spark, sf)), PCT)
+    return _round_floats(_delta(spark, sf), PCT)
+
+
+@register("dag_cost_delta_by_warehouse")
+def q_dag_cost_delta_by_warehouse(spark, sf):
+    return _round_floats(_delta(spark, sf, by_warehouse=True), PCT)
 
 
 @register("dag_cost_warnings")
 def q_dag_cost_warnings(spark, sf):
-    df = costs.dag_cost_warnings(costs.dag_cost_delta(_dag_cost(spark, sf)))
+    df = costs.dag_cost_warnings(_delta(spark, sf))
     return _round_floats(df, [c for c in PCT if c in df.columns])
 
 
@@ -184,6 +248,11 @@ def q_cost_categories(spark, sf):
     return costs.cost_categories(source(spark, sf, "currency_src"), ACCOUNT)
 
 
+@register("cost_categories_range")
+def q_cost_categories_range(spark, sf):
+    return costs.cost_categories(source(spark, sf, "currency_src"), ACCOUNT, "1996-03-01", "1997-02-28")
+
+
 @register("cost_by_year")
 def q_cost_by_year(spark, sf):
     return costs.cost_by_year(costs.cost_categories(source(spark, sf, "currency_src"), ACCOUNT))
@@ -191,13 +260,8 @@ def q_cost_by_year(spark, sf):
 
 @register("source_check")
 def q_source_check(spark, sf):
-    out = None
-    for name, schema in (("metering_src", schemas.SRC_METERING), ("query_src", schemas.SRC_QUERY_HISTORY),
-                         ("rates_src", schemas.SRC_RATES), ("storage_src", schemas.SRC_STORAGE),
-                         ("currency_src", schemas.SRC_CURRENCY)):
-        df = checks.check_source(spark, name, source(spark, sf, name), schema)
-        out = df if out is None else out.unionByName(df)
-    return out
+    """Declared columns of the driver tables that the adapters read, as found in the files, with their row counts."""
+    return checks.check_sources({t: (read_table(spark, sf, t), want) for t, want in DRIVER_COLUMNS.items()})
 
 
 # ---------------------------------------------------------------- decomposition
@@ -246,38 +310,80 @@ FOREST_FLOATS = ["lo", "hi", "path_len", "score", "score_mean", "score_std", "th
                  "trend", "seasonal", "mean_path"]
 
 
-def _weekly(spark, sf):
-    """Features (checkpointed: they feed the fit and the scoring), the last day, and a
-    forest trained on every day before the scoring window [last - 7, last]."""
-    feats = tables.materialize(_features(spark, sf), "features")
-    last = _last_day(feats)
-    fit = forest.train_forest(feats, last - _dt.timedelta(days=7), seed=SEED, version=1)
-    return feats, last, fit
+@dataclass
+class Stored:
+    """What the weekly and daily runs leave behind for one folder of driver tables."""
+
+    t: daily.Tables
+    last: _dt.date
+    training: DataFrame
+
+
+_STORED: dict[tuple[str, str], Stored] = {}
+
+
+def stored(spark, sf) -> Stored:
+    """The scheduled runs over the sparse metering, once per session and folder.
 
+    Two model versions are trained (cut-offs 14 and 7 days before the last
+    day), the second one twice, and the last day is predicted twice, as a
+    scheduler would after a lost answer.  The queries below read the tables.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        t = daily.Tables(tables.scratch_path(spark, "runs"))
+        raw = source(spark, sf, "metering_sparse")
+        first, last = cal.date_bounds(raw, "usage_date")
+        daily.setup(spark, t, first, (last - first).days + 1)
+        raw.write.mode("overwrite").partitionBy("usage_date").parquet(t.raw_warehouse_metering_history)
+        daily.run_preparation(spark, t, first, last)
+        daily.run_training(spark, t, last - _dt.timedelta(days=14), seed=SEED)
+        cut = last - _dt.timedelta(days=7)
+        daily.run_training(spark, t, cut, seed=SEED)
+        training = daily.run_training(spark, t, cut, version=2, seed=SEED)
+        for _ in range(2):
+            daily.run_prediction(spark, t, last)
+        _STORED[key] = Stored(t, last, training)
+    return _STORED[key]
 
-def _scored(spark, sf):
-    """Scored rows of the 8-day window, written once: the report, the view and the
-    gate read them several times (as they read the model output table)."""
-    feats, last, fit = _weekly(spark, sf)
-    return tables.materialize(forest.score_forest(feats, fit.segments, fit.meta, last), "scored")
+
+def _table(spark, sf, name: str) -> DataFrame:
+    return daily.table(spark, stored(spark, sf).t, name)
+
+
+@register("model_reload")
+def q_model_reload(spark, sf):
+    """The stored model versions: one row per warehouse and version, the repeated one once."""
+    meta = tables.read_table(spark, stored(spark, sf).t.model_meta, daily.MODEL_META)
+    return _round_floats(meta, ["c_psi", "score_mean", "score_std", "threshold"])
+
+
+@register("prediction_reload")
+def q_prediction_reload(spark, sf):
+    """The stored anomalies after predicting the last day twice."""
+    out = _table(spark, sf, "model_output_anomalies")
+    return _round_floats(out, ["credits_used", "trend", "seasonal", "residual", "score"])
 
 
 @register("forest_model")
 def q_forest_model(spark, sf):
-    _, _, fit = _weekly(spark, sf)
-    return _round_floats(fit.leaves, ["lo", "hi", "path_len"])
+    leaves = tables.read_table(spark, stored(spark, sf).t.model_leaves, daily.MODEL_LEAVES)
+    leaves = tables.latest(leaves, ["warehouse_name"], "model_version")
+    return _round_floats(leaves, ["lo", "hi", "path_len"])
 
 
 @register("forest_train_anomalies")
 def q_forest_train_anomalies(spark, sf):
-    _, _, fit = _weekly(spark, sf)
-    out = forest.training_anomalies(fit.scores)
+    out = stored(spark, sf).training
     return _round_floats(out, [c for c in FOREST_FLOATS if c in out.columns])
 
 
 @register("forest_scores")
 def q_forest_scores(spark, sf):
-    out = _scored(spark, sf)
+    s = stored(spark, sf)
+    out = forest.score_forest(_table(spark, sf, "feature_metering_seasonal_decompose"),
+                              tables.read_table(spark, s.t.model_segments, daily.MODEL_SEGMENTS),
+                              tables.read_table(spark, s.t.model_meta, daily.MODEL_META), s.last)
     return _round_floats(out, [c for c in FOREST_FLOATS if c in out.columns])
 
 
@@ -285,7 +391,8 @@ def q_forest_scores(spark, sf):
 def q_forest_history(spark, sf):
     """Notebook scan: one-sided residuals of the long series, every day scored,
     threshold at 2 sd, anomalies above the global mean of credits."""
-    feats = _features_one_sided(spark, sf).select("warehouse_name", "usage_date", "credits_used", "residual")
+    feats = tables.materialize(_features_one_sided(spark, sf).select(
+        "warehouse_name", "usage_date", "credits_used", "residual"), "features_long")
     fit = forest.fit_forest(feats, seed=SEED, sigmas=2.0)
     out = forest.training_anomalies(fit.scores, global_mean=True)
     return _round_to(out, [c for c in FOREST_FLOATS if c in out.columns], 6)
@@ -293,27 +400,38 @@ def q_forest_history(spark, sf):
 
 @register("anomalies_view")
 def q_anomalies_view(spark, sf):
-    scored = _scored(spark, sf)
-    out = anomalies.anomalies_view(_metrics(spark, sf), forest.predicted_anomalies(scored))
+    out = anomalies.anomalies_view(_table(spark, sf, "metrics_warehouse_metering_history"),
+                                   _table(spark, sf, "model_output_anomalies"))
     return _round_floats(out, METRIC_FLOATS + [c for c in FOREST_FLOATS if c in out.columns])
 
 
+def _report(spark, sf) -> DataFrame:
+    s = stored(spark, sf)
+    return anomalies.anomaly_report(_table(spark, sf, "raw_warehouse_metering_history"),
+                                    daily.predictions_of(spark, s.t, s.last))
+
+
 @register("anomaly_report")
 def q_anomaly_report(spark, sf):
-    scored = _scored(spark, sf)
-    raw = source(spark, sf, "metering_sparse")
-    out = anomalies.anomaly_report(raw, forest.predicted_anomalies(scored))
-    return _round_floats(out, ["score"])
+    return _round_floats(_report(spark, sf), ["score"])
+
+
+@register("anomaly_report_text")
+def q_anomaly_report_text(spark, sf):
+    rows = _report(spark, sf)
+    rows = rows.withColumn("score", F.when(F.col("score").isNotNull(), F.format_string("%.6f", F.round("score", 6))))
+    return anomalies.report_text(rows)
 
 
 @register("warehouses")
 def q_warehouses(spark, sf):
-    return anomalies.list_warehouses(_features(spark, sf))
+    return anomalies.list_warehouses(_table(spark, sf, "feature_metering_seasonal_decompose"))
 
 
 @register("alert_gate")
 def q_alert_gate(spark, sf):
-    return anomalies.alert_gate(forest.predicted_anomalies(_scored(spark, sf)))
+    s = stored(spark, sf)
+    return anomalies.alert_gate(daily.predictions_of(spark, s.t, s.last))
 
 
 # ---------------------------------------------------------------- drift
@@ -322,7 +440,7 @@ from ..operators import drift  # noqa: E402
 
 @register("daily_pivot")
 def q_daily_pivot(spark, sf):
-    return drift.daily_pivot(_daily_long(spark, sf))
+    return drift.daily_pivot(_daily_long(spark, sf), LONG_WAREHOUSES)
 
 
 @register("usage_drift_stat")
@@ -336,7 +454,7 @@ def q_usage_drift_stat(spark, sf):
 @register("usage_drift")
 def q_usage_drift(spark, sf):
     """KS test per warehouse with the exact p-value (checked against path enumeration in tests)."""
-    return drift.usage_drift(_daily_long(spark, sf))
+    return _round_floats(drift.usage_drift(_daily_long(spark, sf)), ["ks_d", "p_value"])
 
 
 @register("drift_share")

@@ -1,11 +1,11 @@
-"""The scheduled runs as Spark jobs writing tables (paths E1-E3 of the reference).
+"""The scheduled runs as Spark jobs writing tables.
 
 Each run takes the run date ``ds`` (or a training cut-off) and table
 locations, reads its inputs, and writes its outputs with the writers of
-``sources.tables``: delete + insert of the run's day for the loads, replace for
-the prepared tables, append for model versions and predictions.  Runs of
-different days write different partitions and can run at the same time; a
-re-run of a day replaces that day.
+``sources.tables``: the loads replace their day's folder, the prepared tables
+are replaced whole, a training replaces its model version's folders and a
+prediction its day's folder.  Runs of different days write different folders
+and can run at the same time; a repeated run replaces what it wrote before.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..operators import anomalies, calendar, checks, costs, decompose, forest, metering
 from ..sources import tables
+from .views import view_sql
 
 MODEL_LEAVES = T.StructType([
     T.StructField("warehouse_name", T.StringType()), T.StructField("tree_id", T.IntegerType()),
@@ -54,13 +55,39 @@ class Sources:
     storage: DataFrame
 
 
+TABLES = {
+    "common_calendar": (schemas.CALENDAR, None),
+    "raw_warehouse_metering_history": (schemas.RAW_METERING, "usage_date"),
+    "metrics_warehouse_metering_history": (schemas.METERING_METRICS, None),
+    "feature_metering_seasonal_decompose": (schemas.SEASONAL_FEATURES, None),
+    "model_output_anomalies": (schemas.MODEL_OUTPUT_ANOMALIES, "prediction_date"),
+    "reporting_query_history": (schemas.QUERY_HISTORY, "ds"),
+    "reporting_warehouse_credits": (schemas.WAREHOUSE_CREDITS, "ds"),
+    "reporting_database_storage_cost": (schemas.STORAGE_COST, "ds"),
+}
+
+
 def setup(spark: SparkSession, t: Tables, start, days: int = calendar.DEFAULT_DAYS) -> None:
-    """Initial setup: the calendar table (the other tables are created by their first write)."""
-    tables.replace_table(calendar.build_calendar(spark, start, days), t.common_calendar, schemas.CALENDAR)
+    """Initial setup: the eight tables; the calendar is filled, the others are empty until their first load.
+
+    A table that exists already is left as it is.
+    """
+    for name, (schema, key) in TABLES.items():
+        path = getattr(t, name)
+        if not tables.exists(spark, path):
+            empty = spark.createDataFrame([], schema)
+            rows = calendar.build_calendar(spark, start, days) if name == "common_calendar" else empty
+            writer = rows.write.partitionBy(key) if key in schema.fieldNames() else rows.write
+            writer.parquet(path)
+
+
+def table(spark: SparkSession, t: Tables, name: str) -> DataFrame:
+    """One of the eight tables as it is now."""
+    return tables.read_table(spark, getattr(t, name), TABLES[name][0])
 
 
 def run_ingestion(src: Sources, t: Tables, account: str, ds) -> None:
-    """Daily metering load: delete + insert of ``usage_date = ds``."""
+    """Daily metering load: replaces ``usage_date = ds``."""
     raw = metering.ingest_metering(src.metering, account, ds)
     tables.load_partitions(raw, t.raw_warehouse_metering_history, schemas.RAW_METERING, "usage_date", [ds])
 
@@ -78,14 +105,18 @@ def run_reporting(src: Sources, t: Tables, account: str, ds) -> None:
 def run_preparation(spark: SparkSession, t: Tables, start, ds) -> DataFrame:
     """Completeness gate, then the metrics matrix and the seasonal features (both replaced).
 
-    Returns the series that were too short to decompose.
+    Fails when the calendar does not reach ``ds``.  Returns the series that
+    were too short to decompose.
     """
-    raw = tables.read_table(spark, t.raw_warehouse_metering_history, schemas.RAW_METERING)
+    raw = table(spark, t, "raw_warehouse_metering_history")
     checks.assert_complete(checks.count_missing_dates(raw, start, ds), t.raw_warehouse_metering_history)
-    cal = spark.read.schema(schemas.CALENDAR).parquet(t.common_calendar)
+    cal = table(spark, t, "common_calendar")
+    end = cal.agg(F.max("usage_date").cast("string")).first()[0]
+    if end is None or end < str(ds):
+        raise checks.DataValidationFailed(f"the calendar ends on {end}, before {ds}: extend it first")
     tables.replace_table(metering.metering_metrics(raw, cal, ds), t.metrics_warehouse_metering_history,
                          schemas.METERING_METRICS)
-    metrics = spark.read.schema(schemas.METERING_METRICS).parquet(t.metrics_warehouse_metering_history)
+    metrics = table(spark, t, "metrics_warehouse_metering_history")
     # staged once: if no series could be decomposed the feature table is left
     # as it is (the emptiness check reads the small staged result)
     feats = tables.materialize(decompose.seasonal_features(metrics, ds), "features")
@@ -94,60 +125,52 @@ def run_preparation(spark: SparkSession, t: Tables, start, ds) -> DataFrame:
     return decompose.skipped_series(metrics, ds)
 
 
-def run_training(spark: SparkSession, t: Tables, before, version: int, seed: int = 0,
+def run_training(spark: SparkSession, t: Tables, before, version: int | None = None, seed: int = 0,
                  sigmas: float = 3.0) -> DataFrame:
-    """Weekly training: one forest per warehouse, appended as a new model version.
+    """Weekly training: one forest per warehouse, stored as a model version.
 
-    Returns the training anomalies.
+    The version is the next free one; a repeated run passes the version it
+    repeats and replaces it.  The meta table is written last: a version counts
+    once it is there.  Returns the training anomalies.
     """
-    feats = spark.read.schema(schemas.SEASONAL_FEATURES).parquet(t.feature_metering_seasonal_decompose)
-    fit = forest.train_forest(feats, before, seed=seed, sigmas=sigmas, version=version)
-    tables.append_table(fit.leaves, t.model_leaves, MODEL_LEAVES)
-    tables.append_table(fit.segments, t.model_segments, MODEL_SEGMENTS)
-    tables.append_table(fit.meta, t.model_meta, MODEL_META)
+    if version is None:
+        version = tables.next_version(spark, t.model_meta)
+    fit = forest.train_forest(table(spark, t, "feature_metering_seasonal_decompose"), before, seed=seed,
+                              sigmas=sigmas, version=version)
+    for rows, path, schema in ((fit.leaves, t.model_leaves, MODEL_LEAVES),
+                               (fit.segments, t.model_segments, MODEL_SEGMENTS), (fit.meta, t.model_meta, MODEL_META)):
+        tables.replace_partition(rows, path, schema, "model_version", version)
     return forest.training_anomalies(fit.scores)
 
 
 def run_prediction(spark: SparkSession, t: Tables, ds) -> tuple[DataFrame, DataFrame]:
-    """Daily prediction with the latest model of each warehouse: append anomalies,
-    return (report, alert gate)."""
-    feats = spark.read.schema(schemas.SEASONAL_FEATURES).parquet(t.feature_metering_seasonal_decompose)
-    seg = spark.read.schema(MODEL_SEGMENTS).parquet(t.model_segments)
-    meta = spark.read.schema(MODEL_META).parquet(t.model_meta)
-    found = forest.predicted_anomalies(forest.score_forest(feats, seg, meta, ds))
-    tables.append_table(found, t.model_output_anomalies, schemas.MODEL_OUTPUT_ANOMALIES)
-    out = spark.read.schema(schemas.MODEL_OUTPUT_ANOMALIES).parquet(t.model_output_anomalies)
-    todays = out.where(F.col("prediction_datetime") == F.lit(ds).cast("date").cast("timestamp_ntz"))
-    raw = tables.read_table(spark, t.raw_warehouse_metering_history, schemas.RAW_METERING)
-    return anomalies.anomaly_report(raw, todays), anomalies.alert_gate(todays)
+    """Daily prediction with the latest model of each warehouse: replaces the day's
+    anomalies, returns (report, alert gate)."""
+    seg = tables.read_table(spark, t.model_segments, MODEL_SEGMENTS)
+    meta = tables.read_table(spark, t.model_meta, MODEL_META)
+    found = forest.predicted_anomalies(forest.score_forest(table(spark, t, "feature_metering_seasonal_decompose"),
+                                                           seg, meta, ds))
+    tables.replace_partition(found, t.model_output_anomalies, schemas.MODEL_OUTPUT_ANOMALIES, "prediction_date", ds)
+    todays = predictions_of(spark, t, ds)
+    return anomalies.anomaly_report(table(spark, t, "raw_warehouse_metering_history"), todays), anomalies.alert_gate(todays)
+
+
+def predictions_of(spark: SparkSession, t: Tables, ds) -> DataFrame:
+    """The stored anomalies that the prediction of ``ds`` found."""
+    return table(spark, t, "model_output_anomalies").where(
+        F.col("prediction_datetime") == F.lit(str(ds)).cast("date").cast("timestamp_ntz"))
 
 
 def register_views(spark: SparkSession, t: Tables) -> list[str]:
-    """Register the five reporting views over the stored tables as temp views
-    (CREATE OR REPLACE VIEW): the anomalies view, warehouse credit deltas, query
-    cost, cost deltas and cost warnings.  Each view is the DataFrame job over
-    the tables, so Catalyst inlines views into the queries that read them."""
-    q = tables.read_table(spark, t.reporting_query_history, schemas.QUERY_HISTORY)
-    c = tables.read_table(spark, t.reporting_warehouse_credits, schemas.WAREHOUSE_CREDITS)
-    cost = costs.dag_cost(q, c)
-    views = {
-        "view_reporting_warehouse_credits_delta": costs.warehouse_credits_delta(c),
-        "view_reporting_dag_cost": cost,
-    }
-    try:
-        delta = costs.dag_cost_delta(cost)
-        views["view_reporting_dag_cost_delta"] = delta
-        views["view_reporting_dag_cost_warnings"] = costs.dag_cost_warnings(delta)
-    except Exception:  # no cost rows yet: nothing to compare
-        pass
-    fs_path = t.model_output_anomalies
-    metrics_path = t.metrics_warehouse_metering_history
-    try:
-        metrics = spark.read.schema(schemas.METERING_METRICS).parquet(metrics_path)
-        found = spark.read.schema(schemas.MODEL_OUTPUT_ANOMALIES).parquet(fs_path)
-        views["view_reporting_anomalies"] = anomalies.anomalies_view(metrics, found)
-    except Exception:  # tables not written yet
-        pass
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
+    """Create or replace the five reporting views over the stored tables (see ``plans.views``).
+
+    A table must have been loaded once, so that its columns are known; a
+    missing one is an error that names it.
+    """
+    views = view_sql(lambda name: getattr(t, name))
+    lost = sorted({n for needs, _ in views.values() for n in needs if not tables.has_rows_folder(spark, getattr(t, n))})
+    if lost:
+        raise ValueError(f"load these tables before registering the views: {', '.join(lost)}")
+    for name, (_, sql) in views.items():
+        spark.sql(f"create or replace temporary view {name} as {sql}")
     return sorted(views)

@@ -9,11 +9,17 @@ where the jobs keep it: DuckDB turns decimal division into a double, so the
 
 from __future__ import annotations
 
-from ..sources.adapters import adapter_sql, duck_cte
+from ..operators.costs import COST_CATEGORY_RULES
+from ..sources.adapters import DRIVER_COLUMNS
+from ..sources.adapters import duck_cte as _duck_cte
 
 ORACLE: dict[str, str] = {}
 
 
+def duck_cte(*names: str) -> str:
+    return _duck_cte(*names).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def r6(x: str) -> str:
     return f"round(cast({x} as double), 6)"
 
@@ -34,22 +40,23 @@ from days
 """
 
 _INGEST = """
-select account_name, service_type, cast(end_time as date) as usage_date, warehouse_name,
-       sum(credits_used) as credits_used,
+select account_name, service_type, day as usage_date, warehouse_name, sum(credits_used) as credits_used,
        sum(credits_used_compute) as credits_used_compute,
-       sum(credits_used_cloud_services) as credits_used_cloud_services,
-       cast(end_time as date) as ds
-from metering_src
-where warehouse_id > 0 and account_name = 'ACME'
-group by account_name, service_type, cast(end_time as date), warehouse_name
+       sum(credits_used_cloud_services) as credits_used_cloud_services, day as ds
+from (select * exclude (end_time), end_time::date as day from metering_src
+      where account_name = 'ACME' and warehouse_id > 0)
+group by all
 """
 
 ORACLE["ingest_metering"] = f"{duck_cte('metering_src')}\n{_INGEST}"
 
-ORACLE["ingest_reload"] = f"""
-{duck_cte('metering_src')}, raw AS ({_INGEST})
-select * from raw where usage_date <> (select min(usage_date) from raw)
-"""
+
+def _without_first_day(body: str, key: str) -> str:
+    """A reload leaves every day but the first, which was loaded again from an empty source."""
+    return f"select * from ({body}) where {key} > (select min({key}) from ({body}))"
+
+
+ORACLE["ingest_reload"] = f"{duck_cte('metering_src')}\n{_without_first_day(_INGEST, 'usage_date')}"
 
 ORACLE["missing_dates"] = f"""
 {duck_cte('metering_long')},
@@ -68,70 +75,63 @@ d AS (select cast(unnest(generate_series(s, e, interval 1 day)) as date) as usag
 select usage_date from d where usage_date not in (select usage_date from metering_long)
 """
 
-_METRICS_BODY = """
-cs AS (select min(usage_date) as d from metering_sparse),
-cal AS (select cast(d + cast(range as integer) as date) as usage_date from cs, range(1826)),
-vw AS (select distinct warehouse_name from metering_sparse where warehouse_name is not null),
-cp AS (select vw.warehouse_name, cal.usage_date from vw cross join
-        (select usage_date from cal where usage_date <= (select max(usage_date) from metering_sparse)) cal),
-met AS (
-  select cp.warehouse_name, cp.usage_date,
-         coalesce(sum(m.credits_used), 0) as credits_used,
-         coalesce(sum(m.credits_used_compute), 0) as credits_used_compute,
-         coalesce(sum(m.credits_used_cloud_services), 0) as credits_used_cloud_services
-  from cp left join metering_sparse m
-    on cp.usage_date = m.usage_date and cp.warehouse_name = m.warehouse_name
-  group by cp.warehouse_name, cp.usage_date),
-metrics AS (
-  select warehouse_name, usage_date,
-         cast(credits_used as decimal(38,9)) as credits_used,
-         cast(credits_used_compute as decimal(38,9)) as credits_used_compute,
-         cast(credits_used_cloud_services as decimal(38,9)) as credits_used_cloud_services,
-         avg(credits_used) over w as credits_used_sma30,
-         avg(credits_used_compute) over w as credits_used_compute_sma30,
-         avg(credits_used_cloud_services) over w as credits_used_cloud_services_sma30,
-         stddev_samp(credits_used) over w as credits_used_std30,
-         stddev_samp(credits_used_compute) over w as credits_used_compute_std30,
-         stddev_samp(credits_used_cloud_services) over w as credits_used_cloud_services_std30
-  from met
-  window w as (partition by warehouse_name order by usage_date rows between 29 preceding and current row))
-"""
-
-ORACLE["metering_metrics"] = f"""
-{duck_cte('metering_sparse')},
-{_METRICS_BODY}
-select warehouse_name, usage_date, credits_used, credits_used_compute, credits_used_cloud_services,
-       {r6('credits_used_sma30')} as credits_used_sma30,
-       {r6('credits_used_compute_sma30')} as credits_used_compute_sma30,
-       {r6('credits_used_cloud_services_sma30')} as credits_used_cloud_services_sma30,
-       {r6('credits_used_std30')} as credits_used_std30,
-       {r6('credits_used_compute_std30')} as credits_used_compute_std30,
-       {r6('credits_used_cloud_services_std30')} as credits_used_cloud_services_std30
-from metrics
-"""
+_MEASURES = ("credits_used", "credits_used_compute", "credits_used_cloud_services")
 
-ORACLE["usage_by_year"] = f"""
-select cast(year as integer) as year, coalesce(columns(* exclude (year)), 0) from (
-  pivot (select year(usage_date) as year, warehouse_name, credits_used
-         from ({adapter_sql('metering_long', 'duckdb')}) metering_long where warehouse_name is not null)
-  on warehouse_name using sum(credits_used) group by year)
-"""
 
-_FILL = """
-b AS (select min(usage_date) as s, max(usage_date) as e from metering_long),
-wh AS (select distinct warehouse_name from metering_long where warehouse_name is not null),
-d AS (select cast(unnest(generate_series(s, e, interval 1 day)) as date) as usage_date from b),
-g AS (select warehouse_name, usage_date, sum(credits_used) as credits_used
-      from metering_long where warehouse_name is not null group by 1, 2),
-filled AS (select wh.warehouse_name, d.usage_date, coalesce(g.credits_used, 0) as credits_used
-           from wh cross join d left join g using (warehouse_name, usage_date))
-"""
+def _zeros(src: str, measures) -> str:
+    """A row of zeros for every named warehouse and day between the first and last day of the source."""
+    return (f"select warehouse_name, unnest(generate_series(lo, hi, interval 1 day))::date as usage_date, "
+            f"{', '.join(f'0 as {m}' for m in measures)} from (select distinct warehouse_name from {src} "
+            f"where warehouse_name is not null), (select min(usage_date) as lo, max(usage_date) as hi from {src})")
 
-ORACLE["fill_daily_gaps"] = f"""
-{duck_cte('metering_long')},
-{_FILL}
-select warehouse_name, usage_date, cast(credits_used as decimal(38,9)) as credits_used from filled
-"""
+
+def _daily(src: str, measures) -> str:
+    return (f"select warehouse_name, usage_date, {', '.join(f'sum({m})::decimal(38,9) as {m}' for m in measures)} "
+            f"from (select warehouse_name, usage_date, {', '.join(measures)} from {src} where warehouse_name is not null "
+            f"union all {_zeros(src, measures)}) group by all")
+
+
+def _metrics_of(src: str) -> str:
+    moving = ", ".join(f"{f}({m}) over month as {m}_{n}" for f, n in (("avg", "sma30"), ("stddev_samp", "std30"))
+                       for m in _MEASURES)
+    return f"""metrics AS (select *, {moving} from ({_daily(src, _MEASURES)})
+  window month as (partition by warehouse_name order by usage_date rows 29 preceding))"""
+
+
+_METRICS_BODY = _metrics_of("metering_sparse")
+
+
+def _metrics_out(digits: int, src: str = "metrics") -> str:
+    cols = [f"{m}_{n}" for n in ("sma30", "std30") for m in _MEASURES]
+    return (f"select warehouse_name, usage_date, {', '.join(_MEASURES)}, "
+            f"{', '.join(f'round(cast({c} as double), {digits}) as {c}' for c in cols)} from {src}")
+
+
+ORACLE["metering_metrics"] = f"{duck_cte('metering_sparse')},\n{_METRICS_BODY}\n{_metrics_out(6)}"
+ORACLE["metering_metrics_long"] = f"{duck_cte('metering_long')},\n{_metrics_of('metering_long')}\n{_metrics_out(3)}"
+
+LONG_WAREHOUSES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def _wide(names, key: str, value: str) -> str:
+    """One column per name, summed."""
+    return ", ".join(f"""coalesce(sum(case when {key} = '{n}' then {value} end), 0) as "{n}\"""" for n in names)
+
+
+def _by_year(where: str = "warehouse_name is not null") -> str:
+    return (f"{duck_cte('metering_long')}\nselect year(usage_date)::integer as year, "
+            f"{_wide(LONG_WAREHOUSES, 'warehouse_name', 'credits_used')} from metering_long where {where} group by 1")
+
+
+ORACLE["usage_by_year"] = _by_year()
+ORACLE["usage_by_year_range"] = _by_year("usage_date between date '1996-03-01' and date '1999-02-28'")
+ORACLE["usage_by_year_long"] = f"""{duck_cte('metering_long')}
+select year(usage_date)::integer as year, warehouse_name, sum(credits_used) as credits_used
+from metering_long where warehouse_name is not null group by all"""
+
+_FILL = f"filled AS ({_daily('metering_long', ('credits_used',))})"
+
+ORACLE["fill_daily_gaps"] = f"{duck_cte('metering_long')},\n{_FILL}\nselect * from filled"
 
 ORACLE["weekly_usage"] = f"""
 {duck_cte('metering_long')},
@@ -178,17 +178,17 @@ qh AS (
 """
 
 _WC = """
-t AS (select cast(end_time as date) as ds, warehouse_name,
-             cast(sum(total_elapsed_time) as decimal(38,0)) as total_time_elapsed
-      from query_src group by 1, 2),
-c AS (select cast(start_time as date) as ds, warehouse_name, sum(credits_used) as warehouse_credits
-      from metering_src
-      where end_time < cast(cast(start_time as date) + 1 as timestamp)
-      group by 1, 2),
-r AS (select date as ds, effective_rate from rates_src where account_name = 'ACME' and usage_type = 'compute'),
-wc AS (select t.warehouse_name, c.warehouse_credits, t.total_time_elapsed, r.effective_rate, t.ds
-       from t join c on t.warehouse_name = c.warehouse_name and t.ds = c.ds
-              join r on r.ds = t.ds)
+used AS (select end_time::date as ds, warehouse_name, total_elapsed_time as ms, null::decimal(38,9) as credits,
+           true as is_query from query_src
+         union all
+         select start_time::date, warehouse_name, null, credits_used, false from metering_src
+         where start_time::date = end_time::date),
+wc AS (select warehouse_name, sum(credits) as warehouse_credits, sum(ms)::decimal(38,0) as total_time_elapsed,
+         effective_rate, used.ds
+       from used join rates_src on rates_src.date = used.ds and usage_type = 'compute' and account_name = 'ACME'
+       where warehouse_name is not null
+       group by warehouse_name, effective_rate, used.ds
+       having bool_or(is_query) and not bool_and(is_query))
 """
 
 ORACLE["query_history"] = f"{duck_cte('query_src')},\n{_QH}\nselect * from qh"
@@ -198,11 +198,16 @@ ORACLE["warehouse_credits"] = f"{duck_cte('query_src', 'metering_src', 'rates_sr
 ORACLE["credits_delta"] = f"""
 {duck_cte('query_src', 'metering_src', 'rates_src')},
 {_WC}
-select t.warehouse_name, t.warehouse_credits, t.ds,
-       t.warehouse_credits - y.warehouse_credits as warehouse_credits_delta_yesterday
-from wc t left join wc y on t.warehouse_name = y.warehouse_name and t.ds = y.ds + 1
+select warehouse_name, warehouse_credits, ds,
+       case when lag(ds) over d = ds - 1 then warehouse_credits - lag(warehouse_credits) over d end
+           as warehouse_credits_delta_yesterday
+from wc window d as (partition by warehouse_name order by ds)
 """
 
+ORACLE["query_history_reload"] = f"{duck_cte('query_src')},\n{_QH}\n{_without_first_day('select * from qh', 'ds')}"
+ORACLE["warehouse_credits_reload"] = (f"{duck_cte('query_src', 'metering_src', 'rates_src')},\n{_WC}\n"
+                                      f"{_without_first_day('select * from wc', 'ds')}")
+
 ORACLE["storage_cost"] = f"""
 {duck_cte('storage_src', 'storage_rates_src')}
 select u.usage_date, cast(u.database_id as decimal(38,0)) as database_id, u.database_name,
@@ -215,6 +220,8 @@ from storage_src u join storage_rates_src r on u.usage_date = r.date
 where r.account_name = 'ACME' and r.usage_type = 'storage'
 """
 
+ORACLE["storage_cost_reload"] = _without_first_day(ORACLE["storage_cost"], "ds")
+
 
 def _half_up_div6(num: str, den: str) -> str:
     """round(num / den, 6) for non-negative whole numbers, exact, as DECIMAL(38,6)."""
@@ -242,182 +249,97 @@ select * from dc
 """
 
 
-def _period_cte(name: str, k: int) -> str:
+_OFFSETS = {"yesterday": 1, "last_week": 7, "last_month": 28}
+
+
+def _delta_sql(by_warehouse: bool = False) -> str:
+    """Task sums of the days that matter; the sums 1, 7 and 28 days older are lists, unnested one
+    after the other, so several matches multiply rows as joins would."""
+    key = ["airflow_dag_id", "airflow_task_id"] + ["warehouse_name"] * by_warehouse
+    steps, last = [], "recent"
+    for n, k in _OFFSETS.items():
+        on = " and ".join(f"o.{c} = c.{c}" for c in key)
+        steps.append(f"with_{n} AS (select c.*, unnest(coalesce(o.sums, [null])) as {n} from {last} c "
+                     f"left join older o on {on} and o.age = c.age + {k})")
+        last = f"with_{n}"
+    change = {f"{u}_delta_{n}": f"{u} - {n}.{u}" for n in _OFFSETS for u in ("dollar", "credit")}
+    change |= {f"pct_change_{n}": f"credit::double / nullif({n}.credit, 0)::double - 1" for n in _OFFSETS}
     return f"""
-{name} AS (
-  select airflow_dag_id, airflow_task_id, ds, warehouse_name,
-         sum(task_dollar_cost) as task_dollar_cost, sum(task_credit_cost) as task_credit_cost
-  from dc
-  where (ds = (select max(ds) from dc) - {k} or ds = (select max(ds) - 1 from dc) - {k})
-    and airflow_task_id is not null
-  group by 1, 2, 3, 4)"""
-
-
-def _pct(a: str, b: str) -> str:
-    return f"cast({a} as double) / cast(nullif({b}, 0) as double) - 1"
-
-
-_DELTA = f"""
-today AS (
-  select airflow_dag_id, airflow_task_id, ds, warehouse_name,
-         sum(task_dollar_cost) as task_dollar_cost, sum(task_credit_cost) as task_credit_cost
-  from dc
-  where (ds = (select max(ds) from dc)
-         or ds = (select max(ds) - 1 from dc) and airflow_task_id is not null)
-  group by 1, 2, 3, 4),
-{_period_cte('yesterday', 1)},
-{_period_cte('last_week', 7)},
-{_period_cte('last_month', 28)},
-yw AS (
-  select t.ds, t.airflow_dag_id, t.airflow_task_id, t.warehouse_name,
-         t.task_dollar_cost - y.task_dollar_cost as yesterday_warn_dollar_delta_yesterday,
-         t.task_credit_cost - y.task_credit_cost as yesterday_warn_credit_delta_yesterday,
-         t.task_dollar_cost - lw.task_dollar_cost as yesterday_warn_dollar_delta_last_week,
-         t.task_credit_cost - lw.task_credit_cost as yesterday_warn_credit_delta_last_week,
-         t.task_dollar_cost - lm.task_dollar_cost as yesterday_warn_dollar_delta_last_month,
-         t.task_credit_cost - lm.task_credit_cost as yesterday_warn_credit_delta_last_month,
-         {_pct('t.task_credit_cost', 'y.task_credit_cost')} as yesterday_warn_pct_change_yesterday,
-         {_pct('t.task_credit_cost', 'lw.task_credit_cost')} as yesterday_warn_pct_change_last_week,
-         {_pct('t.task_credit_cost', 'lm.task_credit_cost')} as yesterday_warn_pct_change_last_month
-  from today t
-  left join yesterday y on t.airflow_task_id = y.airflow_task_id and t.airflow_dag_id = y.airflow_dag_id
-                        and t.ds = y.ds + 1
-  left join last_week lw on t.airflow_task_id = lw.airflow_task_id and t.airflow_dag_id = lw.airflow_dag_id
-                        and t.ds = lw.ds + 7
-  left join last_month lm on t.airflow_task_id = lm.airflow_task_id and t.airflow_dag_id = lm.airflow_dag_id
-                        and t.ds = lm.ds + 28
-  where t.ds = (select max(ds) - 1 from dc)),
-delta AS (
-  select t.ds, t.airflow_dag_id, t.airflow_task_id, t.warehouse_name,
-         t.task_dollar_cost as task_dollar_cost_today, t.task_credit_cost as task_credit_cost_today,
-         y.task_dollar_cost as task_dollar_cost_yesterday, y.task_credit_cost as task_credit_cost_yesterday,
-         lw.task_dollar_cost as task_dollar_cost_last_week, lw.task_credit_cost as task_credit_cost_last_week,
-         lm.task_dollar_cost as task_dollar_cost_last_month, lm.task_credit_cost as task_credit_cost_last_month,
-         t.task_dollar_cost - y.task_dollar_cost as dollar_delta_yesterday,
-         t.task_credit_cost - y.task_credit_cost as credit_delta_yesterday,
-         t.task_dollar_cost - lw.task_dollar_cost as dollar_delta_last_week,
-         t.task_credit_cost - lw.task_credit_cost as credit_delta_last_week,
-         t.task_dollar_cost - lm.task_dollar_cost as dollar_delta_last_month,
-         t.task_credit_cost - lm.task_credit_cost as credit_delta_last_month,
-         {_pct('t.task_credit_cost', 'y.task_credit_cost')} as pct_change_yesterday,
-         {_pct('t.task_credit_cost', 'lw.task_credit_cost')} as pct_change_last_week,
-         {_pct('t.task_credit_cost', 'lm.task_credit_cost')} as pct_change_last_month,
-         yw.yesterday_warn_dollar_delta_yesterday, yw.yesterday_warn_credit_delta_yesterday,
-         yw.yesterday_warn_dollar_delta_last_week, yw.yesterday_warn_credit_delta_last_week,
-         yw.yesterday_warn_dollar_delta_last_month, yw.yesterday_warn_credit_delta_last_month,
-         yw.yesterday_warn_pct_change_yesterday, yw.yesterday_warn_pct_change_last_week,
-         yw.yesterday_warn_pct_change_last_month
-  from today t
-  left join yesterday y on t.airflow_task_id = y.airflow_task_id and t.airflow_dag_id = y.airflow_dag_id
-                        and t.ds = y.ds + 1
-  left join last_week lw on t.airflow_task_id = lw.airflow_task_id and t.airflow_dag_id = lw.airflow_dag_id
-                        and t.ds = lw.ds + 7
-  left join last_month lm on t.airflow_task_id = lm.airflow_task_id and t.airflow_dag_id = lm.airflow_dag_id
-                        and t.ds = lm.ds + 28
-  left join yw on t.airflow_task_id = yw.airflow_task_id and t.airflow_dag_id = yw.airflow_dag_id
-  where t.ds = (select max(ds) from dc))
-"""
-
-_PCT_COLS = [f"{p}pct_change_{n}" for p in ("", "yesterday_warn_") for n in ("yesterday", "last_week", "last_month")]
-
-
-def _select_rounded(cols_sql: str, rounded: list[str], source: str) -> str:
-    return f"select * replace ({', '.join(f'{r6(c)} as {c}' for c in rounded)}) from {source}"
-
-
-ORACLE["dag_cost_delta"] = f"""
-{duck_cte('query_src', 'metering_src', 'rates_src')},
-{_QH}, {_WC}, {_DC}, {_DELTA}
-{_select_rounded('', _PCT_COLS, 'delta')}
+newest AS (select max(ds) as day from dc),
+aged AS (select *, day - ds as age from dc, newest),
+sums AS (select airflow_dag_id, airflow_task_id, warehouse_name, ds, age, sum(task_dollar_cost) as dollar,
+           sum(task_credit_cost) as credit from aged where age in (0, 1, 2, 7, 8, 28, 29) group by all),
+older AS (select {', '.join(key)}, age, list({{'dollar': dollar, 'credit': credit}}) as sums
+          from sums where airflow_task_id is not null group by all),
+recent AS (select * from sums where age = 0 or age = 1 and airflow_task_id is not null),
+{', '.join(steps)},
+warned AS (select {', '.join(key)}, {', '.join(f'{e} as yesterday_warn_{c}' for c, e in change.items())}
+           from {last} where age = 1),
+delta AS (select r.ds, r.airflow_dag_id, r.airflow_task_id, r.warehouse_name,
+            dollar as task_dollar_cost_today, credit as task_credit_cost_today,
+            {', '.join(f'{n}.{u} as task_{u}_cost_{n}' for n in _OFFSETS for u in ('dollar', 'credit'))},
+            {', '.join(f'{e} as {c}' for c, e in change.items())}, w.* exclude ({', '.join(key)})
+          from {last} r left join warned w on {' and '.join(f'w.{c} = r.{c}' for c in key)} where age = 0)
 """
 
 
-def _trig(prefix: str) -> str:
-    parts = []
-    for n, label in (("yesterday", "yesterday"), ("last_week", "last week"), ("last_month", "last month")):
-        parts.append(f"when abs({prefix}dollar_delta_{n}) > 25 and abs({prefix}pct_change_{n}) > 0.33 "
-                     f"then '{label}'")
-    return "case " + " ".join(parts) + " end"
+_PCT_COLS = [f"{p}pct_change_{n}" for p in ("", "yesterday_warn_") for n in _OFFSETS]
 
 
-def _change(prefix: str, period: str) -> str:
-    parts = []
-    for op, word in ((">", "increase"), ("<", "decrease")):
-        for n, label in (("yesterday", "yesterday"), ("last_week", "last week"), ("last_month", "last month")):
-            parts.append(f"when {period} = '{label}' and {prefix}pct_change_{n} {op} 0 then '{word}'")
-    return "case " + " ".join(parts) + " end"
+def _rounded(cols: list[str], source: str) -> str:
+    return f"select * replace ({', '.join(f'{r6(c)} as {c}' for c in cols)}) from {source}"
 
 
-_WARN_COLS = """ds, airflow_dag_id, airflow_task_id, warehouse_name,
-        task_dollar_cost_today, task_credit_cost_today, task_dollar_cost_yesterday, task_credit_cost_yesterday,
-        task_dollar_cost_last_week, task_credit_cost_last_week, task_dollar_cost_last_month,
-        task_credit_cost_last_month, dollar_delta_yesterday, credit_delta_yesterday, dollar_delta_last_week,
-        credit_delta_last_week, dollar_delta_last_month, credit_delta_last_month,
-        round(pct_change_yesterday, 6) as pct_change_yesterday,
-        round(pct_change_last_week, 6) as pct_change_last_week,
-        round(pct_change_last_month, 6) as pct_change_last_month,
-        trigger_period, change_type, yesterday_warn_trigger_period, yesterday_warn_change_type"""
+_COST = f"{duck_cte('query_src', 'metering_src', 'rates_src')},\n{_QH}, {_WC}, {_DC}"
 
-ORACLE["dag_cost_warnings"] = f"""
-{duck_cte('query_src', 'metering_src', 'rates_src')},
-{_QH}, {_WC}, {_DC}, {_DELTA},
-trig AS (select *, {_trig('')} as trigger_period, {_trig('yesterday_warn_')} as yesterday_warn_trigger_period
-         from delta
-         where (abs(dollar_delta_yesterday) > 25 and abs(pct_change_yesterday) > 0.33)
-            or (abs(dollar_delta_last_week) > 25 and abs(pct_change_last_week) > 0.33)
-            or (abs(dollar_delta_last_month) > 25 and abs(pct_change_last_month) > 0.33)),
-chg AS (select *, {_change('', 'trigger_period')} as change_type,
-               {_change('yesterday_warn_', 'yesterday_warn_trigger_period')} as yesterday_warn_change_type
-        from trig),
-flt AS (select *, not coalesce((trigger_period = yesterday_warn_trigger_period)
-                               and (change_type <> yesterday_warn_change_type), false) as no_consecutive_warning
-        from chg)
-select {_WARN_COLS} from flt where no_consecutive_warning = true
-"""
-
-_CAT = """
-cat AS (
-  select organization_name, contract_number, account_name, account_locator, region, service_level,
-         usage_date, usage_type, currency, balance_source,
-         case
-           when usage_type like '%storage' then 'storage'
-           when usage_type like '%compute' then 'compute'
-           when usage_type like '%cloud services' then 'compute'
-           when usage_type like '%automatic clustering' then 'compute'
-           when usage_type like 'serverless tasks' then 'compute'
-           when usage_type like '%snowpipe%' then 'compute'
-           when usage_type like '%snowpark%' then 'compute'
-           when usage_type like '%materialized views' then 'compute'
-           when usage_type like '%data transfer' then 'data transfer'
-           when usage_type like '%support%' then 'other'
-           else '' end as rating_type,
-         case
-           when usage_type like '%storage' then 'storage'
-           when usage_type like '%compute' then 'virtual warehouse'
-           when usage_type like '%cloud services' then 'cloud services'
-           when usage_type like '%automatic clustering' then 'serverless'
-           when usage_type like 'serverless tasks' then 'serverless'
-           when usage_type like '%snowpipe%' then 'serverless'
-           when usage_type like '%snowpark%' then 'serverless'
-           when usage_type like '%materialized views' then 'serverless'
-           when usage_type like '%data transfer' then 'data transfer'
-           when usage_type like '%support%' then 'other'
-           else '' end as resource_type,
-         usage_in_currency
-  from currency_src where account_name = 'ACME')
+ORACLE["dag_cost_delta"] = f"{_COST}, {_delta_sql()} {_rounded(_PCT_COLS, 'delta')}"
+ORACLE["dag_cost_delta_by_warehouse"] = f"{_COST}, {_delta_sql(True)} {_rounded(_PCT_COLS, 'delta')}"
+
+
+def _first_hit(prefix: str) -> str:
+    """The first period over both limits."""
+    periods = ", ".join(f"{{'label': '{n.replace('_', ' ')}', 'usd': {prefix}dollar_delta_{n}, "
+                        f"'pct': {prefix}pct_change_{n}}}" for n in _OFFSETS)
+    return f"list_filter([{periods}], lambda p: abs(p.usd) > 25 and abs(p.pct) > 0.33)[1]"
+
+
+_WORD = "case sign({0}.pct) when 1 then 'increase' when -1 then 'decrease' end"
+
+ORACLE["dag_cost_warnings"] = f"""{_COST}, {_delta_sql()},
+hits AS (select *, {_first_hit('')} as now, {_first_hit('yesterday_warn_')} as before from delta),
+named AS (select * exclude (now, before), now.label as trigger_period, {_WORD.format('now')} as change_type,
+            before.label as yesterday_warn_trigger_period, {_WORD.format('before')} as yesterday_warn_change_type
+          from hits where now is not null)
+select columns(c -> c not like 'yesterday_warn_%' or c like '%trigger_period' or c like '%change_type')
+from ({_rounded(_PCT_COLS[:3], 'named')})
+where coalesce(trigger_period <> yesterday_warn_trigger_period or change_type = yesterday_warn_change_type, true)
+""".replace("columns(c -> ", "columns(lambda c: ")
+
+_CAT = f"""
+rules AS (select unnest([{', '.join(f"{{'n': {i}, 'pattern': '{p}', 'rating': '{a}', 'resource': '{b}'}}"
+                                    for i, (p, a, b) in enumerate(COST_CATEGORY_RULES))}], recursive := true)),
+kinds AS (select usage_type, arg_min(rating, n) as rating, arg_min(resource, n) as resource
+          from (select distinct usage_type from currency_src) join rules on usage_type like pattern group by all),
+cat AS (select c.* exclude (usage_in_currency), coalesce(rating, '') as rating_type,
+          coalesce(resource, '') as resource_type, usage_in_currency
+        from currency_src c left join kinds using (usage_type) where account_name = 'ACME')
 """
 
 ORACLE["cost_categories"] = f"{duck_cte('currency_src')},\n{_CAT}\nselect * from cat"
+ORACLE["cost_categories_range"] = (f"{duck_cte('currency_src')},\n{_CAT}\nselect * from cat "
+                                   "where usage_date >= date '1996-03-01' and usage_date < date '1997-03-01'")
 
-ORACLE["cost_by_year"] = f"""
-select cast(year as integer) as year, coalesce(columns(* exclude (year)), 0) from (
-  pivot (select year(usage_date) as year, concat_ws(' | ', rating_type, resource_type) as category,
-                usage_in_currency
-         from ({_CAT.split('AS (', 1)[1].rsplit(')', 1)[0].replace('from currency_src',
-               "from (" + adapter_sql('currency_src', 'duckdb') + ") currency_src")}) cat)
-  on category using sum(usage_in_currency) group by year)
-"""
+_CATEGORIES = sorted({f"{a} | {b}" for _, a, b in COST_CATEGORY_RULES} | {" | "})
+
+ORACLE["cost_by_year"] = f"""{duck_cte('currency_src')},
+{_CAT}
+select year(usage_date)::integer as year, {_wide(_CATEGORIES, "rating_type || ' | ' || resource_type", 'usage_in_currency')}
+from cat group by 1"""
 
+ORACLE["source_check"] = " union all ".join(
+    f"select '{t}' as source, '{c}' as column_name, '{k}' as expected_type, '{k}' as actual_type, true as present, "
+    f"true as type_ok, count(*) as n_rows, count(*) - count({c}) as n_null from {t}"
+    for t, cols in DRIVER_COLUMNS.items() for c, k in cols.items())
 
 # ---------------------------------------------------------------- decomposition
 
@@ -496,21 +418,33 @@ def _mix() -> str:
     return f"(cast({c} as double) / 2147483648.0)"
 
 
+def _permute(v: str) -> str:
+    """Three rounds of odd multiplier, shift and xor with the high half, on k-bit numbers."""
+    for r in (1, 2, 3):
+        v = f"(({v} * ((2 * tseed * {r} + 2 * {r} + 1) % (1::bigint << k)) + tseed + {r}) % (1::bigint << k))"
+        v = f"xor({v}, {v} >> ((k + 1) // 2))"
+    return v
+
+
 def forest_sql(src: str, p: str, n_trees: int = 100, max_samples: int = 256, seed: int = 0,
                levels: int = 8) -> str:
     """CTEs growing seeded isolation trees over ``src`` (warehouse_name, usage_date, x, ...);
     ``{p}_g`` holds every row x tree with its leaf, ``{p}_leaves`` the leaves."""
     s = [f"""
-{p}_t AS (select b.*, least(n, {max_samples}) as psi,
-            ceil(log2(greatest(least(n, {max_samples}), 2))) as dl, t.range as tree_id
-          from (select *, count(*) over (partition by warehouse_name) as n from {src}) b, range({n_trees}) t),
-{p}_0 AS (select *, row_number() over (partition by warehouse_name, tree_id
-            order by md5(concat_ws('|', '{seed}', warehouse_name, cast(tree_id as varchar),
-                                   cast(usage_date as varchar))), usage_date) <= psi as sampled,
-          1 as node, 0 as depth, '-inf'::double as lo, 'inf'::double as hi,
-          ('0x' || substr(md5(concat_ws('|', '{seed}', warehouse_name, cast(tree_id as varchar))), 1, 7))::bigint
-              as tseed
-          from {p}_t)"""]
+{p}_n AS (select warehouse_name, n, least(n, {max_samples}) as psi, greatest(1, ceil(log2(n)))::integer as k, tree_id,
+            ('0x' || substr(md5(concat_ws('|', '{seed}', warehouse_name, tree_id::varchar)), 1, 7))::bigint as tseed
+          from (select warehouse_name, count(*) as n from {src} group by all),
+               (select unnest(range({n_trees})) as tree_id)),
+{p}_w AS (select * exclude (j), {_permute('j')} as v
+          from (select *, unnest(range(psi)) as j from {p}_n where n > {max_samples})
+          union all select * exclude (v), {_permute('v')} as v from {p}_w where v >= n),
+{p}_d AS (select warehouse_name, tree_id, v as pos from {p}_w where v < n
+          union all select warehouse_name, tree_id, unnest(range(n)) from {p}_n where n <= {max_samples}),
+{p}_t AS (select b.*, t.psi, t.tseed, ceil(log2(greatest(t.psi, 2))) as dl, t.tree_id
+          from (select *, row_number() over (partition by warehouse_name order by usage_date) - 1 as pos from {src}) b
+               join {p}_n t using (warehouse_name)),
+{p}_0 AS (select t.*, d.pos is not null as sampled, 1 as node, 0 as depth, '-inf'::double as lo, 'inf'::double as hi
+          from {p}_t t left join {p}_d d on d.warehouse_name = t.warehouse_name and d.tree_id = t.tree_id and d.pos = t.pos)"""]
     for k in range(levels):
         a, b = f"{p}_{k}", f"{p}_{k + 1}"
         s.append(f"""
@@ -553,10 +487,25 @@ train AS (select warehouse_name, usage_date, credits_used, coalesce(residual, 0)
 ORACLE["forest_model"] = f"""
 {_FEATS}
 select warehouse_name, cast(tree_id as integer) as tree_id, node, round(lo, 6) as lo, round(hi, 6) as hi, round(path_len, 6) as path_len,
-       1 as model_version
+       2::bigint as model_version
 from fz_leaves
 """
 
+
+def _meta_sql(p: str, version: int) -> str:
+    return (f"select warehouse_name, {version}::bigint as model_version, 100 as n_trees, psi, round({_c('psi')}, 6) as c_psi, "
+            f"round(score_mean, 6) as score_mean, round(score_std, 6) as score_std, "
+            f"round(score_mean - 3 * score_std, 6) as threshold from {p}_st")
+
+
+ORACLE["model_reload"] = f"""
+{_FEATS},
+earlier AS (select warehouse_name, usage_date, credits_used, coalesce(residual, 0) as x
+            from dx_out where usage_date < (select d from last) - 14),
+{forest_sql('earlier', 'fe')}
+{_meta_sql('fe', 1)} union all {_meta_sql('fz', 2)}
+"""
+
 ORACLE["forest_train_anomalies"] = f"""
 {_FEATS},
 sc AS (select s.warehouse_name, s.usage_date, t.credits_used, s.x as residual, s.score,
@@ -592,6 +541,13 @@ select warehouse_name, usage_date, credits_used, round(trend, 6) as trend, round
 from flagged
 """
 
+ORACLE["prediction_reload"] = f"""
+{_SCORED}
+select warehouse_name, usage_date, {r6('credits_used')} as credits_used, round(trend, 6) as trend,
+       round(seasonal, 6) as seasonal, round(residual, 6) as residual, round(score, 6) as score, prediction_datetime
+from flagged where is_anomaly
+"""
+
 ORACLE["alert_gate"] = f"""
 {_SCORED}
 select count(*) as n_anomalies, count(*) > 0 as send_alert from flagged where is_anomaly
@@ -599,29 +555,28 @@ select count(*) as n_anomalies, count(*) > 0 as send_alert from flagged where is
 
 ORACLE["anomalies_view"] = f"""
 {_SCORED}
-select m.warehouse_name, m.usage_date, m.credits_used, m.credits_used_compute, m.credits_used_cloud_services,
-       {r6('m.credits_used_sma30')} as credits_used_sma30,
-       {r6('m.credits_used_compute_sma30')} as credits_used_compute_sma30,
-       {r6('m.credits_used_cloud_services_sma30')} as credits_used_cloud_services_sma30,
-       {r6('m.credits_used_std30')} as credits_used_std30,
-       {r6('m.credits_used_compute_std30')} as credits_used_compute_std30,
-       {r6('m.credits_used_cloud_services_std30')} as credits_used_cloud_services_std30,
-       round(o.trend, 6) as trend, round(o.seasonal, 6) as seasonal, round(o.residual, 6) as residual,
+select m.*, round(o.trend, 6) as trend, round(o.seasonal, 6) as seasonal, round(o.residual, 6) as residual,
        round(o.score, 6) as score, o.prediction_datetime, o.score is not null as is_anomaly
-from metrics m left join (select * from flagged where is_anomaly) o
-  on m.warehouse_name = o.warehouse_name and m.usage_date = o.usage_date
+from ({_metrics_out(6)}) m left join (select * from flagged where is_anomaly) o using (warehouse_name, usage_date)
 """
 
-ORACLE["anomaly_report"] = f"""
+_REPORT = f"""
 {_SCORED},
-an AS (select * from flagged where is_anomaly)
-select u.warehouse_name, u.usage_date, u.credits_used, u.credits_used_compute, u.credits_used_cloud_services,
-       round(an.score, 6) as score, an.score is not null as is_anomaly
-from metering_sparse u left join an on u.usage_date = an.usage_date and u.warehouse_name = an.warehouse_name
-where u.usage_date between (select min(usage_date) from an) - 7 and (select max(usage_date) from an) + 7
-  and u.warehouse_name in (select warehouse_name from an)
+an AS (select * from flagged where is_anomaly),
+report AS (select u.warehouse_name, u.usage_date, u.credits_used, u.credits_used_compute, u.credits_used_cloud_services,
+             round(an.score, 6) as score, an.score is not null as is_anomaly
+           from metering_sparse u left join an using (warehouse_name, usage_date)
+           where u.warehouse_name in (select warehouse_name from an)
+             and u.usage_date between (select min(usage_date) - 7 from an) and (select max(usage_date) + 7 from an))
 """
 
+ORACLE["anomaly_report"] = f"{_REPORT} select * from report"
+ORACLE["anomaly_report_text"] = f"""{_REPORT}
+select warehouse_name, usage_date, concat_ws(' | ', warehouse_name, usage_date::varchar, credits_used::varchar,
+         credits_used_compute::varchar, credits_used_cloud_services::varchar,
+         case when score is null then '' else printf('%.6f', score) end, is_anomaly::varchar) as line
+from report"""
+
 ORACLE["warehouses"] = f"""
 {duck_cte('metering_sparse')},
 {_METRICS_BODY},
@@ -648,34 +603,61 @@ from sc where score <= threshold
 
 # ---------------------------------------------------------------- drift
 
-_FILL_SUB = f"""(with metering_long as ({adapter_sql('metering_long', 'duckdb')}),
-{_FILL}
-select warehouse_name, usage_date, credits_used from filled)"""
-
 ORACLE["daily_pivot"] = f"""
-pivot (select usage_date, warehouse_name, cast(credits_used as decimal(38,9)) as credits_used from {_FILL_SUB} f)
-on warehouse_name using first(credits_used) group by usage_date
+{duck_cte('metering_long')},
+{_FILL}
+select usage_date, {", ".join(f"""max(case when warehouse_name = '{n}' then credits_used end) as "{n}\"""" for n in LONG_WAREHOUSES)}
+from filled group by usage_date
 """
 
-ORACLE["usage_drift_stat"] = f"""
+_KS = f"""
 {duck_cte('metering_long')},
 {_FILL},
-s AS (select warehouse_name, cast(credits_used as double) as v,
-             usage_date >= (select max(usage_date) from filled) - 7 as cur from filled),
-e AS (select warehouse_name,
-             sum(cast(cur as bigint)) over p as n2,
-             count(*) over p - sum(cast(cur as bigint)) over p as n1,
-             sum(cast(cur as bigint)) over c as c2,
-             count(*) over c - sum(cast(cur as bigint)) over c as c1
-      from s window p as (partition by warehouse_name),
-                    c as (partition by warehouse_name order by v range between unbounded preceding and current row)),
-kd AS (select warehouse_name, any_value(n1) as n_reference, any_value(n2) as n_current,
-             max(abs(c1 / n1 - c2 / n2)) as ks_d from e group by warehouse_name),
-l AS (select *, ks_d * sqrt(n_reference * n_current / (n_reference + n_current)) as lam from kd)
-select warehouse_name, cast(n_reference as bigint) as n_reference, cast(n_current as bigint) as n_current,
-       round(ks_d, 9) as ks_d,
-       round(case when lam <= 0 then 1.0 else least(1.0, greatest(0.0,
-           2 * list_sum(list_transform(range(1, 101), lambda k: pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam)))))
-       end, 6) as p_value_asymptotic
+sample AS (select warehouse_name, credits_used::double as v,
+             usage_date + 7 >= max(usage_date) over () as is_current from filled),
+sized AS (select warehouse_name, count(*) filter (not is_current) as m, count(*) filter (is_current) as n
+          from sample group by all),
+steps AS (select warehouse_name, v, count(*) filter (not is_current) as a, count(*) filter (is_current) as b
+          from sample group by all),
+gaps AS (select warehouse_name, abs(sum(a) over upto / m - sum(b) over upto / n) as gap
+         from steps join sized using (warehouse_name)
+         window upto as (partition by warehouse_name order by v)),
+ks AS (select warehouse_name, m, n, max(gap) as d from gaps join sized using (warehouse_name) group by all)
+"""
+
+# the limit law from its other series (Jacobi's form), which converges fast for small lambda
+ORACLE["usage_drift_stat"] = f"""{_KS},
+l AS (select *, d * sqrt(m * n / (m + n)) as lam from ks)
+select warehouse_name, m as n_reference, n as n_current, round(d, 9) as ks_d,
+       round(case when lam < 0.05 then 1.0 else greatest(0.0, 1 - sqrt(2 * pi()) / lam * list_sum(list_transform(range(1, 400),
+           lambda k: exp(-pow((2 * k - 1) * pi() / lam, 2) / 8)))) end, 6) as p_value_asymptotic
 from l
 """
+
+# lattice paths inside the band, one anti-diagonal per step
+_EXACT = f"""{_KS},
+band AS (select warehouse_name, greatest(m, n) as big, least(m, n) as small, round(d * lcm(m, n)) * gcd(m, n) as bound from ks),
+walk AS (select band.*, 0 as s, list_transform(range(0, small + 1), lambda y: case when y = 0 then 1.0::double else 0.0::double end) as p
+         from band
+         union all
+         select warehouse_name, big, small, bound, s + 1, list_transform(range(0, small + 1), lambda y:
+             case when s + 1 - y between 0 and big and abs((s + 1 - y) * small - y * big) < bound
+                  then (p[y + 1] * greatest(big - (s + 1 - y) + 1, 0)
+                        + case when y > 0 then p[y] * (small - y + 1) else 0 end) / (big + small - s)
+                  else 0.0::double end)
+         from walk where s < big + small),
+tested AS (select ks.*, least(1.0, greatest(0.0, case when bound <= 0 then 1.0 else 1 - p[small + 1] end)) as p_value
+           from ks join walk using (warehouse_name) where s = big + small)
+"""
+
+ORACLE["usage_drift"] = f"""{_EXACT}
+select warehouse_name, m as n_reference, n as n_current, round(d, 6) as ks_d, round(p_value, 6) as p_value,
+       'ks' as stattest, 0.05::double as threshold, p_value < 0.05 as drift_detected
+from tested
+"""
+
+ORACLE["drift_share"] = f"""{_EXACT}
+select count(*) as n_columns, count(*) filter (p_value < 0.05) as n_drifted, avg((p_value < 0.05)::integer) as drift_share,
+       avg((p_value < 0.05)::integer) >= 0.5 as dataset_drift
+from tested
+"""

@@ -198,9 +198,20 @@ SRC_CURRENCY = _s(
 )
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Project ``df`` onto ``schema``: same names, order and types; missing columns are NULL."""
+def without(schema: T.StructType, *names: str) -> T.StructType:
+    return T.StructType([f for f in schema.fields if f.name not in names])
+
+
+def conform(df: DataFrame, schema: T.StructType, optional: tuple[str, ...] = ()) -> DataFrame:
+    """Project ``df`` onto ``schema``: same names, order and types.
+
+    A missing column is an error, so a source that lost one cannot turn into
+    empty data; only the columns a caller names in ``optional`` are NULL then.
+    """
     cols = set(df.columns)
+    lost = [f.name for f in schema.fields if f.name not in cols and f.name not in optional]
+    if lost:
+        raise ValueError(f"missing columns: {', '.join(lost)}")
     return df.select(*[
         (F.col(f.name) if f.name in cols else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schema.fields

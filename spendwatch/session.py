@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -23,18 +24,19 @@ BASE_CONF = {
 }
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "spendwatch",
+def get_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "spendwatch",
                 extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings above.
 
-    On a cluster leave ``master`` as None so spark-submit decides; tests pass
-    ``local[N]``.
+    On a cluster leave ``master`` and ``shuffle_partitions`` as None so that
+    spark-submit decides; tests pass ``local[N]`` and a number.
     """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -60,7 +62,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):    # local-cluster has executors of its own
             # a machine-local folder would not survive a lost executor
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store)")
         d = tempfile.mkdtemp(prefix="spendwatch-ckpt-", dir=os.environ.get("SPENDWATCH_SCRATCH", "/tmp"))

@@ -175,6 +175,13 @@ ADAPTERS: dict[str, str] = {
     """,
 }
 
+# Driver columns the adapters read
+DRIVER_COLUMNS = {
+    "events": {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double",
+               "props": "string"},
+    "orders": {"o_custkey": "bigint", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"},
+}
+
 # Which driver tables each adapter reads.
 _READS = {
     "metering_src": ("events",),

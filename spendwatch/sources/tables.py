@@ -1,4 +1,4 @@
-"""Table sinks: create, day-partition delete + insert, replace, append, latest model.
+"""Table sinks: create, day-partition replace, replace, append, versions, latest model.
 
 Tables are Parquet folders partitioned by their load key (``usage_date`` for
 the raw metering table, ``ds`` for the reporting tables).  Every writer
@@ -38,49 +38,110 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def delete_partitions(spark: SparkSession, path: str, key: str, values) -> None:
-    """Remove the folders of the given partition values (the DELETE of delete + insert)."""
-    fs, _ = _fs(spark, path)
-    jvm = spark.sparkContext._jvm
-    for v in values:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={v}")
-        if fs.exists(p):
-            fs.delete(p, True)
-
-
 def load_partitions(df: DataFrame, path: str, schema: T.StructType, key: str, values) -> None:
-    """Delete the partitions ``values`` of ``key``, then append ``df`` (which must only
-    hold rows of those partitions).
-
-    This is the reference's delete-then-insert: loading a day whose result is
-    empty leaves that day empty (a dynamic partition overwrite would keep the
-    old rows), and loading a day twice equals loading it once.  The insert is
-    one Spark job; failed tasks are retried by Spark and the job commit is
-    all-or-nothing.
+    """Replace the partitions ``values`` of ``key`` by the rows of ``df``, one folder at a time.
+
+    Each value's ``key=value`` folder is replaced on its own (``overwrite_folder``):
+    loads of different days share nothing and can run at once, and a load that
+    fails leaves the day as it was.  A value without rows
+    ends as an empty folder (a dynamic partition overwrite would keep the old
+    rows).  A row of any other partition fails the load before anything of it
+    is visible; no row is filtered away.
     """
-    spark = df.sparkSession
     values = [str(v) for v in values]
-    delete_partitions(spark, path, key, values)
-    rows = conform(df, schema).where(F.col(key).cast("string").isin(values))
-    rows.write.mode("append").partitionBy(key).parquet(path)
+    rows = conform(df, schema)
+    if len(values) > 1:
+        rows = materialize(rows, "load")          # computed once for all days
+        k = F.col(key).cast("string")
+        foreign = rows.where(k.isNull() | ~k.isin(values)).limit(1).collect()
+        if foreign:
+            raise ValueError(f"rows outside {key} in {values[0]} .. {values[-1]}: {foreign[0][key]}")
+    for v in values:
+        own = F.col(key) == F.lit(v).cast(schema[key].dataType)
+        if len(values) > 1:
+            part = rows.where(own)
+        else:
+            bad = F.raise_error(F.concat(F.lit(f"row outside {key}={v}: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+            part = rows.withColumn(key, F.when(F.coalesce(own, F.lit(False)), F.col(key)).otherwise(bad))
+            part = part.where(F.col(key).isNotNull())   # keeps the check in the plan; the column itself is dropped
+        overwrite_folder(part.drop(key), f"{path}/{key}={v}")
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read a partitioned table back with its declared schema (empty if nothing was written)."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("basePath", path).parquet(path).select(*schema.fieldNames())
 
 
-def replace_table(df: DataFrame, path: str, schema: T.StructType) -> None:
-    """CREATE OR REPLACE TABLE AS SELECT: cast to the declared schema, overwrite."""
-    conform(df, schema).write.mode("overwrite").parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def backfill(df: DataFrame, path: str, schema: T.StructType, key: str) -> None:
+    """First load of a whole history: every day's folder in one job, a day's rows in one file."""
+    conform(df, schema).repartition(key).write.mode("overwrite").partitionBy(key).parquet(path)
+
+
+def has_rows_folder(spark: SparkSession, path: str) -> bool:
+    """Whether the table holds a data file or a partition folder."""
+    fs, p = _fs(spark, path)
+    return fs.exists(p) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(p))
+
+
+def overwrite_folder(df: DataFrame, target: str) -> None:
+    """Replace one folder by the rows of ``df``: write beside, switch, drop the old.
+
+    The new files are complete before the old folder moves away, so a failed
+    write leaves the folder as it was, writers of other folders share nothing
+    with it, and readers miss it only between two renames.  (Spark's own
+    overwrite deletes the folder first.)  Names that begin with an underscore
+    are hidden from readers.
+    """
+    spark = df.sparkSession
+    parent, _, name = target.rstrip("/").rpartition("/")
+    tag = uuid.uuid4().hex[:12]
+    beside, aside = f"{parent}/_new-{tag}-{name}", f"{parent}/_old-{tag}-{name}"
+    fs, p = _fs(spark, target)
+    new, old = _fs(spark, beside)[1], _fs(spark, aside)[1]
+    try:
+        df.write.mode("overwrite").parquet(beside)
+    except Exception:
+        fs.delete(new, True)
+        raise
+    had = fs.exists(p)
+    if had and not fs.rename(p, old):
+        raise OSError(f"cannot move {target} away")
+    if not fs.rename(new, p):
+        raise OSError(f"cannot move the new rows to {target}")
+    if had:
+        fs.delete(old, True)
+
+
+def replace_table(df: DataFrame, path: str, schema: T.StructType, optional: tuple[str, ...] = ()) -> None:
+    """CREATE OR REPLACE TABLE AS SELECT: cast to the declared schema, replace the folder."""
+    overwrite_folder(conform(df, schema, optional), path)
+
+
+def append_table(df: DataFrame, path: str, schema: T.StructType, optional: tuple[str, ...] = ()) -> None:
+    """Append rows (plain INSERT)."""
+    conform(df, schema, optional).write.mode("append").parquet(path)
+
+
+def next_version(spark: SparkSession, path: str, key: str = "model_version") -> int:
+    """One more than the highest ``key=N`` partition of the table; 1 for a new one."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return 1
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return 1 + max([int(n.split("=")[1]) for n in names if n.startswith(f"{key}=")], default=0)
 
 
-def append_table(df: DataFrame, path: str, schema: T.StructType) -> None:
-    """Append rows (the model output table)."""
-    conform(df, schema).write.mode("append").parquet(path)
+def replace_partition(df: DataFrame, path: str, schema: T.StructType, key: str, value) -> None:
+    """Replace one ``key=value`` folder (a model version, a prediction day): a repeat replaces it."""
+    out = df.drop(key).withColumn(key, F.lit(value)) if key in schema.fieldNames() else df
+    overwrite_folder(conform(out, schema).drop(key), f"{path}/{key}={value}")
 
 
 def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
+from ..functions.columns import in_day
 from ..operators.metering import ingest_metering
 from ..sources import tables
 
@@ -25,7 +26,10 @@ def reload_touched_days(batch: DataFrame, source: DataFrame, account: str, table
     days = [r[0] for r in batch.select(F.to_date("end_time").alias("d")).distinct().collect()]  # a few dates
     if not days:
         return []
-    raw = ingest_metering(source.where(F.to_date("end_time").isin(days)), account)
+    touched = F.lit(False)
+    for d in days:                      # ranges on end_time reach the scan; a date function would not
+        touched = touched | in_day("end_time", d)
+    raw = ingest_metering(source.where(touched), account)
     tables.load_partitions(raw, table_path, schemas.RAW_METERING, "usage_date", [str(d) for d in days])
     return days
 

@@ -15,7 +15,8 @@ def _queries(spark, rows):
     cols = ["query_id", "warehouse_name", "end_time", "total_elapsed_time", "queued_overload_time", "query_tag"]
     df = spark.createDataFrame(rows, "query_id string, warehouse_name string, end_time timestamp_ntz, "
                                      "total_elapsed_time long, queued_overload_time long, query_tag string")
-    return schemas.conform(df.select(*cols, F.col("end_time").alias("start_time")), schemas.SRC_QUERY_HISTORY)
+    return schemas.conform(df.select(*cols, F.col("end_time").alias("start_time")), schemas.SRC_QUERY_HISTORY,
+                           tuple(c for c in schemas.SRC_QUERY_HISTORY.fieldNames() if c not in [*cols, "start_time"]))
 
 
 def test_t4_rank_nulls_first_t5_zero_elapsed(spark):
@@ -77,8 +78,8 @@ def test_j16_warnings(spark):
 
 
 def test_cost_shares_sum_to_one(spark):
-    from spendwatch.plans.catalog import _dag_cost
-    dc = _dag_cost(spark, SF)
+    from spendwatch.plans.catalog import q_dag_cost
+    dc = q_dag_cost(spark, SF)
     sums = (dc.groupBy("warehouse_name", "ds")
             .agg(F.sum("warehouse_pct").alias("s"), F.count("*").alias("n"),
                  F.count("total_elapsed_time").alias("nn"))

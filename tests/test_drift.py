@@ -1,5 +1,6 @@
 import datetime as dt
 import itertools
+import math
 
 import numpy as np
 
@@ -54,3 +55,30 @@ def test_exact_p_symmetric_and_monotone():
         ps = [drift.exact_p_value(m, n, d) for d in ds]
         assert all(abs(p - drift.exact_p_value(n, m, d)) < 1e-12 for p, d in zip(ps, ds))
         assert all(a >= b - 1e-15 for a, b in zip(ps, ps[1:]))  # larger D, smaller p
+
+
+def test_short_history_and_stopped_warehouse(spark):
+    """Eight days are one window and nothing before it; a stopped warehouse has no current side."""
+    rows = [("old", D(2024, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(8)]
+    df = spark.createDataFrame(rows, "warehouse_name string, usage_date date, credits_used double")
+    r = drift.usage_drift(df).first()
+    assert (r.n_reference, r.n_current, r.ks_d, r.p_value, r.drift_detected) == (0, 8, None, None, None)
+    rows = [("on", D(2024, 1, 1) + dt.timedelta(days=i), float(i % 5)) for i in range(40)]
+    rows += [("off", D(2024, 1, 1) + dt.timedelta(days=i), 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "warehouse_name string, usage_date date, credits_used double")
+    for exact in (True, False):
+        got = {r.warehouse_name: r for r in drift.usage_drift(df, exact=exact).collect()}
+        assert got["off"].ks_d is None and got["off"].p_value is None and got["on"].p_value > 0.5
+        share = drift.drift_share(drift.usage_drift(df, exact=exact)).first()
+        assert (share.n_columns, share.n_drifted) == (2, 0)
+
+
+def test_limit_of_small_distances(spark):
+    """D = 0.001 with 500 and 500 values: the limiting p-value is 1."""
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(500, 500, d) for d in (0.0, 0.001, 0.012, 0.013, 0.05, 0.1)], "n_reference long, n_current long, ks_d double")
+    got = [r[0] for r in df.orderBy("ks_d").select(drift.asymptotic_p()).collect()]
+    def limit(lam):
+        return 1 - math.sqrt(2 * math.pi) / lam * sum(math.exp(-((2 * k - 1) * math.pi / lam) ** 2 / 8) for k in range(1, 200))
+    want = [1.0] + [limit(d * math.sqrt(250)) for d in (0.001, 0.012, 0.013, 0.05, 0.1)]
+    assert got == [__import__("pytest").approx(w, abs=1e-9) for w in want]

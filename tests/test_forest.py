@@ -21,6 +21,25 @@ def mix(seed, node):
     return ((b * 1103515245 + 12345) % m) / m
 
 
+def drawn(n, psi, tseed):
+    """The positions a tree samples: 0 .. psi - 1 through the seeded permutation of 0 .. n - 1."""
+    k = max(1, math.ceil(math.log2(n)))
+
+    def step(v):
+        for r in (1, 2, 3):
+            v = (v * ((2 * tseed * r + 2 * r + 1) % 2 ** k) + tseed + r) % 2 ** k
+            v ^= v >> ((k + 1) // 2)
+        return v
+
+    out = []
+    for j in range(psi):
+        v = step(j)
+        while v >= n:
+            v = step(v)
+        out.append(v)
+    return out if n > psi else list(range(n))
+
+
 def brute_scores(key, dates, xs, n_trees, max_samples, seed=0):
     """Recursive isolation trees with the same seeded sampling and split draws."""
     n = len(xs)
@@ -28,8 +47,6 @@ def brute_scores(key, dates, xs, n_trees, max_samples, seed=0):
     limit = math.ceil(math.log2(max(psi, 2)))
     paths = np.zeros(n)
     for tree in range(n_trees):
-        order = sorted(range(n), key=lambda i: (hashlib.md5(f"{seed}|{key}|{tree}|{dates[i]}".encode()).hexdigest(),
-                                                dates[i]))
         ts = int(hashlib.md5(f"{seed}|{key}|{tree}".encode()).hexdigest()[:7], 16)
         leaves = []
 
@@ -43,7 +60,7 @@ def brute_scores(key, dates, xs, n_trees, max_samples, seed=0):
             else:
                 leaves.append((lo_b, hi_b, depth + c(len(vals))))
 
-        grow([xs[i] for i in order[:psi]], 1, 0, -math.inf, math.inf)
+        grow([xs[i] for i in drawn(n, psi, ts)], 1, 0, -math.inf, math.inf)
         for i, x in enumerate(xs):
             paths[i] += next(p for lo, hi, p in leaves if lo < x <= hi)
     return 0.5 - 2 ** (-(paths / n_trees) / c(psi))
@@ -133,3 +150,27 @@ def test_m13_latest_model_version(spark):
     rows = spark.createDataFrame([("W", 0.3), ("V", 0.3)], "warehouse_name string, residual double")
     got = {r.warehouse_name: (r.score, r.threshold) for r in forest.score_rows(rows, s, m).collect()}
     assert got["W"] == (0.5 - 2 ** -4.0, -0.9) and got["V"] == (0.5 - 2 ** -2.0, 0.0)
+
+
+def test_draws_are_distinct_positions(spark):
+    """On both sides of the sample size, every tree draws min(n, size) distinct rows of the series."""
+    sizes = spark.createDataFrame([("a", 255), ("b", 256), ("c", 257), ("d", 300), ("e", 5000), ("f", 1)], "warehouse_name string, _n long")
+    got = forest.draw_positions(sizes, "warehouse_name", 20, 256, 0).collect()
+    n = {r.warehouse_name: r._n for r in sizes.collect()}
+    per = {}
+    for r in got:
+        per.setdefault((r.warehouse_name, r.tree_id), []).append(r._pos)
+    for (w, _), pos in per.items():
+        assert len(set(pos)) == len(pos) == min(n[w], 256) and 0 <= min(pos) and max(pos) < n[w]
+    assert all(len(per[(w, t)]) for w in n for t in range(20))
+    # every row of a long series is drawn about equally often
+    import collections
+    hits = collections.Counter(p // 500 for t in range(20) for p in per[("e", t)])
+    assert len(hits) == 10 and max(hits.values()) < 1.3 * min(hits.values())
+
+
+def test_training_fills_missing_days(spark):
+    rows = [("W", D(2024, 1, d), float(d), float(d)) for d in (1, 2, 5)]
+    df = spark.createDataFrame(rows, "warehouse_name string, usage_date date, residual double, credits_used double")
+    fit = forest.train_forest(df, "2024-02-01", n_trees=3)
+    assert sorted((r.usage_date.day, r.residual) for r in fit.scores.collect()) == [(1, 1.0), (2, 2.0), (3, 0.0), (4, 0.0), (5, 5.0)]

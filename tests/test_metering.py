@@ -15,7 +15,7 @@ def _src(spark, rows):
     cols = ["account_name", "service_type", "start_time", "end_time", "warehouse_id", "warehouse_name",
             "credits_used", "credits_used_compute", "credits_used_cloud_services"]
     df = spark.createDataFrame(rows, cols)
-    return schemas.conform(df, schemas.SRC_METERING)
+    return schemas.conform(df, schemas.SRC_METERING, ("organization_name", "region", "account_locator"))
 
 
 def test_calendar_parts(spark):
@@ -117,8 +117,8 @@ def test_usage_by_year_pivot_fills_zero(spark):
     df = spark.createDataFrame([("A", D(2023, 5, 1), Decimal("2")), ("A", D(2024, 1, 1), Decimal("3")),
                                 ("B", D(2024, 2, 1), Decimal("4")), (None, D(2024, 2, 1), Decimal("9"))],
                                "warehouse_name string, usage_date date, credits_used decimal(38,9)")
-    out = {r.year: r for r in metering.usage_by_year(df).collect()}
-    assert sorted(out) == [2023, 2024] and set(metering.usage_by_year(df).columns) == {"year", "A", "B"}
+    out = {r.year: r for r in metering.usage_by_year(df, ["A", "B"]).collect()}
+    assert sorted(out) == [2023, 2024] and set(metering.usage_by_year(df, ["A", "B"]).columns) == {"year", "A", "B"}
     assert out[2023].B == 0 and out[2024].A == 3 and out[2024].B == 4  # no row for B in 2023: 0, NULL name dropped
 
 

@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from spendwatch import schemas
-from spendwatch.operators import metering
+from spendwatch.operators import checks, costs, metering
 from spendwatch.plans import daily
 from spendwatch.sources import tables
 from spendwatch.sources.adapters import source
@@ -47,17 +48,49 @@ def test_scheduled_runs(spark):
     daily.run_preparation(spark, t, START, last)
     metrics = spark.read.parquet(t.metrics_warehouse_metering_history)
 
-    found = daily.run_training(spark, t, before=START + dt.timedelta(days=12), version=1)
+    with pytest.raises(checks.DataValidationFailed, match="calendar"):
+        daily.run_ingestion(src, t, "ACME", START + dt.timedelta(days=60))
+        daily.run_preparation(spark, t, START + dt.timedelta(days=60), START + dt.timedelta(days=60))
+
+    # a training whose answer was lost runs again as the same version; a prediction twice
+    found = daily.run_training(spark, t, before=START + dt.timedelta(days=12))
     assert set(found.columns) >= {"warehouse_name", "usage_date", "score", "threshold"}
+    daily.run_training(spark, t, before=START + dt.timedelta(days=12), version=1)
     assert spark.read.parquet(t.model_meta).count() == n_feat_wh
     report, gate = daily.run_prediction(spark, t, last)
-    names = daily.register_views(spark, t)
-    assert "view_reporting_dag_cost" in names and "view_reporting_anomalies" in names
-    assert spark.sql("select count(*) as n from view_reporting_anomalies").first().n == metrics.count()
-    assert spark.sql("select count(*) as n from view_reporting_dag_cost").first().n > 0
+    once = (report.count(), gate.first())
+    report, gate = daily.run_prediction(spark, t, last)
+    assert (report.count(), gate.first()) == once
     g = gate.first()
     assert g.send_alert == (g.n_anomalies > 0)
-    assert report.count() >= 0
+
+    names = daily.register_views(spark, t)
+    assert len(names) == 5
+    assert spark.sql("select count(*) as n from view_reporting_anomalies").first().n == metrics.count()
+    # the views equal the jobs, and follow later loads by themselves
+    for day in (last, last + dt.timedelta(days=1)):
+        daily.run_reporting(src, t, "ACME", day)
+        q, c = daily.table(spark, t, "reporting_query_history"), daily.table(spark, t, "reporting_warehouse_credits")
+        cost = costs.dag_cost(q, c)
+        delta = costs.dag_cost_delta(cost)
+        wanted = {"view_reporting_dag_cost": cost, "view_reporting_dag_cost_delta": delta,
+                  "view_reporting_dag_cost_warnings": costs.dag_cost_warnings(delta),
+                  "view_reporting_warehouse_credits_delta": costs.warehouse_credits_delta(c)}
+        for name, want in wanted.items():
+            view = spark.table(name)
+            assert sorted(view.columns) == sorted(want.columns), name
+            view = view.select([F.col(x).cast(want.schema[x].dataType) for x in want.columns])
+            assert view.count() == want.count() and view.exceptAll(want).count() == 0, name
+        assert spark.sql("select max(ds) as d from view_reporting_dag_cost_delta").first().d == day
+
+
+def test_views_name_what_is_missing(spark):
+    t = daily.Tables(tables.scratch_path(spark, "empty"))
+    daily.setup(spark, t, START, days=5)
+    assert all(daily.table(spark, t, n).schema.fieldNames() == s.fieldNames() for n, (s, _) in daily.TABLES.items())
+    assert daily.table(spark, t, "common_calendar").count() == 5
+    with pytest.raises(ValueError, match="reporting_query_history"):
+        daily.register_views(spark, t)
 
 
 def test_streaming_reloads_touched_days(spark):

@@ -18,15 +18,19 @@ def test_create_replace_append_latest(spark):
 
     rep = tables.scratch_path(spark, "metrics")
     df = spark.createDataFrame([("W", D(2024, 1, 1), 1.5)], "warehouse_name string, usage_date date, credits_used double")
-    tables.replace_table(df, rep, schemas.METERING_METRICS)
-    tables.replace_table(df.union(df), rep, schemas.METERING_METRICS)
+    rest = tuple(c for c in schemas.METERING_METRICS.fieldNames() if c not in df.columns)
+    with pytest.raises(ValueError, match="missing columns"):
+        tables.replace_table(df, rep, schemas.METERING_METRICS)
+    tables.replace_table(df, rep, schemas.METERING_METRICS, rest)
+    tables.replace_table(df.union(df), rep, schemas.METERING_METRICS, rest)
     back = spark.read.parquet(rep)
     assert back.count() == 2 and back.schema == schemas.METERING_METRICS  # declared types survive a replace
 
     out = tables.scratch_path(spark, "anomalies")
     a = spark.createDataFrame([("W", D(2024, 1, 1), 0.1)], "warehouse_name string, usage_date date, score double")
-    tables.append_table(a, out, schemas.MODEL_OUTPUT_ANOMALIES)
-    tables.append_table(a, out, schemas.MODEL_OUTPUT_ANOMALIES)
+    rest = tuple(c for c in schemas.MODEL_OUTPUT_ANOMALIES.fieldNames() if c not in a.columns)
+    tables.append_table(a, out, schemas.MODEL_OUTPUT_ANOMALIES, rest)
+    tables.append_table(a, out, schemas.MODEL_OUTPUT_ANOMALIES, rest)
     assert spark.read.parquet(out).count() == 2
 
     models = spark.createDataFrame([("A", 1, 0.1), ("A", 2, 0.2), ("B", 1, 0.3)],
@@ -46,11 +50,11 @@ def test_completeness_gate_raises(spark):
 def test_pivot_rejects_duplicates(spark):
     ok = spark.createDataFrame([(D(2024, 1, 1), "A", 1.0), (D(2024, 1, 1), "B", 2.0)],
                                "usage_date date, warehouse_name string, credits_used double")
-    row = drift.daily_pivot(ok).first()
+    row = drift.daily_pivot(ok, ["A", "B"]).first()
     assert (row.A, row.B) == (1.0, 2.0)
     dup = ok.union(ok.limit(1))
     with pytest.raises(Exception):
-        drift.daily_pivot(dup).collect()
+        drift.daily_pivot(dup, ["A", "B"]).collect()
 
 
 def test_report_lines(spark):
@@ -62,7 +66,10 @@ def test_report_lines(spark):
     assert rep.count() == 15  # day 3 .. day 17
     assert rep.where("is_anomaly").count() == 1
     lines = anomalies.report_text(rep).where(F.col("usage_date") == F.lit("2024-01-10").cast("date")).first().line
-    assert lines == "W | 2024-01-10 | 1.0 | true"
+    assert lines == "W | 2024-01-10 | 1.0 | 1.0 | 0.0 | -0.2 | true"
+    body = anomalies.report_body(rep).first().body.split("\n")
+    assert len(body) == 16 and body[0].startswith("warehouse_name | usage_date") and body[8] == lines
+    assert anomalies.report_body(rep.where("false")).count() == 0  # nothing to send without an anomaly
 
 
 def test_source_probe(spark):
@@ -72,13 +79,75 @@ def test_source_probe(spark):
 
     from .conftest import SF
     rows = REGISTRY["source_check"](spark, SF).collect()
-    assert rows and all(r.present and r.type_ok for r in rows)
+    assert rows and all(r.present and r.type_ok and r.n_rows > 0 for r in rows)
+    lost = spark.read.parquet(f"{SF}/events.parquet").drop("value").withColumn("user_id", F.lit("x"))
+    got = {r.column_name: (r.present, r.type_ok) for r in
+           checks.check_sources({"events": (lost, {"value": "double", "user_id": "bigint", "ts": "timestamp_ntz"})}).collect()}
+    assert got == {"value": (False, False), "user_id": (True, False), "ts": (True, True)}
     bad = spark.createDataFrame([(1,)], "warehouse_name int")
     want = T.StructType([T.StructField("warehouse_name", T.StringType()), T.StructField("credits_used", T.DoubleType())])
     got = {r.column_name: (r.present, r.type_ok) for r in checks.check_source(spark, "x", bad, want).collect()}
     assert got == {"warehouse_name": (True, False), "credits_used": (False, False)}
 
 
+def day_rows(spark, days):
+    return spark.createDataFrame([(f"W{i}", D(2024, 1, d)) for i, d in enumerate(days)], "warehouse_name string, ds date").selectExpr(
+        "warehouse_name", "cast(1 as decimal(38,9)) as warehouse_credits", "cast(1 as decimal(38,0)) as total_time_elapsed",
+        "cast(2 as decimal(38,9)) as effective_rate", "ds")
+
+
+def loaded(spark, path):
+    return sorted((r.ds.day, r.warehouse_name) for r in tables.read_table(spark, path, schemas.WAREHOUSE_CREDITS).collect())
+
+
+def test_a_row_of_another_day_fails_the_load(spark):
+    path = tables.scratch_path(spark, "foreign")
+    s = schemas.WAREHOUSE_CREDITS
+    tables.load_partitions(day_rows(spark, [1, 1]), path, s, "ds", ["2024-01-01"])
+    for days, want in (([1, 2], ["2024-01-01"]), ([1, 2, 3], ["2024-01-01", "2024-01-02"])):
+        with pytest.raises(Exception, match="row"):
+            tables.load_partitions(day_rows(spark, days), path, s, "ds", want)
+    with pytest.raises(Exception, match="row"):
+        tables.load_partitions(day_rows(spark, [1]).withColumn("ds", F.lit(None).cast("date")), path, s, "ds", ["2024-01-01"])
+    assert loaded(spark, path) == [(1, "W0"), (1, "W1")]
+    tables.load_partitions(day_rows(spark, []), path, s, "ds", ["2024-01-01"])
+    assert loaded(spark, path) == []
+
+
+def test_overlapping_loads_of_different_days(spark):
+    """A slow load that fails half-way shows nothing, while other days load beside it."""
+    from concurrent.futures import ThreadPoolExecutor
+    path, s = tables.scratch_path(spark, "overlap"), schemas.WAREHOUSE_CREDITS
+    slow = day_rows(spark, [1] * 4).repartition(4, "warehouse_name").withColumn("warehouse_credits", F.expr(
+        "case when warehouse_name = 'W3' then cast(raise_error(concat('lost ', cast(reflect('java.lang.Thread', 'activeCount') as string))) as decimal(38,9)) else warehouse_credits end"))
+    with ThreadPoolExecutor(5) as pool:
+        bad = pool.submit(tables.load_partitions, slow, path, s, "ds", ["2024-01-01"])
+        good = [pool.submit(tables.load_partitions, day_rows(spark, [d]), path, s, "ds", [f"2024-01-0{d}"]) for d in (2, 3, 4, 5)]
+        [g.result() for g in good]
+        with pytest.raises(Exception):
+            bad.result()
+    assert [d for d, _ in loaded(spark, path)] == [2, 3, 4, 5]
+
+
+def test_backfill_equals_day_loads(spark):
+    a, b, s = tables.scratch_path(spark, "bulk"), tables.scratch_path(spark, "days"), schemas.WAREHOUSE_CREDITS
+    rows = day_rows(spark, [1, 2, 2, 3])
+    tables.backfill(rows, a, s, "ds")
+    tables.load_partitions(rows, b, s, "ds", ["2024-01-01", "2024-01-02", "2024-01-03"])
+    assert loaded(spark, a) == loaded(spark, b) and len(loaded(spark, a)) == 4
+
+
+def test_versions_are_replaced_not_repeated(spark):
+    path, s = tables.scratch_path(spark, "versions"), schemas._s(("x", schemas.T.LongType()), ("model_version", schemas.T.LongType()))
+    assert tables.next_version(spark, path) == 1
+    one = spark.range(3).selectExpr("id as x")
+    for v in (1, 2, 2):
+        tables.replace_partition(one, path, s, "model_version", v)
+    assert tables.next_version(spark, path) == 3
+    back = tables.read_table(spark, path, s)
+    assert sorted((r.model_version, r.x) for r in back.collect()) == [(v, i) for v in (1, 2) for i in range(3)]
+
+
 def test_alert_gate(spark):
     none = spark.createDataFrame([], "warehouse_name string, usage_date date, score double")
     g = anomalies.alert_gate(none).first()
