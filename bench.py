@@ -23,13 +23,9 @@ def main() -> None:
 
     from spendwatch.plans.catalog import REGISTRY
     from spendwatch.session import get_session
+    from spendwatch.sources import tables
 
-    # small but CPU-heavy stages (windows over the daily series, tree levels)
-    # would be coalesced into one task by the 1 MB default: let AQE keep them
-    # spread over the cores
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus),
-                        extra={"spark.driver.memory": "16g",
-                               "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB"})
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus), extra={"spark.driver.memory": "16g"})
     names = only or list(REGISTRY)
     # warm-up: JVM, Parquet readers, codegen caches
     REGISTRY["ingest_metering"](spark, sf_dir).write.format("noop").mode("overwrite").save()
@@ -43,6 +39,7 @@ def main() -> None:
     sf = os.path.basename(sf_dir).replace("sf", "")
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf, "cpus": cpus}))
+    tables.drop_stages(spark)
     spark.stop()
 
 

@@ -19,9 +19,25 @@ from ..schemas import conform
 from ..session import ensure_checkpoint_dir
 
 
+def stage_root(spark: SparkSession) -> str:
+    """The application's own folder under the shared checkpoint location."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder for a stage of this application."""
+    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Remove every stage this application wrote; call it when its results are stored or read.
+
+    A stage may be read by the result that a job returns, so jobs cannot do
+    this themselves.  An application that died leaves its folder, named after
+    its id, for the owner of the checkpoint location.
+    """
+    fs, p = _fs(spark, stage_root(spark))
+    fs.delete(p, True)
 
 
 def create_table(spark: SparkSession, name: str, schema: T.StructType, path: str,
@@ -170,5 +186,11 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if STAGE_PLANS is not None:
+        STAGE_PLANS.append((name, df._jdf.queryExecution().executedPlan().toString()))
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+# (stage, physical plan) of every stage while a list stands here (the plan report sets one)
+STAGE_PLANS: list | None = None

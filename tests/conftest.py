@@ -15,6 +15,8 @@ def spark():
     s = get_session("local[4]", shuffle_partitions=8,
                     extra={"spark.checkpoint.dir": scratch, "spark.sql.warehouse.dir": scratch + "/wh"})
     yield s
+    from spendwatch.sources import tables
+    tables.drop_stages(s)
     s.stop()
 
 
