@@ -65,10 +65,13 @@ CONTENT = frozenset(["article", "main"])
 
 
 class Node:
-    __slots__ = ("tag", "cut", "name", "kids")
+    """An element: ``kids`` are elements and texts in order; after parsing ``els`` has the elements,
+    ``text`` the own text, ``own`` its words; ``path`` keeps the region path of an exemplar."""
+
+    __slots__ = ("tag", "cut", "name", "kids", "els", "text", "own", "path")
 
     def __init__(self, tag, cut=False, name=""):
-        self.tag, self.cut, self.name, self.kids = tag, cut, name, []
+        self.tag, self.cut, self.name, self.kids, self.path = tag, cut, name, [], None
 
 
 class _Builder(HTMLParser):
@@ -150,42 +153,44 @@ def parse(html: str) -> Node:
 
 
 def _pruned(root: Node) -> Node:
-    """Without cut elements and white space; recursion-free."""
+    """Without cut elements, with the derived fields; recursion-free."""
     todo = [root]
     while todo:
         node = todo.pop()
-        node.kids = [k for k in node.kids if (isinstance(k, str) or not k.cut)]
-        todo += [k for k in node.kids if not isinstance(k, str)]
+        node.kids = [k for k in node.kids if isinstance(k, str) or not k.cut]
+        node.els = [k for k in node.kids if not isinstance(k, str)]
+        words = " ".join([k for k in node.kids if isinstance(k, str)]).split()
+        node.text, node.own = " ".join(words), len(words)
+        todo += node.els
     return root
 
 
-def _elements(node: Node) -> list[Node]:
-    return [k for k in node.kids if not isinstance(k, str)]
-
-
-def _text(node: Node) -> str:
-    return " ".join(" ".join(k for k in node.kids if isinstance(k, str)).split())
-
-
 def match(a: Node, b: Node, depth: int = 0, memo: dict | None = None) -> int:
     """Simple tree matching: size of the largest order-preserving matching of equal tags."""
     if a.tag != b.tag:
         return 0
+    x, y = a.els, b.els
+    if not x or not y or depth >= 60:
+        return 1
     memo = {} if memo is None else memo
     key = (id(a), id(b))
     if key not in memo:
-        x, y = _elements(a), _elements(b)
-        memo[key] = 1 + (_table(x, y, depth, memo)[-1][-1] if x and y and depth < 60 else 0)
+        memo[key] = 1 + _table(x, y, depth, memo)[-1][-1]
     return memo[key]
 
 
 def _table(x, y, depth, memo):
     rows = [[0] * (len(y) + 1)]
+    tags = [q.tag for q in y]
     for p in x:
-        last, row, best = rows[-1], [0], 0
-        for j, q in enumerate(y):
-            w = last[j] + match(p, q, depth + 1, memo) if p.tag == q.tag else 0
-            best = max(best, last[j + 1], w)
+        last, row, best, leaf, tag = rows[-1], [0], 0, not p.els, p.tag
+        for j, other in enumerate(tags):
+            if other == tag:
+                w = last[j] + (1 if leaf else match(p, y[j], depth + 1, memo))
+                if w > best:
+                    best = w
+            if last[j + 1] > best:
+                best = last[j + 1]
             row.append(best)
         rows.append(row)
     return rows
@@ -197,10 +202,9 @@ def align(a: Node, b: Node, same: set, memo: dict | None = None) -> None:
     todo = [(a, b, 0)]
     while todo:
         p, q, depth = todo.pop()
-        if _text(p) == _text(q):
+        if p.text == q.text:
             same.add(id(p))
-        x, y = _elements(p), _elements(q)
-        # equal ends align with each other; the rest by dynamic programming
+        x, y = p.els, q.els
         if len(x) * len(y) > MATCH_CELLS or depth >= 60:
             todo += [(u, v, depth + 1) for u, v in _in_order(x, y)]
             continue
@@ -229,10 +233,6 @@ def _in_order(x, y):
             j = k + 1
 
 
-def _own_length(node: Node) -> int:
-    return sum(len(k.split()) for k in node.kids if isinstance(k, str))
-
-
 def region(root: Node, constant: set) -> tuple[tuple, Node]:
     """(path, node) of the subtree that gathers the varying text, article and main elements first."""
     mass: dict[int, int] = {}
@@ -241,12 +241,13 @@ def region(root: Node, constant: set) -> tuple[tuple, Node]:
     while todo:
         node, path = todo.pop()
         order.append((node, path))
-        todo += [(k, path + (k.tag + ("." + k.name if k.name else ""),)) for k in _elements(node)]
+        todo += [(k, path + (k.tag + ("." + k.name if k.name else ""),)) for k in node.els]
     for node, _ in reversed(order):
-        own = _own_length(node)
-        kids = _elements(node)
-        whole[id(node)] = own + sum(whole[id(k)] for k in kids)
-        mass[id(node)] = (0 if id(node) in constant else own) + sum(mass[id(k)] for k in kids)
+        w, m = node.own, 0 if id(node) in constant else node.own
+        for k in node.els:
+            w += whole[id(k)]
+            m += mass[id(k)]
+        whole[id(node)], mass[id(node)] = w, m
     for tag in ("article", "main"):
         named = [(node, path) for node, path in order if node.tag == tag]
         if named:
@@ -254,7 +255,7 @@ def region(root: Node, constant: set) -> tuple[tuple, Node]:
             return path, node
     node, path = root, ("html",)
     while True:
-        inner = [k for k in _elements(node) if k.tag in BLOCK and k.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")]
+        inner = [k for k in node.els if k.tag in BLOCK and k.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")]
         best = max(inner, key=lambda k: (mass[id(k)], whole[id(k)]), default=None)
         if best is None or 5 * mass[id(best)] < 4 * mass[id(node)] or not whole[id(best)]:
             return path, node
@@ -264,7 +265,7 @@ def region(root: Node, constant: set) -> tuple[tuple, Node]:
 def _find(root: Node, path: tuple) -> Node | None:
     found = [root]
     for step in path[1:]:
-        found = [k for n in found for k in _elements(n) if k.tag + ("." + k.name if k.name else "") == step]
+        found = [k for n in found for k in n.els if k.tag + ("." + k.name if k.name else "") == step]
     return found[0] if found else None
 
 
@@ -308,21 +309,22 @@ def extract(html: str, exemplars: list[Node]) -> str:
     while todo:
         n = todo.pop()
         nodes.append(n)
-        total += _own_length(n)
-        todo += _elements(n)
+        total += n.own
+        todo += n.els
     votes: Counter = Counter()
     common: set | None = None
     informative = 0
     for e in exemplars:
         same: set = set()
         align(page, e, same)
-        equal = sum(_own_length(n) for n in nodes if id(n) in same)
+        equal = sum(n.own for n in nodes if id(n) in same)
         if equal > NEAR_COPY * total:
             continue
         informative += 1
         common = same if common is None else common & same
-        path, _ = region(e, set())
-        votes[path] += 1
+        if e.path is None:
+            e.path = region(e, set())[0]
+        votes[e.path] += 1
     constant = {i for i in common or ()} if informative >= 2 else set()
     path, node = region(page, constant)
     votes[path] += 1

@@ -10,7 +10,7 @@ import re
 import pytest
 
 from spendwatch.llm import html_wrapper, warc
-from spendwatch.llm.html_wrapper import Node, align, extract, match, parse
+from spendwatch.llm.html_wrapper import align, extract, match, parse
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -19,7 +19,7 @@ def expected(page):
     """Main text of the given pages, whose article holds one heading and paragraphs."""
     body = re.search(r"<article>(.*?)</article>", page or "", re.S)
     parts = re.split(r"</?(?:h\d|p|ul|li|div|blockquote)\b[^>]*>", body[1]) if body else []
-    parts = [" ".join(H.unescape(re.sub(r"<[^>]*>", " " if False else "", re.sub(r"<br\s*/?>", "\n", p))).split()) for p in parts]
+    parts = [" ".join(H.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", "\n", p))).split()) for p in parts]
     return "\n\n".join(p for p in parts if p)
 
 
@@ -61,7 +61,7 @@ def test_matching_against_the_definition():
     def plain(a, b):
         if a.tag != b.tag:
             return 0
-        x, y = html_wrapper._elements(a), html_wrapper._elements(b)
+        x, y = a.els, b.els
 
         def best(i, j):
             if i == len(x) or j == len(y):
