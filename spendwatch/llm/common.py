@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
 
-__all__ = ["materialize", "WORD_GAP", "TRIM", "small_side", "read"]
+__all__ = ["materialize", "WORD_GAP", "TRIM", "small_side", "release", "read"]
 
 # white space between words: space and the ASCII controls 9..13 (fixed values)
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -27,5 +29,15 @@ def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs whose result is written.
+
+    They go when the driver collects the plans that made them, which it would
+    do by itself only much later; the stages of a long operator would pile up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")

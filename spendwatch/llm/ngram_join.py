@@ -5,18 +5,24 @@ d = (1 - t) / (1 + t) * (|A| + |B|) shingles, and the larger is at most 1 / t
 times the smaller.  Sizes fall into bands [lo, lo / t]; a set joins its own
 band and, as the smaller side, the next one.  Within a band a sketch XORs the
 hash of every shingle into one of p = d + r pieces.  A differing shingle
-touches one piece, so linked sets agree in r pieces at least (pigeonhole), and
-r is chosen above the number of pieces that are empty: agreeing pieces with
-content become join keys.  A set with r or more empty pieces is dealt out anew
-with the next seed as well; two linked sets that share no key in one seed both
-do so, hence no link is lost.
-
-Equal sets are one class throughout.  Each task first joins its own rows, so a
-key holds one set per batch when it is shuffled.  Sets that share keys form
+touches one piece, so linked sets agree in r pieces at least (pigeonhole).
+r is chosen above the usual number of empty pieces, so linked sets agree in a
+piece with content; those pieces become join keys.  A set with r or more empty
+pieces is dealt out anew with the next seed as well; two linked sets that share
+no key in one seed both do so, hence no link is lost.
+
+A piece whose shingles are all common (found in several texts of a bounded
+sample) would tie texts that only share a passage.  A set with fewer than r
+such or empty pieces leaves them out: of r agreeing pieces one is left, and its
+partner has the same piece.  Any other set sends all its pieces.  The sample
+only decides which keys are sent, never which links are found.
+
+Equal sets are one class throughout.  Each task first joins some 300,000 keys at
+a time among themselves, so a key holds one set per such run when it is shuffled.  Sets that share keys form
 candidate groups; within a group, bit sketches (one bit flipped per shingle)
 give Hamming distances, which never exceed the symmetric difference, and pairs
 within the bound are verified on the shingles themselves.  A large group is cut
-into blocks: blocks are joined within themselves, then only sets outside the
+by size and into blocks: blocks are joined within themselves, then only sets outside the
 group's largest linked component meet the other blocks.  Only spanning links
 leave a task, never all pairs.
 
@@ -37,13 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, small_side
+from .common import materialize, release, small_side
 from .components import connected_components
-from .words import SPACED, Words, chunks, mix, shingle_sets
+from .words import SPACED, Words, chunks, give_back, mix, shingle_sets
 
 BLOCK_SETS = 1024            # sets of a block
 BLOCK_SHINGLES = 1_500_000   # shingles of a block
 SEEDS = 16
+SAMPLE, COMMON = 20_000, 2   # texts of the sample, and how many of them make a shingle common
+KEYS_AT_ONCE = 300_000     # keys that a task joins among themselves before it sends them
 _U = np.uint64
 
 
@@ -82,11 +90,15 @@ def fingerprints(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(n == 0, _U(0), np.where(out == 0, _U(1), out))
 
 
-def join_keys(sets: np.ndarray, bounds: np.ndarray, ids: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(key, id) of every non-empty piece of the sets' sketches."""
+def join_keys(sets: np.ndarray, bounds: np.ndarray, ids: np.ndarray, bands: Bands,
+              common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(key, id) of the pieces of the sets' sketches; ``common`` are sorted shingles that many texts have."""
     sizes = np.diff(bounds)
     bands.reach(int(sizes.max(initial=0)))
     lo, pieces, spare = (np.array(x, np.int64) for x in (bands.lo, bands.pieces, bands.spare))
+    rare = np.ones(len(sets), bool)
+    if common is not None and len(common):
+        rare = common[np.minimum(np.searchsorted(common, sets), len(common) - 1)] != sets
     own = np.searchsorted(lo, sizes, side="right") - 1
     keys, owners = [], []
     for band in (own, own + 1):
@@ -109,12 +121,16 @@ def join_keys(sets: np.ndarray, bounds: np.ndarray, ids: np.ndarray, bands: Band
             value = np.bitwise_xor.reduceat(h[order], begin)
             filled = cell[begin]
             row = np.searchsorted(base, filled, side="right") - 1
+            few = p - np.bincount(row, minlength=len(rows))
+            telling = np.logical_or.reduceat(rare[at][order], begin)
+            plain = p - np.bincount(row[telling], minlength=len(rows)) >= spare[band[rows]]
+            sent = telling | plain[row]
+            value, filled, row = value[sent], filled[sent], row[sent]
             tag = (band[rows][row] * SEEDS + seed).astype(_U) * _U(0xD6E8FEB86659FD93) + (filled - base[row]).astype(_U)
             keys.append(mix(value + mix(tag)))
             owners.append(ids[rows][row])
-            empty = p - np.bincount(row, minlength=len(rows))
             active = np.zeros(len(sizes), bool)
-            active[rows[empty >= spare[band[rows]]]] = True
+            active[rows[few >= spare[band[rows]]]] = True
         rest = np.flatnonzero(active)             # empty pieces in every seed: one key for all of the band
         keys.append(mix(band[rest].astype(_U) + _U(0x7F4A7C159E3779B9)))
         owners.append(ids[rest])
@@ -161,22 +177,50 @@ def _set_rows(k: int):
                 n[first:end], ids[first:end] = np.diff(at), fingerprints(sets, at)
             cols = [b.column(0), b.column(1), pa.array(n), pa.array(ids.view(np.int64), mask=ids == 0)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n", "fp"])
+        give_back()
     return run
 
 
-def _key_rows(k: int, num: int, den: int):
+def common_shingles(d: DataFrame, rows: int, k: int) -> np.ndarray:
+    """Sorted shingles found in ``COMMON`` or more texts of a sample of about ``SAMPLE`` of the ``rows`` texts."""
+    share = min(1.0, SAMPLE / max(rows, 1))
+    sample = d.where(F.pmod(F.xxhash64("th"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("text")
+
+    def run(batches):
+        for b in batches:
+            for _, _, data, bounds in chunks(b.column(0)):
+                sets, _ = shingle_sets(Words(data, bounds, SPACED), k)
+                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64))], names=["s"])
+        give_back()
+
+    # at most 1 / COMMON of the sample's shingles, whatever the table
+    found = sample.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= COMMON).select("s")
+    return np.sort(found.toArrow().column(0).to_numpy().view(_U))
+
+
+def _key_rows(k: int, num: int, den: int, common):
+    def rows(keys, ids):
+        key, i = reduce_keys(np.concatenate(keys), np.concatenate(ids))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(i.view(np.int64))], names=["key", "id"])
+
     def run(batches):
         bands = Bands(num, den)
+        frequent = common.value if common is not None else None
+        keys, ids, n = [], [], 0
         for b in batches:
-            keys, ids = [np.zeros(0, _U)], [np.zeros(0, _U)]
             for _, _, data, bounds in chunks(b.column(0)):
                 sets, at = shingle_sets(Words(data, bounds, SPACED), k)
-                found = join_keys(sets, at, fingerprints(sets, at), bands)
+                found = join_keys(sets, at, fingerprints(sets, at), bands, frequent)
                 keys.append(found[0])
                 ids.append(found[1])
-            key, i = reduce_keys(np.concatenate(keys), np.concatenate(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(i.view(np.int64))],
-                                             names=["key", "id"])
+                n += len(found[0])
+                if n > KEYS_AT_ONCE:
+                    yield rows(keys, ids)
+                    keys, ids, n = [], [], 0
+        if keys:
+            yield rows(keys, ids)
+        del keys, ids
+        give_back()
     return run
 
 
@@ -249,17 +293,20 @@ def _verifier(k: int, num: int, den: int):
         now, group = None, []
         out: list[tuple[int, int]] = []
         for b in batches:
-            for *key, side, label, i, text in zip(*[c.to_pylist() for c in b.columns]):
-                if key != now:
-                    if len(group) > 1:
-                        out += links(group, bands)
-                    now, group = key, []
-                group.append((side, label, i, text))
+            for lo in range(0, b.num_rows, 500):
+                for *key, side, label, i, text in zip(*[c.slice(lo, 500).to_pylist() for c in b.columns]):
+                    if key != now:
+                        if len(group) > 1:
+                            out += links(group, bands)
+                        now, group = key, []
+                    group.append((side, label, i, text))
             yield _edges(out)
             out = []
         if len(group) > 1:
             out += links(group, bands)
         yield _edges(out)
+        group.clear()
+        give_back()
     return run
 
 
@@ -280,17 +327,28 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     classes = materialize(rows.where("fp is not null").groupBy("fp").agg(
         F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "th")).alias("rep"), F.max("n").alias("n")), "classes")
 
-    keys = d.select("text").mapInArrow(_key_rows(k, num, den), "key long, id long")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(d, rows.count(), k))
+    keys = d.select("text").mapInArrow(_key_rows(k, num, den, common), "key long, id long")
     met = keys.withColumn("least", F.min("id").over(Window.partitionBy("key"))).where("least <> id")
     groups = connected_components(met.select(F.col("id").alias("a"), F.col("least").alias("b")))
     member = materialize(groups.join(classes, F.col("node") == F.col("fp")).select(
         F.col("component").alias("g"), "fp", "rep", "n"), "members")
-
-    # blocks of a group; most groups are one block
-    sizes = member.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("s")).withColumn(
-        "blocks", F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("s") / BLOCK_SHINGLES)).cast("int"))
-    member = materialize(member.join(sizes.select("g", "blocks"), "g").select(
-        "*", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")), "blocks")
+    release(docs.sparkSession)
+
+    # blocks of a group; most groups are one block.  A larger one is split by size first: a set joins
+    # its own size band and the next, so sets of very different sizes never meet
+    def with_blocks(df):
+        sizes = df.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+        blocks = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("s") / BLOCK_SHINGLES)).cast("int")
+        return df.join(sizes.select("g", blocks.alias("blocks")), "g")
+
+    member = materialize(with_blocks(member), "groups")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.0001 * math.log(den / num)))
+    split = member.where("blocks > 1").select(
+        F.explode(F.array(band, band + 1)).alias("b"), F.col("g").alias("whole"), "fp", "rep", "n").select(
+        F.xxhash64("whole", "b").alias("g"), "fp", "rep", "n")
+    member = member.where("blocks = 1").unionByName(with_blocks(split).select(member.columns))
+    member = materialize(member.select("*", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")), "blocks")
     wanted = member.select(F.col("rep.doc_id").alias("__id"), F.col("rep.th").alias("__th"), "g", "fp", "blocks", "block")
     # texts move once, to their group's row, whatever the number of groups
     texts = d.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
@@ -302,16 +360,19 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     links = materialize(linked(texts.select(
         F.col("g").alias("g1"), F.col("block").alias("g2"), F.lit(0).alias("g3"), F.lit(0).alias("side"),
         F.col("fp").alias("label"), F.col("fp").alias("id"), "text")), "links")
+    release(docs.sparkSession)
     found = connected_components(links)
     many = member.where("blocks > 1")
     if many.limit(1).count():
         label = many.join(found, F.col("fp") == F.col("node"), "left").select(
-            "g", "fp", "rep", "block", "blocks", F.coalesce("component", "fp").alias("label"))
+            "g", "fp", "rep", "n", "block", "blocks", F.coalesce("component", "fp").alias("label"))
         label = materialize(label, "labels")
         top = label.groupBy("g", "label").agg(F.count("*").alias("m")).groupBy("g").agg(
             F.max(F.struct("m", "label")).alias("top")).select("g", F.col("top.label").alias("top"))
         label = label.join(top, "g").withColumn("out", F.col("label") != F.col("top"))
-        outs = label.where("out").groupBy("g").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("strips"))
+        # as many strips as the outside sets fill blocks
+        outs = label.where("out").groupBy("g").agg(F.ceil(F.greatest(
+            F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("strips"))
         label = materialize(label.join(outs, "g").withColumn("strip", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("strips"))
                                                              .cast("int")), "outside")
         cross = label.select(
@@ -331,6 +392,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     own = materialize(own, "own")
     ids = own.groupBy("c").agg(F.min("first").alias("component_id"))
     named = materialize(own.join(ids, "c").select(F.col("fp").alias("__fp"), "component_id"), "named")
+    release(docs.sparkSession)
     out = rows.join(small_side(named), F.col("fp") == F.col("__fp"), "left")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "fp",
                       F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -8,6 +8,7 @@ in Python.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -67,6 +68,14 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+def give_back() -> None:
+    """Return a finished task's memory to the system: workers wait for the next task, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 class Words:
     """Words of a chunk: ``hash``, ``doc`` (text number), byte ``start`` and ``end``; ``first`` word of each text."""
 

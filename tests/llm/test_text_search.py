@@ -111,6 +111,16 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert got(ngram_join.jaccard_components(frame(spark, texts))) == want
 
 
+def test_texts_that_share_a_passage(spark):
+    """A passage in every text ties none of them, and near copies among them still link."""
+    rnd = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{a} {passage} {b}" for a, b in zip(near_copies(40, 60, 2, 21), near_copies(40, 60, 2, 22))]
+    texts += [" ".join(f"u{rnd.randrange(10**6)}" for _ in range(200)) + " " + passage for _ in range(150)]
+    for k, num, den in ((3, 90, 100), (5, 80, 100)):
+        assert got(ngram_join.jaccard_components(frame(spark, texts), k, num, den)) == components(list(enumerate(texts)), k, num, den)
+
+
 def test_odd_rows(spark):
     texts = ODD + ["p q r s t", "p q r s t"]
     rows = [(None if i == 4 else i, t, "c") for i, t in enumerate(texts)] + [(15, "p q r s t", "c")]
@@ -145,8 +155,11 @@ def test_no_key_is_lost_in_sparse_sketches():
                 ids = np.array([1, 2], np.uint64)
                 if set(sets[0].tolist()) == set(sets[1].tolist()):
                     continue
-                key, own = ngram_join.join_keys(np.concatenate(sets), at, ids, bands)
-                assert set(key[own == 1].tolist()) & set(key[own == 2].tolist()), (num, n)
+                # whatever is held to be common: nothing, some of one set, or all of both
+                some = np.sort(rnd.choice(sets[0], max(1, n // 3), replace=False))
+                for common in (None, some, np.unique(np.concatenate(sets))):
+                    key, own = ngram_join.join_keys(np.concatenate(sets), at, ids, bands, common)
+                    assert set(key[own == 1].tolist()) & set(key[own == 2].tolist()), (num, n)
 
 
 def contamination(rows, items):
