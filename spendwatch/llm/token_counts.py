@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 400_000       # distinct pieces kept by a worker
+MEMO = 500_000       # distinct pieces in each of a worker's two generations
 CHUNK = 200_000      # pieces looked up at once
+GROUP_CHARS = 1 << 20
+MARKS = frozenset(b".,;:!?")
 
 _COUNTERS: dict = {}
 
@@ -35,7 +37,11 @@ def default_tokenizer() -> str:
 
 
 class PieceCounter:
-    """Token count of white-space pieces by the library, with a bounded memo."""
+    """Token count of white-space pieces (bytes) by the library, with a bounded memo.
+
+    The memo has two generations: a full one becomes the old one, from which
+    pieces that occur again move up, so frequent pieces are never encoded anew.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,33 +49,50 @@ class PieceCounter:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.memo: dict[str, int] = {}
+        self.memo: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
+        self.mark = {m: len(self.tok.encode(chr(m), add_special_tokens=False)) for m in MARKS}
 
-    def learn(self, pieces) -> None:
-        new = [p for p in set(pieces) if p not in self.memo]
+    def learn(self, pieces: set[bytes]) -> None:
+        new = pieces - self.memo.keys()
         if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = list(set(pieces))
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[p] = len(e)
-
-    def counts(self, pieces: list[str]) -> list[int]:
+            self.old, self.memo, new = self.memo, {}, pieces
+        memo, unseen, marked = self.memo, set(), []
+        for p in new:
+            n = self.old.get(p)
+            if n is not None:
+                memo[p] = n
+                continue
+            # letters with one mark behind are two pre-tokens, and case is dropped: "Word," counts as "word" and ","
+            mark = p[-1] if p[-1] in MARKS else 0
+            core = (p[:-1] if mark else p).lower()
+            if core.isalpha():
+                marked.append((p, core, mark))
+                if core not in memo:
+                    unseen.add(core)
+            else:
+                unseen.add(p)
+        todo = list(unseen)
+        for i in range(0, len(todo), 10_000):
+            part = todo[i:i + 10_000]
+            texts = [p.decode("utf-8", "replace") for p in part]
+            for p, e in zip(part, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+                memo[p] = len(e)
+        for p, core, mark in marked:
+            memo[p] = memo[core] + (self.mark[mark] if mark else 0)
+
+    def counts(self, pieces: list[bytes]) -> list[int]:
         out: list[int] = []
         for i in range(0, len(pieces), CHUNK):
             part = pieces[i:i + CHUNK]
-            self.learn(part)
+            self.learn(set(part))
             out.extend(map(self.memo.__getitem__, part))
         return out
 
     def prefix_table(self, text: str | None) -> tuple[list[int], list[int]]:
         """(end offset of each piece, exact token count of the text up to that end)."""
-        pieces, ends, at = split(text or ""), [], 0
-        for p in pieces:
-            at = (text or "").index(p, at) + len(p)
-            ends.append(at)
-        return ends, list(accumulate(self.counts(pieces)))
+        pieces = split(text or "")
+        return _table(text or "", pieces, self.counts(pieces))
 
     def at(self, text: str, table: tuple[list[int], list[int]], i: int) -> int:
         """Exact count of ``text[:i]``; only the piece that ``i`` cuts is looked at."""
@@ -85,13 +108,9 @@ class PieceCounter:
         return table[0][k - 1] if k else 0
 
 
-def split(text: str) -> list[str]:
-    """Pieces between spaces and ASCII controls 9..13."""
-    return text.translate(_GAPS).split(" ") if not text.isascii() else text.encode().translate(_BYTES).decode().split()
-
-
-_GAPS = {9: 32, 10: 32, 11: 32, 12: 32, 13: 32}
-_BYTES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+def split(text: str) -> list[bytes]:
+    """Pieces between spaces and ASCII controls 9..13, which is what ``bytes.split`` takes as gaps."""
+    return text.encode().split()
 
 
 def _counter(path: str) -> PieceCounter:
@@ -114,17 +133,14 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", path: str | None = Non
         counter = _counter(path)
         for b in batches:
             texts = b.column(1)
-            rows = []
-            # documents in groups, so that the memo is asked for many pieces at once
-            group, size = [], 0
+            rows: list = []
+            group, size = [], 0          # texts in groups, so that the memo is asked for many pieces at once
             for i in range(b.num_rows):
-                t = texts[i].as_py() or ""
-                group.append((t, split(t)))
-                size += len(group[-1][1])
-                if size >= CHUNK:
+                group.append(texts[i].as_py() or "")
+                size += len(group[-1])
+                if size >= GROUP_CHARS or i + 1 == b.num_rows:
                     rows += _rows(counter, group, budget, prefixes)
                     group, size = [], 0
-            rows += _rows(counter, group, budget, prefixes)
             cols = list(zip(*rows)) if rows else [()] * (5 if prefixes else 3)
             arrays = [b.column(0)] + [pa.array(c, pa.int64()) for c in cols[:3]]
             if prefixes:
@@ -134,26 +150,26 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", path: str | None = Non
     return docs.select(F.col(doc_id), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def _rows(counter: PieceCounter, group, budget: int, prefixes: bool):
-    pieces = [p for _, ps in group for p in ps if p]
-    n = counter.counts(pieces)
+def _rows(counter: PieceCounter, texts: list[str], budget: int, prefixes: bool):
+    raw = [t.encode() for t in texts]
+    pieces = [r.split() for r in raw]
+    n = counter.counts([p for ps in pieces for p in ps])
     at, out = 0, []
-    for text, ps in group:
-        ps = [p for p in ps if p]
+    for text, r, ps in zip(texts, raw, pieces):
         counts = n[at:at + len(ps)]
         at += len(ps)
         total = sum(counts)
-        n_bytes = len(text) if text.isascii() else len(text.encode())
-        need = prefixes or total > budget
-        ends, table = _table(text, ps, counts) if need else ([], [])
-        fit = len(text) if total <= budget else (lambda k: ends[k - 1] if k else 0)(bisect_right(table, budget))
-        out.append((n_bytes, total, fit) + ((ends, table) if prefixes else ()))
+        ends, table = _table(text, ps, counts) if prefixes or total > budget else ([], [])
+        k = bisect_right(table, budget)
+        fit = len(text) if total <= budget else ends[k - 1] if k else 0
+        out.append((len(r), total, fit) + ((ends, table) if prefixes else ()))
     return out
 
 
-def _table(text: str, pieces: list[str], counts: list[int]) -> tuple[list[int], list[int]]:
+def _table(text: str, pieces: list[bytes], counts: list[int]) -> tuple[list[int], list[int]]:
     ends, at = [], 0
     for p in pieces:
-        at = text.index(p, at) + len(p)
+        s = p.decode()
+        at = text.index(s, at) + len(s)
         ends.append(at)
     return ends, list(accumulate(counts))
