@@ -320,6 +320,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     Documents link when den * |A and B| >= num * |A or B| over their ``k``-word shingles.
     """
+    return _components(docs, k, num, den, doc_id).drop("c")
+
+
+def _components(docs: DataFrame, k: int, num: int, den: int, doc_id: str) -> DataFrame:
+    """The rows of ``jaccard_components`` with ``c``, the class that names the component (null without words).
+
+    ``component_id`` is for readers: components share one where an id is null or repeated, ``c`` never.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -391,11 +399,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         "fp", "first", F.coalesce("component", "fp").alias("c"))
     own = materialize(own, "own")
     ids = own.groupBy("c").agg(F.min("first").alias("component_id"))
-    named = materialize(own.join(ids, "c").select(F.col("fp").alias("__fp"), "component_id"), "named")
+    named = materialize(own.join(ids, "c").select(F.col("fp").alias("__fp"), "c", "component_id"), "named")
     release(docs.sparkSession)
     out = rows.join(small_side(named), F.col("fp") == F.col("__fp"), "left")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "fp",
-                      F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+                      F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "c")
 
 
 def linked_two(both: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -410,8 +418,8 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id:
 
     Documents without words have no near copies and stay.
     """
-    c = jaccard_components(docs, k, num, den, doc_id)
-    first = c.where("fp is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("keep"))
+    c = _components(docs, k, num, den, doc_id)
+    first = c.where("fp is not null").groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("keep"))
     first = first.select(F.col("keep.doc_id").alias("__id"), F.col("keep.th").alias("__th"))
     empty = c.where("fp is null").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
     keep = materialize(first.unionByName(empty), "keep")

@@ -133,6 +133,17 @@ def test_odd_rows(spark):
     assert ids[15] == 1 and ids[16] == 0 and ids[0] == ids[1] == ids[2] == 1 and ids[6] == 0 and ids[5] == 1
 
 
+def test_null_and_repeated_ids_keep_unrelated_texts(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(f"u{rnd.randrange(10 ** 6)}" for _ in range(40)) for _ in range(12)]
+    rows = [(None, t, i) for i, t in enumerate(texts[:8])] + [(1, texts[8], 8), (1, texts[9], 9), (2, texts[9] + " end", 10)]
+    rows += [(3, texts[10], 11), (None, texts[11], 12), (4, texts[11], 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    kept = ngram_join.keep_one(df).collect()
+    assert len(kept) == 12 and {r.n for r in kept} >= {*range(10), 11}
+    assert ngram_join.jaccard_components(df).columns == ["doc_id", "th", "n_shingles", "fp", "component_id"]
+
+
 def test_no_key_is_lost_in_sparse_sketches():
     """Every linked pair shares a key, for sizes around the band limits."""
     rnd = np.random.default_rng(5)
