@@ -8,7 +8,8 @@ of each source are its exact quota.  A binary tree splits the quotas among
 output shards: at each node the left half's share of every source is drawn
 from the multivariate hypergeometric law, sources one after another, so every
 quota is used up exactly and shards differ by one block at most.  A shard
-takes disjoint runs of the permuted blocks and is shuffled locally by a hash.
+takes disjoint runs of the permuted blocks and is shuffled locally by a hash:
+``mix_documents`` returns shard after shard, each in the order of a seeded hash.
 
 All draws come from md5 of seeds, so reruns agree.  The tables that grow are
 only ever grouped or joined by (source, block); windows run over 1,024 blocks
@@ -197,11 +198,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", shards:
     out = out.join(small_side(cut.distinct(), cut_n),
                    (F.col("source_no") == F.col("__c")) & (F.col("u") == F.col("__u"))
                    & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
-    out = out.withColumn("times", F.when(F.col("size") == 0, 0).otherwise(
-        F.col("whole") + F.when((F.col("extra_copy") == 2) | F.col("__c").isNotNull(), 1).otherwise(0)).cast("int"))
-    out = out.withColumn("shards", F.when(F.col("times") > 0, F.expr("""
-        transform(sequence(0, times - 1), t -> get(filter(spans, x ->
-          t * blocks + block >= x.lo and t * blocks + block < x.hi), 0).shard)""")))
+    # a copy counts when a shard drew its block copy; of the boundary block only documents before the cut have one
+    out = out.withColumn("shards", F.when(F.col("size") > 0, F.expr("""
+        filter(transform(filter(sequence(0, whole), t -> t < whole or extra_copy = 2 or __c is not null), t ->
+          get(filter(spans, x -> t * blocks + block >= x.lo and t * blocks + block < x.hi), 0).shard),
+          s -> s is not null)""")))
+    out = out.withColumn("times", F.coalesce(F.array_size("shards"), F.lit(0)).cast("int"))
+    out = out.withColumn("shards", F.when(F.col("times") > 0, F.col("shards")))
     return out.select("doc_id", "source", "size", "source_size", "target", "times",
                       (F.col("times") * F.col("size")).cast("long").alias("taken"), "shards")
 
@@ -209,11 +212,20 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", shards:
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """The mixed rows: every column of ``docs``, each row as often as the mix takes it.
 
-    The number of copies is decided per (doc_id, source); rows of size 0 are not taken.
+    Rows come shard by shard, inside a shard in the order of a seeded hash.  The
+    copies are decided per (doc_id, source); rows of size 0 are not taken.
     """
-    m = mix(docs, doc_id, source).groupBy("doc_id", "source").agg(F.max("times").alias("__times"))
-    m = m.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), "__times").where("__times > 0")
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
-                    F.col(doc_id).alias("__a"), F.col(source).alias("__b"), n_words(F.col("text")).alias("__n"))
+    return place(docs, doc_id, source).orderBy("shard", "position").select("__row.*")
+
+
+def place(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", shards: int = SHARDS,
+          block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per copy: ``__row`` with the columns of ``docs``, the ``shard`` that drew it, its ``position`` there."""
+    m = mix(docs, doc_id, source, shards, block_words).where("times > 0")
+    m = m.groupBy("doc_id", "source").agg(F.max("shards").alias("__shards"))
+    m = m.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), "__shards")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(doc_id).alias("__a"),
+                    F.col(source).alias("__b"), n_words(F.col("text")).alias("__n"), F.xxhash64("text").alias("__t"))
     d = d.where("__n > 0").join(m, F.col("__a").eqNullSafe(F.col("__id")) & F.col("__b").eqNullSafe(F.col("__src")))
-    return d.select("__row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")
+    d = d.select("__row", "__a", "__t", F.posexplode("__shards").alias("__copy", "shard"))
+    return d.select("__row", "shard", unit_hash(F.lit("place"), "shard", "__copy", "__a", "__t").alias("position"))

@@ -113,6 +113,28 @@ def test_mix(which, request):
     assert out.columns == df.columns
 
 
+def test_mixed_rows_come_by_shard_in_hash_order(docs):
+    at = [r.shards for r in source_mix.mix(docs).collect() if r.shards]
+    placed = source_mix.place(docs).select("__row.doc_id", "shard", "position").collect()
+    assert collections.Counter(s for x in at for s in x) == collections.Counter(r.shard for r in placed)
+    assert len({r.position for r in placed}) == len(placed)
+    want = [r.doc_id for r in sorted(placed, key=lambda r: (r.shard, r.position))]
+    assert want != sorted(want)
+    for df in (docs, docs.repartition(5)):
+        assert [r.doc_id for r in source_mix.mix_documents(df).collect()] == want
+
+
+def test_taken_follows_the_tree(docs, monkeypatch):
+    whole = source_mix.split_quotas
+    monkeypatch.setattr(source_mix, "split_quotas", lambda q, n: whole(q, n).where("shard <> 3"))
+    got = source_mix.mix(docs).collect()
+    assert all(3 not in (r.shards or []) and len(r.shards or []) == r.times for r in got)
+    assert all(r.taken == r.times * r.size for r in got)
+    full = {r.doc_id: r.taken for r in got}
+    monkeypatch.setattr(source_mix, "split_quotas", whole)
+    assert sum(full.values()) < sum(r.taken for r in source_mix.mix(docs).collect())
+
+
 def test_quota_tree_uses_every_block(spark):
     q = [1000.0, 0.0, 3.0, 77.0, 50_000.0]
     got = source_mix.split_quotas(spark.createDataFrame([(q,)], "q array<double>"), 8).collect()
