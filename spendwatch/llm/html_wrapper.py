@@ -17,9 +17,9 @@ below ``BROADCAST_BYTES``, and joined by host otherwise.
 Defined cases: null or empty html gives an empty text; a page without a host
 or alone on it is judged by its own tree; exemplars that nearly equal the page
 give no evidence; broken markup is repaired by the usual closing rules; child
-lists whose product is above ``MATCH_CELLS`` are aligned in order instead of by
-dynamic programming; repeated rows are extracted each; an empty table gives an
-empty result; other columns are ignored.
+lists of every length and depth are matched exactly, in linear space; repeated
+rows are extracted each; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from .common import materialize, small_side
 
 EXEMPLARS = 3
 BROADCAST_BYTES = 16 << 20
-MATCH_CELLS = 40_000
+TABLE_CELLS = 40_000   # larger tables are halved; the matching is the same
 NEAR_COPY = 0.5      # an exemplar with more than this share of the page's text is no evidence
 TREES = 64           # hosts whose parsed exemplars a worker keeps
 
@@ -66,9 +66,10 @@ CONTENT = frozenset(["article", "main"])
 
 class Node:
     """An element: ``kids`` are elements and texts in order; after parsing ``els`` has the elements,
-    ``text`` the own text, ``own`` its words; ``path`` keeps the region path of an exemplar."""
+    ``text`` the own text, ``own`` its words, ``shape`` a hash of the tags below, ``size`` their number;
+    ``path`` keeps the region path of an exemplar."""
 
-    __slots__ = ("tag", "cut", "name", "kids", "els", "text", "own", "path")
+    __slots__ = ("tag", "cut", "name", "kids", "els", "text", "own", "shape", "size", "path")
 
     def __init__(self, tag, cut=False, name=""):
         self.tag, self.cut, self.name, self.kids, self.path = tag, cut, name, [], None
@@ -154,83 +155,132 @@ def parse(html: str) -> Node:
 
 def _pruned(root: Node) -> Node:
     """Without cut elements, with the derived fields; recursion-free."""
-    todo = [root]
+    todo, order = [root], []
     while todo:
         node = todo.pop()
+        order.append(node)
         node.kids = [k for k in node.kids if isinstance(k, str) or not k.cut]
         node.els = [k for k in node.kids if not isinstance(k, str)]
         words = " ".join([k for k in node.kids if isinstance(k, str)]).split()
         node.text, node.own = " ".join(words), len(words)
         todo += node.els
+    for node in reversed(order):
+        node.size = 1 + sum(k.size for k in node.els)
+        node.shape = hash((node.tag, *[k.shape for k in node.els]))
     return root
 
 
-def match(a: Node, b: Node, depth: int = 0, memo: dict | None = None) -> int:
-    """Simple tree matching: size of the largest order-preserving matching of equal tags."""
+def match(a: Node, b: Node, memo: dict | None = None) -> int:
+    """Simple tree matching: size of the largest order-preserving matching of equal tags, at every size and depth."""
+    memo = {} if memo is None else memo
     if a.tag != b.tag:
         return 0
-    x, y = a.els, b.els
-    if not x or not y or depth >= 60:
-        return 1
-    memo = {} if memo is None else memo
-    key = (id(a), id(b))
-    if key not in memo:
-        memo[key] = 1 + _table(x, y, depth, memo)[-1][-1]
-    return memo[key]
+    todo = [(a, b)]
+    while todo:
+        p, q = todo[-1]
+        if _known(p, q, memo) is not None:
+            todo.pop()
+            continue
+        head, x, y, tail = _trimmed(p.els, q.els)
+        by: dict = {}
+        for v in {v.shape: v for v in y}.values():
+            by.setdefault(v.tag, []).append(v)
+        need = [(u, v) for u in {u.shape: u for u in x}.values() for v in by.get(u.tag, ())
+                if _known(u, v, memo) is None]
+        if need:
+            todo += need
+            continue
+        todo.pop()
+        same = sum(u.size for u in p.els[:head]) + sum(u.size for u in p.els[len(p.els) - tail:])
+        memo[p.shape, q.shape] = 1 + same + (_last_row(x, y, memo)[-1] if x and y else 0)
+    return _known(a, b, memo)
 
 
-def _table(x, y, depth, memo):
-    rows = [[0] * (len(y) + 1)]
-    tags = [q.tag for q in y]
+def _known(a: Node, b: Node, memo: dict) -> int | None:
+    if a.tag != b.tag:
+        return 0
+    if a.shape == b.shape:
+        return a.size
+    return memo.get((a.shape, b.shape)) if a.els and b.els else 1
+
+
+def _trimmed(x: list, y: list) -> tuple[int, list, list, int]:
+    """(head, x, y, tail): the lists without their equal heads and tails, which a largest matching can always pair."""
+    n, head, tail = min(len(x), len(y)), 0, 0
+    while head < n and x[head].shape == y[head].shape:
+        head += 1
+    while tail < n - head and x[-1 - tail].shape == y[-1 - tail].shape:
+        tail += 1
+    return head, x[head:len(x) - tail], y[head:len(y) - tail], tail
+
+
+def _rows(x, y, memo):
+    """The rows of the matching table, one at a time; weights are looked up once per pair of shapes."""
+    weights: dict = {}
+    last = [0] * (len(y) + 1)
+    yield last
     for p in x:
-        last, row, best, leaf, tag = rows[-1], [0], 0, not p.els, p.tag
-        for j, other in enumerate(tags):
-            if other == tag:
-                w = last[j] + (1 if leaf else match(p, y[j], depth + 1, memo))
-                if w > best:
-                    best = w
+        if p.shape not in weights:
+            of = {v.shape: match(p, v, memo) for v in {v.shape: v for v in y}.values()}
+            weights[p.shape] = [of[v.shape] for v in y]
+        row, best = [0], 0
+        for j, w in enumerate(weights[p.shape]):
+            if w and last[j] + w > best:
+                best = last[j] + w
             if last[j + 1] > best:
                 best = last[j + 1]
             row.append(best)
-        rows.append(row)
-    return rows
+        last = row
+        yield last
 
 
-def align(a: Node, b: Node, same: set, memo: dict | None = None) -> None:
-    """Adds to ``same`` the ids of nodes of ``a`` whose own text equals that of their partner in ``b``."""
-    memo = {} if memo is None else memo
-    todo = [(a, b, 0)]
+def _last_row(x, y, memo) -> list:
+    for last in _rows(x, y, memo):
+        pass
+    return last
+
+
+def pairs(x: list, y: list, memo: dict):
+    """The pairs of a largest matching of two child lists: one table where it is small, else halves (Hirschberg)."""
+    todo = [(x, y)]
     while todo:
-        p, q, depth = todo.pop()
-        if p.text == q.text:
-            same.add(id(p))
-        x, y = p.els, q.els
-        if len(x) * len(y) > MATCH_CELLS or depth >= 60:
-            todo += [(u, v, depth + 1) for u, v in _in_order(x, y)]
+        x, y = todo.pop()
+        head, u, v, tail = _trimmed(x, y)
+        yield from zip(x[:head], y[:head])
+        yield from zip(x[len(x) - tail:], y[len(y) - tail:])
+        if not u or not v:
             continue
-        if not x or not y:
+        if len(u) > 1 and len(u) * len(v) > TABLE_CELLS:
+            mid = len(u) // 2
+            left, right = _last_row(u[:mid], v, memo), _last_row(u[mid:][::-1], v[::-1], memo)
+            cut = max(range(len(v) + 1), key=lambda j: left[j] + right[len(v) - j])
+            todo += [(u[:mid], v[:cut]), (u[mid:], v[cut:])]
             continue
-        rows = _table(x, y, depth, memo)
-        i, j = len(x), len(y)
+        rows = list(_rows(u, v, memo))
+        i, j = len(u), len(v)
         while i and j:
             if rows[i][j] == rows[i - 1][j]:
                 i -= 1
             elif rows[i][j] == rows[i][j - 1]:
                 j -= 1
             else:
-                todo.append((x[i - 1], y[j - 1], depth + 1))
+                yield u[i - 1], v[j - 1]
                 i, j = i - 1, j - 1
 
 
-def _in_order(x, y):
-    j = 0
-    for p in x:
-        k = j
-        while k < len(y) and y[k].tag != p.tag:
-            k += 1
-        if k < len(y):
-            yield p, y[k]
-            j = k + 1
+def partners(a: Node, b: Node):
+    """(node of ``a``, its partner in ``b``) of a largest matching."""
+    memo: dict = {}
+    todo = [(a, b)] if a.tag == b.tag else []
+    while todo:
+        p, q = todo.pop()
+        yield p, q
+        todo += pairs(p.els, q.els, memo)
+
+
+def align(a: Node, b: Node, same: set) -> None:
+    """Adds to ``same`` the ids of nodes of ``a`` whose own text equals that of their partner in ``b``."""
+    same.update(id(p) for p, q in partners(a, b) if p.text == q.text)
 
 
 def region(root: Node, constant: set) -> tuple[tuple, Node]:

@@ -77,6 +77,25 @@ def test_matching_against_the_definition():
     assert same
 
 
+def test_long_and_deep_pages_are_matched_exactly(monkeypatch):
+    story = lambda k, n: "".join(f"<p>s{k} {j}" for j in range(n))
+    page = lambda k, n, d: parse("<div>" * d + f"<div>{story(k, n)}<p>House <i>rules</i>{story(-k, n)}</div>")
+    for n, d in ((20, 0), (150, 0), (5, 80)):
+        a, b, same = page(1, n, d), page(2, n + 7, d), set()
+        align(a, b, same)
+        todo, found = [a], {}
+        while todo:
+            node = todo.pop()
+            found[node.text] = node
+            todo += node.els
+        assert id(found["rules"]) in same
+        assert id(found["s1 1"]) not in same
+        assert match(a, b) == match(b, a) == sum(1 for _ in html_wrapper.partners(a, b))
+        monkeypatch.setattr(html_wrapper, "TABLE_CELLS", 10)
+        assert match(a, b) == sum(1 for _ in html_wrapper.partners(a, b))
+        monkeypatch.undo()
+
+
 def test_cut_parts_and_markup():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="page">
     <header>Site head</header><nav><a>Menu</a></nav><div class="cookie-notice">We use cookies</div>
