@@ -3,12 +3,12 @@
 Pages of one host are aligned with up to ``EXEMPLARS`` pages of that host by
 simple tree matching on their DOM trees (same tag, children matched in order,
 largest total).  Text that is the same in every aligned exemplar is template;
-varying slots are content.  The subtree that gathers the varying text, voted by
-the page and its exemplars, is the host's content region.  An ``article`` or
-``main`` element is preferred as region and then kept whole, as its own words
-may well be shared with other pages; in any other region template text is
-dropped.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are cut by element, role and class name first.
+varying slots are content.  The outermost ``article`` and ``main`` elements, all
+of them, are kept whole, as their words may well be shared with other pages; on
+pages without one all text but the template's is kept.  Menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments are cut
+by element, role and class name first, but no element that holds the article,
+and none that holds most of the text for a form or a part of its name.
 
 Every page is extracted from its whole html; exemplars only tell template from
 content.  The exemplars of all hosts are broadcast when their measured size is
@@ -25,7 +25,7 @@ are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter, OrderedDict
+from collections import OrderedDict
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -60,6 +60,10 @@ CUT_NAMES = frozenset("ad ads adv advert adverts advertisement advertising spons
                       "notices notification popup modal overlay comment comments commentlist reply replies disqus "
                       "respond share sharing social related recommended newsletter subscribe subscription signup login "
                       "toolbar pagination pager widget".split())
+# class words that name a part also inside a longer name ("ad-box"); the others may describe a wrapper ("has-sidebar")
+PART_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr "
+                       "comment comments commentlist disqus newsletter".split())
+NEVER = frozenset("head title script style noscript template iframe object embed svg canvas audio video".split())
 HEAD_NAMES = frozenset("header masthead".split())
 CONTENT = frozenset(["article", "main"])
 
@@ -69,14 +73,14 @@ class Node:
     ``text`` the own text, ``own`` its words, ``shape`` a hash of the tags below, ``size`` their number;
     ``path`` keeps the region path of an exemplar."""
 
-    __slots__ = ("tag", "cut", "name", "kids", "els", "text", "own", "shape", "size", "path")
+    __slots__ = ("tag", "cut", "name", "kids", "els", "text", "own", "shape", "size")
 
-    def __init__(self, tag, cut=False, name=""):
-        self.tag, self.cut, self.name, self.kids, self.path = tag, cut, name, [], None
+    def __init__(self, tag, cut=0, name=""):
+        self.tag, self.cut, self.name, self.kids = tag, cut, name, []
 
 
 class _Builder(HTMLParser):
-    """Tree of elements and texts; cut elements stay as childless nodes."""
+    """Tree of elements and texts; cut elements are marked."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -131,19 +135,28 @@ class _Builder(HTMLParser):
 _TOKENS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
-def _is_cut(tag: str, at: dict, inside: bool) -> bool:
+def _is_cut(tag: str, at: dict, inside: bool) -> int:
+    """0: kept; 1: cut unless it holds most of the page's text; 2: cut; 3: never text.  See ``_pruned`` for 1 and 2."""
+    if tag in NEVER:
+        return 3
     if tag in CUT or tag == "header" and not inside:
-        return True
+        return 1 if tag in ("form", "fieldset") else 2
     if not at or tag in CONTENT or tag == "body":
-        return False
-    if "hidden" in at or at.get("aria-hidden") == "true" or (at.get("role") or "").lower() in CUT_ROLES:
-        return True
+        return 0
+    if "hidden" in at or at.get("aria-hidden") == "true":
+        return 3
+    if (at.get("role") or "").lower() in CUT_ROLES:
+        return 1 if at["role"].lower() == "form" else 2
+    cut = 0
     for key in ("class", "id"):
         if at.get(key):
+            whole = {t.lower() for t in at[key].split()}
             names = {t.lower() for t in _TOKENS.findall(at[key])}
-            if names & CUT_NAMES or not inside and names & HEAD_NAMES:
-                return True
-    return False
+            if whole & CUT_NAMES or names & PART_NAMES or not inside and whole & HEAD_NAMES:
+                return 2
+            if not inside and names & (CUT_NAMES | HEAD_NAMES):
+                cut = 1
+    return cut
 
 
 def parse(html: str) -> Node:
@@ -154,15 +167,44 @@ def parse(html: str) -> Node:
 
 
 def _pruned(root: Node) -> Node:
-    """Without cut elements, with the derived fields; recursion-free."""
+    """Without cut elements, with the derived fields; recursion-free.
+
+    An element with an article or main is not cut while none stands outside cut elements, and
+    one that is cut for a form or a part of its name is not cut when it holds most of the text.
+    """
+    order, todo = [], [(root, False)]
+    free = False                  # an article or main outside cut elements
+    while todo:
+        node, below = todo.pop()
+        order.append(node)
+        free |= node.tag in CONTENT and not below
+        todo += [(k, below or k.cut > 0) for k in node.kids if not isinstance(k, str) and k.cut < 3]
+    words: dict = {}              # words outside parts that are cut for certain, and whether there is an article or main
+    for node in reversed(order):
+        n, holds = 0, node.tag in CONTENT
+        for k in node.kids:
+            if isinstance(k, str):
+                n += len(k.split())
+            elif k.cut < 3:
+                n += words[id(k)][0] if k.cut < 2 else 0
+                holds |= words[id(k)][1]
+        words[id(node)] = n, holds
+    total = words[id(root)][0]
+
+    def kept(k):
+        if not k.cut or k.cut == 3:
+            return not k.cut
+        n, holds = words[id(k)]
+        return holds and not free or k.cut == 1 and 2 * n > total
+
     todo, order = [root], []
     while todo:
         node = todo.pop()
         order.append(node)
-        node.kids = [k for k in node.kids if isinstance(k, str) or not k.cut]
+        node.kids = [k for k in node.kids if isinstance(k, str) or kept(k)]
         node.els = [k for k in node.kids if not isinstance(k, str)]
-        words = " ".join([k for k in node.kids if isinstance(k, str)]).split()
-        node.text, node.own = " ".join(words), len(words)
+        own = " ".join([k for k in node.kids if isinstance(k, str)]).split()
+        node.text, node.own = " ".join(own), len(own)
         todo += node.els
     for node in reversed(order):
         node.size = 1 + sum(k.size for k in node.els)
@@ -283,40 +325,16 @@ def align(a: Node, b: Node, same: set) -> None:
     same.update(id(p) for p, q in partners(a, b) if p.text == q.text)
 
 
-def region(root: Node, constant: set) -> tuple[tuple, Node]:
-    """(path, node) of the subtree that gathers the varying text, article and main elements first."""
-    mass: dict[int, int] = {}
-    whole: dict[int, int] = {}
-    order, todo = [], [(root, ("html",))]
+def regions(root: Node) -> list[Node]:
+    """All outermost article and main elements in page order, the root if there is none."""
+    out, todo = [], [root]
     while todo:
-        node, path = todo.pop()
-        order.append((node, path))
-        todo += [(k, path + (k.tag + ("." + k.name if k.name else ""),)) for k in node.els]
-    for node, _ in reversed(order):
-        w, m = node.own, 0 if id(node) in constant else node.own
-        for k in node.els:
-            w += whole[id(k)]
-            m += mass[id(k)]
-        whole[id(node)], mass[id(node)] = w, m
-    for tag in ("article", "main"):
-        named = [(node, path) for node, path in order if node.tag == tag]
-        if named:
-            node, path = max(named, key=lambda x: (mass[id(x[0])], whole[id(x[0])], -len(x[1])))
-            return path, node
-    node, path = root, ("html",)
-    while True:
-        inner = [k for k in node.els if k.tag in BLOCK and k.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")]
-        best = max(inner, key=lambda k: (mass[id(k)], whole[id(k)]), default=None)
-        if best is None or 5 * mass[id(best)] < 4 * mass[id(node)] or not whole[id(best)]:
-            return path, node
-        node, path = best, path + (best.tag + ("." + best.name if best.name else ""),)
-
-
-def _find(root: Node, path: tuple) -> Node | None:
-    found = [root]
-    for step in path[1:]:
-        found = [k for n in found for k in n.els if k.tag + ("." + k.name if k.name else "") == step]
-    return found[0] if found else None
+        node = todo.pop()
+        if node.tag in CONTENT:
+            out.append(node)
+        else:
+            todo += reversed(node.els)
+    return out or [root]
 
 
 def blocks(node: Node, constant: set) -> list[str]:
@@ -361,7 +379,6 @@ def extract(html: str, exemplars: list[Node]) -> str:
         nodes.append(n)
         total += n.own
         todo += n.els
-    votes: Counter = Counter()
     common: set | None = None
     informative = 0
     for e in exemplars:
@@ -372,16 +389,8 @@ def extract(html: str, exemplars: list[Node]) -> str:
             continue
         informative += 1
         common = same if common is None else common & same
-        if e.path is None:
-            e.path = region(e, set())[0]
-        votes[e.path] += 1
     constant = {i for i in common or ()} if informative >= 2 else set()
-    path, node = region(page, constant)
-    votes[path] += 1
-    if node.tag not in CONTENT:
-        path, n = max(votes.items(), key=lambda x: (x[1], x[0] == path))
-        node = (_find(page, path) if n > 1 else None) or node
-    return "\n\n".join(blocks(node, set() if node.tag in CONTENT else constant))
+    return "\n\n".join(t for n in regions(page) for t in blocks(n, set() if n.tag in CONTENT else constant))
 
 
 class _Trees:

@@ -108,6 +108,26 @@ def test_cut_parts_and_markup():
         "A <b> é€", "One two threefour", "five six, seven", "eight", "nine", "ten", "eleven", "twelve thirteen"])
 
 
+@pytest.mark.parametrize("wrap", ["div class='content has-sidebar'", "div class='no-sidebar'", "div id=nav-layout", "form",
+                                  "div class='sidebar'", "div class='page widget'"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_wrappers_and_blocks_are_not_cut(wrap, tag):
+    if tag == "div" and "sidebar'" == wrap[-8:] and "-" not in wrap or tag == "div" and "widget" in wrap:
+        pytest.skip("a whole name says what it is where no article stands")
+    end = wrap.split()[0]
+    page = (f"<body><nav>Menu</nav><{wrap}><{tag}><h1>Head</h1><p>one two three<div class=notice-text>four</div>"
+            f"<div class='social-history'>five six seven eight</div></{tag}></{end}><div class=comments>no</div></body>")
+    want = "Head\n\none two three\n\nfour\n\nfive six seven eight"
+    assert extract(page, []) == (want if tag == "article" else "Head\n\none two three")
+
+
+def test_every_article_and_block_stays():
+    two = "<main><h1>T</h1><article>a</article><p>x</p></main><article>b</article><aside><article>teaser</article></aside>"
+    assert extract(two, []) == "T\n\na\n\nx\n\nb"
+    body = " ".join(f"w{i}" for i in range(100))
+    assert extract(f"<div><h2>Title</h2><p>Lead</p><div>{body}</div><p>Last</p></div>", []) == f"Title\n\nLead\n\n{body}\n\nLast"
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "text only", "<article>", "</div></p>x", "<p>a<p>b", "<b>" * 3000 + "x",
                                   "<div>" * 3000 + "x", "<article>" + "<p>y" * 5000, "<a href=\"q>z</a>", "&#xFFFFFFF; &bogus;"])
 def test_broken_markup(page):
