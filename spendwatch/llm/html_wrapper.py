@@ -1,22 +1,25 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned with up to ``EXEMPLARS`` pages of that host by
-simple tree matching on their DOM trees (same tag, children matched in order,
-largest total).  Text that is the same in every aligned exemplar is template;
-varying slots are content.  The outermost ``article`` and ``main`` elements, all
-of them, are kept whole, as their words may well be shared with other pages; on
-pages without one all text but the template's is kept.  Menus, headers, footers,
+Up to ``EXEMPLARS`` pages of a host are its wrapper.  Every page is aligned with
+the best of them by simple tree matching on the DOM trees (same tag, children
+matched in order, largest total), which names the slot of each block; a block
+without a partner keeps its own path.  Over all pages of the host, the pages that
+have a text in a slot are counted; text on most pages is template and dropped,
+everywhere on the page.  The outermost ``article`` and ``main`` elements, all of
+them, are the region, the whole page where there is none; inside them more
+pages must agree (``template_keys``), and one that would lose most of its words
+is kept.  Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are cut
 by element, role and class name first, but no element that holds the article,
 and none that holds most of the text for a form or a part of its name.
 
-Every page is extracted from its whole html; exemplars only tell template from
-content.  The exemplars of all hosts are broadcast when their measured size is
+Every page is extracted from its whole html; exemplars only name slots.  The
+exemplars and templates of all hosts are broadcast when their measured size is
 below ``BROADCAST_BYTES``, and joined by host otherwise.
 
 Defined cases: null or empty html gives an empty text; a page without a host
-or alone on it is judged by its own tree; exemplars that nearly equal the page
-give no evidence; broken markup is repaired by the usual closing rules; child
+or alone on it has no template; pages that differ in template only are copies
+and count once; broken markup is repaired by the usual closing rules; child
 lists of every length and depth are matched exactly, in linear space; repeated
 rows are extracted each; an empty table gives an empty result; other columns
 are ignored.
@@ -24,6 +27,7 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import OrderedDict
 from html.parser import HTMLParser
@@ -37,7 +41,6 @@ from .common import materialize, small_side
 EXEMPLARS = 3
 BROADCAST_BYTES = 16 << 20
 TABLE_CELLS = 40_000   # larger tables are halved; the matching is the same
-NEAR_COPY = 0.5      # an exemplar with more than this share of the page's text is no evidence
 TREES = 64           # hosts whose parsed exemplars a worker keeps
 
 # HTML element classes (fixed values)
@@ -337,100 +340,186 @@ def regions(root: Node) -> list[Node]:
     return out or [root]
 
 
-def blocks(node: Node, constant: set) -> list[str]:
-    """Texts of the blocks in page order, white space runs as one space."""
-    out: list[str] = []
+def blocks(node: Node) -> list[tuple[Node, str]]:
+    """Texts of the blocks in page order, white space runs as one space, each with its block element."""
+    out: list = []
     now: list[str] = []
+    owners = [node]
 
     def flush():
         s = " ".join("".join(now).split())
         now.clear()
         if s:
-            out.append(s)
+            out.append((owners[-1], s))
 
     todo: list = [node]
     while todo:
         k = todo.pop()
         if k is flush:
             flush()
+            owners.pop()
         elif isinstance(k, str):
             now.append(k)
         elif k.tag == "br":
             now.append("\n")
         else:
-            kids = [x for x in k.kids if not (isinstance(x, str) and id(k) in constant)]
             if k.tag in BLOCK or k is node:
                 flush()
+                owners.append(k)
                 todo.append(flush)
-            todo += reversed(kids)
+            todo += reversed(k.kids)
     flush()
     return out
 
 
-def extract(html: str, exemplars: list[Node]) -> str:
-    """Main text of a page; ``exemplars`` are parsed pages of its host."""
-    if not html:
-        return ""
-    page = parse(html)
-    total, todo = 0, [page]
-    nodes = []
+def _digest(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"\0".join(parts), digest_size=8).digest()
+
+
+def paths(root: Node) -> dict[int, bytes]:
+    """Per node a hash of the tags and classes from the root to it."""
+    out = {id(root): _digest(root.tag.encode())}
+    todo = [root]
     while todo:
-        n = todo.pop()
-        nodes.append(n)
-        total += n.own
-        todo += n.els
-    common: set | None = None
-    informative = 0
+        node = todo.pop()
+        for k in node.els:
+            out[id(k)] = _digest(out[id(node)], k.tag.encode(), k.name.encode("utf-8", "replace"))
+        todo += node.els
+    return out
+
+
+def wrapper(exemplars: list[Node]) -> list[tuple[Node, dict]]:
+    """The exemplars with the slot of each node: that of its partner in the best exemplar before, else its path."""
+    out: list = []
     for e in exemplars:
-        same: set = set()
-        align(page, e, same)
-        equal = sum(n.own for n in nodes if id(n) in same)
-        if equal > NEAR_COPY * total:
-            continue
-        informative += 1
-        common = same if common is None else common & same
-    constant = {i for i in common or ()} if informative >= 2 else set()
-    return "\n\n".join(t for n in regions(page) for t in blocks(n, set() if n.tag in CONTENT else constant))
+        out.append((e, aligned(e, out)))
+    return out
+
 
+def aligned(page: Node, known: list[tuple[Node, dict]]) -> dict[int, bytes]:
+    """Per node of the page its slot in the wrapper ``known``."""
+    slots = paths(page)
+    if known:
+        best, names = max(known, key=lambda x: match(page, x[0]))
+        slots.update((id(p), names[id(q)]) for p, q in partners(page, best))
+    return slots
+
+
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest, "little", signed=True)
+
+
+def page_slots(page: Node, known: list[tuple[Node, dict]]) -> list[tuple[int, int, int, str]]:
+    """(key, slot, words, text) of the blocks of the page's regions; the last bit of ``slot`` tells article and main."""
+    names = aligned(page, known)
+    out = []
+    for top in regions(page):
+        inside = top.tag in CONTENT
+        for node, text in blocks(top):
+            slot = names[id(node)]
+            key = _digest(slot, b"in" if inside else b"out", text.encode("utf-8", "replace"))
+            out.append((_number(key), _number(slot) & ~1 | inside, text.count(" ") + 1, text))
+    return out
+
+
+def extract(html: str, exemplars: list[Node], template: frozenset = frozenset()) -> str:
+    """Main text of a page; ``exemplars`` are parsed pages of its host, ``template`` the host's template keys."""
+    return _extract(html, wrapper(exemplars), template)
+
+
+def _extract(html: str, known: list, template) -> str:
+    if not html:
+        return ""
+    found = page_slots(parse(html), known)
+    # an article that would lose most of its words is taken for a copy and kept
+    whole = sum(n for _, slot, n, _ in found if slot & 1)
+    lost = sum(n for key, slot, n, _ in found if slot & 1 and key in template)
+    return "\n\n".join(t for key, slot, _, t in found if key not in template or slot & 1 and 2 * lost > whole)
 
-class _Trees:
-    """Parsed exemplars of the hosts seen last."""
+
+class _Wrappers:
+    """Wrappers and templates of the hosts seen last."""
 
     def __init__(self):
         self.kept: OrderedDict = OrderedDict()
 
-    def of(self, host, pages) -> list[tuple[int, Node]]:
+    def of(self, host, found) -> tuple[list, frozenset]:
         if host is None:
-            return []
+            return [], frozenset()
         if host not in self.kept:
-            self.kept[host] = [(h, parse(x or "")) for h, x in pages() or ()]
+            pages, template = found()
+            self.kept[host] = wrapper([parse(x or "") for x in pages or ()]), frozenset(template or ())
             if len(self.kept) > TREES:
                 self.kept.popitem(last=False)
         self.kept.move_to_end(host)
         return self.kept[host]
 
 
+def _pages(b, wrappers, known, first):
+    """(row, html, wrapper, template) of a batch; html and host are its columns ``first`` and ``first`` + 1, and the
+    host's exemplars and template follow unless ``known`` is a broadcast of them."""
+    host = b.column(first + 1).to_pylist()
+    for lo in range(0, b.num_rows, 500):
+        for i, html in enumerate(b.column(first).slice(lo, 500).to_pylist(), lo):
+            if known is None:
+                found = lambda: (b.column(first + 2)[i].as_py(), b.column(first + 3)[i].as_py())  # noqa: B023, E731
+            else:
+                found = lambda: known.value.get(host[i], ((), ()))  # noqa: B023, E731
+            yield (i, html, *wrappers.of(host[i], found))
+
+
+def _slot_rows(known):
+    """Columns: copy (hash of the html), html, host, and exemplars and template."""
+    kind = pa.list_(pa.struct([("words", pa.int64()), ("key", pa.int64()), ("slot", pa.int64())]))
+
+    def run(batches):
+        wrappers = _Wrappers()
+        for b in batches:
+            out = []
+            for _, html, w, _ in _pages(b, wrappers, known, 1):
+                out.append(sorted({(n, key, slot) for key, slot, n, _ in page_slots(parse(html or ""), w)}))
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(out, kind)], names=["host", "copy", "slots"])
+    return run
+
+
 def _extractor(known):
-    """Columns: page_id, url, html, host, h, and the host's exemplars unless ``known`` is a broadcast of them."""
+    """Columns: page_id, url, html, host, and exemplars and template."""
     def run(batches):
-        trees = _Trees()
+        wrappers = _Wrappers()
         for b in batches:
-            host, own = b.column(3).to_pylist(), b.column(4).to_pylist()
-            for lo in range(0, b.num_rows, 500):
-                hi = min(lo + 500, b.num_rows)
-                out = []
-                for i, html in enumerate(b.column(2).slice(lo, hi - lo).to_pylist(), lo):
-                    if known is None:
-                        pages = lambda: [(x["h"], x["html"]) for x in b.column(5)[i].as_py() or ()]  # noqa: B023, E731
-                    else:
-                        pages = lambda: known.value.get(host[i])  # noqa: B023, E731
-                    out.append(extract(html or "", [t for h, t in trees.of(host[i], pages) if h != own[i]]))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(out, pa.string()),
-                     pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            out = [_extract(html or "", w, template) for _, html, w, template in _pages(b, wrappers, known, 2)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(out, pa.string()),
+                 pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
     return run
 
 
+def template_keys(slots: DataFrame) -> DataFrame:
+    """(host, key) of template text from host, copy and slots of all pages.
+
+    Equal pages count once, and so do pages whose longest block that most pages of the host
+    lack is the same.  Text is template when more than half of the pages that have its slot
+    have it there, two at least; in article and main, when more than half of all pages of the
+    host have it, three at least.
+    """
+    pages = materialize(slots.dropDuplicates(["host", "copy"]), "wrapper_slots")
+    n = pages.groupBy("host").agg(F.count("*").alias("n"))
+    most = (pages.select("host", F.explode("slots.key").alias("key")).groupBy("host", "key").agg(F.count("*").alias("c"))
+            .where("c > 1").join(n, "host").where("2 * c > n").groupBy("host").agg(F.collect_set("key").alias("most")))
+    most = materialize(most, "wrapper_most")
+    pages = pages.join(small_side(most), "host", "left")
+    own = F.expr("array_max(filter(slots, x -> most is null or not array_contains(most, x.key))).key")
+    pages = materialize(pages.select("host", "slots", F.coalesce(own, F.lit(0)).alias("own")), "wrapper_pages")
+    s = pages.select("host", "own", F.explode("slots").alias("s")).select("host", "own", "s.key", "s.slot")
+    text = materialize(s.groupBy("host", "slot", "key").agg(F.countDistinct("own").alias("c")).where("c > 1"), "wrapper_text")
+    slot = s.groupBy("host", "slot").agg(F.countDistinct("own").alias("has"))
+    n = pages.groupBy("host").agg(F.countDistinct("own").alias("n"))
+    found = slot.join(n, "host").join(small_side(text), ["host", "slot"])
+    inside = F.col("slot").bitwiseAND(F.lit(1)) == 1
+    return found.where(F.when(inside, (F.col("c") > 2) & (2 * F.col("c") > F.col("n"))).otherwise(
+        2 * F.col("c") > F.col("has"))).select("host", "key").distinct()
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     spark = pages.sparkSession
@@ -443,16 +532,30 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     found = p.join(small_side(chosen.select(F.col("host").alias("__h"), *[f"m{k}" for k in range(EXEMPLARS)])),
                    (F.col("host") == F.col("__h")) & F.exists(F.arrays_zip(picked.alias("p"), F.array(
                        *[F.col(f"m{k}") for k in range(EXEMPLARS)]).alias("m")), lambda x: x["p"] == x["m"]))
-    found = materialize(found.select("host", "h", "html").dropDuplicates(["host", "h"]), "wrapper_exemplars")
+    found = materialize(found.select("host", "h", "html").groupBy("host", "h").agg(F.min("html").alias("html")),
+                        "wrapper_exemplars")
+    lists = found.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("h", "html"))).alias("ex"))
+    lists = lists.select("host", F.col("ex.html").alias("ex"))
     size = found.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+
+    def known(lists):
+        return spark.sparkContext.broadcast({r.host: (r.ex, r.template) for r in lists.collect()})
+
+    def joined(lists, df):
+        return df.join(lists, "host", "left")
+
+    p = p.withColumn("copy", F.xxhash64("html"))
+    some = p.where("host is not null").select("copy", "html", "host")
+    empty = lists.withColumn("template", F.expr("cast(array() as array<long>)"))
+    schema = "host string, copy long, slots array<struct<words: long, key: long, slot: long>>"
+    if size <= BROADCAST_BYTES:
+        slots = some.mapInArrow(_slot_rows(known(empty)), schema)
+    else:
+        slots = joined(empty, some).select("copy", "html", "host", "ex", "template").mapInArrow(_slot_rows(None), schema)
+    keys = materialize(template_keys(slots), "wrapper_template")
+    full = lists.join(keys.groupBy("host").agg(F.collect_list("key").alias("template")), "host", "left")
     kind = p.schema["page_id"].dataType.simpleString()
     schema = f"page_id {kind}, url string, text string, n_chars long"
-    if size <= BROADCAST_BYTES:
-        by: dict = {}
-        for r in found.collect():
-            by.setdefault(r.host, []).append((r.h, r.html))
-        known = spark.sparkContext.broadcast({k: sorted(v, key=lambda x: x[0]) for k, v in by.items()})
-        return p.mapInArrow(_extractor(known), schema)
-    lists = found.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("h", "html"))).alias("ex"))
-    return p.join(lists, "host", "left").select("page_id", "url", "html", "host", "h", "ex").mapInArrow(
-        _extractor(None), schema)
+    if size + 8 * keys.count() <= BROADCAST_BYTES:
+        return p.select("page_id", "url", "html", "host").mapInArrow(_extractor(known(full)), schema)
+    return joined(full, p).select("page_id", "url", "html", "host", "ex", "template").mapInArrow(_extractor(None), schema)

@@ -54,6 +54,34 @@ def test_template_is_induced_without_an_article(spark):
         assert got[i] == f"Title {i}\n\n{story} first\n\n{story} second & last"
 
 
+def test_template_is_counted_over_all_pages(spark):
+    """Text in articles, hosts of two pages, a rare layout, a notice on some pages, long boilerplate, copies."""
+    def text(k, n=12):
+        return " ".join(f"k{k}w{j}" for j in range(n))
+
+    long = text("boiler", 300)
+    pages, want = {}, {}
+    for i in range(8):
+        pages["in", i] = f"<article><h1>T {i}</h1><p>{text(i)}</p><div>Read more on our site</div></article>"
+        want["in", i] = f"T {i}\n\n{text(i)}"
+    for i in range(2):
+        pages["two", i] = f"<div>Welcome all</div><div><p>{text(i)}</p></div><p>{long}</p>"
+        want["two", i] = text(i)
+    for i in range(30):
+        rare, note = i >= 26, i % 10 == 0
+        note = "<div class=top><b>Closed today</b></div>" if note else ""
+        pages["many", i] = note + (f"<section><p>{text(i)}</p><ul><li>Rare rules</ul></section>" if rare else
+                                   f"<div>Usual head</div><div id=x{i} class=post{i}><p>{text(i)}</p></div>")
+        want["many", i] = text(i)
+    for i in range(3):
+        pages["same", i] = f"<div><p>{text(1)}</p><p>{text(2)}</p></div>"
+        want["same", i] = f"{text(1)}\n\n{text(2)}"
+    rows = [(f"{h}{i}", f"http://{h}.example/{i}", x) for (h, i), x in pages.items()]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_wrapper.extract_pages(df).collect()}
+    assert got == {f"{h}{i}": t for (h, i), t in want.items()}
+
+
 def test_matching_against_the_definition():
     def tree(s):
         return parse(s)
