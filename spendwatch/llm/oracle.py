@@ -121,10 +121,43 @@ select page_id, n::bigint as payload_bytes,
   case when page_id <> first or page_id is null then first end as refers_to
 from f"""
 
+_OP13 = r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+             doc_id > min(doc_id) over (partition by t) as copy from d),
+l as (select doc_id as id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+f as (select part, coalesce(good, false)::int as good, coalesce(toxic, false)::int as toxic,
+             {'A': len(words) < 100, 'B': 100 * len(list_distinct(words)) < 80 * len(words),
+              'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t),
+              'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(copy, false)} as bad
+      from w left join l on doc_id = id),
+cells as (select part, concat(case when bad.A then 'A' else '' end, case when bad.B then 'B' else '' end,
+                 case when bad.C then 'C' else '' end, case when bad.D then 'D' else '' end,
+                 case when bad.E then 'E' else '' end) as fails, count(*) as n, sum(good) as g, sum(toxic) as x
+          from f group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as c),
+orders as (select a.c || b.c || c.c || d.c || e.c as o from letters a join letters b on b.c <> a.c
+           join letters c on c.c not in (a.c, b.c) join letters d on d.c not in (a.c, b.c, c.c)
+           join letters e on e.c not in (a.c, b.c, c.c, d.c)),
+steps as (select o, unnest(range(1, 6)) as step from orders),
+hit as (select part, o, step, fails, n, g, x, contains(fails, substr(o, step::int, 1)) as here,
+               step > 1 and length(translate(fails, substr(o, 1, step::int - 1), '')) < length(fails) as before
+        from cells cross join steps),
+r as (select part, o as filter_order, step::int as step,
+        coalesce(sum(n) filter (not here and not before), 0)::bigint as kept,
+        coalesce(sum(n) filter (here and not before), 0)::bigint as removed,
+        coalesce(sum(n) filter (here and before), 0)::bigint as redundant,
+        coalesce(sum(n) filter (fails = substr(o, step::int, 1)), 0)::bigint as unique_fails,
+        coalesce(sum(g) filter (here and not before), 0)::bigint as good_lost,
+        coalesce(sum(x) filter (here and not before), 0)::bigint as toxic_lost
+      from hit group by part, o, step)
+select *, (sum(removed) over (partition by part, substr(filter_order, step, 1)))::bigint as shapley from r"""
+
 ORACLE: dict[str, str] = {
     "op1_ngram_join": _OP1,
     "op6_decontamination": _OP6,
     "op8_quality_rules": _OP8,
     "op9_source_mix": _OP9,
     "op10_warc": _OP10,
+    "op13_filter_audit": _OP13,
 }

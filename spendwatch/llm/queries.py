@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bin_packing, decontaminate, host_rules, html_wrapper, lang_id, ngram_join, quality_bayes,
-               source_mix, token_counts, warc)
+from . import (bin_packing, decontaminate, filter_audit, host_rules, html_wrapper, lang_id, ngram_join,
+               quality_bayes, source_mix, token_counts, warc)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,9 @@ def q_source_mix(spark, sf):
 def q_warc(spark, sf):
     return warc.archive_round_trip(read(spark, sf, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op13_filter_audit")
+def q_filter_audit(spark, sf):
+    return filter_audit.audit_filters(read(spark, sf, "documents"), read(spark, sf, "labels")).select(
+        "part", "filter_order", "step", *filter_audit.COUNTS, "shapley")
