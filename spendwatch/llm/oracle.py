@@ -121,6 +121,34 @@ select page_id, n::bigint as payload_bytes,
   case when page_id <> first or page_id is null then first end as refers_to
 from f"""
 
+_OP11 = """
+with bits as (select list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+                  lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) order by i) as t
+              from (select unnest(range(0, 256)) as i)),
+o as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos,
+             md5(coalesce(role, '')) || md5(coalesce(text, '')) as e, length(coalesce(text, '')) as chars
+      from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 100 as base, xor(list_reduce(
+        list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 6 as h
+      from (select distinct conv_id from o) cross join bits),
+r as (select c.conv_id, pos, e, chars from c join o on o.conv_id = base and pos < h
+      union all select conv_id, pos, e, chars from c join o using (conv_id) where pos >= h),
+p as (select conv_id, row_number() over w as d, chars, md5(string_agg(e, '') over w) as key
+      from r window w as (partition by conv_id order by pos rows unbounded preceding)
+      union all select conv_id, 0, 0, '' from c),
+n as (select key, d, min(conv_id) as conv_id, count(*) as n_convs, max(chars) as chars from p group by key, d),
+up as (select n.key, q.key as parent from n join p q on q.conv_id = n.conv_id and q.d = n.d - 1),
+kids as (select parent as key, count(*) as n_children from up group by parent),
+below as (select q.key, sum((n_convs - 1) * n.chars) as saved, count(*) filter (kids.key is null) as leaves
+          from n left join kids using (key) join p q on q.conv_id = n.conv_id and q.d <= n.d group by q.key),
+ends as (select key, string_agg(conv_id::varchar, ',' order by conv_id) as ids
+         from (select conv_id, arg_max(key, d) as key from p group by conv_id) group by key)
+select n.conv_id, n.d::bigint as depth, m.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0)::bigint as n_children,
+       leaves as n_leaves, saved::bigint as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from n join below using (key) left join kids using (key) left join ends using (key)
+left join up using (key) left join n m on m.key = up.parent"""
+
 _OP13 = r"""
 with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
 w as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
@@ -159,5 +187,6 @@ ORACLE: dict[str, str] = {
     "op8_quality_rules": _OP8,
     "op9_source_mix": _OP9,
     "op10_warc": _OP10,
+    "op11_prefix_trie": _OP11,
     "op13_filter_audit": _OP13,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bin_packing, decontaminate, filter_audit, host_rules, html_wrapper, lang_id, ngram_join,
-               quality_bayes, source_mix, token_counts, warc)
+               prefix_trie, quality_bayes, source_mix, token_counts, warc)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,11 @@ def q_warc(spark, sf):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@register("op11_prefix_trie")
+def q_prefix_trie(spark, sf):
+    return prefix_trie.prefix_trie(read(spark, sf, "conversations"))
+
+
 @register("op13_filter_audit")
 def q_filter_audit(spark, sf):
     return filter_audit.audit_filters(read(spark, sf, "documents"), read(spark, sf, "labels")).select(
