@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bin_packing, decontaminate, filter_audit, host_rules, html_wrapper, lang_id, ngram_join,
-               prefix_trie, quality_bayes, source_mix, token_counts, warc)
+from . import (bin_packing, decontaminate, filter_audit, host_rules, html_wrapper, lang_id,
+               neighbour_graph, ngram_join, prefix_trie, quality_bayes, source_mix, token_counts, warc)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,12 @@ def q_prefix_trie(spark, sf):
     return prefix_trie.prefix_trie(read(spark, sf, "conversations"))
 
 
+@register("op12_neighbour_graph")
+def q_neighbour_graph(spark, sf):
+    rows = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return neighbour_graph.nearest(rows, F.col("vec_id") % 50 == 0)
+
+
 @register("op13_filter_audit")
 def q_filter_audit(spark, sf):
     return filter_audit.audit_filters(read(spark, sf, "documents"), read(spark, sf, "labels")).select(
