@@ -57,23 +57,3 @@ def week_ending_sunday(d: Column) -> Column:
 def round6(c: Column) -> Column:
     """Floats are compared at 6 decimals between engines."""
     return F.round(c.cast("double"), 6)
-
-
-def tree_seed(*parts: Column | str) -> Column:
-    """A 28-bit integer seed from the md5 of the '|'-joined parts (first 7 hex digits)."""
-    txt = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.col(p).cast("string")
-                             for p in parts])
-    return F.conv(F.substring(F.md5(txt), 1, 7), 16, 10).cast("bigint")
-
-
-# Fixed values of the integer mixer (31-bit linear congruential steps).
-MIX_A, MIX_C, MIX_M = 1103515245, 12345, 2147483648
-
-
-def mix_uniform(seed: Column, node: Column) -> Column:
-    """Uniform in [0, 1) from a tree seed and a node id: exact 64-bit integer
-    arithmetic (every product stays below 2^62), so DuckDB reproduces it bit for bit."""
-    a = F.pmod(seed * F.lit(69069) + node.cast("bigint") * F.lit(362437) + F.lit(1), F.lit(MIX_M))
-    b = F.pmod(a * F.lit(MIX_A) + F.lit(MIX_C), F.lit(MIX_M))
-    c = F.pmod(b * F.lit(MIX_A) + F.lit(MIX_C), F.lit(MIX_M))
-    return c.cast("double") / F.lit(float(MIX_M))

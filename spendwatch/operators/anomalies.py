@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import latest_per_key, materialize
+from . import cost_sql
+
 
 def anomalies_view(metrics: DataFrame, anomalies: DataFrame, latest: bool = False) -> DataFrame:
     """Metrics with the model output of the same warehouse-day and an ``is_anomaly`` flag.
@@ -15,15 +18,11 @@ def anomalies_view(metrics: DataFrame, anomalies: DataFrame, latest: bool = Fals
     """
     if latest:
         anomalies = dedupe_predictions(anomalies)
-    o = anomalies.select("warehouse_name", F.col("usage_date").cast("date").alias("usage_date"),
-                         "trend", "seasonal", "residual", "score", "prediction_datetime")
-    return (metrics.join(o, ["warehouse_name", "usage_date"], "left")
-            .withColumn("is_anomaly", F.col("score").isNotNull()))
+    return metrics.sparkSession.sql(cost_sql.anomalies("{metrics}", "{found}"), metrics=metrics, found=anomalies)
 
 
 def dedupe_predictions(anomalies: DataFrame) -> DataFrame:
     """Latest prediction per (warehouse, day): the variant without duplicate rows."""
-    from ..sources.tables import latest_per_key
     return latest_per_key(anomalies, ["warehouse_name", "usage_date"], "prediction_datetime")
 
 
@@ -58,18 +57,33 @@ def report_text(report: DataFrame) -> DataFrame:
     return report.select("warehouse_name", "usage_date", F.concat_ws(" | ", *text).alias("line"))
 
 
-def report_body(report: DataFrame) -> DataFrame:
-    """The message: one row with a header line and the report lines in order; no row without an anomaly.
+PAGE_LINES = 200
+
+
+def report_pages(report: DataFrame, page_lines: int = PAGE_LINES) -> DataFrame:
+    """The message in pages: (page, n_lines, body), each a header line and at most ``page_lines`` report lines.
 
-    A report covers the anomalous warehouses for some days around the
-    anomalies, which is what a person reads; the rows themselves are the result
-    of ``anomaly_report``.
+    The lines are in the order of day, warehouse and text over all pages; a
+    report without an anomaly has no page.  Lines are dealt by ranges of that
+    order, their places come from the tasks' counts, and a page collects its own
+    lines only, so no row and no task holds the whole message.
     """
-    lines = report_text(report).select(F.struct("usage_date", "warehouse_name", "line").alias("r"))
-    return (lines.agg(F.sort_array(F.collect_list("r")).alias("r"))
-            .where(F.size("r") > 0)
-            .select(F.concat(F.lit(" | ".join(REPORT_COLUMNS) + "\n"),
-                             F.array_join(F.transform("r", lambda x: x["line"]), "\n")).alias("body")))
+    if report.where("is_anomaly").isEmpty():
+        report = report.where("false")
+    order = ["usage_date", "warehouse_name", "line"]
+    dealt = report_text(report).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()), "report_lines")
+    lines = lines.withColumn("_task", F.shiftright("_at", 33))
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)        # one line per task
+    offsets = lines.groupBy("_task").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_task", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    place = F.col("_offset") + F.col("_at") - F.shiftleft("_task", 33)
+    placed = lines.join(F.broadcast(offsets), "_task").select(place.alias("_place"), "line")
+    pages = placed.groupBy((F.expr(f"_place div {page_lines}") + 1).cast("int").alias("page")).agg(
+        F.sort_array(F.collect_list(F.struct("_place", "line"))).alias("r"))
+    header = F.lit(" | ".join(REPORT_COLUMNS) + "\n")
+    return pages.select("page", F.size("r").cast("long").alias("n_lines"),
+                        F.concat(header, F.array_join(F.transform("r", lambda x: x["line"]), "\n")).alias("body"))
 
 
 def list_warehouses(features: DataFrame) -> DataFrame:

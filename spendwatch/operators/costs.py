@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from . import cost_sql
 from ..functions.columns import TB_BYTES, in_day, json_text, lit_date
 from ..sources.tables import materialize as write_stage
 
@@ -19,45 +20,48 @@ def _ds(ds, default: Column) -> Column:
     return lit_date(ds) if ds is not None else default
 
 
-def rank_desc_nulls_first(df: DataFrame, keys: list[str], value: str, out: str,
-                          bucket: int = 1000) -> DataFrame:
+def rank_desc_nulls_first(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """``rank() over (partition by keys order by value desc nulls first)`` without
-    sorting a whole key group in one task.
-
-    rank(v) = 1 + (rows of the group with NULL) + (rows with a greater value).
-    The counts come from a histogram of distinct values (grouped map-side, so a
-    group holding a third of all rows is reduced before it moves), prefix sums
-    over coarse buckets of ``bucket`` units (one window row per bucket) and
-    prefix sums inside a bucket (at most ``bucket`` distinct whole values per
-    window group); the ranks are joined back on (keys, value).
+    sorting a whole key group, or all rows of one value, in one task.
+
+    The keys, the value and a row number are dealt by ranges of (keys, value,
+    row), so every task has about as many rows however hot a key or a value is.
+    With the tasks' row counts as offsets each row knows its place among all;
+    the first places of its key and of its value come from its own task or, for
+    the first rows of a task, from one line per earlier task.  The rank is
+    their difference.  Only these narrow rows are sorted; the wide rows move
+    once, joined by their row number.
     """
-    v = F.col(value)
-    # staged: nulls, coarse and fine sums below all read these few rows, not the source
-    hist = write_stage(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), "rank_histogram")
-    # NULL is a bucket above all others: one more coarse row instead of a branch of its own
-    hist = hist.withColumn("_b", F.when(v.isNotNull(), F.floor(v / F.lit(bucket))))
-    coarse = hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_cb"))
-    higher = (Window.partitionBy(*keys).orderBy(F.col("_b").desc_nulls_first())
-              .rowsBetween(Window.unboundedPreceding, -1))
-    coarse = coarse.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_k_b"),
-                           F.coalesce(F.sum("_cb").over(higher), F.lit(0)).alias("_above_b"))
-    inside = (Window.partitionBy(*keys, "_b").orderBy(v.desc_nulls_first())
-              .rowsBetween(Window.unboundedPreceding, -1))
-    fine = hist.withColumn("_above_v", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
-    on = F.col("_b").eqNullSafe(F.col("_k_b"))
-    for k in keys:                       # NULL keys (no warehouse) match too
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    ranks = fine.join(coarse, on).select(
-        *[F.col(k).alias(f"_r_{k}") for k in [*keys, value]],
-        (1 + F.col("_above_b") + F.col("_above_v")).cast("long").alias(out))
-    on = None
-    for k in [*keys, value]:
-        same = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        on = same if on is None else on & same
-    return df.join(ranks, on, "left").select(*df.columns, out)
-
-
-def load_query_history(src: DataFrame, ds=None, rank_strategy: str | None = "histogram") -> DataFrame:
+    wide = write_stage(df.withColumn("_row", F.monotonically_increasing_id()), "rank_rows")
+    order = [*[F.col(k) for k in keys], F.col(value).desc_nulls_first(), F.col("_row")]
+    dealt = wide.select("_row", *keys, value).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = write_stage(dealt.withColumn("_at", F.monotonically_increasing_id()), "rank_sorted")
+    rows = rows.withColumn("_task", F.shiftright("_at", 33))
+    what = F.struct(*keys, value)
+    tasks = Window.orderBy("_task")                     # one line per task
+    earlier = tasks.rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("_task").agg(F.max_by(what, "_at").alias("_end"), F.count(F.lit(1)).alias("_n")).select(
+        "_task", F.lag("_end").over(tasks).alias("_before"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    own = Window.partitionBy("_task").orderBy("_at")
+    r = (rows.join(F.broadcast(ends), "_task")
+         .withColumn("_prev", F.coalesce(F.lag(what).over(own), F.col("_before")))
+         .withColumn("_place", F.col("_offset") + F.col("_at") - F.shiftleft("_task", 33)))
+    new_key = F.col("_prev").isNull()
+    for k in keys:                                      # NULL keys (no warehouse) are keys too
+        new_key = new_key | ~F.col(f"_prev.{k}").eqNullSafe(F.col(k))
+    new_value = new_key | ~F.col(f"_prev.{value}").eqNullSafe(F.col(value))
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    r = r.select("_row", "_task", *[F.max(F.when(new, F.col("_place"))).over(upto).alias(n)
+                                    for n, new in (("_key", new_key), ("_value", new_value))])
+    r = write_stage(r, "rank_places")
+    carried = r.groupBy("_task").agg(F.max("_key").alias("_k"), F.max("_value").alias("_v")).select(
+        "_task", F.max("_k").over(earlier).alias("_k"), F.max("_v").over(earlier).alias("_v"))
+    ranks = r.join(F.broadcast(carried), "_task").select(
+        "_row", (F.coalesce("_value", "_v") - F.coalesce("_key", "_k") + 1).cast("long").alias(out))
+    return wide.join(ranks, "_row").select(*df.columns, out)
+
+
+def load_query_history(src: DataFrame, ds=None, rank_strategy: str | None = "ranges") -> DataFrame:
     """One day (``ds``) or every day (``ds=None``) of queries, with parsed tags,
     seconds, queue share and the rank of elapsed time within the warehouse-day
     (``rank_strategy=None`` leaves the rank out, for the cost path that has no use for it).
@@ -66,7 +70,7 @@ def load_query_history(src: DataFrame, ds=None, rank_strategy: str | None = "his
     (``try_parse_json``; bad text gives NULL) and read as text per key.  The
     queue share divides by elapsed time with ``try_divide`` (0 or NULL elapsed
     gives NULL instead of an error).  Rank orders NULL elapsed first, as the
-    vendor does for descending order.  ``rank_strategy="histogram"`` (default)
+    vendor does for descending order.  ``rank_strategy="ranges"`` (default)
     computes it without sorting a warehouse-day in one task (see
     ``rank_desc_nulls_first``); ``"window"`` is the plain rank window.
     """
@@ -155,13 +159,7 @@ def load_storage_cost(storage: DataFrame, rates: DataFrame, account: str, ds=Non
 
 def warehouse_credits_delta(credits: DataFrame) -> DataFrame:
     """Credits minus the previous day's (NULL when the previous day is missing)."""
-    y = credits.select("warehouse_name", F.date_add("ds", 1).alias("ds"),
-                       F.col("warehouse_credits").alias("_y"))
-    return (credits.join(y, ["warehouse_name", "ds"], "left")
-            .select("warehouse_name", "warehouse_credits", "ds",
-                    # at (37, 9) the difference keeps scale 9; (38, 9) - (38, 9) would round to 8 places
-                    (F.col("warehouse_credits").cast("decimal(37,9)") - F.col("_y").cast("decimal(37,9)"))
-                    .alias("warehouse_credits_delta_yesterday")))
+    return credits.sparkSession.sql(cost_sql.warehouse_credits_delta("{credits}"), credits=credits)
 
 
 def dag_cost(queries: DataFrame, credits: DataFrame) -> DataFrame:
@@ -172,98 +170,31 @@ def dag_cost(queries: DataFrame, credits: DataFrame) -> DataFrame:
     warehouse-day; AQE broadcasts it when its measured size is small and keeps
     the shuffle join (with skew splitting) when it is not.
     """
-    c = credits.select("warehouse_name", "ds", "warehouse_credits", "total_time_elapsed", "effective_rate")
-    j = queries.join(c, ["warehouse_name", "ds"])
-    pct = F.round(F.try_divide(F.col("total_elapsed_time").cast(schemas.WHOLE),
-                               F.col("total_time_elapsed").cast(schemas.WHOLE)), 6)
-    credit = F.round(F.col("warehouse_pct") * F.col("warehouse_credits"), 6)
-    dollar = F.round(F.col("task_credit_cost") * F.col("effective_rate"), 6)
-    keep = [c for c in schemas.QUERY_HISTORY.fieldNames() if c in queries.columns]
-    return (j.select(*keep, "warehouse_credits", "effective_rate", pct.alias("warehouse_pct"))
-            .withColumn("task_credit_cost", credit)
-            .withColumn("task_dollar_cost", dollar)
-            .drop("warehouse_credits", "effective_rate"))
+    return queries.sparkSession.sql(cost_sql.dag_cost("{queries}", "{credits}"), queries=queries, credits=credits)
 
 
-_PERIODS = (("yesterday", 1), ("last_week", 7), ("last_month", 28))
-
-
-def dag_cost_delta(cost: DataFrame, by_warehouse: bool = False, materialize: bool = True,
-                   last_day=None) -> DataFrame:
+def dag_cost_delta(cost: DataFrame, by_warehouse: bool = False, last_day=None) -> DataFrame:
     """Task cost of the last day against 1, 7 and 28 days before, plus the same
     comparison one day earlier (the "yesterday warning").
 
     The reference scans and groups the cost four times; here it is grouped once
-    over the seven days it needs (last, -1, -2, -7, -8, -28, -29) and each
-    period is a filter of that one result.  The last day (``last_day``, else one
-    scalar fetched first) is a literal, so a ds-partitioned cost table is pruned
-    to the seven days; callers that know the last partition pass it and save the
-    first pass.  A Column is taken as it is (views pass a subquery).  As in the reference, the period joins are keyed on (task, dag,
-    shifted day) without the warehouse, so a task that ran in several
-    warehouses multiplies rows; ``by_warehouse=True`` adds the warehouse to
-    the keys.  Rows without a task are kept for the last day only.
+    over the seven days it needs (last, -1, -2, -7, -8, -28, -29), and one
+    shuffle on the task lines the days up (see ``cost_sql``).  The last day
+    (``last_day``, else one scalar fetched first) is a literal, so a
+    ds-partitioned cost table is pruned to the seven days; callers that know
+    the last partition pass it and save the first pass.  As in the reference,
+    the periods are keyed on (task, dag, shifted day) without the warehouse, so
+    a task that ran in several warehouses multiplies rows; ``by_warehouse=True``
+    adds the warehouse to the keys.  Rows without a task are kept for the last
+    day only.
     """
     if last_day is None:
         last_day = cost.agg(F.max("ds")).first()[0]  # one scalar; as a literal it prunes ds partitions
-    last_all = lit_date(last_day) if last_day is not None else F.lit(None).cast("date")
-    keys = ["airflow_dag_id", "airflow_task_id", "ds", "warehouse_name"]
-    days = [F.date_sub(last_all, k) for k in (0, 1, 2, 7, 8, 28, 29)]
-    grouped = (cost.where(F.col("ds").isin(*days) if last_day is not None else F.lit(False))
-               .groupBy(*keys)
-               .agg(F.sum("task_dollar_cost").alias("dollar"), F.sum("task_credit_cost").alias("credit")))
-    if materialize:
-        # Seven days of per-task sums: small, and read by five branches below.
-        # Written once to the shared checkpoint folder: the scan, join and
-        # aggregation run once and the self-joins read the small result.
-        grouped = write_stage(grouped, "dag_cost_7d")
-    last = last_all
-    task_ok = F.col("airflow_task_id").isNotNull()
-    today = grouped.where((F.col("ds") == last) | ((F.col("ds") == F.date_sub(last, 1)) & task_ok))
-    join_keys = ["airflow_task_id", "airflow_dag_id", "ds"] + (["warehouse_name"] if by_warehouse else [])
-
-    joined = today
-    for name, k in _PERIODS:
-        prev = (grouped.where(((F.col("ds") == F.date_sub(last, k)) | (F.col("ds") == F.date_sub(last, k + 1)))
-                              & task_ok)
-                .select("airflow_task_id", "airflow_dag_id", F.date_add("ds", k).alias("ds"),
-                        *(["warehouse_name"] if by_warehouse else []),
-                        F.col("dollar").alias(f"dollar_{name}"), F.col("credit").alias(f"credit_{name}")))
-        joined = joined.join(prev, join_keys, "left")
-
-    def deltas(prefix: str) -> list[Column]:
-        out = []
-        for name, _ in _PERIODS:
-            out.append((F.col("dollar") - F.col(f"dollar_{name}")).alias(f"{prefix}dollar_delta_{name}"))
-            out.append((F.col("credit") - F.col(f"credit_{name}")).alias(f"{prefix}credit_delta_{name}"))
-        for name, _ in _PERIODS:
-            ratio = F.col("credit").cast("double") / F.nullif(F.col(f"credit_{name}"), F.lit(0)).cast("double")
-            out.append((ratio - 1).alias(f"{prefix}pct_change_{name}"))
-        return out
-
-    warn_cols = [f"yesterday_warn_{k}_delta_{n}" for n, _ in _PERIODS for k in ("dollar", "credit")]
-    warn_cols += [f"yesterday_warn_pct_change_{n}" for n, _ in _PERIODS]
-    warn = (joined.where(F.col("ds") == F.date_sub(last, 1))
-            .select("airflow_task_id", "airflow_dag_id",
-                    *(["warehouse_name"] if by_warehouse else []), *deltas("yesterday_warn_")))
-    cur = joined.where(F.col("ds") == last).select(
-        "ds", "airflow_dag_id", "airflow_task_id", "warehouse_name",
-        F.col("dollar").alias("task_dollar_cost_today"), F.col("credit").alias("task_credit_cost_today"),
-        *[F.col(f"{k}_{n}").alias(f"task_{k}_cost_{n}") for n, _ in _PERIODS for k in ("dollar", "credit")],
-        *deltas(""))
-    warn_keys = ["airflow_task_id", "airflow_dag_id"] + (["warehouse_name"] if by_warehouse else [])
-    out = cur.join(warn, warn_keys, "left")
-    order = ["ds", "airflow_dag_id", "airflow_task_id", "warehouse_name",
-             "task_dollar_cost_today", "task_credit_cost_today"]
-    order += [f"task_{k}_cost_{n}" for n, _ in _PERIODS for k in ("dollar", "credit")]
-    order += [f"{k}_delta_{n}" for n, _ in _PERIODS for k in ("dollar", "credit")]
-    order += [f"pct_change_{n}" for n, _ in _PERIODS]
-    return out.select(*order, *warn_cols)
-
-
-_PERIOD_LABEL = {"yesterday": "yesterday", "last_week": "last week", "last_month": "last month"}
-
-
-def dag_cost_warnings(delta: DataFrame, usd: float = 25, pct: float = 0.33) -> DataFrame:
+    last = f"date'{last_day}'" if last_day is not None else "cast(null as date)"
+    return cost.sparkSession.sql(cost_sql.dag_cost_delta("{cost}", last, by_warehouse), cost=cost)
+
+
+def dag_cost_warnings(delta: DataFrame, usd: float = cost_sql.USD, pct: float = cost_sql.PCT) -> DataFrame:
     """Rows whose change against some period exceeds both the dollar and the
     percent limit; direction of the change; rebounds suppressed.
 
@@ -271,37 +202,7 @@ def dag_cost_warnings(delta: DataFrame, usd: float = 25, pct: float = 0.33) -> D
     the opposite direction (cost returning to normal).  Percent is measured on
     credits and the limit on dollars, so a rate change alone cannot trigger.
     """
-    def trigger(prefix: str) -> Column:
-        c = None
-        for name, _ in _PERIODS:
-            cond = ((F.abs(F.col(f"{prefix}dollar_delta_{name}")) > F.lit(usd))
-                    & (F.abs(F.col(f"{prefix}pct_change_{name}")) > F.lit(pct)))
-            c = F.when(cond, F.lit(_PERIOD_LABEL[name])) if c is None else c.when(cond, F.lit(_PERIOD_LABEL[name]))
-        return c
-
-    def change(prefix: str, period_col: str) -> Column:
-        c = None
-        for sign, word in ((">", "increase"), ("<", "decrease")):
-            for name, _ in _PERIODS:
-                p = F.col(f"{prefix}pct_change_{name}")
-                cond = (F.col(period_col) == _PERIOD_LABEL[name]) & ((p > 0) if sign == ">" else (p < 0))
-                c = F.when(cond, F.lit(word)) if c is None else c.when(cond, F.lit(word))
-        return c
-
-    w = (delta.withColumn("trigger_period", trigger(""))
-         .withColumn("yesterday_warn_trigger_period", trigger("yesterday_warn_"))
-         .where(F.col("trigger_period").isNotNull())
-         .withColumn("change_type", change("", "trigger_period"))
-         .withColumn("yesterday_warn_change_type", change("yesterday_warn_", "yesterday_warn_trigger_period")))
-    rebound = F.coalesce((F.col("trigger_period") == F.col("yesterday_warn_trigger_period"))
-                         & (F.col("change_type") != F.col("yesterday_warn_change_type")), F.lit(False))
-    cols = ["ds", "airflow_dag_id", "airflow_task_id", "warehouse_name",
-            "task_dollar_cost_today", "task_credit_cost_today"]
-    cols += [f"task_{k}_cost_{n}" for n, _ in _PERIODS for k in ("dollar", "credit")]
-    cols += [f"{k}_delta_{n}" for n, _ in _PERIODS for k in ("dollar", "credit")]
-    cols += [f"pct_change_{n}" for n, _ in _PERIODS]
-    cols += ["trigger_period", "change_type", "yesterday_warn_trigger_period", "yesterday_warn_change_type"]
-    return w.where(~rebound).select(*cols)
+    return delta.sparkSession.sql(cost_sql.dag_cost_warnings("{delta}", usd, pct), delta=delta)
 
 
 # Usage type patterns -> (rating type, resource type); first match wins.

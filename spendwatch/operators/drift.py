@@ -9,19 +9,16 @@
   higher-order function;
 * the exact p-value (what the library uses for samples this small) is the
   share of lattice paths from (0, 0) to (m, n) that leave the band
-  ``|x/m - y/n| < D``; it depends only on (m, n, D), so it runs in a pandas UDF
-  over one summary row per warehouse, never over the data.
+  ``|x/m - y/n| < D``; it depends only on (m, n, D) and is a fold of arrays over
+  the distinct cases (``exact_p``).
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources.tables import materialize
 
 
 def daily_pivot(daily: DataFrame, warehouses: list[str], value: str = "credits_used") -> DataFrame:
@@ -75,39 +72,27 @@ def asymptotic_p(d: str = "ks_d", n1: str = "n_reference", n2: str = "n_current"
     return F.when(lam < SMALL_LAMBDA, F.lit(1.0)).when(lam.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
 
 
-def exact_p_value(m: int, n: int, d: float) -> float:
-    """P(D >= d) for two samples of sizes m and n from one continuous distribution.
+def exact_p(samples: DataFrame, m: str = "n_reference", n: str = "n_current", d: str = "ks_d") -> DataFrame:
+    """``samples`` with ``p_value`` = P(D >= d) for two samples of sizes m and n from one continuous distribution.
 
     Lattice paths from (0, 0) to (m, n), each step adding one point of either
-    sample; a path stays inside while ``|x n - y m| < h g`` with ``h`` = D in
-    units of 1/lcm(m, n).  Probabilities (not counts) are propagated so large
-    samples cannot overflow.  The points x + y = s of one length are one array,
-    so the work is m + n array steps over the shorter side.
+    sample; a path stays inside while ``|x n - y m| < D m n``, a whole number.
+    Probabilities (not counts) are propagated so large samples cannot overflow.
+    The points x + y = s of one length are one array over the shorter side, and
+    the next length is a ``transform`` of it, so the work is (m + n) times the
+    shorter side, once for each distinct (m, n, D).  NULL D gives NULL.
     """
-    if m <= 0 or n <= 0:
-        return float("nan")
-    if n > m:
-        m, n = n, m
-    g = math.gcd(m, n)
-    h = int(round(d * (m // g * n)))
-    if h <= 0:
-        return 1.0
-    y = np.arange(n + 1)
-    inside = np.zeros(n + 1)              # probability of being inside at (s - y, y)
-    inside[0] = 1.0
-    for s in range(1, m + n + 1):
-        x = s - y
-        rest = m + n - s + 1
-        step = inside * np.clip(m - x + 1, 0, None) / rest       # from (x - 1, y)
-        step[1:] += inside[:-1] * (n - y[1:] + 1) / rest         # from (x, y - 1)
-        inside = np.where((x >= 0) & (x <= m) & (np.abs(x * n - y * m) < h * g), step, 0.0)
-    return float(min(1.0, max(0.0, 1.0 - inside[n])))
-
-
-@F.pandas_udf(T.DoubleType())
-def _exact_p(m: pd.Series, n: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([exact_p_value(int(a), int(b), float(c)) if pd.notna(c) else None for a, b, c in zip(m, n, d)],
-                     dtype="float64")
+    one = samples.select(m, n, d).where(F.col(d).isNotNull()).distinct()
+    one = one.select(m, n, d, F.greatest(m, n).cast("long").alias("_m"), F.least(m, n).cast("long").alias("_n"))
+    one = one.withColumn("_t", F.round(F.col(d) * F.col("_m") * F.col("_n")).cast("long"))
+    inside = """aggregate(sequence(1L, _m + _n), transform(sequence(0L, _n), y -> if(y = 0, 1D, 0D)),
+      (a, s) -> transform(sequence(0L, _n), y -> if(s - y between 0 and _m and abs((s - y) * _n - y * _m) < _t,
+        (a[int(y)] * (_m - (s - y) + 1) + if(y > 0, a[int(y) - 1] * (_n - y + 1), 0D)) / (_m + _n - s + 1), 0D)),
+      a -> a[int(_n)])"""
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.expr(inside)))
+    one = one.select(F.col(m).alias("_a"), F.col(n).alias("_b"), F.col(d).alias("_d"), p.alias("p_value"))
+    same = (F.col(m) == F.col("_a")) & (F.col(n) == F.col("_b")) & (F.col(d) == F.col("_d"))
+    return samples.join(one, same, "left").drop("_a", "_b", "_d")
 
 
 def usage_drift(daily: DataFrame, days: int = 7, alpha: float = 0.05, exact: bool = True,
@@ -120,9 +105,10 @@ def usage_drift(daily: DataFrame, days: int = 7, alpha: float = 0.05, exact: boo
     warehouse without rows on one side has NULL distance, p-value and flag.
     """
     stat = ks_statistic(daily, days, value)
-    p = F.nanvl(_exact_p("n_reference", "n_current", "ks_d"), F.lit(None).cast("double")) if exact else asymptotic_p()
-    return (stat.withColumn("p_value", p)
-            .withColumn("stattest", F.lit("ks"))
+    if exact:
+        stat = materialize(stat, "drift")          # read for its distinct cases and for its rows
+    stat = exact_p(stat) if exact else stat.withColumn("p_value", asymptotic_p())
+    return (stat.withColumn("stattest", F.lit("ks"))
             .withColumn("threshold", F.lit(alpha))
             .withColumn("drift_detected", F.col("p_value") < F.lit(alpha)))
 

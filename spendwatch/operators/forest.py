@@ -3,16 +3,16 @@
 One feature (the residual), so every tree cuts the real line into intervals.
 
 Fit (``fit_forest``)
-  * each tree samples ``psi = min(max_samples, n)`` rows without replacement:
-    a seeded permutation gives the positions, which join the rows of the series
-    (``draw_positions``), so the fit moves trees x psi rows per warehouse,
-    however long the history;
-  * growth is level by level: per (warehouse, tree, node) the min / max / count
-    of the sampled values are window aggregates; a node splits when it has at
-    least two sampled rows, a value range above 1e-7 and depth below
-    ``ceil(log2(psi))``; the split is ``lo + u * (hi - lo)`` with ``u`` from an
-    integer mix of the node id and the tree's seed (md5 of seed, warehouse,
-    tree; computed once per row, not once per level);
+  * the series of a warehouse is one array in date order, at most one value per
+    day kept; each tree samples ``psi = min(max_samples, n)`` positions of it
+    without replacement by a seeded permutation (``draw_positions``);
+  * all trees of a warehouse grow together (``grow``): a tree's sample is a
+    sorted run, a node a part of it, so a split is a binary search in the run
+    and a level is a handful of array operations, however many trees there are;
+  * a node splits when it has at least two sampled rows, a value range above
+    1e-7 and depth below ``ceil(log2(psi))``; the split is ``lo + u * (hi - lo)``
+    with ``u`` from an integer mix of the node id and the tree's seed (md5 of
+    seed, warehouse, tree);
   * a leaf's path length is ``depth + c(sampled rows in the leaf)``;
   * training rows are scored like any other rows, by the lookup below.
 
@@ -37,10 +37,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import avg_path_length, lit_date, mix_uniform, tree_seed
+from ..functions.columns import EULER_GAMMA, avg_path_length, lit_date
+from ..functions.seeds import mix_uniform_np, tree_seed_of
 from ..sources.tables import materialize as write_stage
 from .decompose import fill_series_gaps
 
@@ -55,43 +58,105 @@ class Forest:
     scores: DataFrame  # training rows with score and threshold
 
 
-def _levels(max_samples: int) -> int:
-    return int(math.ceil(math.log2(max(max_samples, 2))))
+def draw_positions(n: int, max_samples: int, seeds: np.ndarray) -> np.ndarray:
+    """``min(n, max_samples)`` distinct positions of 0 .. n - 1 per tree, one row for each of ``seeds``.
 
+    The first numbers go through a seeded permutation of [0, 2^k), 2^k being
+    the next power of two, and numbers that land at n or above go through it
+    again until all are below n (cycle walking), which permutes [0, n).  A
+    series that is sampled whole needs no permutation.  Integer arithmetic
+    only, so DuckDB repeats it.
+    """
+    v = np.tile(np.arange(min(n, max_samples), dtype=np.int64), (len(seeds), 1))
+    if n <= max_samples:
+        return v
+    k, seed = max(1, (n - 1).bit_length()), seeds[:, None]
+
+    def step(v):
+        """Three rounds of (odd multiplier, shift, xor with the high half) on k-bit numbers."""
+        for r in (1, 2, 3):
+            v = (v * ((2 * seed * r + 2 * r + 1) % (1 << k)) + seed + r) % (1 << k)
+            v = v ^ (v >> ((k + 1) // 2))
+        return v
+
+    v = step(v)
+    while (v >= n).any():
+        v = np.where(v >= n, step(v), v)
+    return v
 
-def draw_positions(sizes: DataFrame, key: str, n_trees: int, max_samples: int, seed: int) -> DataFrame:
-    """(key, tree_id, _tseed, _psi, _pos): ``min(n, max_samples)`` distinct positions of 0 .. n - 1 per tree.
 
-    ``sizes`` has one row per key with its row count ``_n``.  The first numbers
-    0 .. psi - 1 go through a seeded permutation of [0, 2^k), 2^k being the next
-    power of two, and numbers that land at n or above go through it again
-    (cycle walking), which permutes [0, n).  A series that is sampled whole
-    needs no permutation: every position is drawn.  Integer arithmetic only, so
-    DuckDB repeats it.
+def grow(samples: np.ndarray, seeds: np.ndarray) -> dict[str, np.ndarray]:
+    """Leaves of one tree per row of ``samples`` (sorted rows): tree, node, lo, hi, depth, size."""
+    trees, psi = samples.shape
+    x = samples.ravel()
+    run = {"tree": np.arange(trees), "node": np.ones(trees, np.int64), "lo": np.full(trees, -np.inf),
+           "hi": np.full(trees, np.inf), "start": np.arange(trees) * psi, "end": np.arange(1, trees + 1) * psi}
+    leaves, limit = [], math.ceil(math.log2(max(psi, 2)))
+    for depth in range(limit + 1):
+        least, most = x[run["start"]], x[run["end"] - 1]
+        splits = (run["end"] - run["start"] >= 2) & (most > least + FEATURE_THRESHOLD) & (depth < limit)
+        leaves.append({**{c: v[~splits] for c, v in run.items()}, "depth": np.full((~splits).sum(), depth)})
+        run, least, most = {c: v[splits] for c, v in run.items()}, least[splits], most[splits]
+        if not len(least):
+            break
+        at = least + mix_uniform_np(seeds[run["tree"]], run["node"]) * (most - least)
+        at = np.where(at >= most, least, at)
+        low, high = run["start"], run["end"]          # the first value of the run above the split lies in [low, high)
+        while (low < high).any():
+            mid = (low + high) // 2
+            below = (x[np.minimum(mid, len(x) - 1)] <= at) & (low < high)
+            low, high = np.where(below, mid + 1, low), np.where(below | (low >= high), high, mid)
+        run = {c: np.concatenate([v, v]) for c, v in run.items()}
+        n = len(at)
+        run["node"] = run["node"] * 2 + np.repeat([0, 1], n)
+        run["hi"][:n], run["lo"][n:] = at, at
+        run["end"][:n], run["start"][n:] = low, low
+    out = {c: np.concatenate([leaf[c] for leaf in leaves]) for c in leaves[0]}
+    out["size"] = out.pop("end") - out.pop("start")
+    return out
+
+
+def path_length_np(n: np.ndarray) -> np.ndarray:
+    """``avg_path_length`` of an array of sizes."""
+    m = np.maximum(n, 3).astype(float)
+    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, 2.0 * (np.log(m - 1.0) + EULER_GAMMA) - 2.0 * (m - 1.0) / m))
+
+
+def merge(leaf: dict[str, np.ndarray], path: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """The step functions of all trees as one: (breakpoints, mean path length right of each).
+
+    Sweeping the line left to right, at a split of a tree its path length
+    changes from that of the leaf left of it to that of the leaf right of it;
+    the mean right of a breakpoint is the sum of the leftmost leaves and all
+    changes up to it.
     """
-    t = (sizes.withColumn("_psi", F.least(F.col("_n"), F.lit(max_samples)))
-         .withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-         .withColumn("_tseed", tree_seed(F.lit(seed), F.col(key), F.col("tree_id")))
-         .withColumn("_k", F.greatest(F.lit(1), F.ceil(F.log2(F.col("_n").cast("double")))).cast("int"))
-         .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_psi") - 1))))
-    step = permute_sql("{v}", "_tseed", "_k")
-    walk = (f"aggregate(sequence(1, {WALKS}), {step.format(v='_j')}, "
-            f"(v, i) -> case when v < _n then v else {step.format(v='v')} end)")
-    return t.select(key, "tree_id", "_tseed", "_psi", F.when(F.col("_n") <= max_samples, F.col("_j"))
-                    .otherwise(F.expr(walk)).alias("_pos"))
-
-
-# 2^k is below 2n, so one pass stays outside with a chance below 1/2; 64 passes are beyond any series
-WALKS = 64
-
-
-def permute_sql(v: str, tseed: str, k: str) -> str:
-    """Three rounds of (odd multiplier, shift, xor with the high half) on k-bit numbers."""
-    for r in (1, 2, 3):
-        m = f"shiftleft(1L, {k})"
-        v = f"pmod({v} * pmod(2 * {tseed} * {r} + 2 * {r} + 1, {m}) + {tseed} + {r}, {m})"
-        v = f"transform(array({v}), w{r} -> w{r} ^ shiftright(w{r}, cast(({k} + 1) / 2 as int)))[0]"
-    return v
+    order = np.lexsort((leaf["lo"], leaf["tree"]))
+    lo, step = leaf["lo"][order], path[order]
+    first = np.isneginf(lo)
+    step[~first] -= path[order][np.flatnonzero(~first) - 1]
+    points, at = np.unique(lo, return_inverse=True)
+    return points, np.cumsum(np.bincount(at, step, len(points))) / trees
+
+
+def _model_batches(n_trees: int, max_samples: int, seed: int):
+    """Leaves (``tree_id`` not null) and merged segments of each series."""
+    kinds = (("key", pa.string()), ("tree_id", pa.int32()), ("node", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()),
+             ("path_len", pa.float64()))
+
+    def run(batches):
+        for b in batches:
+            for name, xs in zip(b.column("key").to_pylist(), b.column("xs")):
+                x = xs.values.to_numpy()
+                seeds = np.array([tree_seed_of(seed, name, i) for i in range(n_trees)], np.int64)
+                leaf = grow(np.sort(x[draw_positions(len(x), max_samples, seeds)], axis=1), seeds)
+                path = leaf["depth"] + path_length_np(leaf["size"])
+                points, mean = merge(leaf, path, n_trees)
+                for cols in ((leaf["tree"], leaf["node"], leaf["lo"], leaf["hi"], path), (None, None, points, None, mean)):
+                    n = len(cols[-1])
+                    arrays = [pa.array([name] * n, pa.string())]
+                    arrays += [pa.nulls(n, t) if c is None else pa.array(c, t) for c, (_, t) in zip(cols, kinds[1:])]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[k for k, _ in kinds])
+    return run
 
 
 def fit_forest(rows: DataFrame, key: str = "warehouse_name", date_col: str = "usage_date",
@@ -99,62 +164,25 @@ def fit_forest(rows: DataFrame, key: str = "warehouse_name", date_col: str = "us
                sigmas: float = 3.0, version: int | Column = 0, materialize: bool = True) -> Forest:
     """Fit one forest per ``key`` on ``value`` of the given (gap-free) rows.
 
-    Plan: rows get their position in the series (one window); each (key, tree)
-    draws ``psi`` positions, and the draws join the rows by position, so a tree
-    sees ``max_samples`` rows however long the history is -> growth windows on
-    those rows (one Window operator per level) -> leaves -> merged step
-    function -> every training row scored by the as-of lookup (``score_rows``).
+    Plan: the values of a series as one array (one shuffle) -> leaves of all
+    its trees -> merged step function -> every training row scored by the as-of
+    lookup (``score_rows``).
     """
     rows = write_stage(rows, "forest_rows") if materialize else rows
-    base = rows.select(key, date_col, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x"))
-    base = base.withColumn("_pos", F.row_number().over(Window.partitionBy(key).orderBy(date_col)).cast("long") - 1)
-    picks = draw_positions(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key, n_trees, max_samples, seed)
-    t = (picks.join(base.select(key, "_pos", "_x"), [key, "_pos"])
-         .select(key, "tree_id", "_x",
-                 F.ceil(F.log2(F.greatest(F.col("_psi"), F.lit(2)).cast("double"))).alias("_depth_limit"),
-                 "_tseed", F.lit(1).alias("node"), F.lit(0).alias("_depth"),
-                 F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi")))
-
-    x = F.col("_x")
-    carry = [key, "tree_id", "_x", "_depth_limit", "_tseed"]
-    # one window partition per tree; the RANGE frame 0..0 on the node id is the
-    # node itself.  The depth test uses the node's own depth (a node that
-    # stopped splitting never splits later), so every level generates the same
-    # code and compiles once.
-    w = Window.partitionBy(key, "tree_id").orderBy("node").rangeBetween(0, 0)
-    ok = ((F.col("_depth") < F.col("_depth_limit")) & (F.col("_cnt") >= 2)
-          & (F.col("_hi") > F.col("_lo") + F.lit(FEATURE_THRESHOLD)))
-    raw = F.col("_lo") + mix_uniform(F.col("_tseed"), F.col("node")) * (F.col("_hi") - F.col("_lo"))
-    split = F.when(raw >= F.col("_hi"), F.col("_lo")).otherwise(raw)
-    right = x > split
-    # levels actually needed: the depth limit of the longest series (one scalar
-    # fetched on the driver), at most ceil(log2(max_samples)); a level that no
-    # node needs would change nothing, as each node tests its own depth
-    longest = rows.groupBy(key).count().agg(F.max("count")).first()[0] or 1
-    for _ in range(_levels(min(longest, max_samples))):
-        t = t.withColumns({"_lo": F.min(x).over(w), "_hi": F.max(x).over(w), "_cnt": F.count(x).over(w)})
-        t = t.select(
-            *carry,
-            F.when(ok, F.col("node") * 2 + right.cast("int")).otherwise(F.col("node")).alias("node"),
-            (F.col("_depth") + ok.cast("int")).alias("_depth"),
-            F.when(ok & right, split).otherwise(F.col("lo")).alias("lo"),
-            F.when(ok & ~right, split).otherwise(F.col("hi")).alias("hi"))
-
+    x = F.struct(F.col(date_col), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("x"))
+    series = rows.groupBy(F.col(key).cast("string").alias("key")).agg(
+        F.transform(F.sort_array(F.collect_list(x)), lambda s: s["x"]).alias("xs"))
     version_col = version if isinstance(version, Column) else F.lit(version)
-    leaves = (t.groupBy(key, "tree_id", "node", "lo", "hi")
-              .agg(F.max("_depth").alias("_depth"), F.count(F.lit(1)).alias("_size"))
-              .select(key, "tree_id", "node", "lo", "hi",
-                      (F.col("_depth") + avg_path_length(F.col("_size"))).alias("path_len"),
-                      version_col.alias("model_version")))
+    model = series.mapInArrow(_model_batches(n_trees, max_samples, seed),
+                              "key string, tree_id int, node int, lo double, hi double, path_len double")
     if materialize:
-        # the leaves feed the model tables and the training scores: grow once
+        # the leaves and segments feed the model tables, the training scores and every later prediction: grow once
         # (a table written to the shared checkpoint folder cuts the lineage)
-        leaves = write_stage(leaves, "forest_leaves")
+        model = write_stage(model, "forest_model")
+    model = model.withColumnRenamed("key", key).withColumn("model_version", version_col)
+    leaves = model.where("tree_id is not null").select(key, "tree_id", "node", "lo", "hi", "path_len", "model_version")
+    segments = model.where("tree_id is null").select(key, "model_version", "lo", F.col("path_len").alias("mean_path"))
     psi = rows.groupBy(key).agg(F.least(F.count(F.lit(1)), F.lit(max_samples)).alias("psi"))
-    segments = merge_leaves(leaves, key, n_trees)
-    if materialize:
-        # read by the training scores and by every later prediction
-        segments = write_stage(segments, "forest_segments")
     shape = psi.select(key, version_col.alias("model_version"), F.lit(n_trees).alias("n_trees"), "psi",
                        avg_path_length(F.col("psi")).alias("c_psi"))
     scored = score_rows(rows, segments, shape, key, value)
@@ -170,29 +198,6 @@ def fit_forest(rows: DataFrame, key: str = "warehouse_name", date_col: str = "us
     return Forest(leaves=leaves, segments=segments, meta=meta, scores=scores)
 
 
-def merge_leaves(leaves: DataFrame, key: str = "warehouse_name", n_trees: int = 100) -> DataFrame:
-    """Merge the per-tree step functions of each warehouse into one.
-
-    Sweeping the line left to right, at each split point ``b`` of tree ``t`` the
-    path length of ``t`` changes from its leaf left of ``b`` to its leaf right
-    of ``b``.  The mean path right of ``b`` is therefore
-    ``(sum of leftmost leaves + running sum of changes up to b) / n_trees``.
-    Output: (warehouse, version, lo, mean_path), one row per distinct
-    breakpoint plus the leftmost segment (lo = -inf).
-    """
-    by_tree = Window.partitionBy(key, "model_version", "tree_id").orderBy("lo")
-    steps = leaves.withColumn("_delta", F.col("path_len") - F.lag("path_len").over(by_tree))
-    base = (steps.where(F.col("lo") == float("-inf"))
-            .groupBy(key, "model_version").agg(F.sum("path_len").alias("_delta"))
-            .withColumn("lo", F.lit(float("-inf"))))
-    moves = (steps.where(F.col("lo") > float("-inf"))
-             .groupBy(key, "model_version", "lo").agg(F.sum("_delta").alias("_delta")))
-    sweep = Window.partitionBy(key, "model_version").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
-    return (base.unionByName(moves)
-            .withColumn("mean_path", F.sum("_delta").over(sweep) / F.lit(float(n_trees)))
-            .select(key, "model_version", "lo", "mean_path"))
-
-
 def score_rows(rows: DataFrame, segments: DataFrame, meta: DataFrame, key: str = "warehouse_name",
                value: str = "residual") -> DataFrame:
     """Decision function of every row against its warehouse's model (as-of lookup).
@@ -209,7 +214,9 @@ def score_rows(rows: DataFrame, segments: DataFrame, meta: DataFrame, key: str =
     u = q.unionByName(s, allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy("_v", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     looked = u.withColumn("_path", F.last("_mp", ignorenulls=True).over(w)).where(F.col("_kind") == 0)
-    score = F.lit(0.5) - F.pow(F.lit(2.0), -F.col("_path") / F.col("c_psi"))
+    # a model of one row has c(1) = 0: every score of it is neutral
+    ratio = F.when(F.col("c_psi") != 0, F.col("_path") / F.col("c_psi")).otherwise(F.lit(1.0))
+    score = F.lit(0.5) - F.pow(F.lit(2.0), -ratio)
     return looked.withColumn("score", score).drop("_v", "_kind", "_mp", "_path", "c_psi")
 
 

@@ -18,7 +18,7 @@ from .. import schemas
 from ..functions.columns import round6
 from ..operators import calendar as cal
 from ..operators import checks, costs, metering
-from ..sources import tables
+from ..sources import manifest, tables
 from ..sources.adapters import DRIVER_COLUMNS, read_table, source
 from . import daily
 
@@ -157,7 +157,7 @@ def q_weekly_usage(spark, sf):
 # ---------------------------------------------------------------- costs
 
 
-def _queries(spark, sf, rank: str | None = "histogram") -> DataFrame:
+def _queries(spark, sf, rank: str | None = "ranges") -> DataFrame:
     return costs.load_query_history(source(spark, sf, "query_src"), rank_strategy=rank)
 
 
@@ -335,7 +335,7 @@ def stored(spark, sf) -> Stored:
         raw = source(spark, sf, "metering_sparse")
         first, last = cal.date_bounds(raw, "usage_date")
         daily.setup(spark, t, first, (last - first).days + 1)
-        raw.write.mode("overwrite").partitionBy("usage_date").parquet(t.raw_warehouse_metering_history)
+        tables.backfill(raw, t.raw_warehouse_metering_history, schemas.RAW_METERING, "usage_date")
         daily.run_preparation(spark, t, first, last)
         daily.run_training(spark, t, last - _dt.timedelta(days=14), seed=SEED)
         cut = last - _dt.timedelta(days=7)
@@ -354,7 +354,7 @@ def _table(spark, sf, name: str) -> DataFrame:
 @register("model_reload")
 def q_model_reload(spark, sf):
     """The stored model versions: one row per warehouse and version, the repeated one once."""
-    meta = tables.read_table(spark, stored(spark, sf).t.model_meta, daily.MODEL_META)
+    meta = daily.models(spark, stored(spark, sf).t)["meta"]
     return _round_floats(meta, ["c_psi", "score_mean", "score_std", "threshold"])
 
 
@@ -367,7 +367,7 @@ def q_prediction_reload(spark, sf):
 
 @register("forest_model")
 def q_forest_model(spark, sf):
-    leaves = tables.read_table(spark, stored(spark, sf).t.model_leaves, daily.MODEL_LEAVES)
+    leaves = daily.models(spark, stored(spark, sf).t)["leaves"]
     leaves = tables.latest(leaves, ["warehouse_name"], "model_version")
     return _round_floats(leaves, ["lo", "hi", "path_len"])
 
@@ -380,13 +380,41 @@ def q_forest_train_anomalies(spark, sf):
 
 @register("forest_scores")
 def q_forest_scores(spark, sf):
-    s = stored(spark, sf)
-    out = forest.score_forest(_table(spark, sf, "feature_metering_seasonal_decompose"),
-                              tables.read_table(spark, s.t.model_segments, daily.MODEL_SEGMENTS),
-                              tables.read_table(spark, s.t.model_meta, daily.MODEL_META), s.last)
+    return _scores(spark, sf, daily.models(spark, stored(spark, sf).t))
+
+
+def _scores(spark, sf, m) -> DataFrame:
+    out = forest.score_forest(_table(spark, sf, "feature_metering_seasonal_decompose"), m["segments"], m["meta"],
+                              stored(spark, sf).last)
     return _round_floats(out, [c for c in FOREST_FLOATS if c in out.columns])
 
 
+@register("model_snapshot")
+def q_model_snapshot(spark, sf):
+    """A prediction between the steps of a repeated training, whose tables are written but not yet published:
+    it sees the version before, whole."""
+    t = stored(spark, sf).t
+    before = manifest.snapshot(spark, t.model)
+    earlier = {n: m.where("model_version = 1").withColumn("model_version", F.lit(2).cast("long"))
+               for n, m in daily.models(spark, t, before).items()}
+    batch = manifest.write_batch({n: (m, daily.MODEL[n]) for n, m in earlier.items()}, t.model, "model_version", [2])
+    out = tables.materialize(_scores(spark, sf, daily.models(spark, t)), "between")
+    batch.discard()
+    return out
+
+
+@register("prediction_append")
+def q_prediction_append(spark, sf):
+    """Predictions of two days appended, the last one twice: the repeat adds nothing, the overlap of the windows stays."""
+    s = stored(spark, sf)
+    path = tables.scratch_path(spark, "appended")
+    for day in (s.last - _dt.timedelta(days=1), s.last, s.last):
+        found = daily.predict(spark, s.t, day).withColumn("prediction_date", F.lit(day))
+        tables.append_batch(found, path, daily.PREDICTIONS, "prediction_date", str(day))
+    out = tables.read_table(spark, path, schemas.MODEL_OUTPUT_ANOMALIES)
+    return _round_floats(out, ["credits_used", "trend", "seasonal", "residual", "score"])
+
+
 @register("forest_history")
 def q_forest_history(spark, sf):
     """Notebook scan: one-sided residuals of the long series, every day scored,
@@ -423,6 +451,40 @@ def q_anomaly_report_text(spark, sf):
     return anomalies.report_text(rows)
 
 
+@register("anomaly_message")
+def q_anomaly_message(spark, sf):
+    """The message that people read, in pages of 20 lines."""
+    rows = _report(spark, sf)
+    rows = rows.withColumn("score", F.when(F.col("score").isNotNull(), F.format_string("%.6f", F.round("score", 6))))
+    return anomalies.report_pages(rows, page_lines=20)
+
+
+@register("short_series")
+def q_short_series(spark, sf):
+    """Preparations over the first 13 and 14 days: the first skips every series and publishes nothing, the second
+    one publishes.  One row per run and warehouse: days, whether it was skipped, rows in the feature table then."""
+    t = daily.Tables(tables.scratch_path(spark, "short"))
+    raw = source(spark, sf, "metering_sparse")
+    first = _first_day(raw)
+    daily.setup(spark, t, first, 30)
+    if first is not None:
+        tables.backfill(raw, t.raw_warehouse_metering_history, schemas.RAW_METERING, "usage_date")
+    out = None
+    for days in (13, 14):
+        upto = (first or _dt.date(1970, 1, 1)) + _dt.timedelta(days=days - 1)
+        skipped = daily.run_preparation(spark, t, first, upto)
+        names = daily.table(spark, t, "metrics_warehouse_metering_history").select("warehouse_name").distinct()
+        stored_rows = daily.table(spark, t, "feature_metering_seasonal_decompose").groupBy("warehouse_name").agg(
+            F.count(F.lit(1)).alias("feature_rows"))
+        run = (names.join(skipped.select("warehouse_name", F.lit(True).alias("skipped")), "warehouse_name", "left")
+               .join(stored_rows, "warehouse_name", "left")
+               .select(F.lit(days).alias("days"), "warehouse_name", F.coalesce("skipped", F.lit(False)).alias("skipped"),
+                       F.coalesce("feature_rows", F.lit(0)).alias("feature_rows")))
+        run = tables.materialize(run, "short_run")
+        out = run if out is None else out.unionByName(run)
+    return out
+
+
 @register("warehouses")
 def q_warehouses(spark, sf):
     return anomalies.list_warehouses(_table(spark, sf, "feature_metering_seasonal_decompose"))
@@ -434,6 +496,57 @@ def q_alert_gate(spark, sf):
     return anomalies.alert_gate(daily.predictions_of(spark, s.t, s.last))
 
 
+# ---------------------------------------------------------------- stored views
+_VIEWS: dict[tuple[str, str], str] = {}
+
+
+def _view(spark, sf, name: str) -> DataFrame:
+    """A reporting view, made when every day but the last was loaded and read after the last day's load."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _VIEWS:
+        t = daily.Tables(tables.scratch_path(spark, "views"))
+        runs = stored(spark, sf).t
+        rows = {"reporting_query_history": (tables.materialize(_queries(spark, sf), "queries"), schemas.QUERY_HISTORY),
+                "reporting_warehouse_credits": (tables.materialize(_credits(spark, sf), "credits"), schemas.WAREHOUSE_CREDITS)}
+        last = _last_day(rows["reporting_warehouse_credits"][0], "ds")
+        early = F.lit(True) if last is None else F.col("ds") < F.lit(last)
+        for table, (df, schema) in rows.items():
+            tables.backfill(df.where(early), getattr(t, table), schema, "ds")
+        prefix = f"v{len(_VIEWS)}_"
+        daily.register_views(spark, daily.Placed(t, runs), prefix)
+        for table, (df, schema) in rows.items():
+            tables.load_partitions(df.where(F.col("ds") == F.lit(last)), getattr(t, table), schema, "ds", [last])
+        _VIEWS[key] = prefix
+    return spark.table(f"{_VIEWS[key]}{name}")
+
+
+@register("view_dag_cost")
+def q_view_dag_cost(spark, sf):
+    return _view(spark, sf, "view_reporting_dag_cost")
+
+
+@register("view_dag_cost_delta")
+def q_view_dag_cost_delta(spark, sf):
+    return _round_floats(_view(spark, sf, "view_reporting_dag_cost_delta"), PCT)
+
+
+@register("view_dag_cost_warnings")
+def q_view_dag_cost_warnings(spark, sf):
+    out = _view(spark, sf, "view_reporting_dag_cost_warnings")
+    return _round_floats(out, [c for c in PCT if c in out.columns])
+
+
+@register("view_credits_delta")
+def q_view_credits_delta(spark, sf):
+    return _view(spark, sf, "view_reporting_warehouse_credits_delta")
+
+
+@register("view_anomalies")
+def q_view_anomalies(spark, sf):
+    out = _view(spark, sf, "view_reporting_anomalies")
+    return _round_floats(out, METRIC_FLOATS + [c for c in FOREST_FLOATS if c in out.columns])
+
+
 # ---------------------------------------------------------------- drift
 from ..operators import drift  # noqa: E402
 

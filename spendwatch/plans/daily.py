@@ -2,10 +2,11 @@
 
 Each run takes the run date ``ds`` (or a training cut-off) and table
 locations, reads its inputs, and writes its outputs with the writers of
-``sources.tables``: the loads replace their day's folder, the prepared tables
-are replaced whole, a training replaces its model version's folders and a
-prediction its day's folder.  Runs of different days write different folders
-and can run at the same time; a repeated run replaces what it wrote before.
+``sources.tables``: the loads replace their day, the prepared tables are
+replaced whole, a training publishes the three tables of its model version in
+one step, and a prediction replaces or appends its day.  Runs of different days
+can run at the same time; a repeated run replaces what it wrote before, or adds
+nothing where it appends.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators import anomalies, calendar, checks, costs, decompose, forest, metering
-from ..sources import tables
+from ..sources import manifest, tables
 from .views import view_sql
 
 MODEL_LEAVES = T.StructType([
@@ -35,6 +36,10 @@ MODEL_META = T.StructType([
     T.StructField("score_std", T.DoubleType()), T.StructField("threshold", T.DoubleType())])
 
 
+MODEL = {"leaves": MODEL_LEAVES, "segments": MODEL_SEGMENTS, "meta": MODEL_META}
+PREDICTIONS = T.StructType([*schemas.MODEL_OUTPUT_ANOMALIES.fields, T.StructField("prediction_date", T.DateType())])
+
+
 @dataclass
 class Tables:
     """Locations of every table under one root on shared storage."""
@@ -45,6 +50,17 @@ class Tables:
         return f"{self.root.rstrip('/')}/{name}"
 
 
+@dataclass
+class Placed:
+    """Tables of two roots: the reporting loads under one, everything else under another."""
+
+    reporting: Tables
+    rest: Tables
+
+    def __getattr__(self, name: str) -> str:
+        return getattr(self.reporting if name.startswith("reporting_") else self.rest, name)
+
+
 @dataclass
 class Sources:
     """The vendor views the loads read."""
@@ -74,11 +90,11 @@ def setup(spark: SparkSession, t: Tables, start, days: int = calendar.DEFAULT_DA
     """
     for name, (schema, key) in TABLES.items():
         path = getattr(t, name)
-        if not tables.exists(spark, path):
+        if key:
+            manifest.create(spark, path, key)
+        elif not tables.exists(spark, path):
             empty = spark.createDataFrame([], schema)
-            rows = calendar.build_calendar(spark, start, days) if name == "common_calendar" else empty
-            writer = rows.write.partitionBy(key) if key in schema.fieldNames() else rows.write
-            writer.parquet(path)
+            (calendar.build_calendar(spark, start, days) if name == "common_calendar" else empty).write.parquet(path)
 
 
 def table(spark: SparkSession, t: Tables, name: str) -> DataFrame:
@@ -130,47 +146,74 @@ def run_training(spark: SparkSession, t: Tables, before, version: int | None = N
     """Weekly training: one forest per warehouse, stored as a model version.
 
     The version is the next free one; a repeated run passes the version it
-    repeats and replaces it.  The meta table is written last: a version counts
-    once it is there.  Returns the training anomalies.
+    repeats and replaces it.  Leaves, segments and thresholds appear together,
+    so no reader ever joins those of two trainings.  Returns the training
+    anomalies.
     """
     if version is None:
-        version = tables.next_version(spark, t.model_meta)
+        version = tables.next_version(spark, t.model)
     fit = forest.train_forest(table(spark, t, "feature_metering_seasonal_decompose"), before, seed=seed,
                               sigmas=sigmas, version=version)
-    for rows, path, schema in ((fit.leaves, t.model_leaves, MODEL_LEAVES),
-                               (fit.segments, t.model_segments, MODEL_SEGMENTS), (fit.meta, t.model_meta, MODEL_META)):
-        tables.replace_partition(rows, path, schema, "model_version", version)
+    rows = {"leaves": fit.leaves, "segments": fit.segments, "meta": fit.meta}
+    typed = {n: (r.withColumn("model_version", F.lit(version).cast("long")), MODEL[n]) for n, r in rows.items()}
+    manifest.publish(typed, t.model, "model_version", [version])
     return forest.training_anomalies(fit.scores)
 
 
-def run_prediction(spark: SparkSession, t: Tables, ds) -> tuple[DataFrame, DataFrame]:
-    """Daily prediction with the latest model of each warehouse: replaces the day's
-    anomalies, returns (report, alert gate)."""
-    seg = tables.read_table(spark, t.model_segments, MODEL_SEGMENTS)
-    meta = tables.read_table(spark, t.model_meta, MODEL_META)
-    found = forest.predicted_anomalies(forest.score_forest(table(spark, t, "feature_metering_seasonal_decompose"),
-                                                           seg, meta, ds))
-    tables.replace_partition(found, t.model_output_anomalies, schemas.MODEL_OUTPUT_ANOMALIES, "prediction_date", ds)
+def models(spark: SparkSession, t: Tables, at: manifest.Snapshot | None = None) -> dict[str, DataFrame]:
+    """The model tables (leaves, segments, meta), all as of one commit."""
+    at = at or manifest.snapshot(spark, t.model)
+    return {n: manifest.read(spark, t.model, schema, n, at) for n, schema in MODEL.items()}
+
+
+def predict(spark: SparkSession, t: Tables, ds, at: manifest.Snapshot | None = None) -> DataFrame:
+    """The anomalies of [ds - 7, ds] by the latest model of each warehouse, all of one commit of the models."""
+    m = models(spark, t, at)
+    return forest.predicted_anomalies(forest.score_forest(table(spark, t, "feature_metering_seasonal_decompose"),
+                                                          m["segments"], m["meta"], ds))
+
+
+def run_prediction(spark: SparkSession, t: Tables, ds, append: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Daily prediction: stores the day's anomalies, returns (report, alert gate).
+
+    A repeated prediction replaces its day, or with ``append`` adds nothing.
+    The windows of different days overlap, and all their rows stay either way.
+    """
+    found = predict(spark, t, ds).withColumn("prediction_date", F.lit(str(ds)).cast("date"))
+    write = tables.append_batch if append else tables.replace_partition
+    write(found, t.model_output_anomalies, PREDICTIONS, "prediction_date", str(ds))
     todays = predictions_of(spark, t, ds)
     return anomalies.anomaly_report(table(spark, t, "raw_warehouse_metering_history"), todays), anomalies.alert_gate(todays)
 
 
 def predictions_of(spark: SparkSession, t: Tables, ds) -> DataFrame:
-    """The stored anomalies that the prediction of ``ds`` found."""
-    return table(spark, t, "model_output_anomalies").where(
-        F.col("prediction_datetime") == F.lit(str(ds)).cast("date").cast("timestamp_ntz"))
+    """The stored anomalies that the prediction of ``ds`` found; opens the files of that day only."""
+    stored = manifest.read(spark, t.model_output_anomalies, PREDICTIONS)
+    return stored.where(F.col("prediction_date") == F.lit(str(ds)).cast("date")).drop("prediction_date")
+
+
+def last_costed_day(spark: SparkSession, t: Tables) -> str | None:
+    """The last day with stored queries and credits, from the manifests: no data is read.
+
+    Credits of a day exist only for warehouses that ran queries on it, so this
+    is the last day that has costs.
+    """
+    return tables.last_value(spark, t.reporting_query_history, t.reporting_warehouse_credits)
 
 
-def register_views(spark: SparkSession, t: Tables) -> list[str]:
-    """Create or replace the five reporting views over the stored tables (see ``plans.views``).
+def register_views(spark: SparkSession, t: Tables, prefix: str = "") -> list[str]:
+    """Create or replace the five reporting views in the catalog, over the stored tables (see ``plans.views``).
 
-    A table must have been loaded once, so that its columns are known; a
-    missing one is an error that names it.
+    They are definitions of the catalog, not of the session; on a cluster with
+    a metastore they stay until they are dropped.  A table must have been
+    loaded once, so that its columns are known; a missing one is an error that
+    names it.  ``prefix`` goes before the names of the views (``db.`` names a
+    database).
     """
-    views = view_sql(lambda name: getattr(t, name))
-    lost = sorted({n for needs, _ in views.values() for n in needs if not tables.has_rows_folder(spark, getattr(t, n))})
+    views = view_sql(t, prefix)
+    lost = sorted({n for needs, _ in views.values() for n in needs if not tables.has_rows(spark, getattr(t, n))})
     if lost:
         raise ValueError(f"load these tables before registering the views: {', '.join(lost)}")
     for name, (_, sql) in views.items():
-        spark.sql(f"create or replace temporary view {name} as {sql}")
-    return sorted(views)
+        spark.sql(f"create or replace view {prefix}{name} as {sql}")
+    return sorted(prefix + name for name in views)

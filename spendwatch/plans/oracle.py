@@ -548,6 +548,15 @@ select warehouse_name, usage_date, {r6('credits_used')} as credits_used, round(t
 from flagged where is_anomaly
 """
 
+# the same windows one day earlier
+_SCORED_BEFORE = _SCORED.replace("(select d from last) - 7 and (select d from last)", "(select d from last) - 8 and (select d from last) - 1"
+                                 ).replace("cast((select d from last) as timestamp)", "cast((select d from last) - 1 as timestamp)")
+_FOUND = f"""select warehouse_name, usage_date, {r6('credits_used')} as credits_used, round(trend, 6) as trend,
+       round(seasonal, 6) as seasonal, round(residual, 6) as residual, round(score, 6) as score, prediction_datetime
+from flagged where is_anomaly"""
+ORACLE["prediction_append"] = f"select * from ({_SCORED}\n{_FOUND}) union all select * from ({_SCORED_BEFORE}\n{_FOUND})"
+ORACLE["model_snapshot"] = ORACLE["forest_scores"]
+
 ORACLE["alert_gate"] = f"""
 {_SCORED}
 select count(*) as n_anomalies, count(*) > 0 as send_alert from flagged where is_anomaly
@@ -577,6 +586,25 @@ select warehouse_name, usage_date, concat_ws(' | ', warehouse_name, usage_date::
          case when score is null then '' else printf('%.6f', score) end, is_anomaly::varchar) as line
 from report"""
 
+ORACLE["anomaly_message"] = f"""
+with lines as ({ORACLE["anomaly_report_text"]}),
+placed as (select line, row_number() over (order by usage_date, warehouse_name, line) - 1 as place from lines)
+select (place // 20 + 1)::int as page, count(*) as n_lines,
+       'warehouse_name | usage_date | credits_used | credits_used_compute | credits_used_cloud_services | score | is_anomaly' || chr(10)
+       || string_agg(line, chr(10) order by place) as body
+from placed group by 1"""
+
+# 14 days are the first that hold two weeks
+ORACLE["short_series"] = f"""
+{duck_cte('metering_sparse')},
+named as (select distinct warehouse_name from metering_sparse where warehouse_name is not null
+          and usage_date <= (select min(usage_date) + 12 from metering_sparse)),
+later as (select distinct warehouse_name from metering_sparse where warehouse_name is not null
+          and usage_date <= (select min(usage_date) + 13 from metering_sparse))
+select 13 as days, warehouse_name, true as skipped, 0::bigint as feature_rows from named
+union all select 14, warehouse_name, false, 14::bigint from later
+"""
+
 ORACLE["warehouses"] = f"""
 {duck_cte('metering_sparse')},
 {_METRICS_BODY},
@@ -661,3 +689,8 @@ select count(*) as n_columns, count(*) filter (p_value < 0.05) as n_drifted, avg
        avg((p_value < 0.05)::integer) >= 0.5 as dataset_drift
 from tested
 """
+
+# the stored views hold what the jobs compute
+for _name in ("dag_cost", "dag_cost_delta", "dag_cost_warnings", "credits_delta"):
+    ORACLE[f"view_{_name}"] = ORACLE[_name]
+ORACLE["view_anomalies"] = ORACLE["anomalies_view"]

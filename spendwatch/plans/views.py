@@ -1,94 +1,33 @@
 """The five reporting views as Spark SQL over the stored tables.
 
-A temporary view made from SQL text is analysed anew whenever it is read, and
-it names its tables by path, so it always sees the days that are loaded then
-(a view made from a DataFrame would keep the file list of its making).
+The texts are those of the jobs (``operators.cost_sql``).  A view is analysed
+anew whenever it is read and follows the manifests of its tables by itself: the
+newest manifest names the batches and so prunes the folders, and the last
+costed day is its greatest day with rows, which no data is read for.
 """
 
 from __future__ import annotations
 
-from ..operators.costs import _PERIODS
+from ..operators import cost_sql
+from ..sources import manifest
 
-PCT, USD = 0.33, 25
-
-
-def _costed(queries: str, credits: str) -> str:
-    return f"""
-select q.*,
-       round(try_divide(q.total_elapsed_time, c.total_time_elapsed), 6) as warehouse_pct,
-       round(warehouse_pct * c.warehouse_credits, 6) as task_credit_cost,
-       round(task_credit_cost * c.effective_rate, 6) as task_dollar_cost
-from {queries} q join {credits} c on q.warehouse_name = c.warehouse_name and q.ds = c.ds"""
-
-
-def _delta(cost: str) -> str:
-    """Day sums per task, each compared with those 1, 7 and 28 days before; the last day
-    carries the comparison that was made a day earlier."""
-    def gap(unit, name):
-        return f"{unit} - {unit}_{name}"
-
-    compared = ", ".join(
-        f"p{k}.dollar as dollar_{n}, p{k}.credit as credit_{n}" for n, k in _PERIODS)
-    joins = " ".join(
-        f"left join sums p{k} on p{k}.airflow_task_id = s.airflow_task_id and p{k}.airflow_dag_id = s.airflow_dag_id"
-        f" and date_add(p{k}.ds, {k}) = s.ds" for _, k in _PERIODS)
-    deltas = [(f"{u}_delta_{n}", gap(u, n)) for n, _ in _PERIODS for u in ("dollar", "credit")]
-    deltas += [(f"pct_change_{n}", f"cast(credit as double) / cast(nullif(credit_{n}, 0) as double) - 1")
-               for n, _ in _PERIODS]
-    now = ", ".join(f"{e} as {n}" for n, e in deltas)
-    warn = ", ".join(f"{e} as yesterday_warn_{n}" for n, e in deltas)
-    before = ", ".join(f"{u}_{n} as task_{u}_cost_{n}" for n, _ in _PERIODS for u in ("dollar", "credit"))
-    return f"""
-with last as (select max(ds) as day from {cost}),
-sums as (select airflow_dag_id, airflow_task_id, ds, warehouse_name,
-                sum(task_dollar_cost) as dollar, sum(task_credit_cost) as credit
-         from {cost} where datediff((select day from last), ds) in (0, 1, 2, 7, 8, 28, 29) group by all),
-compared as (select s.*, datediff((select day from last), s.ds) as age, {compared} from sums s {joins}
-             where datediff((select day from last), s.ds) < 2),
-today as (select ds, airflow_dag_id, airflow_task_id, warehouse_name, dollar as task_dollar_cost_today,
-                 credit as task_credit_cost_today, {before}, {now} from compared where age = 0),
-day_before as (select airflow_task_id as t, airflow_dag_id as d, {warn} from compared
-               where age = 1 and airflow_task_id is not null)
-select today.*, day_before.* except (t, d) from today
-left join day_before on t = airflow_task_id and d = airflow_dag_id"""
-
-
-def _warnings(delta: str) -> str:
-    """First period whose change passes both limits, unless yesterday warned of the opposite for it."""
-    def first(prefix):
-        periods = ", ".join(f"struct('{n.replace('_', ' ')}' as label, {prefix}dollar_delta_{n} as usd, {prefix}pct_change_{n} as pct)"
-                            for n, _ in _PERIODS)
-        return f"get(filter(array({periods}), p -> abs(p.usd) > {USD} and abs(p.pct) > {PCT}), 0)"
-
-    def word(p):
-        return f"case when {p}.pct > 0 then 'increase' when {p}.pct < 0 then 'decrease' end"
-
-    return f"""
-with hits as (select *, {first('')} as hit, {first('yesterday_warn_')} as old from {delta})
-select * except (hit, old, {", ".join(f"yesterday_warn_{c}_{n}" for n, _ in _PERIODS for c in ("dollar_delta", "credit_delta", "pct_change"))}),
-       hit.label as trigger_period, {word('hit')} as change_type,
-       old.label as yesterday_warn_trigger_period, {word('old')} as yesterday_warn_change_type
-from hits where hit is not null and not coalesce(hit.label = old.label and {word('hit')} <> {word('old')}, false)"""
-
-
-def view_sql(path_of) -> dict[str, tuple[tuple[str, ...], str]]:
-    """View name -> (tables it reads, SQL); ``path_of(table)`` is the table's folder."""
-    def t(name):
-        return f"parquet.`{path_of(name)}`"
 
+def view_sql(t, prefix: str = "") -> dict[str, tuple[tuple[str, ...], str]]:
+    """View name -> (tables it reads, SQL); ``t`` has the tables' folders."""
     queries, credits = "reporting_query_history", "reporting_warehouse_credits"
+    metrics, found = "metrics_warehouse_metering_history", "model_output_anomalies"
+    q, c = (manifest.sql_table(getattr(t, n), "ds") for n in (queries, credits))
+    live = [manifest.sql_live(getattr(t, n)) for n in (queries, credits)]
+    last = f"(select max(cast(a.value as date)) from {live[0]} a join {live[1]} b on a.value = b.value)"
+    days = ", ".join(f"date_sub({last}, {k})" for k in cost_sql.DAYS)
+    # the days are filtered at the tables, where they prune folders
+    narrow = f"(select * except (query_time_rank) from {q} where ds in ({days}))"
+    cost = f"({cost_sql.dag_cost(narrow, c)})"
     return {
-        "view_reporting_warehouse_credits_delta": ((credits,), f"""
-select c.warehouse_name, c.warehouse_credits, c.ds,
-       cast(c.warehouse_credits as decimal(37,9)) - cast(y.warehouse_credits as decimal(37,9))
-           as warehouse_credits_delta_yesterday
-from {t(credits)} c left join {t(credits)} y on y.warehouse_name = c.warehouse_name and date_add(y.ds, 1) = c.ds"""),
-        "view_reporting_dag_cost": ((queries, credits), _costed(t(queries), t(credits))),
-        "view_reporting_dag_cost_delta": ((queries, credits), _delta(
-            f"({_costed(f'(select * except (query_time_rank) from {t(queries)})', t(credits))})")),
-        "view_reporting_dag_cost_warnings": ((queries, credits), _warnings("view_reporting_dag_cost_delta")),
-        "view_reporting_anomalies": (("metrics_warehouse_metering_history", "model_output_anomalies"), f"""
-select m.*, a.trend, a.seasonal, a.residual, a.score, a.prediction_datetime, a.score is not null as is_anomaly
-from {t("metrics_warehouse_metering_history")} m left join {t("model_output_anomalies")} a
-  on a.warehouse_name = m.warehouse_name and a.usage_date = m.usage_date"""),
+        "view_reporting_warehouse_credits_delta": ((credits,), cost_sql.warehouse_credits_delta(c)),
+        "view_reporting_dag_cost": ((queries, credits), cost_sql.dag_cost(q, c)),
+        "view_reporting_dag_cost_delta": ((queries, credits), cost_sql.dag_cost_delta(cost, last)),
+        "view_reporting_dag_cost_warnings": ((queries, credits), cost_sql.dag_cost_warnings(f"{prefix}view_reporting_dag_cost_delta")),
+        "view_reporting_anomalies": ((metrics, found), cost_sql.anomalies(
+            f"parquet.`{getattr(t, metrics)}`", manifest.sql_table(getattr(t, found), "prediction_date"))),
     }

@@ -20,6 +20,8 @@ BASE_CONF = {
     # small but CPU-heavy stages (windows over daily series, tree levels) stay spread over the cores
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.sources.partitionOverwriteMode": "static",
+    # folders are listed by a few tasks of many folders, not by a task each
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",

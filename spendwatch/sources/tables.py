@@ -1,10 +1,12 @@
 """Table sinks: create, day-partition replace, replace, append, versions, latest model.
 
-Tables are Parquet folders partitioned by their load key (``usage_date`` for
-the raw metering table, ``ds`` for the reporting tables).  Every writer
-conforms the frame to the declared schema first, so a write can never change a
-column type.  Paths are on the shared storage the cluster uses (for tests: a
-scratch folder under ``spark.checkpoint.dir``).
+Tables that are loaded by day (``usage_date``, ``ds``, ``prediction_date``) or
+version are published through a manifest (``sources.manifest``): a load of any
+number of days is one write and one commit.  Tables that are replaced whole are
+plain Parquet folders.  Every writer conforms the frame to the declared schema
+first, so a write can never change a column type.  Paths are on the shared
+storage the cluster uses (for tests: a scratch folder under
+``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..schemas import conform
 from ..session import ensure_checkpoint_dir
+from . import manifest
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -55,39 +58,38 @@ def _fs(spark: SparkSession, path: str):
 
 
 def load_partitions(df: DataFrame, path: str, schema: T.StructType, key: str, values) -> None:
-    """Replace the partitions ``values`` of ``key`` by the rows of ``df``, one folder at a time.
-
-    Each value's ``key=value`` folder is replaced on its own (``overwrite_folder``):
-    loads of different days share nothing and can run at once, and a load that
-    fails leaves the day as it was.  A value without rows
-    ends as an empty folder (a dynamic partition overwrite would keep the old
-    rows).  A row of any other partition fails the load before anything of it
-    is visible; no row is filtered away.
+    """Replace the partitions ``values`` of ``key`` by the rows of ``df``: one write, visible in one step.
+
+    A load that fails leaves every day as it was, loads of different days can
+    run at once, and of two loads of one day the later commit stands whole.  A
+    value without rows ends empty; a row of any other partition fails the load;
+    no row is filtered away.
+    """
+    manifest.publish({manifest.DATA: (df, schema)}, path, key, values)
+
+
+def append_batch(df: DataFrame, path: str, schema: T.StructType, key: str, value) -> bool:
+    """Append rows as the batch ``value`` of ``key``; False, and nothing added, if that batch is there already.
+
+    Different batches may hold the same business keys (overlapping prediction
+    windows do): all of their rows stand, as after plain inserts.
     """
-    values = [str(v) for v in values]
-    rows = conform(df, schema)
-    if len(values) > 1:
-        rows = materialize(rows, "load")          # computed once for all days
-        k = F.col(key).cast("string")
-        foreign = rows.where(k.isNull() | ~k.isin(values)).limit(1).collect()
-        if foreign:
-            raise ValueError(f"rows outside {key} in {values[0]} .. {values[-1]}: {foreign[0][key]}")
-    for v in values:
-        own = F.col(key) == F.lit(v).cast(schema[key].dataType)
-        if len(values) > 1:
-            part = rows.where(own)
-        else:
-            bad = F.raise_error(F.concat(F.lit(f"row outside {key}={v}: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
-            part = rows.withColumn(key, F.when(F.coalesce(own, F.lit(False)), F.col(key)).otherwise(bad))
-            part = part.where(F.col(key).isNotNull())   # keeps the check in the plan; the column itself is dropped
-        overwrite_folder(part.drop(key), f"{path}/{key}={v}")
-
-
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read a partitioned table back with its declared schema (empty if nothing was written)."""
+    return manifest.publish({manifest.DATA: (df, schema)}, path, key, [value], absent=True)
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType, at: manifest.Snapshot | None = None) -> DataFrame:
+    """Read a table back with its declared schema (empty if nothing was written), ``at`` a version or as it is now."""
+    if at is not None or manifest.is_published(spark, path):
+        return manifest.read(spark, path, schema, at=at).select(*schema.fieldNames())
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", path).parquet(path).select(*schema.fieldNames())
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+
+
+def last_value(spark: SparkSession, *paths: str) -> str | None:
+    """The greatest partition value for which every table holds rows, from the manifests alone."""
+    held = [set(manifest.snapshot(spark, p).values()) for p in paths]
+    return max(set.intersection(*held), default=None)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -96,12 +98,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def backfill(df: DataFrame, path: str, schema: T.StructType, key: str) -> None:
-    """First load of a whole history: every day's folder in one job, a day's rows in one file."""
-    conform(df, schema).repartition(key).write.mode("overwrite").partitionBy(key).parquet(path)
+    """Load a whole history: every day in one write and one commit; days without rows are gone."""
+    manifest.publish({manifest.DATA: (df, schema)}, path, key, whole=True)
 
 
-def has_rows_folder(spark: SparkSession, path: str) -> bool:
-    """Whether the table holds a data file or a partition folder."""
+def has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether the table holds a partition with rows or, where it is replaced whole, a data file."""
+    if manifest.is_published(spark, path):
+        return bool(manifest.snapshot(spark, path).values())
     fs, p = _fs(spark, path)
     return fs.exists(p) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(p))
 
@@ -140,24 +144,14 @@ def replace_table(df: DataFrame, path: str, schema: T.StructType, optional: tupl
     overwrite_folder(conform(df, schema, optional), path)
 
 
-def append_table(df: DataFrame, path: str, schema: T.StructType, optional: tuple[str, ...] = ()) -> None:
-    """Append rows (plain INSERT)."""
-    conform(df, schema, optional).write.mode("append").parquet(path)
-
-
-def next_version(spark: SparkSession, path: str, key: str = "model_version") -> int:
-    """One more than the highest ``key=N`` partition of the table; 1 for a new one."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return 1
-    names = [f.getPath().getName() for f in fs.listStatus(p)]
-    return 1 + max([int(n.split("=")[1]) for n in names if n.startswith(f"{key}=")], default=0)
+def next_version(spark: SparkSession, path: str) -> int:
+    """One more than the highest version; 1 for a new table."""
+    return 1 + max((int(v) for v in manifest.snapshot(spark, path).batches), default=0)
 
 
 def replace_partition(df: DataFrame, path: str, schema: T.StructType, key: str, value) -> None:
-    """Replace one ``key=value`` folder (a model version, a prediction day): a repeat replaces it."""
-    out = df.drop(key).withColumn(key, F.lit(value)) if key in schema.fieldNames() else df
-    overwrite_folder(conform(out, schema).drop(key), f"{path}/{key}={value}")
+    """Replace one partition (a model version, a prediction day) by rows that may lack the key: a repeat replaces it."""
+    load_partitions(df.withColumn(key, F.lit(value).cast(schema[key].dataType)), path, schema, key, [value])
 
 
 def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:

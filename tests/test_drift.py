@@ -25,11 +25,25 @@ def brute_p(m, n, d):
     return hits / total
 
 
-def test_exact_p_against_enumeration():
-    assert abs(drift.exact_p_value(2, 2, 1.0) - 1 / 3) < 1e-12
-    for m, n in [(5, 3), (6, 4), (4, 4), (7, 2)]:
-        for d in sorted({round(abs(i / m - j / n), 12) for i in range(m + 1) for j in range(n + 1)} - {0.0}):
-            assert abs(drift.exact_p_value(m, n, d) - brute_p(m, n, d)) < 1e-9, (m, n, d)
+def exact(spark, cases):
+    df = spark.createDataFrame(cases, "n_reference long, n_current long, ks_d double")
+    return {(r.n_reference, r.n_current, r.ks_d): r.p_value for r in drift.exact_p(df).collect()}
+
+
+def test_exact_p_against_enumeration(spark):
+    assert abs(exact(spark, [(2, 2, 1.0)])[2, 2, 1.0] - 1 / 3) < 1e-12
+    cases = [(m, n, d) for m, n in [(5, 3), (6, 4), (4, 4), (7, 2)]
+             for d in sorted({round(abs(i / m - j / n), 12) for i in range(m + 1) for j in range(n + 1)} - {0.0})]
+    got = exact(spark, cases + [(5, 3, None), (5, 3, 0.0)] + cases[:3])
+    assert all(abs(got[case] - brute_p(*case)) < 1e-9 for case in cases)
+    assert got[5, 3, None] is None and got[5, 3, 0.0] == 1.0
+
+
+def test_exact_p_needs_no_python_worker(spark):
+    df = spark.createDataFrame([("W", D(2024, 1, 1) + dt.timedelta(days=i), float(i % 7)) for i in range(60)],
+                               "warehouse_name string, usage_date date, credits_used double")
+    plan = drift.usage_drift(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_ks_statistic_and_drift(spark):
@@ -42,18 +56,19 @@ def test_ks_statistic_and_drift(spark):
     out = {r.warehouse_name: r for r in drift.usage_drift(df).collect()}
     assert out["jump"].n_reference == 22 and out["jump"].n_current == 8
     assert out["jump"].ks_d == 1.0 and out["jump"].drift_detected
-    want = ks_d(base[:22], base[22:])
+    want = float(ks_d(base[:22], base[22:]))
     assert abs(out["steady"].ks_d - want) < 1e-12
-    assert abs(out["steady"].p_value - drift.exact_p_value(22, 8, want)) < 1e-12
+    assert abs(out["steady"].p_value - exact(spark, [(22, 8, want)])[22, 8, want]) < 1e-12
     share = drift.drift_share(drift.usage_drift(df)).first()
     assert share.n_columns == 2 and share.n_drifted >= 1
 
 
-def test_exact_p_symmetric_and_monotone():
+def test_exact_p_symmetric_and_monotone(spark):
     for m, n in [(8, 22), (5, 12), (30, 8)]:
         ds = sorted({round(abs(i / m - j / n), 12) for i in range(m + 1) for j in range(n + 1)} - {0.0})
-        ps = [drift.exact_p_value(m, n, d) for d in ds]
-        assert all(abs(p - drift.exact_p_value(n, m, d)) < 1e-12 for p, d in zip(ps, ds))
+        one, other = exact(spark, [(m, n, d) for d in ds]), exact(spark, [(n, m, d) for d in ds])
+        ps = [one[m, n, d] for d in ds]
+        assert all(abs(p - other[n, m, d]) < 1e-12 for p, d in zip(ps, ds))
         assert all(a >= b - 1e-15 for a, b in zip(ps, ps[1:]))  # larger D, smaller p
 
 

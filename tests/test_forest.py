@@ -4,7 +4,9 @@ import math
 
 import numpy as np
 
+from spendwatch.functions.seeds import tree_seed_of
 from spendwatch.operators import forest
+from spendwatch.sources import tables
 
 D = dt.date
 GAMMA = 0.5772156649015329
@@ -112,11 +114,11 @@ def test_t10_dedupe_predictions(spark):
 def test_step_function_boundaries(spark):
     """A value equal to a split point belongs to the left leaf (x <= split goes left)."""
     inf = float("inf")
-    leaves = spark.createDataFrame(
-        [("W", 0, 2, -inf, 0.5, 1.0, 1), ("W", 0, 3, 0.5, inf, 2.0, 1),
-         ("W", 1, 2, -inf, 0.2, 3.0, 1), ("W", 1, 3, 0.2, inf, 5.0, 1)],
-        "warehouse_name string, tree_id int, node int, lo double, hi double, path_len double, model_version int")
-    seg = forest.merge_leaves(leaves, n_trees=2)
+    leaf = {"tree": np.array([1, 0, 0, 1]), "lo": np.array([0.2, -inf, 0.5, -inf])}
+    points, mean = forest.merge(leaf, np.array([5.0, 1.0, 2.0, 3.0]), 2)
+    assert points.tolist() == [-inf, 0.2, 0.5] and mean.tolist() == [2.0, 3.0, 3.5]
+    seg = spark.createDataFrame([("W", 1, float(p), float(m)) for p, m in zip(points, mean)],
+                                "warehouse_name string, model_version int, lo double, mean_path double")
     meta = spark.createDataFrame([("W", 1, 1.0, 0.0)], "warehouse_name string, model_version int, c_psi double, "
                                                        "threshold double")
     rows = spark.createDataFrame([("W", float(v)) for v in (0.1, 0.2, 0.3, 0.5, 0.7)],
@@ -152,20 +154,17 @@ def test_m13_latest_model_version(spark):
     assert got["W"] == (0.5 - 2 ** -4.0, -0.9) and got["V"] == (0.5 - 2 ** -2.0, 0.0)
 
 
-def test_draws_are_distinct_positions(spark):
+def test_draws_are_distinct_positions():
     """On both sides of the sample size, every tree draws min(n, size) distinct rows of the series."""
-    sizes = spark.createDataFrame([("a", 255), ("b", 256), ("c", 257), ("d", 300), ("e", 5000), ("f", 1)], "warehouse_name string, _n long")
-    got = forest.draw_positions(sizes, "warehouse_name", 20, 256, 0).collect()
-    n = {r.warehouse_name: r._n for r in sizes.collect()}
-    per = {}
-    for r in got:
-        per.setdefault((r.warehouse_name, r.tree_id), []).append(r._pos)
-    for (w, _), pos in per.items():
-        assert len(set(pos)) == len(pos) == min(n[w], 256) and 0 <= min(pos) and max(pos) < n[w]
-    assert all(len(per[(w, t)]) for w in n for t in range(20))
+    seeds = np.array([tree_seed_of(0, "e", t) for t in range(20)])
+    for n in (1, 2, 255, 256, 257, 300, 512, 5000):
+        got = forest.draw_positions(n, 256, seeds)
+        assert got.shape == (20, min(n, 256)) and got.min() >= 0 and got.max() < n
+        assert all(len(set(row)) == len(row) for row in got.tolist())
+        assert all(got[t].tolist() == drawn(n, min(n, 256), int(seeds[t])) for t in range(0, 20, 7))
     # every row of a long series is drawn about equally often
     import collections
-    hits = collections.Counter(p // 500 for t in range(20) for p in per[("e", t)])
+    hits = collections.Counter(p // 500 for t in range(20) for p in forest.draw_positions(5000, 256, seeds)[t])
     assert len(hits) == 10 and max(hits.values()) < 1.3 * min(hits.values())
 
 
@@ -174,3 +173,25 @@ def test_training_fills_missing_days(spark):
     df = spark.createDataFrame(rows, "warehouse_name string, usage_date date, residual double, credits_used double")
     fit = forest.train_forest(df, "2024-02-01", n_trees=3)
     assert sorted((r.usage_date.day, r.residual) for r in fit.scores.collect()) == [(1, 1.0), (2, 2.0), (3, 0.0), (4, 0.0), (5, 5.0)]
+
+
+def test_growth_has_no_window_and_no_sort_per_level(spark, monkeypatch):
+    """The leaves come from one shuffle of the series: no window, whatever the number of levels."""
+    plans = []
+    monkeypatch.setattr(tables, "STAGE_PLANS", plans)
+    rows = [(w, D(2024, 1, 1) + dt.timedelta(days=i), float(i * i % 37)) for w in "AB" for i in range(300)]
+    forest.fit_forest(spark.createDataFrame(rows, "warehouse_name string, usage_date date, residual double"), n_trees=4)
+    leaves = dict(plans)["forest_model"]
+    assert "Window" not in leaves and leaves.count("Exchange") == 1
+
+
+def test_ties_and_constant_series(spark):
+    """Equal values cannot be split; null residuals count as 0."""
+    rows = [("C", D(2024, 1, i + 1), 5.0) for i in range(20)] + [("T", D(2024, 1, i + 1), float(i % 2)) for i in range(20)]
+    rows += [("N", D(2024, 1, i + 1), None) for i in range(3)] + [("S", D(2024, 1, 1), 1.0)]
+    fit = forest.fit_forest(spark.createDataFrame(rows, "warehouse_name string, usage_date date, residual double"), n_trees=5)
+    got = {}
+    for r in fit.leaves.collect():
+        got.setdefault((r.warehouse_name, r.tree_id), []).append((r.node, round(r.path_len, 9)))
+    assert all(got["C", t] == [(1, round(c(20), 9))] and got["N", t] == [(1, round(c(3), 9))] and got["S", t] == [(1, 0.0)] for t in range(5))
+    assert all(sorted(got["T", t]) == [(2, round(1 + c(10), 9)), (3, round(1 + c(10), 9))] for t in range(5))

@@ -56,13 +56,29 @@ def test_scheduled_runs(spark):
     found = daily.run_training(spark, t, before=START + dt.timedelta(days=12))
     assert set(found.columns) >= {"warehouse_name", "usage_date", "score", "threshold"}
     daily.run_training(spark, t, before=START + dt.timedelta(days=12), version=1)
-    assert spark.read.parquet(t.model_meta).count() == n_feat_wh
+    assert daily.models(spark, t)["meta"].count() == n_feat_wh
     report, gate = daily.run_prediction(spark, t, last)
     once = (report.count(), gate.first())
     report, gate = daily.run_prediction(spark, t, last)
     assert (report.count(), gate.first()) == once
     g = gate.first()
     assert g.send_alert == (g.n_anomalies > 0)
+    stored = tables.read_table(spark, t.model_output_anomalies, schemas.MODEL_OUTPUT_ANOMALIES).count()
+    daily.run_prediction(spark, t, last, append=True)          # this day is there: nothing is added
+    daily.run_prediction(spark, t, last - dt.timedelta(days=1), append=True)
+    daily.run_prediction(spark, t, last - dt.timedelta(days=1), append=True)
+    one = daily.predictions_of(spark, t, last - dt.timedelta(days=1))
+    assert tables.read_table(spark, t.model_output_anomalies, schemas.MODEL_OUTPUT_ANOMALIES).count() == stored + one.count()
+    for later in (last + dt.timedelta(days=1), last + dt.timedelta(days=2)):      # two days with a row, one of them read
+        row = spark.sql(f"select 'W' as warehouse_name, date'{last}' as usage_date, 1D as credits_used, 0D as trend, 0D as seasonal, "
+                        f"0D as residual, -1D as score, timestamp_ntz'{later} 00:00:00' as prediction_datetime, date'{later}' as prediction_date")
+        tables.append_batch(row, t.model_output_anomalies, daily.PREDICTIONS, "prediction_date", later)
+    read = daily.predictions_of(spark, t, later)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "prediction_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert read.count() == 1 and all(f"prediction_date={later}" in f for f in read.select("_metadata.file_path").toPandas()["file_path"])
+    for later in (last + dt.timedelta(days=1), last + dt.timedelta(days=2)):
+        tables.load_partitions(row.where("false"), t.model_output_anomalies, daily.PREDICTIONS, "prediction_date", [later])
 
     names = daily.register_views(spark, t)
     assert len(names) == 5
@@ -82,6 +98,13 @@ def test_scheduled_runs(spark):
             view = view.select([F.col(x).cast(want.schema[x].dataType) for x in want.columns])
             assert view.count() == want.count() and view.exceptAll(want).count() == 0, name
         assert spark.sql("select max(ds) as d from view_reporting_dag_cost_delta").first().d == day
+        assert daily.last_costed_day(spark, t) == str(day)
+    # they belong to the catalog, not to the session, and find the last day and its folders without reading rows
+    other = spark.newSession()
+    assert other.table("view_reporting_dag_cost_delta").count() == spark.table("view_reporting_dag_cost_delta").count()
+    plan = spark.table("view_reporting_dag_cost_delta")._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("FileScan ")[1:] if "query_text" in x or "airflow_dag_id" in x.split("PartitionFilters")[0]]
+    assert scans and all("ds" in x.split("PartitionFilters: [")[1].split("]")[0] for x in scans)
 
 
 def test_views_name_what_is_missing(spark):

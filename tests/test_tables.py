@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spendwatch import schemas
 from spendwatch.operators import anomalies, checks, drift
-from spendwatch.sources import tables
+from spendwatch.sources import manifest, tables
 
 D = dt.date
 
@@ -26,13 +26,6 @@ def test_create_replace_append_latest(spark):
     back = spark.read.parquet(rep)
     assert back.count() == 2 and back.schema == schemas.METERING_METRICS  # declared types survive a replace
 
-    out = tables.scratch_path(spark, "anomalies")
-    a = spark.createDataFrame([("W", D(2024, 1, 1), 0.1)], "warehouse_name string, usage_date date, score double")
-    rest = tuple(c for c in schemas.MODEL_OUTPUT_ANOMALIES.fieldNames() if c not in a.columns)
-    tables.append_table(a, out, schemas.MODEL_OUTPUT_ANOMALIES, rest)
-    tables.append_table(a, out, schemas.MODEL_OUTPUT_ANOMALIES, rest)
-    assert spark.read.parquet(out).count() == 2
-
     models = spark.createDataFrame([("A", 1, 0.1), ("A", 2, 0.2), ("B", 1, 0.3)],
                                    "warehouse_name string, model_version int, threshold double")
     got = sorted((r.warehouse_name, r.model_version) for r in tables.latest(models, ["warehouse_name"], "model_version").collect())
@@ -67,9 +60,14 @@ def test_report_lines(spark):
     assert rep.where("is_anomaly").count() == 1
     lines = anomalies.report_text(rep).where(F.col("usage_date") == F.lit("2024-01-10").cast("date")).first().line
     assert lines == "W | 2024-01-10 | 1.0 | 1.0 | 0.0 | -0.2 | true"
-    body = anomalies.report_body(rep).first().body.split("\n")
-    assert len(body) == 16 and body[0].startswith("warehouse_name | usage_date") and body[8] == lines
-    assert anomalies.report_body(rep.where("false")).count() == 0  # nothing to send without an anomaly
+    pages = sorted(anomalies.report_pages(rep, page_lines=4).collect())
+    assert [(p.page, p.n_lines) for p in pages] == [(1, 4), (2, 4), (3, 4), (4, 3)]
+    body = [p.body.split("\n") for p in pages]
+    assert all(b[0].startswith("warehouse_name | usage_date") for b in body)
+    text = [x for b in body for x in b[1:]]
+    assert text == [r.line for r in anomalies.report_text(rep).orderBy("usage_date").collect()] and text[7] == lines
+    assert anomalies.report_pages(rep.where("not is_anomaly")).count() == 0  # nothing to send without an anomaly
+    assert anomalies.report_pages(rep.where("false")).count() == 0
 
 
 def test_source_probe(spark):
@@ -137,6 +135,82 @@ def test_backfill_equals_day_loads(spark):
     assert loaded(spark, a) == loaded(spark, b) and len(loaded(spark, a)) == 4
 
 
+def test_a_long_load_is_one_job_and_one_commit(spark):
+    """400 days: one write, one new manifest, and nothing visible of a load that fails in between."""
+    path, s = tables.scratch_path(spark, "long"), schemas.WAREHOUSE_CREDITS
+    days = [D(2023, 1, 1) + dt.timedelta(days=i) for i in range(400)]
+    df = spark.createDataFrame([(f"W{i % 3}", d) for i, d in enumerate(days)], "warehouse_name string, ds date").selectExpr(
+        "warehouse_name", "cast(1 as decimal(38,9)) as warehouse_credits", "cast(1 as decimal(38,0)) as total_time_elapsed",
+        "cast(2 as decimal(38,9)) as effective_rate", "ds")
+    tables.load_partitions(df, path, s, "ds", days)
+    snap = manifest.snapshot(spark, path)
+    assert snap.version == 1 and len(snap.values()) == 400 and len(set(snap.batches.values())) == 1
+    assert tables.read_table(spark, path, s).count() == 400
+
+    # the process dies between the write and the commit: the files lie there, every day is as it was
+    twice = df.unionAll(df)
+    batch = manifest.write_batch({manifest.DATA: (twice, s)}, path, "ds", days)
+    assert tables.read_table(spark, path, s).count() == 400 and manifest.snapshot(spark, path) == snap
+    assert manifest.vacuum(spark, path, older_than_s=3_600) == 0      # too young: its load may still run
+    assert manifest.vacuum(spark, path, older_than_s=-1) == 1
+    assert tables.read_table(spark, path, s).count() == 400
+    del batch
+
+    # a commit that fails takes its files along and changes nothing
+    before = manifest._create_version
+    try:
+        manifest._create_version = lambda *a: (_ for _ in ()).throw(OSError("store is gone"))
+        with pytest.raises(OSError, match="store is gone"):
+            tables.load_partitions(twice, path, s, "ds", days)
+    finally:
+        manifest._create_version = before
+    assert tables.read_table(spark, path, s).count() == 400 and manifest.vacuum(spark, path, older_than_s=-1) == 0
+
+    # a reader that holds a version still reads it after later loads
+    tables.load_partitions(df.where("false"), path, s, "ds", days[:10])
+    assert tables.read_table(spark, path, s).count() == 390
+    assert tables.read_table(spark, path, s, at=snap).count() == 400
+    assert tables.last_value(spark, path) == str(days[-1])
+
+
+def test_two_loads_of_one_day_never_mix(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    path, s = tables.scratch_path(spark, "race"), schemas.WAREHOUSE_CREDITS
+    loads = [day_rows(spark, [1] * n).withColumn("warehouse_credits", F.lit(n).cast("decimal(38,9)")) for n in (2, 3, 4, 5)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda df: tables.load_partitions(df, path, s, "ds", ["2024-01-01"]), loads))
+    rows = tables.read_table(spark, path, s).collect()
+    assert len({r.warehouse_credits for r in rows}) == 1 and len(rows) == rows[0].warehouse_credits
+    assert manifest.snapshot(spark, path).version == 4
+
+
+def test_a_lost_race_for_a_version_is_retried(spark, monkeypatch):
+    """Another writer takes the next version first: its days stay, ours are added to them."""
+    path, s = tables.scratch_path(spark, "lost"), schemas.WAREHOUSE_CREDITS
+    tables.load_partitions(day_rows(spark, [1]), path, s, "ds", ["2024-01-01"])
+    real, first = manifest._create_version, []
+
+    def raced(sp, p, snap):
+        if not first:
+            first.append(1)
+            other = manifest.write_batch({manifest.DATA: (day_rows(spark, [2]), s)}, path, "ds", ["2024-01-02"])
+            assert real(sp, p, manifest.Snapshot(snap.version, "ds", {**manifest.snapshot(sp, p).batches, **other.change},
+                                                 {**manifest.snapshot(sp, p).sizes, other.change["2024-01-02"]: 1}))
+        return real(sp, p, snap)
+
+    monkeypatch.setattr(manifest, "_create_version", raced)
+    tables.load_partitions(day_rows(spark, [3]), path, s, "ds", ["2024-01-03"])
+    assert [d for d, _ in loaded(spark, path)] == [1, 2, 3] and manifest.snapshot(spark, path).version == 3
+
+
+def test_a_repeated_append_adds_nothing(spark):
+    path, s = tables.scratch_path(spark, "append"), schemas.WAREHOUSE_CREDITS
+    assert tables.append_batch(day_rows(spark, [1, 1]), path, s, "ds", "2024-01-01")
+    assert not tables.append_batch(day_rows(spark, [1, 1, 1]), path, s, "ds", "2024-01-01")
+    assert tables.append_batch(day_rows(spark, [2]), path, s, "ds", "2024-01-02")
+    assert loaded(spark, path) == [(1, "W0"), (1, "W1"), (2, "W0")]
+
+
 def test_versions_are_replaced_not_repeated(spark):
     path, s = tables.scratch_path(spark, "versions"), schemas._s(("x", schemas.T.LongType()), ("model_version", schemas.T.LongType()))
     assert tables.next_version(spark, path) == 1
