@@ -79,18 +79,20 @@ def dag_cost_warnings(delta: str, usd: float = USD, pct: float = PCT) -> str:
     def first(prefix):
         periods = ", ".join(f"struct('{n.replace('_', ' ')}' as label, {prefix}dollar_delta_{n} as usd, {prefix}pct_change_{n} as pct)"
                             for n, _ in PERIODS)
-        return f"get(filter(array({periods}), p -> abs(p.usd) > {usd} and abs(p.pct) > {pct}D), 0)"
+        return f"slice(filter(array({periods}), p -> abs(p.usd) > {usd} and abs(p.pct) > {pct}D), 1, 1)"
 
     def word(p):
         return f"case when {p}.pct > 0 then 'increase' when {p}.pct < 0 then 'decrease' end"
 
     earlier = [f"yesterday_warn_{c}_{n}" for n, _ in PERIODS for c in ("dollar_delta", "credit_delta", "pct_change")]
+    # exploded, not projected: a filter on columns whose expressions the plan knows would be restated in terms of
+    # every other column made of them, a number of constraints that doubles with each
     return f"""
-with hits as (select *, {first('')} as hit, {first('yesterday_warn_')} as old from {delta})
 select * except (hit, old, {", ".join(earlier)}),
        hit.label as trigger_period, {word('hit')} as change_type,
        old.label as yesterday_warn_trigger_period, {word('old')} as yesterday_warn_change_type
-from hits where hit is not null and not coalesce(hit.label = old.label and {word('hit')} <> {word('old')}, false)"""
+from {delta} lateral view outer explode({first('')}) as hit lateral view outer explode({first('yesterday_warn_')}) as old
+where hit is not null and not coalesce(hit.label = old.label and {word('hit')} <> {word('old')}, false)"""
 
 
 def anomalies(metrics: str, found: str) -> str:

@@ -91,7 +91,7 @@ def setup(spark: SparkSession, t: Tables, start, days: int = calendar.DEFAULT_DA
     for name, (schema, key) in TABLES.items():
         path = getattr(t, name)
         if key:
-            manifest.create(spark, path, key)
+            manifest.create(spark, path, schema, key)
         elif not tables.exists(spark, path):
             empty = spark.createDataFrame([], schema)
             (calendar.build_calendar(spark, start, days) if name == "common_calendar" else empty).write.parquet(path)
@@ -211,7 +211,7 @@ def register_views(spark: SparkSession, t: Tables, prefix: str = "") -> list[str
     database).
     """
     views = view_sql(t, prefix)
-    lost = sorted({n for needs, _ in views.values() for n in needs if not tables.has_rows(spark, getattr(t, n))})
+    lost = sorted({n for needs, _ in views.values() for n in needs if not tables.is_loaded(spark, getattr(t, n))})
     if lost:
         raise ValueError(f"load these tables before registering the views: {', '.join(lost)}")
     for name, (_, sql) in views.items():

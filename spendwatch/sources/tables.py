@@ -102,10 +102,10 @@ def backfill(df: DataFrame, path: str, schema: T.StructType, key: str) -> None:
     manifest.publish({manifest.DATA: (df, schema)}, path, key, whole=True)
 
 
-def has_rows(spark: SparkSession, path: str) -> bool:
-    """Whether the table holds a partition with rows or, where it is replaced whole, a data file."""
+def is_loaded(spark: SparkSession, path: str) -> bool:
+    """Whether a load was committed, with or without rows, or a table that is replaced whole holds a file."""
     if manifest.is_published(spark, path):
-        return bool(manifest.snapshot(spark, path).values())
+        return bool(manifest.snapshot(spark, path).batches)
     fs, p = _fs(spark, path)
     return fs.exists(p) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(p))
 
