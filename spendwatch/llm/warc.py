@@ -38,6 +38,7 @@ from .common import materialize, small_side
 
 RANGE_BYTES = 8 << 20
 READ_BYTES = 1 << 18
+MAX_TASKS = 50_000         # beyond it a task reads several ranges
 DATE = "2024-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -118,7 +119,7 @@ class _Range:
         from pyarrow import fs
         system, name = fs.FileSystem.from_uri(path)
         self.file = system.open_input_file(name)
-        self.start, self.data, self.done = start, b"", False
+        self.start, self.data, self.done = start, bytearray(), False
         self.file.seek(start)
 
     def more(self) -> bool:
@@ -128,7 +129,8 @@ class _Range:
         return bool(got)
 
     def drop(self, to: int) -> None:
-        self.data, self.start = self.data[to - self.start:], to
+        del self.data[:to - self.start]
+        self.start = to
 
 
 def _decode(r: _Range, at: int) -> tuple[bytes, int] | None:
@@ -221,8 +223,10 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     ranges = files.select("path", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(range_bytes))).alias("start"),
                           "length")
-    ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, F.col("length")).alias("end"))
-    return ranges.repartition("path", "start").mapInArrow(_record_rows, _FIELDS)
+    ranges = materialize(ranges.select("path", "start", F.least(F.col("start") + range_bytes, F.col("length")).alias("end")), "warc_ranges")
+    # a number of tasks is stated: the few bytes of this table would be coalesced into one
+    n = max(1, min(ranges.count(), MAX_TASKS))
+    return ranges.repartition(n).mapInArrow(_record_rows, _FIELDS)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0, range_bytes: int = RANGE_BYTES) -> DataFrame:

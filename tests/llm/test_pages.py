@@ -3,12 +3,14 @@
 import base64
 import gzip
 import hashlib
+import random
 import html as H
 import glob
 import re
 
 import pytest
 
+from spendwatch.sources.tables import scratch_path
 from spendwatch.llm import html_wrapper, warc
 from spendwatch.llm.html_wrapper import align, extract, match, parse
 
@@ -224,3 +226,16 @@ def test_min_bytes_and_empty(spark):
     got = warc.archive_round_trip(df, min_bytes=30).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == records(ROWS[:42], 30)
     assert warc.archive_round_trip(df.where("false")).count() == 0
+
+
+def test_ranges_are_read_by_many_tasks(spark):
+    """The table of byte ranges is tiny; its number of tasks follows the archives, not its own size."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(i, f"http://e.example/{i}", "".join(rng.choices("abcdefgh <>", k=2_000))) for i in range(200)]
+    path = scratch_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = warc.read_archives(spark, path, 4_096).withColumn("task", F.spark_partition_id())
+    tasks = {r.task: r.n for r in got.groupBy("task").agg(F.count("*").alias("n")).collect()}
+    assert sum(tasks.values()) == 200 and len(tasks) > 20 and max(tasks.values()) < 40
