@@ -16,9 +16,12 @@ only ever grouped or joined by (source, block); windows run over 1,024 blocks
 at most, and the per-source tables have one row per source.
 
 Defined cases: a null or empty text has size 0 and is taken 0 words; a null
-source is a source of its own, sorted last; repeated rows with one doc_id
-share their hash and are decided in one go (each row gets the same number of
-copies); an empty table gives an empty result; other columns are ignored.
+source is a source of its own, sorted last; rows that share a doc_id or have
+none are told apart by their texts, and rows that repeat both share their hash
+and are decided in one go (each gets the same number of copies); equal hashes
+are ordered by doc_id, then text hash; a very long text is one row and may be
+larger than a block; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -135,9 +138,10 @@ _DRAW = """transform(array(named_struct(
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", shards: int = SHARDS,
         block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: size, source size, target, ``times`` it is taken, and the shard of each copy."""
+    """One row per document: text hash ``t``, size, source size, target, ``times`` it is taken, and the shard of each copy."""
     rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                                   n_words(F.col("text")).alias("size"), unit_hash(doc_id).alias("u")), "mix_rows")
+                                   n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("t")),
+                       "mix_rows").withColumn("u", unit_hash("doc_id", "t"))
     sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     sources = sources.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
                                  .otherwise(F.lit(0.0)))
@@ -172,14 +176,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", shards:
     blocks = materialize(blocks.select("source_no", "block", "words", "start", "extra_copy", "extra"), "mix_prefix")
 
     # the boundary block of a source is cut at the document nearest to the target
-    cut = (placed.select("source_no", "block", "doc_id", "u", "size")
+    cut = (placed.select("source_no", "block", "doc_id", "t", "u", "size")
            .join(blocks.where("extra_copy = 1").select("source_no", "block", "start", "extra"), ["source_no", "block"])
-           .groupBy("source_no", "u", "doc_id", "start", "extra").agg(F.sum("size").alias("size")))
-    w = Window.partitionBy("source_no").orderBy("u", F.col("doc_id").asc_nulls_last()).rowsBetween(
+           .groupBy("source_no", "u", "doc_id", "t", "start", "extra").agg(F.sum("size").alias("size")))
+    w = Window.partitionBy("source_no").orderBy("u", F.col("doc_id").asc_nulls_last(), "t").rowsBetween(
         Window.unboundedPreceding, -1)
     cut = (cut.withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(w), F.lit(0)))
            .where((F.col("at") + F.col("size") / 2 <= F.col("extra")) & (F.col("size") > 0))
-           .select(F.col("source_no").alias("__c"), F.col("u").alias("__u"), F.col("doc_id").alias("__d")))
+           .select(F.col("source_no").alias("__c"), F.col("u").alias("__u"), F.col("doc_id").alias("__d"),
+                   F.col("t").alias("__t")))
 
     # block copies: whole passes first, then the extra one; copy = pass * blocks + block
     per = (blocks.groupBy("source_no").agg(F.max(F.when(F.col("extra_copy") > 0, F.col("block") + 1).otherwise(0))
@@ -197,7 +202,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", shards:
     cut_n = cut.count()
     out = out.join(small_side(cut.distinct(), cut_n),
                    (F.col("source_no") == F.col("__c")) & (F.col("u") == F.col("__u"))
-                   & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
+                   & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("t") == F.col("__t")), "left")
     # a copy counts when a shard drew its block copy; of the boundary block only documents before the cut have one
     out = out.withColumn("shards", F.when(F.col("size") > 0, F.expr("""
         filter(transform(filter(sequence(0, whole), t -> t < whole or extra_copy = 2 or __c is not null), t ->
@@ -205,7 +210,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", shards:
           s -> s is not null)""")))
     out = out.withColumn("times", F.coalesce(F.array_size("shards"), F.lit(0)).cast("int"))
     out = out.withColumn("shards", F.when(F.col("times") > 0, F.col("shards")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "times",
+    return out.select("doc_id", "source", "t", "size", "source_size", "target", "times",
                       (F.col("times") * F.col("size")).cast("long").alias("taken"), "shards")
 
 
@@ -213,7 +218,7 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source
     """The mixed rows: every column of ``docs``, each row as often as the mix takes it.
 
     Rows come shard by shard, inside a shard in the order of a seeded hash.  The
-    copies are decided per (doc_id, source); rows of size 0 are not taken.
+    copies are decided per (doc_id, source, text); rows of size 0 are not taken.
     """
     return place(docs, doc_id, source).orderBy("shard", "position").select("__row.*")
 
@@ -222,10 +227,11 @@ def place(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", shard
           block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per copy: ``__row`` with the columns of ``docs``, the ``shard`` that drew it, its ``position`` there."""
     m = mix(docs, doc_id, source, shards, block_words).where("times > 0")
-    m = m.groupBy("doc_id", "source").agg(F.max("shards").alias("__shards"))
-    m = m.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), "__shards")
+    m = m.groupBy("doc_id", "source", "t").agg(F.max("shards").alias("__shards"))
+    m = m.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("t").alias("__m"), "__shards")
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(doc_id).alias("__a"),
-                    F.col(source).alias("__b"), n_words(F.col("text")).alias("__n"), F.xxhash64("text").alias("__t"))
-    d = d.where("__n > 0").join(m, F.col("__a").eqNullSafe(F.col("__id")) & F.col("__b").eqNullSafe(F.col("__src")))
+                    F.col(source).alias("__b"), n_words(F.col("text")).alias("__n"), F.md5(F.col("text").cast("binary")).alias("__t"))
+    d = d.where("__n > 0").join(m, F.col("__a").eqNullSafe(F.col("__id")) & F.col("__b").eqNullSafe(F.col("__src"))
+                                & (F.col("__t") == F.col("__m")))
     d = d.select("__row", "__a", "__t", F.posexplode("__shards").alias("__copy", "shard"))
     return d.select("__row", "shard", unit_hash(F.lit("place"), "shard", "__copy", "__a", "__t").alias("position"))

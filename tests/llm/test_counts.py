@@ -113,6 +113,19 @@ def test_mix(which, request):
     assert out.columns == df.columns
 
 
+def test_rows_without_id_are_decided_singly(spark):
+    """Half of the ids null, a third of the others the same: taken words stay within one document of the target."""
+    rows = [(None if i % 2 else (7 if i % 3 == 0 else i), " ".join(f"w{i}" for _ in range(100)), "abc"[i * i % 3]) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    taken, target = collections.Counter(), {}
+    for r in source_mix.mix(df, block_words=2_000).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) <= 100 for s, t in target.items())
+    mixed = collections.Counter(r.source for r in source_mix.mix_documents(df).collect())
+    assert all(abs(100 * mixed[s] - t) <= 100 + 2_000 for s, t in target.items())
+
+
 def test_mixed_rows_come_by_shard_in_hash_order(docs):
     at = [r.shards for r in source_mix.mix(docs).collect() if r.shards]
     placed = source_mix.place(docs).select("__row.doc_id", "shard", "position").collect()
