@@ -33,7 +33,7 @@ from collections import OrderedDict
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_side
@@ -423,74 +423,53 @@ def page_slots(page: Node, known: list[tuple[Node, dict]]) -> list[tuple[int, in
 
 
 def extract(html: str, exemplars: list[Node], template: frozenset = frozenset()) -> str:
-    """Main text of a page; ``exemplars`` are parsed pages of its host, ``template`` the host's template keys."""
-    return _extract(html, wrapper(exemplars), template)
-
-
-def _extract(html: str, known: list, template) -> str:
-    if not html:
-        return ""
-    found = page_slots(parse(html), known)
-    # an article that would lose most of its words is taken for a copy and kept
+    """Main text of one page, as ``main_text`` of its row; ``exemplars`` are parsed pages of its host, ``template``
+    the host's template keys."""
+    found = page_slots(parse(html), wrapper(exemplars)) if html else []
     whole = sum(n for _, slot, n, _ in found if slot & 1)
     lost = sum(n for key, slot, n, _ in found if slot & 1 and key in template)
     return "\n\n".join(t for key, slot, _, t in found if key not in template or slot & 1 and 2 * lost > whole)
 
 
 class _Wrappers:
-    """Wrappers and templates of the hosts seen last."""
+    """Wrappers of the hosts seen last."""
 
     def __init__(self):
         self.kept: OrderedDict = OrderedDict()
 
-    def of(self, host, found) -> tuple[list, frozenset]:
+    def of(self, host, found) -> list:
         if host is None:
-            return [], frozenset()
+            return []
         if host not in self.kept:
-            pages, template = found()
-            self.kept[host] = wrapper([parse(x or "") for x in pages or ()]), frozenset(template or ())
+            self.kept[host] = wrapper([parse(x or "") for x in found() or ()])
             if len(self.kept) > TREES:
                 self.kept.popitem(last=False)
         self.kept.move_to_end(host)
         return self.kept[host]
 
 
-def _pages(b, wrappers, known, first):
-    """(row, html, wrapper, template) of a batch; html and host are its columns ``first`` and ``first`` + 1, and the
-    host's exemplars and template follow unless ``known`` is a broadcast of them."""
-    host = b.column(first + 1).to_pylist()
-    for lo in range(0, b.num_rows, 500):
-        for i, html in enumerate(b.column(first).slice(lo, 500).to_pylist(), lo):
-            if known is None:
-                found = lambda: (b.column(first + 2)[i].as_py(), b.column(first + 3)[i].as_py())  # noqa: B023, E731
-            else:
-                found = lambda: known.value.get(host[i], ((), ()))  # noqa: B023, E731
-            yield (i, html, *wrappers.of(host[i], found))
+_BLOCKS = "array<struct<words: long, key: long, slot: long, text: string>>"
 
 
-def _slot_rows(known):
-    """Columns: copy (hash of the html), html, host, and exemplars and template."""
-    kind = pa.list_(pa.struct([("words", pa.int64()), ("key", pa.int64()), ("slot", pa.int64())]))
+def _block_rows(known):
+    """Columns: page_id, url, host, copy (hash of the html), html, and exemplars unless ``known`` is a broadcast of
+    them.  Every page is parsed and aligned once, here; its blocks go on with their keys."""
+    kind = pa.list_(pa.struct([("words", pa.int64()), ("key", pa.int64()), ("slot", pa.int64()), ("text", pa.string())]))
 
     def run(batches):
         wrappers = _Wrappers()
         for b in batches:
-            out = []
-            for _, html, w, _ in _pages(b, wrappers, known, 1):
-                out.append(sorted({(n, key, slot) for key, slot, n, _ in page_slots(parse(html or ""), w)}))
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(out, kind)], names=["host", "copy", "slots"])
-    return run
-
-
-def _extractor(known):
-    """Columns: page_id, url, html, host, and exemplars and template."""
-    def run(batches):
-        wrappers = _Wrappers()
-        for b in batches:
-            out = [_extract(html or "", w, template) for _, html, w, template in _pages(b, wrappers, known, 2)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(out, pa.string()),
-                 pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            for lo in range(0, b.num_rows, 200):
+                s, out = b.slice(lo, 200), []
+                for i, (host, html) in enumerate(zip(s.column(2).to_pylist(), s.column(4).to_pylist())):
+                    if known is None:
+                        found = lambda: s.column(5)[i].as_py()  # noqa: B023, E731
+                    else:
+                        found = lambda: known.value.get(host, ())  # noqa: B023, E731
+                    blocks = page_slots(parse(html), wrappers.of(host, found)) if html else []
+                    out.append([(n, key, slot, text) for key, slot, n, text in blocks])
+                yield pa.RecordBatch.from_arrays([*s.columns[:4], pa.array(out, kind)],
+                                                 names=["page_id", "url", "host", "copy", "blocks"])
     return run
 
 
@@ -538,24 +517,30 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     lists = lists.select("host", F.col("ex.html").alias("ex"))
     size = found.agg(F.sum(F.octet_length("html"))).first()[0] or 0
 
-    def known(lists):
-        return spark.sparkContext.broadcast({r.host: (r.ex, r.template) for r in lists.collect()})
-
-    def joined(lists, df):
-        return df.join(lists, "host", "left")
-
     p = p.withColumn("copy", F.xxhash64("html"))
-    some = p.where("host is not null").select("copy", "html", "host")
-    empty = lists.withColumn("template", F.expr("cast(array() as array<long>)"))
-    schema = "host string, copy long, slots array<struct<words: long, key: long, slot: long>>"
+    kind = p.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, url string, host string, copy long, blocks {_BLOCKS}"
+    columns = ["page_id", "url", "host", "copy", "html"]
     if size <= BROADCAST_BYTES:
-        slots = some.mapInArrow(_slot_rows(known(empty)), schema)
+        known = spark.sparkContext.broadcast({r.host: r.ex for r in lists.collect()})
+        blocks = p.select(*columns).mapInArrow(_block_rows(known), schema)
     else:
-        slots = joined(empty, some).select("copy", "html", "host", "ex", "template").mapInArrow(_slot_rows(None), schema)
-    keys = materialize(template_keys(slots), "wrapper_template")
-    full = lists.join(keys.groupBy("host").agg(F.collect_list("key").alias("template")), "host", "left")
-    kind = p.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, text string, n_chars long"
-    if size + 8 * keys.count() <= BROADCAST_BYTES:
-        return p.select("page_id", "url", "html", "host").mapInArrow(_extractor(known(full)), schema)
-    return joined(full, p).select("page_id", "url", "html", "host", "ex", "template").mapInArrow(_extractor(None), schema)
+        blocks = p.join(lists, "host", "left").select(*columns, "ex").mapInArrow(_block_rows(None), schema)
+    blocks = materialize(blocks, "wrapper_blocks")
+    slots = F.array_distinct(F.transform("blocks", lambda x: F.struct(x["words"].alias("words"), x["key"].alias("key"), x["slot"].alias("slot"))))
+    keys = materialize(template_keys(blocks.where("host is not null").select("host", "copy", slots.alias("slots"))), "wrapper_template")
+    template = keys.groupBy("host").agg(F.collect_list("key").alias("template"))
+    if 8 * keys.count() <= BROADCAST_BYTES:
+        template = F.broadcast(template)
+    return blocks.join(template, "host", "left").withColumn("text", main_text()).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def main_text() -> Column:
+    """The text of ``blocks`` without those in ``template``; an article that would lose over half of its words is
+    taken for a copy and kept.  The blocks of a page are few and its host's template is one array of numbers."""
+    return F.expr("""transform(array(struct(
+        aggregate(filter(blocks, x -> x.slot & 1 = 1), 0L, (a, x) -> a + x.words) as whole,
+        aggregate(filter(blocks, x -> x.slot & 1 = 1 and array_contains(template, x.key)), 0L, (a, x) -> a + x.words) as lost)),
+      s -> array_join(transform(filter(blocks, x -> not coalesce(array_contains(template, x.key), false)
+                                                    or x.slot & 1 = 1 and 2 * s.lost > s.whole), x -> x.text), '\n\n'))[0]""")
