@@ -89,8 +89,10 @@ from m left join bad on m.source = bad.source"""
 
 _OP9 = f"""
 with d as (select doc_id, source, len({_words("coalesce(text, '')")})::bigint as size,
-             ('0x' || substr(md5('{SEED}|' || coalesce(cast(doc_id as varchar), '') || '|' || md5(coalesce(text, ''))), 1, 13))::bigint as u,
-             md5(coalesce(text, '')) as m from documents),
+             ('0x' || substr(md5('{SEED}|' || coalesce(cast(doc_id as varchar), '') || '|' || m
+               || case when r > 0 then '|' || r else '' end), 1, 13))::bigint as u, m, r
+      from (select *, row_number() over (partition by doc_id, source, m) - 1 as r
+            from (select *, md5(coalesce(text, '')) as m from documents))),
 s as (select source, sum(size)::bigint as source_size,
         ((row_number() over (order by source nulls last) - 1) % 3 + 1)::double as weight from d group by source),
 o as (select *, 3.0::double * source_size as cap,
@@ -104,7 +106,7 @@ g as (select source, source_size, case when capped then cap
         else weight * max(case when not capped then level end) over () end as target from l),
 q as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole from g),
 c as (select d.*, q.source_size, q.target, q.whole, q.target - q.whole * q.source_size as extra,
-        coalesce(sum(size) over (partition by d.source order by u, doc_id nulls last, m
+        coalesce(sum(size) over (partition by d.source order by u, doc_id nulls last, m, r
           rows between unbounded preceding and 1 preceding), 0) as pos
       from d join q on d.source is not distinct from q.source)
 select doc_id, size, source_size, target,

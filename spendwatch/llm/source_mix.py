@@ -17,11 +17,12 @@ at most, and the per-source tables have one row per source.
 
 Defined cases: a null or empty text has size 0 and is taken 0 words; a null
 source is a source of its own, sorted last; rows that share a doc_id or have
-none are told apart by their texts, and rows that repeat both share their hash
-and are decided in one go (each gets the same number of copies); equal hashes
-are ordered by doc_id, then text hash; a very long text is one row and may be
-larger than a block; an empty table gives an empty result; other columns are
-ignored.
+none are told apart by their texts, and rows that repeat both by a number ``r``
+from 0 (each is drawn by itself, so a source misses its target by half a
+document at most, however many rows repeat); equal hashes are ordered by
+doc_id, text hash and ``r``; a very long text is one row and may be larger than
+a block; an empty table gives an empty result; other columns are ignored, and
+decide in ``place`` which of the repeated rows has which number.
 """
 
 from __future__ import annotations
@@ -136,12 +137,30 @@ _DRAW = """transform(array(named_struct(
     t -> t.k))[0])[0] end)[0]"""
 
 
+def number_repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per row of ``rows`` with ``r``, its number from 0 among the rows equal in all of ``keys``.
+
+    Rows that repeat are counted inside each task, so a hot key is one row per task in the shuffle; the tasks'
+    counts are offsets and every count is unfolded again.  ``rows`` has no column but ``keys``.
+    """
+    parts = rows.withColumn("p", F.spark_partition_id()).groupBy(*keys, "p").agg(F.count("*").alias("m"))
+    w = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("from", F.coalesce(F.sum("m").over(w), F.lit(0)))
+    return parts.select(*keys, F.explode(F.sequence(F.col("from"), F.col("from") + F.col("m") - 1)).alias("r"))
+
+
+def _beyond_first(r: str) -> Column:
+    """``r`` as a further part of a hash; nothing for the first row of its kind."""
+    return F.when(F.col(r) > 0, F.col(r))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", shards: int = SHARDS,
         block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: text hash ``t``, size, source size, target, ``times`` it is taken, and the shard of each copy."""
-    rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                                   n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("t")),
-                       "mix_rows").withColumn("u", unit_hash("doc_id", "t"))
+    """One row per document: text hash ``t``, number ``r`` among its repeats, size, source size, target, ``times`` it is taken, and the shard of each copy."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col("text")).alias("size"),
+                       F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("t"))
+    rows = materialize(number_repeats(rows, ["doc_id", "source", "t", "size"]), "mix_rows")
+    rows = rows.withColumn("u", unit_hash("doc_id", "t", _beyond_first("r")))
     sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     sources = sources.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
                                  .otherwise(F.lit(0.0)))
@@ -176,15 +195,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", shards:
     blocks = materialize(blocks.select("source_no", "block", "words", "start", "extra_copy", "extra"), "mix_prefix")
 
     # the boundary block of a source is cut at the document nearest to the target
-    cut = (placed.select("source_no", "block", "doc_id", "t", "u", "size")
+    cut = (placed.select("source_no", "block", "doc_id", "t", "r", "u", "size")
            .join(blocks.where("extra_copy = 1").select("source_no", "block", "start", "extra"), ["source_no", "block"])
-           .groupBy("source_no", "u", "doc_id", "t", "start", "extra").agg(F.sum("size").alias("size")))
-    w = Window.partitionBy("source_no").orderBy("u", F.col("doc_id").asc_nulls_last(), "t").rowsBetween(
+           .drop("block"))
+    w = Window.partitionBy("source_no").orderBy("u", F.col("doc_id").asc_nulls_last(), "t", "r").rowsBetween(
         Window.unboundedPreceding, -1)
     cut = (cut.withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(w), F.lit(0)))
            .where((F.col("at") + F.col("size") / 2 <= F.col("extra")) & (F.col("size") > 0))
            .select(F.col("source_no").alias("__c"), F.col("u").alias("__u"), F.col("doc_id").alias("__d"),
-                   F.col("t").alias("__t")))
+                   F.col("t").alias("__t"), F.col("r").alias("__r")))
 
     # block copies: whole passes first, then the extra one; copy = pass * blocks + block
     per = (blocks.groupBy("source_no").agg(F.max(F.when(F.col("extra_copy") > 0, F.col("block") + 1).otherwise(0))
@@ -200,9 +219,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", shards:
     extra = blocks.select("source_no", "block", "extra_copy")
     out = out.join(small_side(extra), ["source_no", "block"], "left")
     cut_n = cut.count()
-    out = out.join(small_side(cut.distinct(), cut_n),
+    out = out.join(small_side(cut, cut_n),
                    (F.col("source_no") == F.col("__c")) & (F.col("u") == F.col("__u"))
-                   & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("t") == F.col("__t")), "left")
+                   & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("t") == F.col("__t"))
+                   & (F.col("r") == F.col("__r")), "left")
     # a copy counts when a shard drew its block copy; of the boundary block only documents before the cut have one
     out = out.withColumn("shards", F.when(F.col("size") > 0, F.expr("""
         filter(transform(filter(sequence(0, whole), t -> t < whole or extra_copy = 2 or __c is not null), t ->
@@ -210,15 +230,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", shards:
           s -> s is not null)""")))
     out = out.withColumn("times", F.coalesce(F.array_size("shards"), F.lit(0)).cast("int"))
     out = out.withColumn("shards", F.when(F.col("times") > 0, F.col("shards")))
-    return out.select("doc_id", "source", "t", "size", "source_size", "target", "times",
+    return out.select("doc_id", "source", "t", "r", "size", "source_size", "target", "times",
                       (F.col("times") * F.col("size")).cast("long").alias("taken"), "shards")
 
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """The mixed rows: every column of ``docs``, each row as often as the mix takes it.
 
-    Rows come shard by shard, inside a shard in the order of a seeded hash.  The
-    copies are decided per (doc_id, source, text); rows of size 0 are not taken.
+    Rows come shard by shard, inside a shard in the order of a seeded hash.
+    Every row is drawn by itself; rows of size 0 are not taken.
     """
     return place(docs, doc_id, source).orderBy("shard", "position").select("__row.*")
 
@@ -226,12 +246,37 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source
 def place(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", shards: int = SHARDS,
           block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per copy: ``__row`` with the columns of ``docs``, the ``shard`` that drew it, its ``position`` there."""
-    m = mix(docs, doc_id, source, shards, block_words).where("times > 0")
-    m = m.groupBy("doc_id", "source", "t").agg(F.max("shards").alias("__shards"))
-    m = m.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("t").alias("__m"), "__shards")
+    m = materialize(mix(docs, doc_id, source, shards, block_words).select(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("t").alias("__m"), F.col("r").alias("__no"),
+        F.col("shards").alias("__shards")).where("__shards is not null or __no = 1"), "mix_copies")
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(doc_id).alias("__a"),
                     F.col(source).alias("__b"), n_words(F.col("text")).alias("__n"), F.md5(F.col("text").cast("binary")).alias("__t"))
-    d = d.where("__n > 0").join(m, F.col("__a").eqNullSafe(F.col("__id")) & F.col("__b").eqNullSafe(F.col("__src"))
-                                & (F.col("__t") == F.col("__m")))
-    d = d.select("__row", "__a", "__t", F.posexplode("__shards").alias("__copy", "shard"))
-    return d.select("__row", "shard", unit_hash(F.lit("place"), "shard", "__copy", "__a", "__t").alias("position"))
+    d = d.where("__n > 0").drop("__n")
+    repeated = m.where("__no = 1").select("__id", "__src", "__m")      # one row per kind that repeats
+    n_repeated = repeated.count()
+    if n_repeated:
+        kind = F.col("__a").eqNullSafe(F.col("__id")) & F.col("__b").eqNullSafe(F.col("__src")) & (F.col("__t") == F.col("__m"))
+        side = small_side(repeated, n_repeated)
+        d = d.join(side, kind, "left_anti").withColumn("__r", F.lit(0).cast("long")).unionByName(
+            _number_rows(d.join(side, kind, "left_semi"), [f"`__row`.`{c}`" for c in docs.columns]))
+    else:
+        d = d.withColumn("__r", F.lit(0).cast("long"))
+    d = d.join(m.where("__shards is not null"), F.col("__a").eqNullSafe(F.col("__id")) & F.col("__b").eqNullSafe(F.col("__src"))
+               & (F.col("__t") == F.col("__m")) & (F.col("__r") == F.col("__no")))
+    d = d.select("__row", "__a", "__b", "__t", "__r", F.posexplode("__shards").alias("__copy", "shard"))
+    return d.select("__row", "shard", unit_hash(F.lit("place"), "shard", "__copy", "__a", "__b", "__t",
+                                                       _beyond_first("__r")).alias("position"))
+
+
+def _number_rows(d: DataFrame, columns: list[str]) -> DataFrame:
+    """Whole rows that repeat (__a, __b, __t), numbered in ``__r``: inside the piece of a task, after the earlier pieces."""
+    keys = ["__a", "__b", "__t"]
+    d = materialize(d.withColumn("__p", F.spark_partition_id()), "mix_repeats")
+    parts = d.groupBy(*keys, "__p").agg(F.count("*").alias("m"))
+    w = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(k).alias(f"{k}_") for k in [*keys, "__p"]], F.coalesce(F.sum("m").over(w), F.lit(0)).alias("__from"))
+    inside = Window.partitionBy(*keys, "__p").orderBy(F.xxhash64(*columns))
+    d = d.withColumn("__i", F.row_number().over(inside) - 1)
+    d = d.join(parts, F.col("__a").eqNullSafe(F.col("__a_")) & F.col("__b").eqNullSafe(F.col("__b_"))
+               & (F.col("__t") == F.col("__t_")) & (F.col("__p") == F.col("__p_")))
+    return d.select("__row", *keys, (F.col("__from") + F.col("__i")).cast("long").alias("__r"))

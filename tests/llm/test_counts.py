@@ -102,7 +102,7 @@ def test_mix(which, request):
         assert (r.shards is None) == (r.times == 0) and len(r.shards or []) == r.times
         assert all(s is not None for s in r.shards or [])
         taken[r.source] += r.taken
-        largest[r.source] = max(largest[r.source], r.size * (2 if which == "odd" else 1))
+        largest[r.source] = max(largest[r.source], r.size)
         shards.update(r.shards or [])
     for s in size:
         assert abs(taken[s] - target[s]) <= largest[s]
@@ -126,6 +126,30 @@ def test_rows_without_id_are_decided_singly(spark):
     assert all(abs(100 * mixed[s] - t) <= 100 + 2_000 for s, t in target.items())
 
 
+def test_full_repeats_are_decided_singly(spark):
+    """Half of a source repeats one id and text, or has no id: each row is drawn by itself and keeps its own columns."""
+    rows = [(None if i % 2 else 5, " ".join(["w"] * 50), "a" if i < 900 else "b", i) for i in range(1200)]
+    rows += [(10_000 + i, f"x{i} y z", "c", 5_000 + i) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(6)
+    got = source_mix.mix(df, block_words=1_000).collect()
+    assert len(got) == len(rows)
+    taken, target, copies = collections.Counter(), {}, collections.Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        copies[r.source] += r.times
+    assert all(abs(taken[s] - t) <= 50 for s, t in target.items())
+    plain = [(r.doc_id, r.source, r.r, r.times) for r in got]
+    again = source_mix.mix(df.repartition(3), block_words=1_000).collect()
+    assert sorted(plain, key=str) == sorted([(r.doc_id, r.source, r.r, r.times) for r in again], key=str)
+    placed = source_mix.place(df, block_words=1_000).select("__row.*", "shard", "position").collect()
+    assert collections.Counter(r.source for r in placed) == copies
+    assert max(collections.Counter(r.n for r in placed).values()) <= 3
+    assert len({r.position for r in placed}) == len(placed)
+    want = collections.Counter(r.times for r in got if r.times)
+    assert collections.Counter(collections.Counter(r.n for r in placed).values()) == want
+
+
 def test_mixed_rows_come_by_shard_in_hash_order(docs):
     at = [r.shards for r in source_mix.mix(docs).collect() if r.shards]
     placed = source_mix.place(docs).select("__row.doc_id", "shard", "position").collect()
