@@ -26,6 +26,11 @@ by size and into blocks: blocks are joined within themselves, then only sets out
 group's largest linked component meet the other blocks.  Only spanning links
 leave a task, never all pairs.
 
+A class is verified on one text, the row with the smallest id and text hash.
+Rows that repeat both are reduced inside each task before they move, and a
+verifier skips those that come from several tasks, so their number neither
+fills a task's memory nor makes a group large.
+
 Result: classes by links.  Defined cases: no text or no words gives an empty
 set, linked with nothing; repeated rows and rows with a null doc_id are rows of
 their class (a class of null ids has a null component id); very long texts are
@@ -290,7 +295,7 @@ def _verifier(k: int, num: int, den: int):
 
     def run(batches):
         bands = Bands(num, den)
-        now, group = None, []
+        now, last, group = None, None, []
         out: list[tuple[int, int]] = []
         for b in batches:
             for lo in range(0, b.num_rows, 500):
@@ -298,8 +303,10 @@ def _verifier(k: int, num: int, den: int):
                     if key != now:
                         if len(group) > 1:
                             out += links(group, bands)
-                        now, group = key, []
-                    group.append((side, label, i, text))
+                        now, last, group = key, None, []
+                    if (side, i) != last:             # else one more row of the same id and text
+                        last = (side, i)
+                        group.append((side, label, i, text))
             yield _edges(out)
             out = []
         if len(group) > 1:
@@ -315,6 +322,26 @@ def _edges(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _first_rows(batches):
+    """The rows of a task without those that repeat an earlier row's (doc_id, text hash): the first two columns.
+
+    Ids and hashes of one task's rows are held, no texts.
+    """
+    seen: set = set()
+    for b in batches:
+        keep = []
+        for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            if key not in seen:
+                seen.add(key)
+                keep.append(i)
+        yield b if len(keep) == b.num_rows else b.take(pa.array(keep, pa.int64()))
+
+
+def _repeats(rows: DataFrame) -> bool:
+    """Whether any (doc_id, th) is found twice; then rows are reduced inside their tasks before they are shuffled."""
+    return rows.groupBy("doc_id", "th").count().where("count > 1").limit(1).count() > 0
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, text hash ``th``, n_shingles, class ``fp`` and component_id.
 
@@ -357,6 +384,8 @@ def _components(docs: DataFrame, k: int, num: int, den: int, doc_id: str) -> Dat
         F.xxhash64("whole", "b").alias("g"), "fp", "rep", "n")
     member = member.where("blocks = 1").unionByName(with_blocks(split).select(member.columns))
     member = materialize(member.select("*", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")), "blocks")
+    if _repeats(rows):
+        d = d.mapInArrow(_first_rows, d.schema)
     wanted = member.select(F.col("rep.doc_id").alias("__id"), F.col("rep.th").alias("__th"), "g", "fp", "blocks", "block")
     # texts move once, to their group's row, whatever the number of groups
     texts = d.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
@@ -424,9 +453,12 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id:
     empty = c.where("fp is null").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
     keep = materialize(first.unionByName(empty), "keep")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("__row"), F.col(doc_id).alias("__a"),
-                    F.xxhash64(text).alias("__b"))
+    d = docs.select(F.col(doc_id).alias("__a"), F.xxhash64(text).alias("__b"),
+                    F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("__row"))
+    repeats = _repeats(c)
+    if repeats:
+        d = d.mapInArrow(_first_rows, d.schema)
     out = d.join(small_side(keep), F.col("__a").eqNullSafe(F.col("__id")) & (F.col("__b") == F.col("__th")))
-    if c.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
+    if repeats:
         out = out.dropDuplicates(["__a", "__b"])      # a row that is repeated in full stays once
     return out.select("__row.*")

@@ -6,7 +6,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spendwatch.llm import decontaminate, ngram_join
 from spendwatch.llm.queries import REGISTRY
@@ -144,6 +146,36 @@ def test_null_and_repeated_ids_keep_unrelated_texts(spark):
     assert ngram_join.jaccard_components(df).columns == ["doc_id", "th", "n_shingles", "fp", "component_id"]
 
 
+def test_repeated_rows_reach_a_verifier_once(spark):
+    """3,000 equal rows without id and two near copies are three texts, and one row stays."""
+    words = [f"v{i}" for i in range(200)]
+    same, near, far = " ".join(words), " ".join(words + ["x"]), " ".join(words[1:] + ["y", "z"])
+    rows = [(None, same, i) for i in range(3000)] + [(1, near, 3000), (2, far, 3001), (3, "one other text here " * 3, 3002)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(6)
+    assert sum(r.doc_id is None for r in df.select("doc_id", F.xxhash64("text"), "text").mapInArrow(
+        ngram_join._first_rows, "doc_id long, th long, text string").collect()) == 6
+    got = ngram_join.jaccard_components(df, 5, 80, 100).collect()
+    assert len(got) == 3003 and {r.component_id for r in got} == {1, 3}
+    kept = ngram_join.keep_one(df).collect()
+    assert len(kept) == 2 and {r.doc_id for r in kept} <= {None, 1, 2, 3}
+
+
+def test_a_verifier_holds_equal_rows_once():
+    words = [f"v{i}" for i in range(50)]
+    texts = {1: " ".join(words), 2: " ".join(words + ["x"])}
+    rows = [(7, 0, 0, 0, i, i, texts[i]) for i in (1, 2) for _ in range(400)]
+    cols = [pa.array(c, pa.string() if n == 6 else pa.int64()) for n, c in enumerate(zip(*rows))]
+    batch = pa.RecordBatch.from_arrays(cols, names=list("abcdefg"))
+    seen = []
+    plain = ngram_join.verify
+    try:
+        ngram_join.verify = lambda sets, *rest: seen.append(len(sets)) or plain(sets, *rest)
+        links = [x for b in ngram_join._verifier(5, 80, 100)([batch]) for x in b.to_pylist()]
+    finally:
+        ngram_join.verify = plain
+    assert seen == [2] and links == [{"a": 1, "b": 2}]
+
+
 def test_no_key_is_lost_in_sparse_sketches():
     """Every linked pair shares a key, for sizes around the band limits."""
     rnd = np.random.default_rng(5)
