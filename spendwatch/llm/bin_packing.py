@@ -8,8 +8,9 @@ with the tightest remaining capacity, found in a balanced order of the bins'
 remaining capacities.  The capacity is the smallest for which the shards
 suffice; a group larger than an even share takes a shard of its own first.
 
-Slots are numbered in two levels (1,024 pieces per shard by hash, then rows of
-a piece), so no task holds a shard.
+Slots are numbered in two levels (1,024 pieces per shard by a hash of row and
+reading task, then rows of a piece), so no task holds a shard, nor the rows
+that repeat one id and text.
 
 Law: ``bytes``.  Defined cases: a null text has no bytes (size 1), checksum 0
 and forms a group with the other null texts (apart from empty texts); repeated
@@ -77,7 +78,8 @@ def assign_shards(docs: DataFrame, keep: list, shards: int = SHARDS) -> DataFram
     rows = materialize(docs.select(
         *[c.alias(n) for c, n in zip(keep, names)],
         (F.octet_length(binary) + 1).cast("long").alias("size"), F.crc32(binary).alias("text_crc32"),
-        F.coalesce(F.md5(text.cast("binary")), F.lit("null")).alias("g")), "pack_rows")
+        F.coalesce(F.md5(text.cast("binary")), F.lit("null")).alias("g"),
+        F.spark_partition_id().alias("salt")), "pack_rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     groups = rows.groupBy("g").agg(F.sum("size").alias("size"))
     big = F.col("size") * BUNDLES > total
@@ -97,7 +99,7 @@ def assign_shards(docs: DataFrame, keep: list, shards: int = SHARDS) -> DataFram
            .withColumn("item", F.concat(F.lit("h"), F.pmod(F.xxhash64("g"), F.lit(BUNDLES)).cast("string")))
            .join(F.broadcast(bundle), "item", "left")
            .withColumn("shard", F.coalesce("own", "bundled")).drop("own", "bundled", "item"))
-    out = out.withColumn("piece", F.pmod(F.xxhash64(*names, "g"), F.lit(PIECES)))
+    out = out.withColumn("piece", F.pmod(F.xxhash64(*names, "g", "salt"), F.lit(PIECES)))
     counts = out.groupBy("shard", "piece").agg(F.count("*").alias("n"))       # shards * PIECES rows
     w = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "piece", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
