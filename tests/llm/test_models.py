@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,15 +17,14 @@ ODD = [None, "", " 12 3!", "a", "The the", "日本語 テキスト", "ß" * 100_
 
 
 def plain_trigrams(text):
-    cls = lang_id._letter_class()
     s = [0]
     for c in text:
-        k = int(cls[ord(c)])
+        k = ord(c.lower()[0]) if c.isalpha() else 0
         if k or s[-1]:
             s.append(k)
     if s[-1]:
         s.append(0)
-    return collections.Counter((a << 12 | b << 6 | c) for a, b, c in zip(s, s[1:], s[2:]) if b)
+    return collections.Counter((a << 42 | b << 21 | c) for a, b, c in zip(s, s[1:], s[2:]) if b)
 
 
 def test_trigrams_against_a_loop():
@@ -41,13 +41,53 @@ def test_trigrams_against_a_loop():
 
 
 def bundle(text):
-    v = lang_id._letters().astype(int)
+    def v(cp):
+        return 1 - 2 * lang_id.letter_bits(np.array([cp]))[0].astype(int)
+
     out = np.zeros(lang_id.DIM)
     for t, c in plain_trigrams(text).items():
-        out += c * (np.roll(v[t >> 12], 2) * np.roll(v[(t >> 6) & 63], 1) * v[t & 63])
+        out += c * (np.roll(v(t >> 42), 2) * np.roll(v(t >> 21 & (1 << 21) - 1), 1) * v(t & (1 << 21) - 1))
     return out
 
 
+def bundles(texts):
+    return np.concatenate([rows for _, rows in lang_id._bundles(pa.array(texts, pa.string()))])
+
+
+def test_bundles_against_a_loop(monkeypatch):
+    """Dense and sparse blocks, many texts, and long texts in pieces."""
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab cdé日本語ежз") for _ in range(rnd.randrange(60))) for _ in range(700)] + [None, ""]
+    want = np.stack([bundle(t or "") for t in texts])
+    for block, entries in ((1024, 4096), (3, 5), (64, 7)):
+        monkeypatch.setattr(lang_id, "BLOCK", block)
+        monkeypatch.setattr(lang_id, "ENTRIES", entries)
+        assert np.array_equal(bundles(texts), want)
+    monkeypatch.setattr(lang_id, "CHUNK", 11)
+    assert np.array_equal(bundles(texts), want)
+
+
+def test_letters_of_all_scripts_differ():
+    letters = np.unique(lang_id._letter())
+    assert len(letters) > 100_000
+    packed = np.packbits(lang_id.letter_bits(letters[:40_000]), axis=1)
+    assert len(np.unique(packed, axis=0)) == 40_000
+
+
+def test_short_texts_of_many_scripts_stay_in_memory():
+    """10,000 texts, all their trigrams different: no matrix of texts by trigrams."""
+    import tracemalloc
+    letters = np.unique(lang_id._letter())[1:]
+    rnd = np.random.default_rng(1)
+    texts = ["".join(map(chr, rnd.choice(letters[letters < 0xD000], 40))) for _ in range(10_000)]
+    lang_id._letter()
+    tracemalloc.start()
+    n = sum(len(rows) for _, rows in lang_id._bundles(pa.array(texts)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 10_000 and peak < 200 << 20
+
+
 def test_cosine_against_a_loop(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et la souris", "fr"),
                                                         ("that thing there", "en"), ("est une chose", "fr"), (None, "de"), ("x", None)])]
