@@ -3,11 +3,15 @@
 Evidence: a naive Bayes classifier over hashed words and word shapes.  Each
 task adds up, for its labelled texts, in how many good and bad texts a feature
 occurs; the sums are grouped and give one log ratio per feature (2^18 at most).
-A text's evidence is the mean log ratio of its features, turned into log odds
-by a logistic curve fitted to the labelled texts' evidence, binned.
+Texts fall into ``FOLDS`` folds by a hash of the text, so copies share a fold,
+and the ratios that judge a fold are those of the other folds' labels: no text's
+evidence comes from its own label.  A text's evidence is the mean log ratio of
+its features, turned into log odds by a logistic curve fitted to the labelled
+texts' evidence, binned.
 
 Sites: labelled texts are counted per site (source) and per path below it
-(source and language).  Rates shrink level by level: a site's towards the
+(documents have no address below the source, so the language stands for the
+path unless another column is named).  Rates shrink level by level: a site's towards the
 global rate, a path's towards its site's, with beta priors whose strengths are
 fitted by moments, so a sparse site keeps close to the global prior.
 
@@ -17,7 +21,8 @@ Unlabelled documents and unseen sites get the prior of the level above.
 Defined cases: a null or empty text has no evidence, only its site's prior; a
 null site or path is a site or path of its own; a label without a document, or
 with a null quality, teaches nothing; a document with several labels counts
-with each; repeated rows are scored each; without labels every score is 0.5;
+with each; repeated rows are scored each; a fold whose labels are the only ones
+has evidence 0; without labels every score is 0.5;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -34,6 +39,7 @@ from .common import materialize, small_side
 from .words import SPACED, U, Words, chunks, mix
 
 FEATURES = 1 << 18
+FOLDS = 5
 BINS = 400
 RANGE = 4.0          # evidence is held within +-RANGE for binning and scoring
 
@@ -74,44 +80,54 @@ class _Raw(Words):
 
 
 def _label_counts(batches):
-    """(feature, texts of quality 1, texts of quality 0), summed over the task; feature -1 counts the texts."""
-    total = np.zeros((FEATURES + 1, 2), np.int64)
+    """(fold and feature as one number, texts of quality 1, texts of quality 0), summed over the task.
+
+    Feature ``FEATURES`` counts the texts of a fold.
+    """
+    total = np.zeros((FOLDS * (FEATURES + 1), 2), np.int64)
     for b in batches:
-        quality = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for first, end, data, bounds in chunks(b.column(1)):
+        fold = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64) * (FEATURES + 1)
+        bad = 1 - b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for first, end, data, bounds in chunks(b.column(2)):
             doc, feature = _features(_Raw(data, bounds))
-            bad = 1 - quality[first:end]
-            np.add.at(total, (feature, bad[doc]), 1)
-            total[FEATURES] += np.bincount(bad, minlength=2)
-    f = np.flatnonzero(total.sum(1))
-    yield pa.RecordBatch.from_arrays([pa.array(np.where(f == FEATURES, -1, f)), pa.array(total[f, 0]), pa.array(total[f, 1])],
-                                     names=["f", "good", "bad"])
+            np.add.at(total, (fold[first:end][doc] + feature, bad[first:end][doc]), 1)
+        np.add.at(total, (fold + FEATURES, bad), 1)
+    f = np.flatnonzero(total.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(total[f, 0]), pa.array(total[f, 1])], names=["f", "good", "bad"])
 
 
 class Evidence:
-    """Log ratio of each feature."""
-
-    def __init__(self, counts):
-        self.ratio = np.zeros(FEATURES, np.float32)
-        n = {f: (g, b) for f, g, b in counts}
-        good, bad = n.pop(-1, (0, 0))
-        self.prior = (good + 0.5) / (good + bad + 1.0)
-        for f, (g, b) in n.items():
-            self.ratio[f] = math.log((g + 0.5) / (good + 1.0)) - math.log((b + 0.5) / (bad + 1.0))
-
-    def of(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Log ratio of each feature, for each fold from the labels of the other folds."""
+
+    def __init__(self, counts: pa.Table):
+        n = np.zeros((FOLDS * (FEATURES + 1), 2))
+        n[counts.column("f").to_numpy()] = np.stack([counts.column(c).to_numpy() for c in ("good", "bad")], 1)
+        n = n.reshape(FOLDS, FEATURES + 1, 2)
+        every = n.sum(0)
+        good, bad = every[FEATURES]
+        self.prior = float((good + 0.5) / (good + bad + 1.0))
+        self.ratio = np.zeros((FOLDS, FEATURES), np.float32)
+        for k in range(FOLDS):
+            other = every - n[k]
+            met = other[:FEATURES].any(1)
+            share = np.log((other[:FEATURES][met] + 0.5) / (other[FEATURES] + 1.0))
+            self.ratio[k, met] = share[:, 0] - share[:, 1]
+
+    def of(self, data: np.ndarray, bounds: np.ndarray, fold: np.ndarray) -> np.ndarray:
         doc, feature = _features(_Raw(data, bounds))
         n = np.bincount(doc, minlength=len(bounds) - 1)
-        s = np.bincount(doc, self.ratio[feature], minlength=len(bounds) - 1)
+        s = np.bincount(doc, self.ratio[fold[doc], feature], minlength=len(bounds) - 1)
         return np.clip(s / np.maximum(n, 1), -RANGE, RANGE)
 
 
 def _scorer(evidence):
     def run(batches):
         for b in batches:
-            out = [evidence.value.of(data, bounds) for _, _, data, bounds in chunks(b.column(b.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate([*out, np.zeros(0)]))],
-                                             names=[*b.schema.names[:-1], "e"])
+            fold = b.column("fold").to_numpy(zero_copy_only=False).astype(np.int64)
+            out = [evidence.value.of(data, bounds, fold[first:end])
+                   for first, end, data, bounds in chunks(b.column(b.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(np.concatenate([*out, np.zeros(0)]))],
+                                             names=[*b.schema.names[:-2], "e"])
     return run
 
 
@@ -143,15 +159,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     """One row per document: doc_id, evidence, site_rate, path_rate, score in 0 to 1."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(site).cast("string").alias("site"),
                     F.col(path).cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    d = d.select("doc_id", "site", "path", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).alias("fold"), "text")
     kind = d.schema["doc_id"].dataType.simpleString()
     lab = labels.select(F.col("doc_id").alias("__l"), F.col("quality").cast("long").alias("quality")).where(
         "quality is not null")
     sc = d.sparkSession.sparkContext
     # labels join by id; texts move once, whatever the number of labels
     taught = d.join(lab.hint("merge"), F.col("doc_id") == F.col("__l"))
-    counts = (taught.select("quality", "text").mapInArrow(_label_counts, "f long, good long, bad long")
+    counts = (taught.select("fold", "quality", "text").mapInArrow(_label_counts, "f long, good long, bad long")
               .groupBy("f").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
-    evidence = Evidence([tuple(r) for r in counts.collect()])      # FEATURES + 1 rows at most
+    evidence = Evidence(counts.toArrow())      # FOLDS * (FEATURES + 1) rows of three numbers at most
     scored = materialize(d.mapInArrow(_scorer(sc.broadcast(evidence)), f"doc_id {kind}, site string, path string, e double"),
                          "evidence")
     seen = materialize(scored.join(lab, F.col("doc_id") == F.col("__l")).select("site", "path", "e", "quality"), "seen")

@@ -150,24 +150,66 @@ def plain_features(text):
     return out
 
 
-def test_evidence_against_a_loop(spark):
-    """Evidence is the mean log ratio of the distinct words and shapes (a vocabulary without hash collisions)."""
+def curve(rows):
+    """Slope and offset of the logistic curve through the rounded evidence, by small steps of plain descent."""
+    bins = collections.defaultdict(list)
+    for e, q in rows:
+        bins[round(e * quality_bayes.BINS / (2 * quality_bayes.RANGE))].append((e, q))
+    points = [(sum(e for e, _ in b) / len(b), q) for b in bins.values() for _, q in b]
+    w = [0.0, 0.0]
+    for _ in range(20_000):
+        grad = [-1e-3 * w[0], -1e-3 * w[1]]
+        for e, q in points:
+            miss = q - 1 / (1 + math.exp(-(w[0] * e + w[1])))
+            grad = [grad[0] + miss * e, grad[1] + miss]
+        w = [w[0] + 0.2 * grad[0], w[1] + 0.1 * grad[1]]
+    return w
+
+
+def test_scores_against_a_loop(spark):
+    """Evidence is the mean log ratio of the distinct words and shapes over the labels of the other folds (a vocabulary
+    without hash collisions); the score is the curve through the labelled evidence, moved by the path's rate."""
     rnd = random.Random(3)
     vocabulary = ["the", "The", "cat!", "DOG", "été", "7up", "x,", "(y)", "a|b", "12", "Zz."]
     rows = [(i, " ".join(rnd.choices(vocabulary[i % 4:], k=rnd.randrange(9)))) for i in range(60)]
-    quality = {i: int(rnd.random() < (0.8 if i % 4 == 0 else 0.3)) for i in range(0, 60, 2)}
-    n, total = collections.defaultdict(lambda: [0, 0]), [0, 0]
-    text = dict(rows)
-    for d, q in quality.items():
-        total[1 - q] += 1
-        for f in plain_features(text[d]):
-            n[f][1 - q] += 1
-    ratio = {f: math.log((g + .5) / (total[0] + 1)) - math.log((b + .5) / (total[1] + 1)) for f, (g, b) in n.items()}
+    rows += [(60, rows[0][1]), (61, None)]
+    quality = {i: int(rnd.random() < (0.8 if i % 4 == 0 else 0.3)) for i in range(0, 62, 2)}
     docs = spark.createDataFrame([(d, t, "s", "en") for d, t in rows], "doc_id long, text string, source string, lang string")
-    got = quality_bayes.score_documents(docs, spark.createDataFrame(list(quality.items()), "doc_id long, quality long"))
-    for r in got.collect():
-        fs = plain_features(text[r.doc_id])
-        assert r.evidence == pytest.approx(sum(ratio.get(f, 0) for f in fs) / max(len(fs), 1), abs=1e-5)
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(quality_bayes.FOLDS)).alias("f")).collect()}
+    assert fold[0] == fold[60] and len(set(fold.values())) == quality_bayes.FOLDS
+    text, evidence = dict(rows), {}
+    for k in range(quality_bayes.FOLDS):
+        n, total = collections.defaultdict(lambda: [0, 0]), [0, 0]
+        for d, q in quality.items():
+            if fold[d] != k:
+                total[1 - q] += 1
+                for f in plain_features(text[d]):
+                    n[f][1 - q] += 1
+        ratio = {f: math.log((g + .5) / (total[0] + 1)) - math.log((b + .5) / (total[1] + 1)) for f, (g, b) in n.items()}
+        for d in (d for d, j in fold.items() if j == k):
+            fs = plain_features(text[d])
+            evidence[d] = sum(ratio.get(f, 0) for f in fs) / max(len(fs), 1)
+    slope, offset = curve([(evidence[d], q) for d, q in quality.items()])
+    prior = (sum(quality.values()) + .5) / (len(quality) + 1)
+    got = quality_bayes.score_documents(docs, spark.createDataFrame(list(quality.items()), "doc_id long, quality long")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.evidence == pytest.approx(evidence[r.doc_id], abs=1e-5)
+        odds = slope * r.evidence + offset + math.log(r.path_rate / (1 - r.path_rate)) - math.log(prior / (1 - prior))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-3)
+
+
+def test_evidence_does_not_know_its_own_label(spark):
+    """Words that occur in one text only and random labels: evidence from the text's own label would tell them all."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20)), "s", "en") for i in range(400)]
+    labels = [(i, rnd.randrange(2)) for i in range(400)]
+    out = quality_bayes.score_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"),
+                                        spark.createDataFrame(labels, "doc_id long, quality long")).collect()
+    quality = dict(labels)
+    good, bad = ([r.score for r in out if quality[r.doc_id] == q] for q in (1, 0))
+    auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    assert 0.35 < auc < 0.65
 
 
 def test_sparse_sites_keep_near_the_prior(spark):
