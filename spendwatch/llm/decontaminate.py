@@ -10,9 +10,14 @@ known block allows window ends from its shift onwards.  The suffix block's hash
 of each possible end selects a bucket of windows, and the words themselves are
 compared byte by byte.
 
-Items are taken in blocks of ``ITEM_WORDS`` words; each block is one broadcast
-of bounded size and one pass over the documents, so a large benchmark makes
-more passes, never a larger table.
+Items are dealt by a hash to blocks of about ``ITEM_WORDS`` words, a long item
+in pieces that overlap by a window less one word.  Tasks build the tables of the
+blocks, one block each, and write them to a stage.  A block is one broadcast of
+bounded size and one pass over the documents, so a large benchmark makes more
+passes, never a larger table: the driver holds one block at a time.  With
+several blocks each pass is a job of its own that writes the occurrences it
+found, by text; at the end these are merged by text and joined back, so the plan
+is as deep for fifty blocks as for two.
 
 Defined cases: a null or empty text has no words and no hits; an item without
 words matches nothing; an item whose id is null marks words as hit but adds no
@@ -23,12 +28,16 @@ documents are carried, whatever their names.
 
 from __future__ import annotations
 
+import pickle
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialize
 from .words import ALNUM, Words, chunks
 
 WINDOW = 10
@@ -36,6 +45,11 @@ BLOCK = 3
 ITEM_WORDS = 300_000
 
 
+def spelled(raw: bytes, w: Words, p: int, length: int) -> bytes:
+    """The ``length`` words from position ``p``, parted by spaces, which no word holds."""
+    return b" ".join(raw[s:e] for s, e in zip(w.start[p:p + length].tolist(), w.end[p:p + length].tolist()))
+
+
 class Patterns:
     """Tables of one block of items, by window length."""
 
@@ -43,8 +57,8 @@ class Patterns:
         self.ids: list[str | None] = [i for i, _ in items]
         self.tables: list[tuple] = []
         column = pa.array([t for _, t in items], pa.large_string())
-        found: dict[int, dict[tuple, set]] = {}
-        hashes: dict[int, dict[tuple, tuple]] = {}
+        found: dict[int, dict[bytes, set]] = {}
+        hashes: dict[int, dict[bytes, tuple]] = {}
         for first, _, data, bounds in chunks(column):
             w = Words(data, bounds, ALNUM)
             raw = w.low.tobytes()
@@ -54,7 +68,7 @@ class Patterns:
                 if not length:
                     continue
                 for p in range(a, b - length + 1):
-                    words = tuple(raw[s:e] for s, e in zip(w.start[p:p + length], w.end[p:p + length]))
+                    words = spelled(raw, w, p, length)
                     found.setdefault(length, {}).setdefault(words, set()).add(first + d)
                     if words not in hashes.setdefault(length, {}):
                         size = min(BLOCK, length)
@@ -92,24 +106,49 @@ class Patterns:
             lo, hi = np.searchsorted(suffix, tail, "left"), np.searchsorted(suffix, tail, "right")
             for p, a, b in zip(start[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
                 raw = raw if raw is not None else w.low.tobytes()
-                words = tuple(raw[s:e] for s, e in zip(w.start[p:p + length], w.end[p:p + length]))
+                words = spelled(raw, w, p, length)
                 for k in range(a, b):
                     if listed[k] == words:
                         out.append((p, length, items[k]))
         return out
 
 
-def _item_blocks(benchmark: DataFrame, limit: int):
-    """Items in blocks of about ``limit`` bytes of text, streamed partition by partition."""
-    block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
-    for r in rows.where("t is not null").toLocalIterator():
-        block.append((r.i, r.t))
-        size += len(r.t)
-        if size >= limit:
-            yield block
-            block, size = [], 0
-    yield block
+def _pieces(size: int, window: int):
+    """Items as pieces of at most ``size`` words that hold every window between them: id, text, words."""
+    def run(batches):
+        for b in batches:
+            for first, end, data, bounds in chunks(b.column(1)):
+                w = Words(data, bounds, ALNUM)
+                raw, ids, texts, words = w.low.tobytes(), [], [], []
+                for i, key in enumerate(b.column(0).slice(first, end - first).to_pylist()):
+                    lo, hi = int(w.first[i]), int(w.first[i + 1])
+                    at = lo
+                    while at < hi:
+                        to = min(at + size, hi)
+                        ids.append(key)
+                        texts.append(raw[w.start[at]:w.end[to - 1]])
+                        words.append(to - at)
+                        at = hi if to == hi else to - window + 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(words, pa.int64())],
+                    names=["i", "t", "n"])
+    return run
+
+
+def pattern_tables(benchmark: DataFrame, window: int = WINDOW, item_words: int = ITEM_WORDS) -> tuple[DataFrame, int]:
+    """(block, its pickled tables), built by one task per block and staged, and the number of blocks."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
+    pieces = materialize(items.where("t is not null").dropDuplicates().mapInArrow(
+        _pieces(max(item_words // 8, 4 * window), window), "i string, t string, n long"), "pieces")
+    n_blocks = -(-(pieces.agg(F.sum("n")).first()[0] or 0) // item_words)
+
+    def build(key, table):
+        found = Patterns(list(zip(table.column("i").to_pylist(), table.column("t").to_pylist())), window)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "tables": pa.array([pickle.dumps(found, 5)], pa.binary())})
+
+    block = F.pmod(F.xxhash64("i", "t"), F.lit(max(n_blocks, 1))).cast("int").alias("block")
+    built = pieces.select(block, "i", "t").groupBy("block").applyInArrow(build, "block int, tables binary")
+    return materialize(built, "patterns"), n_blocks
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
@@ -119,10 +158,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     spark = docs.sparkSession
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = docs.columns.index("text")
-    out = docs.toDF(*names).withColumns({"spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    for block in _item_blocks(benchmark, item_words * 8):
-        patterns = spark.sparkContext.broadcast(Patterns(block, window))
-        out = out.mapInArrow(_searcher(patterns, text, len(names)), out.schema)
+    none = {"spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")}
+    plain = docs.toDF(*names)
+    tables, n_blocks = pattern_tables(benchmark, window, item_words)
+
+    def search(rows: DataFrame, block: int, at: int) -> DataFrame:
+        one = tables.where(F.col("block") == block).first()
+        patterns = spark.sparkContext.broadcast(pickle.loads(one.tables) if one else Patterns([], window))
+        rows = rows.withColumns(none)
+        return rows.mapInArrow(_searcher(patterns, at, len(rows.columns) - 2), rows.schema)
+
+    if n_blocks <= 1:
+        out = search(plain, 0, text) if n_blocks else plain.withColumns(none)
+    else:
+        # what is found depends on the text alone: occurrences are kept by text, and only for texts that have some
+        key = F.sha2(F.col(f"c{text}").cast("string"), 256)
+        texts = plain.where(F.col(f"c{text}").isNotNull()).select(key.alias("k"), F.col(f"c{text}").alias("t"))
+        found = [materialize(search(texts, k, 1).where(F.size("spans") > 0).select("k", "spans", "items")
+                             .dropDuplicates(["k"]), "occurrences") for k in range(n_blocks)]
+        merged = reduce(DataFrame.unionAll, found).groupBy("k").agg(
+            F.flatten(F.collect_list("spans")).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = plain.withColumn("k", key).join(merged, "k", "left").select(
+            *names, *[F.coalesce(F.col(c), v).alias(c) for c, v in none.items()])
     schema = T.StructType([*[f for f in out.schema.fields if f.name not in ("spans", "items")],
                            T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
                            *[f for f in out.schema.fields if f.name in ("spans", "items")]])

@@ -239,7 +239,7 @@ def test_query_on_the_documents(spark):
     assert sum(k[-1] for k in want) >= 3
 
 
-@pytest.mark.parametrize("item_words", [300_000, 1])
+@pytest.mark.parametrize("item_words", [300_000, 40])
 def test_odd_items_and_item_blocks(spark, item_words):
     rnd = random.Random(4)
     words = ["a", "b", "C", "é", "7"]
@@ -252,6 +252,27 @@ def test_odd_items_and_item_blocks(spark, item_words):
     assert digest(decontaminate.decontaminate(docs, bench, item_words=item_words)) == contamination(rows, items)
 
 
+def test_many_blocks_and_long_items(spark):
+    """Few and many blocks: items longer than a block keep every window, equal texts are found once, the plan stays flat."""
+    rnd = random.Random(6)
+    words = [f"v{i}" for i in range(300)]
+    items = [(i, " ".join(rnd.choices(words, k=n))) for i, n in enumerate([700, 260, 95, 41, 10, 9, 1] + [12] * 30)]
+    items += [(items[0][0], items[0][1]), (500, items[0][1])]
+    cut = [items[0][1].split(" ")[a:a + 10] for a in range(0, 690, 23)]
+    rows = [(i, " ".join(rnd.choices(words, k=20) + c + rnd.choices(words, k=5))) for i, c in enumerate(cut)]
+    rows += [(100 + i, t) for i, (_, t) in enumerate(items)] + [(900, rows[0][1]), (900, rows[0][1]), (901, None), (902, "")]
+    docs = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, n_hit int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = contamination(rows, items)
+    depth = {}
+    for item_words in (100, 900):
+        blocks = decontaminate.pattern_tables(bench, item_words=item_words)[1]
+        out = decontaminate.decontaminate(docs, bench, item_words=item_words)
+        assert digest(out) == want
+        depth[blocks] = out._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert max(depth) >= 20 and 1 < min(depth) < 5 and len(set(depth.values())) == 1
+
+
 def test_empty_tables(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     assert ngram_join.jaccard_components(docs.where("false")).count() == 0
