@@ -1,6 +1,8 @@
 """Sharding, token counts, quality rules and source mix against plain loops."""
 
 import collections
+import json
+import random
 import re
 import zlib
 
@@ -240,6 +242,28 @@ def test_token_counts(which, request):
             assert n(e) == c
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_tokenizers(spark, file):
+    """Counts and prefix tables are the library's whatever the file: cuts are read from it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path(file)
+    tok = Tokenizer.from_file(path)
+    texts = ["", None, "Two words, THREE  Words.", "a\u00a0 b \u00a0c \u00a0 d", " lead and trail ", "x <|endoftext|> y<|endoftext|>z",
+             "tab\tnew\n line\n\n  it's WE'LL 12 345", "\u65e5\u672c \u8a9e \u00e9 e\u0301 a", "A" * 3000 + " B", "\x1c q \x1f r"]
+    rnd = random.Random(8)
+    texts += ["".join(rnd.choices("aB1,' \n\u00e9\u00a0\u65e5", k=60)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    for r in token_counts.token_counts(docs, path=path, budget=10, prefixes=True).collect():
+        t = texts[r.doc_id] or ""
+        assert r.n_tokens == n(t)
+        assert list(r.prefix_tokens) == [n(t[:e]) for e in r.prefix_ends]
+        assert r.budget_chars == max([e for e, c in zip(r.prefix_ends, r.prefix_tokens) if c <= 10] + [0]) or r.n_tokens <= 10
+    assert token_counts.safe_cuts(json.loads(tok.to_str())) == (("spaces", False) if file.startswith("byte") else ("gaps", True))
+    assert token_counts.safe_cuts({"normalizer": {"type": "Prepend"}, "pre_tokenizer": None}) == ("none", False)
+
+
 def test_prefix_inside_a_piece():
     c = token_counts.PieceCounter(token_counts.default_tokenizer())
     t = "The étrange-looking wordlets, it's 2024 <|endoftext|>x"
