@@ -17,7 +17,9 @@ such or empty pieces leaves them out: of r agreeing pieces one is left, and its
 partner has the same piece.  Any other set sends all its pieces.  The sample
 only decides which keys are sent, never which links are found.
 
-Equal sets are one class throughout.  Each task first joins some 300,000 keys at
+Equal sets are one class throughout.  Keys are made and joined in up to ``PASSES``
+passes, each for the keys of one residue, so that only a part of them lies on
+disk at a time and a task sorts a bounded number of them.  Each task first joins some 300,000 keys at
 a time among themselves, so a key holds one set per such run when it is shuffled.  Sets that share keys form
 candidate groups; within a group, bit sketches (one bit flipped per shingle)
 give Hamming distances, which never exceed the symmetric difference, and pairs
@@ -57,6 +59,9 @@ BLOCK_SHINGLES = 1_500_000   # shingles of a block
 SEEDS = 16
 SAMPLE, COMMON = 20_000, 2   # texts of the sample, and how many of them make a shingle common
 KEYS_AT_ONCE = 300_000     # keys that a task joins among themselves before it sends them
+PASSES = 4                 # passes over the texts in which keys are made and joined
+PASS_SHINGLES = 2_000_000  # shingles of all texts below which one pass is enough
+TASK_SHINGLES = 2_000_000  # shingles whose keys one task joins in a pass
 _U = np.uint64
 
 
@@ -203,7 +208,8 @@ def common_shingles(d: DataFrame, rows: int, k: int) -> np.ndarray:
     return np.sort(found.toArrow().column(0).to_numpy().view(_U))
 
 
-def _key_rows(k: int, num: int, den: int, common):
+def _key_rows(k: int, num: int, den: int, common, at: int = 0, passes: int = 1):
+    """Keys of pass ``at`` of ``passes``, those of one residue, with the links of the sets that met in the task."""
     def rows(keys, ids):
         key, i = reduce_keys(np.concatenate(keys), np.concatenate(ids))
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(i.view(np.int64))], names=["key", "id"])
@@ -214,11 +220,12 @@ def _key_rows(k: int, num: int, den: int, common):
         keys, ids, n = [], [], 0
         for b in batches:
             for _, _, data, bounds in chunks(b.column(0)):
-                sets, at = shingle_sets(Words(data, bounds, SPACED), k)
-                found = join_keys(sets, at, fingerprints(sets, at), bands, frequent)
-                keys.append(found[0])
-                ids.append(found[1])
-                n += len(found[0])
+                sets, ends = shingle_sets(Words(data, bounds, SPACED), k)
+                key, own = join_keys(sets, ends, fingerprints(sets, ends), bands, frequent)
+                now = key % _U(passes) == _U(at)
+                keys.append(key[now])
+                ids.append(own[now])
+                n += len(keys[-1])
                 if n > KEYS_AT_ONCE:
                     yield rows(keys, ids)
                     keys, ids, n = [], [], 0
@@ -350,6 +357,27 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     return _components(docs, k, num, den, doc_id).drop("c")
 
 
+def _met(texts: DataFrame, shingles: int, k: int, num: int, den: int, common) -> DataFrame:
+    """(a, b): each class that shares a key with a smaller one, and the smallest of that key.
+
+    A pass is written before the next one begins, and Spark drops its shuffle files.
+    """
+    spark = texts.sparkSession
+    passes = max(1, min(PASSES, shingles // PASS_SHINGLES))
+    tasks = -(-shingles // (passes * TASK_SHINGLES))
+    out = None
+    for at in range(passes):
+        keys = texts.mapInArrow(_key_rows(k, num, den, common, at, passes), "key long, id long")
+        if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            keys = keys.repartition(tasks, "key")
+        met = keys.withColumn("least", F.min("id").over(Window.partitionBy("key"))).where("least <> id")
+        met = materialize(met.select(F.col("id").alias("a"), F.col("least").alias("b")), "met")
+        out = met if out is None else out.unionByName(met)
+        del keys, met
+        release(spark)
+    return out
+
+
 def _components(docs: DataFrame, k: int, num: int, den: int, doc_id: str) -> DataFrame:
     """The rows of ``jaccard_components`` with ``c``, the class that names the component (null without words).
 
@@ -363,9 +391,7 @@ def _components(docs: DataFrame, k: int, num: int, den: int, doc_id: str) -> Dat
         F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "th")).alias("rep"), F.max("n").alias("n")), "classes")
 
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(d, rows.count(), k))
-    keys = d.select("text").mapInArrow(_key_rows(k, num, den, common), "key long, id long")
-    met = keys.withColumn("least", F.min("id").over(Window.partitionBy("key"))).where("least <> id")
-    groups = connected_components(met.select(F.col("id").alias("a"), F.col("least").alias("b")))
+    groups = connected_components(_met(d.select("text"), rows.agg(F.sum("n")).first()[0] or 0, k, num, den, common))
     member = materialize(groups.join(classes, F.col("node") == F.col("fp")).select(
         F.col("component").alias("g"), "fp", "rep", "n"), "members")
     release(docs.sparkSession)

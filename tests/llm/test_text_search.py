@@ -113,6 +113,20 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert got(ngram_join.jaccard_components(frame(spark, texts))) == want
 
 
+def test_keys_in_passes(spark, monkeypatch):
+    """The passes divide the keys evenly, and the links are those of the plain loop."""
+    texts = near_copies(40, 60, 4, 5)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = [sum(b.num_rows for b in ngram_join._key_rows(3, 80, 100, None, at, 4)([batch])) for at in range(4)]
+    assert max(parts) < 0.35 * sum(parts)
+    monkeypatch.setattr(ngram_join, "PASS_SHINGLES", 1)
+    monkeypatch.setattr(ngram_join, "TASK_SHINGLES", 50)
+    stages, write = [], ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name="stage": stages.append(name) or write(df, name))
+    assert got(ngram_join.jaccard_components(frame(spark, texts), 3, 80, 100)) == components(list(enumerate(texts)), 3, 80, 100)
+    assert stages.count("met") == 4
+
+
 def test_texts_that_share_a_passage(spark):
     """A passage in every text ties none of them, and near copies among them still link."""
     rnd = random.Random(11)
