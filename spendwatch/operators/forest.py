@@ -14,19 +14,20 @@ Fit (``fit_forest``)
     with ``u`` from an integer mix of the node id and the tree's seed (md5 of
     seed, warehouse, tree);
   * a leaf's path length is ``depth + c(sampled rows in the leaf)``;
-  * training rows are scored like any other rows, by the lookup below.
-
-Model tables
-  * leaves: (warehouse, version, tree_id, node, lo, hi, path_len): interval
-    (lo, hi] of the leaf;
-  * segments: the 100 step functions of a warehouse merged into one: breakpoints
+  * training rows are scored in the same pass, by the lookup below.
+
+Models (``grow_models``)
+  * one row per (warehouse, version): its leaves as lists (upper end, node,
+    sampled rows; tree by tree from left to right), n_trees, psi, c_psi, the
+    training rows with their scores, score_mean, score_std, threshold;
+  * ``leaves``: (warehouse, version, tree_id, node, lo, hi, path_len), interval (lo, hi] of the leaf;
+  * ``segments``: the step functions of a warehouse merged into one: breakpoints
     of all trees sorted, with the mean path length right of each breakpoint;
-  * meta: (warehouse, version, n_trees, psi, c_psi, score_mean, score_std, threshold).
+  * ``meta``: (warehouse, version, n_trees, psi, c_psi, score_mean, score_std, threshold).
 
-Scoring (``score_rows``) is an as-of lookup: score rows and segments are
-unioned, ordered by value, and ``last(mean_path, ignorenulls)`` gives each row
-the segment it falls in.  No pair of (row, interval) is ever formed; a window
-partition is one warehouse's segments (at most trees x psi) plus its rows.
+Scoring is an as-of lookup in the merged step function.  ``score_models`` brings
+the rows of a warehouse, as an array, to its model row; ``score_rows`` does it
+over segments as rows.  No pair of (row, interval) is ever formed.
 
 Randomness is seeded, so fits are reproducible and checkable against DuckDB;
 the reference's library fit is unseeded, so its scores match in distribution.
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import EULER_GAMMA, avg_path_length, lit_date
+from ..functions.columns import EULER_GAMMA, lit_date
 from ..functions.seeds import mix_uniform_np, tree_seed_of
 from ..sources.tables import materialize as write_stage
 from .decompose import fill_series_gaps
@@ -138,64 +139,142 @@ def merge(leaf: dict[str, np.ndarray], path: np.ndarray, trees: int) -> tuple[np
     return points, np.cumsum(np.bincount(at, step, len(points))) / trees
 
 
-def _model_batches(n_trees: int, max_samples: int, seed: int):
-    """Leaves (``tree_id`` not null) and merged segments of each series."""
-    kinds = (("key", pa.string()), ("tree_id", pa.int32()), ("node", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()),
-             ("path_len", pa.float64()))
+LISTS = "hi array<double>, node array<int>, size array<int>"      # the leaves of a series, tree by tree from left to right
+
+
+def _lists(columns: list[list[np.ndarray]]) -> list[pa.Array]:
+    """One Arrow list column for each list of arrays."""
+    return [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), np.concatenate(c)) for c in columns]
+
+
+def _leaves_of(hi: np.ndarray, node: np.ndarray, size: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Leaves (tree, node, lo, hi) and path lengths from the lists of a series: a leaf begins where the one before ends."""
+    ends = np.isposinf(hi)
+    tree = np.cumsum(ends) - ends
+    lo = np.where(np.concatenate([[True], ends[:-1]]), -np.inf, np.concatenate([[-np.inf], hi[:-1]]))
+    depth = np.frexp(node.astype(float))[1] - 1
+    return {"tree": tree, "node": node, "lo": lo, "hi": hi}, depth + path_length_np(size)
+
+
+def _steps(hi, node, size, n_trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """The merged step function of a series."""
+    return merge(*_leaves_of(hi, node, size), n_trees)
+
+
+def decision(points: np.ndarray, mean: np.ndarray, x: np.ndarray, c_psi: float) -> np.ndarray:
+    """Scores of ``x``: the mean path length of the segment that a value falls in, (point, next point]."""
+    path = mean[np.searchsorted(points, x, side="left") - 1]
+    # a model of one row has c(1) = 0: every score of it is neutral
+    return 0.5 - np.power(2.0, -(path / c_psi if c_psi else np.ones(len(x))))
+
+
+SERIES_AT_ONCE = 128        # series of an output batch
+
+
+def _model_batches(n_trees: int, max_samples: int, seed: int, sigmas: float):
+    """One row per series: its leaves as lists, the scores of its training rows and their statistics."""
+    def row(name, x):
+        seeds = np.array([tree_seed_of(seed, name, i) for i in range(n_trees)], np.int64)
+        leaf = grow(np.sort(x[draw_positions(len(x), max_samples, seeds)], axis=1), seeds)
+        order = np.lexsort((leaf["lo"], leaf["tree"]))
+        lists = leaf["hi"][order], leaf["node"][order].astype(np.int32), leaf["size"][order].astype(np.int32)
+        psi = min(len(x), max_samples)
+        c_psi = float(path_length_np(np.array([psi]))[0])
+        score = decision(*_steps(*lists, n_trees), x, c_psi)
+        mean, std = float(score.mean()), float(score.std(ddof=1)) if len(x) > 1 else None
+        return (psi, c_psi, mean, std, None if std is None else mean - sigmas * std), (*lists, score)
 
     def run(batches):
         for b in batches:
-            for name, xs in zip(b.column("key").to_pylist(), b.column("xs")):
-                x = xs.values.to_numpy()
-                seeds = np.array([tree_seed_of(seed, name, i) for i in range(n_trees)], np.int64)
-                leaf = grow(np.sort(x[draw_positions(len(x), max_samples, seeds)], axis=1), seeds)
-                path = leaf["depth"] + path_length_np(leaf["size"])
-                points, mean = merge(leaf, path, n_trees)
-                for cols in ((leaf["tree"], leaf["node"], leaf["lo"], leaf["hi"], path), (None, None, points, None, mean)):
-                    n = len(cols[-1])
-                    arrays = [pa.array([name] * n, pa.string())]
-                    arrays += [pa.nulls(n, t) if c is None else pa.array(c, t) for c, (_, t) in zip(cols, kinds[1:])]
-                    yield pa.RecordBatch.from_arrays(arrays, names=[k for k, _ in kinds])
+            for at in range(0, b.num_rows, SERIES_AT_ONCE):
+                part = b.slice(at, SERIES_AT_ONCE)
+                got = [row(name, xs.values.to_numpy()) for name, xs in zip(part.column(0).to_pylist(), part.column(2))]
+                if not got:
+                    continue
+                plain = [pa.array(c, t) for c, t in zip(zip(*[g[0] for g in got]), (pa.int64(), *[pa.float64()] * 4))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), *plain, *_lists([list(c) for c in zip(*[g[1] for g in got])])],
+                    names=["key", "training", "psi", "c_psi", "score_mean", "score_std", "threshold", "hi", "node", "size", "score"])
     return run
 
 
+def grow_models(rows: DataFrame, key: str = "warehouse_name", date_col: str = "usage_date", value: str = "residual",
+                n_trees: int = 100, max_samples: int = 256, seed: int = 0, sigmas: float = 3.0) -> DataFrame:
+    """One row per ``key``: leaves (``hi``, ``node``, ``size``), training rows, their scores and the threshold.
+
+    The rows of a series are one array (one shuffle), bounded by the days kept.
+    A leaf is its upper end, node id and sampled rows; everything else about it
+    follows from these.
+    """
+    names = [c for c in rows.columns if c != key]
+    x = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    series = rows.groupBy(F.col(key).cast("string").alias("key")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(date_col).alias("_d"), x.alias("_x"), F.struct(*names).alias("_row")))).alias("s"))
+    series = series.select("key", F.transform("s", lambda s: s["_row"]).alias("training"), F.transform("s", lambda s: s["_x"]).alias("xs"))
+    kind = series.schema["training"].dataType.simpleString()
+    model = series.mapInArrow(_model_batches(n_trees, max_samples, seed, sigmas),
+                              f"key string, training {kind}, psi long, c_psi double, score_mean double, score_std double, "
+                              f"threshold double, {LISTS}, score array<double>")
+    return model.withColumnRenamed("key", key).withColumn("n_trees", F.lit(n_trees))
+
+
+def leaves(models: DataFrame, key: str = "warehouse_name") -> DataFrame:
+    """One row per leaf of the models."""
+    def run(batches):
+        for b in batches:
+            for name, version, *lists in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *b.columns[2:]):
+                hi, node, size = (c.values.to_numpy() for c in lists)
+                leaf, path = _leaves_of(hi, node, size)
+                n = len(hi)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * n, pa.string()), pa.array(leaf["tree"], pa.int32()), pa.array(node), pa.array(leaf["lo"]),
+                     pa.array(hi), pa.array(path), pa.array([version] * n, pa.int64())],
+                    names=[key, "tree_id", "node", "lo", "hi", "path_len", "model_version"])
+    return models.select(key, F.col("model_version").cast("long"), "hi", "node", "size").mapInArrow(
+        run, f"`{key}` string, tree_id int, node int, lo double, hi double, path_len double, model_version long")
+
+
+def segments(models: DataFrame, key: str = "warehouse_name") -> DataFrame:
+    """One row per segment of the merged step functions of the models."""
+    def run(batches):
+        for b in batches:
+            for name, version, n_trees, *lists in zip(*[b.column(i).to_pylist() for i in range(3)], *b.columns[3:]):
+                points, mean = _steps(*(c.values.to_numpy() for c in lists), n_trees)
+                n = len(points)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * n, pa.string()), pa.array([version] * n, pa.int64()), pa.array(points), pa.array(mean)],
+                    names=[key, "model_version", "lo", "mean_path"])
+    return models.select(key, F.col("model_version").cast("long"), "n_trees", "hi", "node", "size").mapInArrow(
+        run, f"`{key}` string, model_version long, lo double, mean_path double")
+
+
+def meta(models: DataFrame, key: str = "warehouse_name") -> DataFrame:
+    """One row per model: shape, statistics of the training scores, threshold."""
+    return models.select(key, "model_version", "n_trees", "psi", "c_psi", "score_mean", "score_std", "threshold")
+
+
+def training_scores(models: DataFrame, key: str = "warehouse_name") -> DataFrame:
+    """One row per training row of the models, with its score and the model's statistics."""
+    names = models.schema["training"].dataType.elementType.fieldNames()
+    each = models.select(key, "score_mean", "score_std", "threshold", F.explode(F.arrays_zip("training", "score")).alias("_t"))
+    return each.select(key, *[F.col(f"_t.training.{c}").alias(c) for c in names], F.col("_t.score").alias("score"),
+                       "score_mean", "score_std", "threshold")
+
+
 def fit_forest(rows: DataFrame, key: str = "warehouse_name", date_col: str = "usage_date",
                value: str = "residual", n_trees: int = 100, max_samples: int = 256, seed: int = 0,
                sigmas: float = 3.0, version: int | Column = 0, materialize: bool = True) -> Forest:
-    """Fit one forest per ``key`` on ``value`` of the given (gap-free) rows.
+    """Fit one forest per ``key`` on ``value`` of the given (gap-free) rows (see ``grow_models``).
 
-    Plan: the values of a series as one array (one shuffle) -> leaves of all
-    its trees -> merged step function -> every training row scored by the as-of
-    lookup (``score_rows``).
+    The models are written once, with the scores of their training rows; leaves,
+    segments and thresholds are read from them.
     """
-    rows = write_stage(rows, "forest_rows") if materialize else rows
-    x = F.struct(F.col(date_col), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("x"))
-    series = rows.groupBy(F.col(key).cast("string").alias("key")).agg(
-        F.transform(F.sort_array(F.collect_list(x)), lambda s: s["x"]).alias("xs"))
-    version_col = version if isinstance(version, Column) else F.lit(version)
-    model = series.mapInArrow(_model_batches(n_trees, max_samples, seed),
-                              "key string, tree_id int, node int, lo double, hi double, path_len double")
+    models = grow_models(rows, key, date_col, value, n_trees, max_samples, seed, sigmas)
     if materialize:
-        # the leaves and segments feed the model tables, the training scores and every later prediction: grow once
-        # (a table written to the shared checkpoint folder cuts the lineage)
-        model = write_stage(model, "forest_model")
-    model = model.withColumnRenamed("key", key).withColumn("model_version", version_col)
-    leaves = model.where("tree_id is not null").select(key, "tree_id", "node", "lo", "hi", "path_len", "model_version")
-    segments = model.where("tree_id is null").select(key, "model_version", "lo", F.col("path_len").alias("mean_path"))
-    psi = rows.groupBy(key).agg(F.least(F.count(F.lit(1)), F.lit(max_samples)).alias("psi"))
-    shape = psi.select(key, version_col.alias("model_version"), F.lit(n_trees).alias("n_trees"), "psi",
-                       avg_path_length(F.col("psi")).alias("c_psi"))
-    scored = score_rows(rows, segments, shape, key, value)
-    stats = Window.partitionBy(key)
-    scores = (scored.withColumn("score_mean", F.avg("score").over(stats))
-              .withColumn("score_std", F.stddev_samp("score").over(stats))
-              .withColumn("threshold", F.col("score_mean") - F.lit(sigmas) * F.col("score_std")))
-    if materialize:
-        scores = write_stage(scores, "forest_scores")
-    meta = shape.join(scores.groupBy(key).agg(F.first("score_mean").alias("score_mean"),
-                                              F.first("score_std").alias("score_std"),
-                                              F.first("threshold").alias("threshold")), [key])
-    return Forest(leaves=leaves, segments=segments, meta=meta, scores=scores)
+        models = write_stage(models, "forest_model")
+    models = models.withColumn("model_version", version if isinstance(version, Column) else F.lit(version))
+    return Forest(leaves=leaves(models, key), segments=segments(models, key), meta=meta(models, key),
+                  scores=training_scores(models, key))
 
 
 def score_rows(rows: DataFrame, segments: DataFrame, meta: DataFrame, key: str = "warehouse_name",
@@ -243,27 +322,58 @@ def training_anomalies(scores: DataFrame, key: str = "warehouse_name", credits:
             .drop("_mean_credits"))
 
 
+def training_rows(features: DataFrame, before, key: str = "warehouse_name") -> DataFrame:
+    """Rows before ``before`` of every warehouse; days that are missing inside a series are rows of 0, as a daily
+    frequency gives them (M1)."""
+    return fill_series_gaps(features.where(F.col("usage_date") < lit_date(before)), key, "usage_date", "credits_used", "residual")
+
+
 def train_forest(features: DataFrame, before, n_trees: int = 100, max_samples: int = 256, seed: int = 0,
                  sigmas: float = 3.0, version: int | Column = 0, key: str = "warehouse_name") -> Forest:
-    """Weekly training (J6): rows before ``before`` of every warehouse, residual feature.
+    """Weekly training (J6): ``training_rows`` of every warehouse, residual feature."""
+    return fit_forest(training_rows(features, before, key), key=key, n_trees=n_trees, max_samples=max_samples, seed=seed,
+                      sigmas=sigmas, version=version)
 
-    Days that are missing inside a series are rows of 0, as a daily frequency gives them (M1).
-    """
-    rows = fill_series_gaps(features.where(F.col("usage_date") < lit_date(before)), key, "usage_date",
-                            "credits_used", "residual")
-    return fit_forest(rows, key=key, n_trees=n_trees, max_samples=max_samples, seed=seed, sigmas=sigmas,
-                      version=version)
+
+def _scored(n_in: int):
+    def run(batches):
+        for b in batches:
+            cols, scores = list(b.columns), []
+            for c_psi, n_trees, xs, *lists in zip(cols[n_in - 6].to_pylist(), cols[n_in - 5].to_pylist(), *cols[n_in - 4:]):
+                points, mean = _steps(*(c.values.to_numpy() for c in lists), n_trees)
+                scores.append(decision(points, mean, xs.values.to_numpy(), c_psi))
+            if scores:
+                yield pa.RecordBatch.from_arrays([*cols[:n_in - 6], *_lists([scores])], names=["key", "threshold", "rows", "score"])
+    return run
 
 
-def score_forest(features: DataFrame, segments: DataFrame, meta: DataFrame, ds, days: int = 7,
-                 key: str = "warehouse_name") -> DataFrame:
+def score_models(rows: DataFrame, models: DataFrame, key: str = "warehouse_name", value: str = "residual") -> DataFrame:
+    """``score_rows`` over the stored models: the rows of a series (an array) meet the latest model of it as one row.
+
+    Of the models only the versions that are the latest of some series are read, and no leaf or segment is a row.
+    """
+    top = models.groupBy(key).agg(F.max("model_version").alias("model_version"))
+    versions = [r[0] for r in top.select("model_version").distinct().collect()]       # one number per version
+    names = [c for c in rows.columns if c != key]
+    x = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    series = rows.groupBy(key).agg(F.collect_list(F.struct(F.struct(*names).alias("r"), x.alias("x"))).alias("s")).join(top, [key])
+    models = models.where(F.col("model_version").isin(versions)).select(key, "model_version", "threshold", "c_psi", "n_trees", "hi", "node", "size")
+    met = series.join(models, [key, "model_version"]).select(
+        F.col(key).alias("key"), "threshold", F.transform("s", lambda s: s["r"]).alias("rows"), "c_psi", "n_trees",
+        F.transform("s", lambda s: s["x"]).alias("xs"), "hi", "node", "size")
+    kind = met.schema["rows"].dataType.simpleString()
+    out = met.mapInArrow(_scored(len(met.columns)), f"key string, threshold double, rows {kind}, score array<double>")
+    out = out.select("key", "threshold", F.explode(F.arrays_zip("rows", "score")).alias("_t"))
+    return out.select(F.col("key").alias(key), *[F.col(f"_t.rows.{c}").alias(c) for c in names], "threshold", F.col("_t.score").alias("score"))
+
+
+def score_forest(features: DataFrame, models: DataFrame, ds, days: int = 7, key: str = "warehouse_name") -> DataFrame:
     """Daily prediction (J7): rows of [ds - days, ds] scored with the latest model of
     each warehouse; ``is_anomaly`` marks scores at or below the threshold."""
-    seg, met = latest_model(segments, meta, key)
     d = lit_date(ds)
     rows = features.where(F.col("usage_date").between(F.date_sub(d, days), d)).select(
         key, "usage_date", "credits_used", "trend", "seasonal", "residual")
-    scored = score_rows(rows, seg, met, key)
+    scored = score_models(rows, models, key)
     return (scored.withColumn("is_anomaly", F.col("score") <= F.col("threshold"))
             .withColumn("prediction_datetime", d.cast("timestamp_ntz")))
 

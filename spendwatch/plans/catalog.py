@@ -367,9 +367,8 @@ def q_prediction_reload(spark, sf):
 
 @register("forest_model")
 def q_forest_model(spark, sf):
-    leaves = daily.models(spark, stored(spark, sf).t)["leaves"]
-    leaves = tables.latest(leaves, ["warehouse_name"], "model_version")
-    return _round_floats(leaves, ["lo", "hi", "path_len"])
+    latest = tables.latest(daily.forests(spark, stored(spark, sf).t), ["warehouse_name"], "model_version")
+    return _round_floats(forest.leaves(latest), ["lo", "hi", "path_len"])
 
 
 @register("forest_train_anomalies")
@@ -380,12 +379,11 @@ def q_forest_train_anomalies(spark, sf):
 
 @register("forest_scores")
 def q_forest_scores(spark, sf):
-    return _scores(spark, sf, daily.models(spark, stored(spark, sf).t))
+    return _scores(spark, sf, daily.forests(spark, stored(spark, sf).t))
 
 
 def _scores(spark, sf, m) -> DataFrame:
-    out = forest.score_forest(_table(spark, sf, "feature_metering_seasonal_decompose"), m["segments"], m["meta"],
-                              stored(spark, sf).last)
+    out = forest.score_forest(_table(spark, sf, "feature_metering_seasonal_decompose"), m, stored(spark, sf).last)
     return _round_floats(out, [c for c in FOREST_FLOATS if c in out.columns])
 
 
@@ -395,10 +393,9 @@ def q_model_snapshot(spark, sf):
     it sees the version before, whole."""
     t = stored(spark, sf).t
     before = manifest.snapshot(spark, t.model)
-    earlier = {n: m.where("model_version = 1").withColumn("model_version", F.lit(2).cast("long"))
-               for n, m in daily.models(spark, t, before).items()}
-    batch = manifest.write_batch({n: (m, daily.MODEL[n]) for n, m in earlier.items()}, t.model, "model_version", [2])
-    out = tables.materialize(_scores(spark, sf, daily.models(spark, t)), "between")
+    earlier = daily.forests(spark, t, before).where("model_version = 1").withColumn("model_version", F.lit(2).cast("long"))
+    batch = manifest.write_batch({daily.FORESTS: (earlier, daily.MODEL_FORESTS)}, t.model, "model_version", [2])
+    out = tables.materialize(_scores(spark, sf, daily.forests(spark, t)), "between")
     batch.discard()
     return out
 

@@ -3,7 +3,7 @@
 Each run takes the run date ``ds`` (or a training cut-off) and table
 locations, reads its inputs, and writes its outputs with the writers of
 ``sources.tables``: the loads replace their day, the prepared tables are
-replaced whole, a training publishes the three tables of its model version in
+replaced whole, a training publishes its model version in
 one step, and a prediction replaces or appends its day.  Runs of different days
 can run at the same time; a repeated run replaces what it wrote before, or adds
 nothing where it appends.
@@ -22,21 +22,20 @@ from ..operators import anomalies, calendar, checks, costs, decompose, forest, m
 from ..sources import manifest, tables
 from .views import view_sql
 
-MODEL_LEAVES = T.StructType([
-    T.StructField("warehouse_name", T.StringType()), T.StructField("tree_id", T.IntegerType()),
-    T.StructField("node", T.IntegerType()), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
-    T.StructField("path_len", T.DoubleType()), T.StructField("model_version", T.LongType())])
-MODEL_SEGMENTS = T.StructType([
-    T.StructField("warehouse_name", T.StringType()), T.StructField("model_version", T.LongType()),
-    T.StructField("lo", T.DoubleType()), T.StructField("mean_path", T.DoubleType())])
-MODEL_META = T.StructType([
+_TRAINING = T.StructType([
+    T.StructField("usage_date", T.DateType()), T.StructField("credits_used", schemas.CREDITS),
+    T.StructField("residual", T.DoubleType())])
+# one row per warehouse and version (see ``operators.forest``)
+MODEL_FORESTS = T.StructType([
     T.StructField("warehouse_name", T.StringType()), T.StructField("model_version", T.LongType()),
     T.StructField("n_trees", T.IntegerType()), T.StructField("psi", T.LongType()),
     T.StructField("c_psi", T.DoubleType()), T.StructField("score_mean", T.DoubleType()),
-    T.StructField("score_std", T.DoubleType()), T.StructField("threshold", T.DoubleType())])
-
+    T.StructField("score_std", T.DoubleType()), T.StructField("threshold", T.DoubleType()),
+    T.StructField("hi", T.ArrayType(T.DoubleType())), T.StructField("node", T.ArrayType(T.IntegerType())),
+    T.StructField("size", T.ArrayType(T.IntegerType())), T.StructField("training", T.ArrayType(_TRAINING)),
+    T.StructField("score", T.ArrayType(T.DoubleType()))])
 
-MODEL = {"leaves": MODEL_LEAVES, "segments": MODEL_SEGMENTS, "meta": MODEL_META}
+FORESTS = "forests"
 PREDICTIONS = T.StructType([*schemas.MODEL_OUTPUT_ANOMALIES.fields, T.StructField("prediction_date", T.DateType())])
 
 
@@ -146,31 +145,36 @@ def run_training(spark: SparkSession, t: Tables, before, version: int | None = N
     """Weekly training: one forest per warehouse, stored as a model version.
 
     The version is the next free one; a repeated run passes the version it
-    repeats and replaces it.  Leaves, segments and thresholds appear together,
+    repeats and replaces it.  Trees and thresholds are one row,
     so no reader ever joins those of two trainings.  Returns the training
     anomalies.
     """
     if version is None:
         version = tables.next_version(spark, t.model)
-    fit = forest.train_forest(table(spark, t, "feature_metering_seasonal_decompose"), before, seed=seed,
-                              sigmas=sigmas, version=version)
-    rows = {"leaves": fit.leaves, "segments": fit.segments, "meta": fit.meta}
-    typed = {n: (r.withColumn("model_version", F.lit(version).cast("long")), MODEL[n]) for n, r in rows.items()}
-    manifest.publish(typed, t.model, "model_version", [version])
-    return forest.training_anomalies(fit.scores)
+    rows = forest.training_rows(table(spark, t, "feature_metering_seasonal_decompose"), before)
+    grown = forest.grow_models(rows, seed=seed, sigmas=sigmas)
+    batch = manifest.write_batch({FORESTS: (grown.withColumn("model_version", F.lit(version).cast("long")), MODEL_FORESTS)},
+                                 t.model, "model_version", [version])
+    batch.commit()
+    made = forests(spark, t).where(F.col("model_version") == F.lit(version))
+    return forest.training_anomalies(forest.training_scores(made))
+
+
+def forests(spark: SparkSession, t: Tables, at: manifest.Snapshot | None = None) -> DataFrame:
+    """The stored models, one row per warehouse and version."""
+    return manifest.read(spark, t.model, MODEL_FORESTS, FORESTS, at)
 
 
 def models(spark: SparkSession, t: Tables, at: manifest.Snapshot | None = None) -> dict[str, DataFrame]:
-    """The model tables (leaves, segments, meta), all as of one commit."""
-    at = at or manifest.snapshot(spark, t.model)
-    return {n: manifest.read(spark, t.model, schema, n, at) for n, schema in MODEL.items()}
+    """The stored models as tables (leaves, segments, meta), all as of one commit."""
+    found = forests(spark, t, at)
+    return {"leaves": forest.leaves(found), "segments": forest.segments(found), "meta": forest.meta(found)}
 
 
 def predict(spark: SparkSession, t: Tables, ds, at: manifest.Snapshot | None = None) -> DataFrame:
     """The anomalies of [ds - 7, ds] by the latest model of each warehouse, all of one commit of the models."""
-    m = models(spark, t, at)
     return forest.predicted_anomalies(forest.score_forest(table(spark, t, "feature_metering_seasonal_decompose"),
-                                                          m["segments"], m["meta"], ds))
+                                                          forests(spark, t, at), ds))
 
 
 def run_prediction(spark: SparkSession, t: Tables, ds, append: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@ import hashlib
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from spendwatch.functions.seeds import tree_seed_of
 from spendwatch.operators import forest
@@ -195,3 +196,23 @@ def test_ties_and_constant_series(spark):
         got.setdefault((r.warehouse_name, r.tree_id), []).append((r.node, round(r.path_len, 9)))
     assert all(got["C", t] == [(1, round(c(20), 9))] and got["N", t] == [(1, round(c(3), 9))] and got["S", t] == [(1, 0.0)] for t in range(5))
     assert all(sorted(got["T", t]) == [(2, round(1 + c(10), 9)), (3, round(1 + c(10), 9))] for t in range(5))
+
+
+def test_models_are_one_row_and_score_as_their_segments(spark):
+    """A model is one stored row, training rows are scored in its pass, and both ways of scoring agree."""
+    rows = [(w, D(2024, 1, 1) + dt.timedelta(days=i), float(i * 7 % 23) + n, float(i), 0.0, 0.0)
+            for n, w in enumerate("ABC") for i in range(30)]
+    df = spark.createDataFrame(rows, "warehouse_name string, usage_date date, residual double, credits_used double, "
+                                     "trend double, seasonal double")
+    models = forest.grow_models(df.drop("trend", "seasonal"), n_trees=7).withColumn("model_version", F.lit(1))
+    assert models.count() == 3 and models._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = forest.score_models(df, models)
+    want = forest.score_rows(df, forest.segments(models), forest.meta(models)).select(got.columns)
+    one, two = (sorted((r.warehouse_name, r.usage_date, round(r.score, 9)) for r in x.collect()) for x in (got, want))
+    assert one == two and len(one) == 90
+    again = sorted((r.warehouse_name, r.usage_date, round(r.score, 9)) for r in forest.training_scores(models).collect())
+    assert again == one
+    # an older version serves a series that the newest training lacks
+    both = models.unionByName(models.where("warehouse_name = 'A'").withColumn("model_version", F.lit(2)).withColumn("threshold", F.lit(9.0)))
+    found = {r.warehouse_name: r.threshold for r in forest.score_models(df, both).collect()}
+    assert found["A"] == 9.0 and found["B"] < 9.0 and forest.score_models(df, both).count() == 90
