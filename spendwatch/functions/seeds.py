@@ -15,6 +15,17 @@ def tree_seed_of(*parts) -> int:
     return int(hashlib.md5("|".join(str(p) for p in parts if p is not None).encode()).hexdigest()[:7], 16)
 
 
+def tree_seeds(n: int, *parts) -> np.ndarray:
+    """``tree_seed_of(*parts, i)`` for i in 0 .. n - 1; the parts are hashed once."""
+    start = hashlib.md5("".join(f"{p}|" for p in parts if p is not None).encode())
+    found = []
+    for i in range(n):
+        h = start.copy()
+        h.update(b"%d" % i)
+        found.append(h.digest()[:4])
+    return (np.frombuffer(b"".join(found), ">u4") >> 4).astype(np.int64)
+
+
 def mix_uniform_np(seed: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Uniform in [0, 1) from tree seeds and node ids; every product stays below 2^62."""
     a = (seed * 69069 + node * 362437 + 1) % MIX_M

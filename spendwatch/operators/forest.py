@@ -6,7 +6,7 @@ Fit (``fit_forest``)
   * the series of a warehouse is one array in date order, at most one value per
     day kept; each tree samples ``psi = min(max_samples, n)`` positions of it
     without replacement by a seeded permutation (``draw_positions``);
-  * all trees of a warehouse grow together (``grow``): a tree's sample is a
+  * all trees of many warehouses grow together (``grow``): a tree's sample is a
     sorted run, a node a part of it, so a split is a binary search in the run
     and a level is a handful of array operations, however many trees there are;
   * a node splits when it has at least two sampled rows, a value range above
@@ -17,9 +17,11 @@ Fit (``fit_forest``)
   * training rows are scored in the same pass, by the lookup below.
 
 Models (``grow_models``)
-  * one row per (warehouse, version): its leaves as lists (upper end, node,
-    sampled rows; tree by tree from left to right), n_trees, psi, c_psi, the
-    training rows with their scores, score_mean, score_std, threshold;
+  * one row per (warehouse, version): its leaves as lists (depth, sampled rows;
+    tree by tree from left to right), n_trees, max_samples, seed, psi, c_psi, the
+    training rows with their scores, score_mean, score_std, threshold; a leaf's
+    ends and node follow from these (``unfold``), so that a version is some two
+    bytes a leaf wherever it is written or shuffled;
   * ``leaves``: (warehouse, version, tree_id, node, lo, hi, path_len), interval (lo, hi] of the leaf;
   * ``segments``: the step functions of a warehouse merged into one: breakpoints
     of all trees sorted, with the mean path length right of each breakpoint;
@@ -44,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import EULER_GAMMA, lit_date
-from ..functions.seeds import mix_uniform_np, tree_seed_of
+from ..functions.seeds import mix_uniform_np, tree_seeds
 from ..sources.tables import materialize as write_stage
 from .decompose import fill_series_gaps
 
@@ -59,6 +61,11 @@ class Forest:
     scores: DataFrame  # training rows with score and threshold
 
 
+def path_lengths(leaf: dict[str, np.ndarray]) -> np.ndarray:
+    """Path length of every leaf."""
+    return leaf["depth"] + path_length_np(np.arange(leaf["size"].max(initial=0) + 1))[leaf["size"]]
+
+
 def draw_positions(n: int, max_samples: int, seeds: np.ndarray) -> np.ndarray:
     """``min(n, max_samples)`` distinct positions of 0 .. n - 1 per tree, one row for each of ``seeds``.
 
@@ -86,22 +93,24 @@ def draw_positions(n: int, max_samples: int, seeds: np.ndarray) -> np.ndarray:
     return v
 
 
-def grow(samples: np.ndarray, seeds: np.ndarray) -> dict[str, np.ndarray]:
-    """Leaves of one tree per row of ``samples`` (sorted rows): tree, node, lo, hi, depth, size."""
-    trees, psi = samples.shape
-    x = samples.ravel()
+def grow(x: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> dict[str, np.ndarray]:
+    """Leaves of all trees, tree by tree from left to right: tree, node, lo, hi, depth, size.
+
+    The sample of tree ``t`` is the sorted run ``x[bounds[t]:bounds[t + 1]]``; the trees may be of any number of series.
+    """
+    trees = len(seeds)
     run = {"tree": np.arange(trees), "node": np.ones(trees, np.int64), "lo": np.full(trees, -np.inf),
-           "hi": np.full(trees, np.inf), "start": np.arange(trees) * psi, "end": np.arange(1, trees + 1) * psi}
-    leaves, limit = [], math.ceil(math.log2(max(psi, 2)))
-    for depth in range(limit + 1):
+           "hi": np.full(trees, np.inf), "start": bounds[:-1], "end": bounds[1:]}
+    limit = np.frexp(np.maximum(np.diff(bounds), 2) - 1.0)[1]          # ceil(log2(psi))
+    leaves = []
+    for depth in range(limit.max(initial=0) + 1):
         least, most = x[run["start"]], x[run["end"] - 1]
-        splits = (run["end"] - run["start"] >= 2) & (most > least + FEATURE_THRESHOLD) & (depth < limit)
+        splits = (run["end"] - run["start"] >= 2) & (most > least + FEATURE_THRESHOLD) & (depth < limit[run["tree"]])
         leaves.append({**{c: v[~splits] for c, v in run.items()}, "depth": np.full((~splits).sum(), depth)})
         run, least, most = {c: v[splits] for c, v in run.items()}, least[splits], most[splits]
         if not len(least):
             break
-        at = least + mix_uniform_np(seeds[run["tree"]], run["node"]) * (most - least)
-        at = np.where(at >= most, least, at)
+        at = _split(least, most, seeds[run["tree"]], run["node"])
         low, high = run["start"], run["end"]          # the first value of the run above the split lies in [low, high)
         while (low < high).any():
             mid = (low + high) // 2
@@ -114,7 +123,38 @@ def grow(samples: np.ndarray, seeds: np.ndarray) -> dict[str, np.ndarray]:
         run["end"][:n], run["start"][n:] = low, low
     out = {c: np.concatenate([leaf[c] for leaf in leaves]) for c in leaves[0]}
     out["size"] = out.pop("end") - out.pop("start")
-    return out
+    order = np.argsort(out["tree"] + out["node"] * 2.0 ** -out["depth"], kind="stable")       # node / 2^depth grows from left to right
+    return {c: v[order] for c, v in out.items()}
+
+
+def _split(least: np.ndarray, most: np.ndarray, seeds: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Where nodes split the range of their samples."""
+    at = least + mix_uniform_np(seeds, node) * (most - least)
+    return np.where(at >= most, least, at)
+
+
+def unfold(depth: np.ndarray, size: np.ndarray, x: np.ndarray, seeds: np.ndarray) -> dict[str, np.ndarray]:
+    """The leaves that ``grow`` gave, from their depths and sizes: nothing is searched or split again.
+
+    A leaf of depth d takes 2^-d of its tree, so the sum of the leaves before
+    it is its tree and its place in it, which give its node.  Its lower end is
+    the split of the node whose right part it begins; the leaves of that node
+    say which run of the sample the node had.
+    """
+    share = 2.0 ** -depth.astype(float)
+    begin = np.cumsum(share) - share                  # sums of powers of two: exact
+    tree = begin.astype(np.int64)
+    node = ((1 + begin - tree) / share).astype(np.int64)
+    first = begin == tree                             # of its tree
+    inner = np.flatnonzero(~first)
+    odd = node[inner] & -node[inner]                  # node = (2 * parent + 1) * odd, a power of two
+    part = share[inner] * odd                         # what each half of the parent takes
+    taken = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    start, end = (taken[np.searchsorted(begin, begin[inner] + d)] for d in (-part, part))
+    lo = np.full(len(node), -np.inf)
+    lo[inner] = _split(x[start], x[end - 1], seeds[tree[inner]], node[inner] // (2 * odd))
+    hi = np.where(np.append(first[1:], True), np.inf, np.append(lo[1:], np.inf))
+    return {"tree": tree, "node": node, "lo": lo, "hi": hi, "depth": depth, "size": size}
 
 
 def path_length_np(n: np.ndarray) -> np.ndarray:
@@ -124,7 +164,7 @@ def path_length_np(n: np.ndarray) -> np.ndarray:
 
 
 def merge(leaf: dict[str, np.ndarray], path: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
-    """The step functions of all trees as one: (breakpoints, mean path length right of each).
+    """The step functions of all trees of a series as one: (breakpoints, mean path length right of each).
 
     Sweeping the line left to right, at a split of a tree its path length
     changes from that of the leaf left of it to that of the leaf right of it;
@@ -132,33 +172,48 @@ def merge(leaf: dict[str, np.ndarray], path: np.ndarray, trees: int) -> tuple[np
     changes up to it.
     """
     order = np.lexsort((leaf["lo"], leaf["tree"]))
-    lo, step = leaf["lo"][order], path[order]
-    first = np.isneginf(lo)
-    step[~first] -= path[order][np.flatnonzero(~first) - 1]
+    return _sweep(leaf["lo"][order], path[order], trees)
+
+
+def _sweep(lo: np.ndarray, path: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """``merge`` of leaves that come tree by tree from left to right."""
+    step = path.copy()
+    inner = np.flatnonzero(~np.isneginf(lo))
+    step[inner] -= path[inner - 1]
     points, at = np.unique(lo, return_inverse=True)
     return points, np.cumsum(np.bincount(at, step, len(points))) / trees
 
 
-LISTS = "hi array<double>, node array<int>, size array<int>"      # the leaves of a series, tree by tree from left to right
+LISTS = "depth array<tinyint>, size array<int>"      # the leaves of a series, tree by tree from left to right
+
 
+def _lists(values: np.ndarray, lengths) -> pa.Array:
+    """An Arrow list column from its values one after another."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), pa.array(values))
 
-def _lists(columns: list[list[np.ndarray]]) -> list[pa.Array]:
-    """One Arrow list column for each list of arrays."""
-    return [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), np.concatenate(c)) for c in columns]
 
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The lists of an Arrow column."""
+    return np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1]) if len(column) else []
 
-def _leaves_of(hi: np.ndarray, node: np.ndarray, size: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Leaves (tree, node, lo, hi) and path lengths from the lists of a series: a leaf begins where the one before ends."""
-    ends = np.isposinf(hi)
-    tree = np.cumsum(ends) - ends
-    lo = np.where(np.concatenate([[True], ends[:-1]]), -np.inf, np.concatenate([[-np.inf], hi[:-1]]))
-    depth = np.frexp(node.astype(float))[1] - 1
-    return {"tree": tree, "node": node, "lo": lo, "hi": hi}, depth + path_length_np(size)
 
+LEAVES_AT_ONCE = 1 << 16        # sampled values, or leaves, of the series that are worked on together
 
-def _steps(hi, node, size, n_trees: int) -> tuple[np.ndarray, np.ndarray]:
-    """The merged step function of a series."""
-    return merge(*_leaves_of(hi, node, size), n_trees)
+
+def _parts(b: pa.RecordBatch, weights: np.ndarray):
+    """Slices of a batch of at most ``LEAVES_AT_ONCE`` by weight, or of one row."""
+    group = np.cumsum(weights) // LEAVES_AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), b.num_rows]
+    return [b.slice(i, j - i) for i, j in zip(cuts, cuts[1:]) if j > i]
+
+
+def _samples(names, xs, seed, max_samples, n_trees) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted samples of all trees of the given series, where each begins, and the trees' seeds."""
+    seeds = [tree_seeds(n, s, name) for s, name, n in zip(seed, names, n_trees)]
+    drawn = [np.tile(np.sort(x), (len(t), 1)) if len(x) <= m else np.sort(x[draw_positions(len(x), m, t)], axis=1)
+             for x, m, t in zip(xs, max_samples, seeds)]
+    sizes = np.repeat([d.shape[1] for d in drawn], [len(d) for d in drawn])
+    return np.concatenate([d.ravel() for d in drawn]), np.cumsum([0, *sizes]), np.concatenate(seeds)
 
 
 def decision(points: np.ndarray, mean: np.ndarray, x: np.ndarray, c_psi: float) -> np.ndarray:
@@ -168,43 +223,39 @@ def decision(points: np.ndarray, mean: np.ndarray, x: np.ndarray, c_psi: float)
     return 0.5 - np.power(2.0, -(path / c_psi if c_psi else np.ones(len(x))))
 
 
-SERIES_AT_ONCE = 128        # series of an output batch
-
-
 def _model_batches(n_trees: int, max_samples: int, seed: int, sigmas: float):
     """One row per series: its leaves as lists, the scores of its training rows and their statistics."""
-    def row(name, x):
-        seeds = np.array([tree_seed_of(seed, name, i) for i in range(n_trees)], np.int64)
-        leaf = grow(np.sort(x[draw_positions(len(x), max_samples, seeds)], axis=1), seeds)
-        order = np.lexsort((leaf["lo"], leaf["tree"]))
-        lists = leaf["hi"][order], leaf["node"][order].astype(np.int32), leaf["size"][order].astype(np.int32)
+    def stats(x, lo, path):
         psi = min(len(x), max_samples)
         c_psi = float(path_length_np(np.array([psi]))[0])
-        score = decision(*_steps(*lists, n_trees), x, c_psi)
+        score = decision(*_sweep(lo, path, n_trees), x, c_psi)
         mean, std = float(score.mean()), float(score.std(ddof=1)) if len(x) > 1 else None
-        return (psi, c_psi, mean, std, None if std is None else mean - sigmas * std), (*lists, score)
+        return score, (psi, c_psi, mean, std, None if std is None else mean - sigmas * std)
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, SERIES_AT_ONCE):
-                part = b.slice(at, SERIES_AT_ONCE)
-                got = [row(name, xs.values.to_numpy()) for name, xs in zip(part.column(0).to_pylist(), part.column(2))]
-                if not got:
-                    continue
-                plain = [pa.array(c, t) for c, t in zip(zip(*[g[0] for g in got]), (pa.int64(), *[pa.float64()] * 4))]
+            for part in _parts(b, np.minimum(b.column(2).value_lengths().to_numpy(), max_samples) * n_trees):
+                xs, n = _arrays(part.column(2)), part.num_rows
+                x, bounds, seeds = _samples(part.column(0).to_pylist(), xs, [seed] * n, [max_samples] * n, [n_trees] * n)
+                leaf = grow(x, bounds, seeds)
+                path = path_lengths(leaf)
+                ends = np.searchsorted(leaf["tree"], np.arange(n + 1) * n_trees)
+                got = [stats(x, leaf["lo"][i:j], path[i:j]) for x, i, j in zip(xs, ends, ends[1:])]
+                plain = [pa.array(c, t) for c, t in zip(zip(*[g[1] for g in got]), (pa.int64(), *[pa.float64()] * 4))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *plain, *_lists([list(c) for c in zip(*[g[1] for g in got])])],
-                    names=["key", "training", "psi", "c_psi", "score_mean", "score_std", "threshold", "hi", "node", "size", "score"])
+                    [part.column(0), part.column(1), *plain, *[_lists(leaf[c].astype(t), np.diff(ends)) for c, t in (("depth", np.int8), ("size", np.int32))],
+                     _lists(np.concatenate([g[0] for g in got]), [len(x) for x in xs])],
+                    names=["key", "training", "psi", "c_psi", "score_mean", "score_std", "threshold", "depth", "size", "score"])
     return run
 
 
 def grow_models(rows: DataFrame, key: str = "warehouse_name", date_col: str = "usage_date", value: str = "residual",
                 n_trees: int = 100, max_samples: int = 256, seed: int = 0, sigmas: float = 3.0) -> DataFrame:
-    """One row per ``key``: leaves (``hi``, ``node``, ``size``), training rows, their scores and the threshold.
+    """One row per ``key``: leaves (``depth``, ``size``), training rows, their scores and the threshold.
 
     The rows of a series are one array (one shuffle), bounded by the days kept.
-    A leaf is its upper end, node id and sampled rows; everything else about it
-    follows from these.
+    A leaf is its depth and its number of sampled rows; everything else about
+    it follows from these, the training rows and the seed (see ``unfold``).
     """
     names = [c for c in rows.columns if c != key]
     x = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
@@ -215,36 +266,53 @@ def grow_models(rows: DataFrame, key: str = "warehouse_name", date_col: str = "u
     model = series.mapInArrow(_model_batches(n_trees, max_samples, seed, sigmas),
                               f"key string, training {kind}, psi long, c_psi double, score_mean double, score_std double, "
                               f"threshold double, {LISTS}, score array<double>")
-    return model.withColumnRenamed("key", key).withColumn("n_trees", F.lit(n_trees))
+    return model.withColumnRenamed("key", key).withColumns({
+        "n_trees": F.lit(n_trees), "max_samples": F.lit(max_samples), "seed": F.lit(seed).cast("long")})
+
+
+def _stored(value: str) -> list[Column]:
+    """What the leaves of a stored model are read from (see ``_trees``)."""
+    return [F.col("seed"), F.col("max_samples"), F.col("n_trees"), F.col("depth"), F.col("size"),
+            F.transform("training", lambda r: F.coalesce(r[value].cast("double"), F.lit(0.0))).alias("xs")]
 
 
-def leaves(models: DataFrame, key: str = "warehouse_name") -> DataFrame:
+def _trees(b: pa.RecordBatch, at: int):
+    """For slices of a batch with the key first and the columns of ``_stored`` from ``at`` on: (slice, leaves, path lengths,
+    where the leaves of each row end)."""
+    for part in _parts(b, b.column(at + 3).value_lengths().to_numpy()):
+        seed, max_samples, n_trees, depth, size, xs = part.columns[at:at + 6]
+        x, _, seeds = _samples(part.column(0).to_pylist(), _arrays(xs), *[c.to_pylist() for c in (seed, max_samples, n_trees)])
+        leaf = unfold(depth.flatten().to_numpy(), size.flatten().to_numpy(), x, seeds)
+        yield part, leaf, path_lengths(leaf), np.cumsum([0, *depth.value_lengths().to_numpy()])
+
+
+def leaves(models: DataFrame, key: str = "warehouse_name", value: str = "residual") -> DataFrame:
     """One row per leaf of the models."""
     def run(batches):
         for b in batches:
-            for name, version, *lists in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *b.columns[2:]):
-                hi, node, size = (c.values.to_numpy() for c in lists)
-                leaf, path = _leaves_of(hi, node, size)
-                n = len(hi)
+            for part, leaf, path, ends in _trees(b, 2):
+                row = np.repeat(np.arange(part.num_rows), np.diff(ends))
+                tree = leaf["tree"] - leaf["tree"][ends[:-1]][row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * n, pa.string()), pa.array(leaf["tree"], pa.int32()), pa.array(node), pa.array(leaf["lo"]),
-                     pa.array(hi), pa.array(path), pa.array([version] * n, pa.int64())],
+                    [part.column(0).take(pa.array(row)), pa.array(tree, pa.int32()), pa.array(leaf["node"], pa.int32()),
+                     *[pa.array(v) for v in (leaf["lo"], leaf["hi"], path)], part.column(1).take(pa.array(row))],
                     names=[key, "tree_id", "node", "lo", "hi", "path_len", "model_version"])
-    return models.select(key, F.col("model_version").cast("long"), "hi", "node", "size").mapInArrow(
+    return models.select(key, F.col("model_version").cast("long"), *_stored(value)).mapInArrow(
         run, f"`{key}` string, tree_id int, node int, lo double, hi double, path_len double, model_version long")
 
 
-def segments(models: DataFrame, key: str = "warehouse_name") -> DataFrame:
+def segments(models: DataFrame, key: str = "warehouse_name", value: str = "residual") -> DataFrame:
     """One row per segment of the merged step functions of the models."""
     def run(batches):
         for b in batches:
-            for name, version, n_trees, *lists in zip(*[b.column(i).to_pylist() for i in range(3)], *b.columns[3:]):
-                points, mean = _steps(*(c.values.to_numpy() for c in lists), n_trees)
-                n = len(points)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * n, pa.string()), pa.array([version] * n, pa.int64()), pa.array(points), pa.array(mean)],
-                    names=[key, "model_version", "lo", "mean_path"])
-    return models.select(key, F.col("model_version").cast("long"), "n_trees", "hi", "node", "size").mapInArrow(
+            for part, leaf, path, ends in _trees(b, 2):
+                for r, (i, j, n_trees) in enumerate(zip(ends, ends[1:], part.column(4).to_pylist())):
+                    points, mean = _sweep(leaf["lo"][i:j], path[i:j], n_trees)
+                    of = pa.array(np.full(len(points), r))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(of), part.column(1).take(of), pa.array(points), pa.array(mean)],
+                        names=[key, "model_version", "lo", "mean_path"])
+    return models.select(key, F.col("model_version").cast("long"), *_stored(value)).mapInArrow(
         run, f"`{key}` string, model_version long, lo double, mean_path double")
 
 
@@ -273,7 +341,7 @@ def fit_forest(rows: DataFrame, key: str = "warehouse_name", date_col: str = "us
     if materialize:
         models = write_stage(models, "forest_model")
     models = models.withColumn("model_version", version if isinstance(version, Column) else F.lit(version))
-    return Forest(leaves=leaves(models, key), segments=segments(models, key), meta=meta(models, key),
+    return Forest(leaves=leaves(models, key, value), segments=segments(models, key, value), meta=meta(models, key),
                   scores=training_scores(models, key))
 
 
@@ -335,16 +403,13 @@ def train_forest(features: DataFrame, before, n_trees: int = 100, max_samples: i
                       sigmas=sigmas, version=version)
 
 
-def _scored(n_in: int):
-    def run(batches):
-        for b in batches:
-            cols, scores = list(b.columns), []
-            for c_psi, n_trees, xs, *lists in zip(cols[n_in - 6].to_pylist(), cols[n_in - 5].to_pylist(), *cols[n_in - 4:]):
-                points, mean = _steps(*(c.values.to_numpy() for c in lists), n_trees)
-                scores.append(decision(points, mean, xs.values.to_numpy(), c_psi))
-            if scores:
-                yield pa.RecordBatch.from_arrays([*cols[:n_in - 6], *_lists([scores])], names=["key", "threshold", "rows", "score"])
-    return run
+def _scored(batches):
+    for b in batches:
+        for part, leaf, path, ends in _trees(b, 5):
+            c_psi, n_trees, xs = part.column(3).to_pylist(), part.column(7).to_pylist(), _arrays(part.column(4))
+            scores = [decision(*_sweep(leaf["lo"][i:j], path[i:j], n), x, c) for i, j, n, x, c in zip(ends, ends[1:], n_trees, xs, c_psi)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], _lists(np.concatenate(scores), map(len, xs))],
+                                             names=["key", "threshold", "rows", "score"])
 
 
 def score_models(rows: DataFrame, models: DataFrame, key: str = "warehouse_name", value: str = "residual") -> DataFrame:
@@ -357,12 +422,12 @@ def score_models(rows: DataFrame, models: DataFrame, key: str = "warehouse_name"
     names = [c for c in rows.columns if c != key]
     x = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
     series = rows.groupBy(key).agg(F.collect_list(F.struct(F.struct(*names).alias("r"), x.alias("x"))).alias("s")).join(top, [key])
-    models = models.where(F.col("model_version").isin(versions)).select(key, "model_version", "threshold", "c_psi", "n_trees", "hi", "node", "size")
+    models = models.where(F.col("model_version").isin(versions)).select(key, "model_version", "threshold", "c_psi", *_stored(value))
     met = series.join(models, [key, "model_version"]).select(
-        F.col(key).alias("key"), "threshold", F.transform("s", lambda s: s["r"]).alias("rows"), "c_psi", "n_trees",
-        F.transform("s", lambda s: s["x"]).alias("xs"), "hi", "node", "size")
+        F.col(key).alias("key"), "threshold", F.transform("s", lambda s: s["r"]).alias("rows"), "c_psi",
+        F.transform("s", lambda s: s["x"]).alias("values"), "seed", "max_samples", "n_trees", "depth", "size", "xs")
     kind = met.schema["rows"].dataType.simpleString()
-    out = met.mapInArrow(_scored(len(met.columns)), f"key string, threshold double, rows {kind}, score array<double>")
+    out = met.mapInArrow(_scored, f"key string, threshold double, rows {kind}, score array<double>")
     out = out.select("key", "threshold", F.explode(F.arrays_zip("rows", "score")).alias("_t"))
     return out.select(F.col("key").alias(key), *[F.col(f"_t.rows.{c}").alias(c) for c in names], "threshold", F.col("_t.score").alias("score"))
 

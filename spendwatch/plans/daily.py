@@ -31,8 +31,8 @@ MODEL_FORESTS = T.StructType([
     T.StructField("n_trees", T.IntegerType()), T.StructField("psi", T.LongType()),
     T.StructField("c_psi", T.DoubleType()), T.StructField("score_mean", T.DoubleType()),
     T.StructField("score_std", T.DoubleType()), T.StructField("threshold", T.DoubleType()),
-    T.StructField("hi", T.ArrayType(T.DoubleType())), T.StructField("node", T.ArrayType(T.IntegerType())),
-    T.StructField("size", T.ArrayType(T.IntegerType())), T.StructField("training", T.ArrayType(_TRAINING)),
+    T.StructField("max_samples", T.IntegerType()), T.StructField("seed", T.LongType()),
+    T.StructField("depth", T.ArrayType(T.ByteType())), T.StructField("size", T.ArrayType(T.IntegerType())), T.StructField("training", T.ArrayType(_TRAINING)),
     T.StructField("score", T.ArrayType(T.DoubleType()))])
 
 FORESTS = "forests"

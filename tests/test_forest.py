@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from spendwatch.functions.seeds import tree_seed_of
+from spendwatch.functions.seeds import tree_seed_of, tree_seeds
 from spendwatch.operators import forest
 from spendwatch.sources import tables
 
@@ -216,3 +216,31 @@ def test_models_are_one_row_and_score_as_their_segments(spark):
     both = models.unionByName(models.where("warehouse_name = 'A'").withColumn("model_version", F.lit(2)).withColumn("threshold", F.lit(9.0)))
     found = {r.warehouse_name: r.threshold for r in forest.score_models(df, both).collect()}
     assert found["A"] == 9.0 and found["B"] < 9.0 and forest.score_models(df, both).count() == 90
+
+
+def test_many_series_grow_at_once_and_unfold_from_two_numbers_a_leaf(monkeypatch):
+    """The series of a batch grow in one pass, and what is stored of a leaf (depth, size) gives it back bit for bit."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    xs = [rng.normal(0, 1, n) for n in (1, 2, 3, 23, 255, 256, 257, 700)] + [np.zeros(9), np.r_[np.ones(5), np.zeros(4)]]
+    names = [f"w{i}" for i in range(len(xs) - 1)] + [None]
+    calls, grown, grow = [], [], forest.grow
+    assert all(tree_seeds(12, s, w).tolist() == [tree_seed_of(s, w, i) for i in range(12)] for s in (0, 7, None) for w in ("é", "a|b", None))
+    monkeypatch.setattr(forest, "LEAVES_AT_ONCE", 1 << 19)
+    monkeypatch.setattr(forest, "grow", lambda *a: calls.append(a) or grown.append(grow(*a)) or grown[-1])
+    b = pa.RecordBatch.from_arrays([pa.array(names), pa.array([[0]] * len(xs)), pa.array([list(x) for x in xs])], names=["key", "training", "xs"])
+    out = list(forest._model_batches(10, 256, 0, 3.0)([b]))
+    assert len(calls) == 1 and sum(o.num_rows for o in out) == len(xs)
+    depth, size = (np.concatenate([o.column(c).flatten().to_numpy() for o in out]) for c in ("depth", "size"))
+    x, bounds, seeds = calls[0]
+    back = forest.unfold(depth, size, x, seeds)
+    assert all((back[c] == grown[0][c]).all() for c in ("tree", "node", "lo", "hi", "depth", "size")) and len(depth) > 500
+    # each series alone gives the same leaves
+    for i in (3, 7):
+        one = list(forest._model_batches(10, 256, 0, 3.0)([b.slice(i, 1)]))[0]
+        assert one.column("depth").to_pylist() == out[0].slice(i, 1).column("depth").to_pylist()
+        assert one.column("score").to_pylist() == out[0].slice(i, 1).column("score").to_pylist()
+    # parts of a batch are cut by the weight of their series
+    monkeypatch.setattr(forest, "LEAVES_AT_ONCE", 3000)
+    again = list(forest._model_batches(10, 256, 0, 3.0)([b]))
+    assert len(again) > 1 and [r for o in again for r in o.column("score").to_pylist()] == out[0].column("score").to_pylist()
