@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values that must equal the vendor's / library's for right results.
@@ -57,3 +57,12 @@ def week_ending_sunday(d: Column) -> Column:
 def round6(c: Column) -> Column:
     """Floats are compared at 6 decimals between engines."""
     return F.round(c.cast("double"), 6)
+
+
+def dealt_by(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by ``key`` to the session's shuffle partitions, which stay as they are.
+
+    For work that is heavy per row: partitions coalesced by their bytes to a few tasks more than there are cores run
+    in a second wave, while most cores wait.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

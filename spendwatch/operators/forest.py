@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import EULER_GAMMA, lit_date
+from ..functions.columns import EULER_GAMMA, dealt_by, lit_date
 from ..functions.seeds import mix_uniform_np, tree_seeds
 from ..sources.tables import materialize as write_stage
 from .decompose import fill_series_gaps
@@ -393,7 +393,7 @@ def training_anomalies(scores: DataFrame, key: str = "warehouse_name", credits:
 def training_rows(features: DataFrame, before, key: str = "warehouse_name") -> DataFrame:
     """Rows before ``before`` of every warehouse; days that are missing inside a series are rows of 0, as a daily
     frequency gives them (M1)."""
-    return fill_series_gaps(features.where(F.col("usage_date") < lit_date(before)), key, "usage_date", "credits_used", "residual")
+    return fill_series_gaps(dealt_by(features.where(F.col("usage_date") < lit_date(before)), key), key, "usage_date", "credits_used", "residual")
 
 
 def train_forest(features: DataFrame, before, n_trees: int = 100, max_samples: int = 256, seed: int = 0,

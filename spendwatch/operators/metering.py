@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.columns import in_day, lit_date, week_ending_sunday
+from ..functions.columns import dealt_by, in_day, lit_date, week_ending_sunday
 from .calendar import date_bounds, dense_grid
 
 MEASURES = ("credits_used", "credits_used_compute", "credits_used_cloud_services")
@@ -61,7 +61,7 @@ def metering_metrics(raw: DataFrame, calendar: DataFrame, ds) -> DataFrame:
         stats.append(F.avg(m).over(w).cast(schemas.SMA).alias(f"{m}_sma30"))
     for m in MEASURES:
         stats.append(F.stddev_samp(m).over(w).alias(f"{m}_std30"))
-    return daily.select("warehouse_name", "usage_date", *MEASURES, *stats)
+    return dealt_by(daily, "warehouse_name").select("warehouse_name", "usage_date", *MEASURES, *stats)
 
 
 def usage_by_year_long(metering: DataFrame, value: str = "credits_used") -> DataFrame:

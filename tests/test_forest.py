@@ -244,3 +244,16 @@ def test_many_series_grow_at_once_and_unfold_from_two_numbers_a_leaf(monkeypatch
     monkeypatch.setattr(forest, "LEAVES_AT_ONCE", 3000)
     again = list(forest._model_batches(10, 256, 0, 3.0)([b]))
     assert len(again) > 1 and [r for o in again for r in o.column("score").to_pylist()] == out[0].column("score").to_pylist()
+
+
+def test_training_and_statistics_stay_spread_over_all_tasks(spark):
+    """Work that is heavy per row is not packed into as many tasks as its few bytes fill, and moves no more often for it."""
+    from spendwatch.operators import calendar, metering
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = [(f"W{w}", D(2024, 1, 1) + dt.timedelta(days=i), float(i), float(i)) for w in range(9) for i in range(5)]
+    df = spark.createDataFrame(rows, "warehouse_name string, usage_date date, residual double, credits_used double")
+    grown = forest.grow_models(forest.training_rows(df, "2024-02-01"), n_trees=2)
+    assert n > 1 and grown.rdd.getNumPartitions() == n and grown.count() == 9
+    assert grown._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+    raw = df.select("warehouse_name", "usage_date", *[F.col("credits_used").cast("decimal(38,9)").alias(m) for m in metering.MEASURES])
+    assert metering.metering_metrics(raw, calendar.build_calendar(spark, "2024-01-01", 5), "2024-01-05").rdd.getNumPartitions() == n
