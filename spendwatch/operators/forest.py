@@ -423,7 +423,8 @@ def score_models(rows: DataFrame, models: DataFrame, key: str = "warehouse_name"
     x = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
     series = rows.groupBy(key).agg(F.collect_list(F.struct(F.struct(*names).alias("r"), x.alias("x"))).alias("s")).join(top, [key])
     models = models.where(F.col("model_version").isin(versions)).select(key, "model_version", "threshold", "c_psi", *_stored(value))
-    met = series.join(models, [key, "model_version"]).select(
+    # merged: a model is many times its file's bytes in memory, and none is sent to the driver and to every executor
+    met = series.join(models.hint("merge"), [key, "model_version"]).select(
         F.col(key).alias("key"), "threshold", F.transform("s", lambda s: s["r"]).alias("rows"), "c_psi",
         F.transform("s", lambda s: s["x"]).alias("values"), "seed", "max_samples", "n_trees", "depth", "size", "xs")
     kind = met.schema["rows"].dataType.simpleString()

@@ -257,3 +257,13 @@ def test_training_and_statistics_stay_spread_over_all_tasks(spark):
     assert grown._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
     raw = df.select("warehouse_name", "usage_date", *[F.col("credits_used").cast("decimal(38,9)").alias(m) for m in metering.MEASURES])
     assert metering.metering_metrics(raw, calendar.build_calendar(spark, "2024-01-01", 5), "2024-01-05").rdd.getNumPartitions() == n
+
+
+def test_models_are_never_broadcast(spark, tmp_path):
+    rows = [(w, D(2024, 1, 1) + dt.timedelta(days=i), float(i * 7 % 23), float(i)) for w in "AB" for i in range(30)]
+    df = spark.createDataFrame(rows, "warehouse_name string, usage_date date, residual double, credits_used double")
+    forest.grow_models(df, n_trees=3).withColumn("model_version", F.lit(1)).write.parquet(f"{tmp_path}/m")
+    got = forest.score_models(df, spark.read.parquet(f"{tmp_path}/m"))
+    assert got.count() == 60
+    met = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in met
