@@ -38,6 +38,7 @@ the reference's library fit is unseeded, so its scores match in distribution.
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -403,9 +404,28 @@ def train_forest(features: DataFrame, before, n_trees: int = 100, max_samples: i
                       sigmas=sigmas, version=version)
 
 
+def _packed(batches):
+    """Models with their leaves as one compressed column: lists of small numbers are several times that in a shuffle."""
+    for b in batches:
+        leaf = [zlib.compress(d.tobytes() + s.astype("<i4").tobytes(), 1) for d, s in zip(*map(_arrays, b.columns[7:9]))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(leaf, pa.binary()), b.column(9)],
+                                         names=["key", "model_version", "threshold", "c_psi", "seed", "max_samples", "n_trees", "leaf", "xs"])
+
+
+def _unpacked(b: pa.RecordBatch, at: int) -> pa.RecordBatch:
+    """The column ``at`` of ``_packed`` as the lists it was made of (5 bytes a leaf)."""
+    leaf = [zlib.decompress(v.as_py()) for v in b.column(at)]
+    lists = [_lists(np.concatenate([np.frombuffer(v, t, *part) for v, part in zip(leaf, parts)]), [len(v) // 5 for v in leaf])
+             for t, parts in (("i1", [(len(v) // 5,) for v in leaf]), ("<i4", [(-1, len(v) // 5) for v in leaf]))]
+    columns = [*b.columns[:at], *lists, *b.columns[at + 1:]]
+    return pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
+
+
 def _scored(batches):
     for b in batches:
-        for part, leaf, path, ends in _trees(b, 5):
+        if not b.num_rows:
+            continue
+        for part, leaf, path, ends in _trees(_unpacked(b, 8), 5):
             c_psi, n_trees, xs = part.column(3).to_pylist(), part.column(7).to_pylist(), _arrays(part.column(4))
             scores = [decision(*_sweep(leaf["lo"][i:j], path[i:j], n), x, c) for i, j, n, x, c in zip(ends, ends[1:], n_trees, xs, c_psi)]
             yield pa.RecordBatch.from_arrays([*part.columns[:3], _lists(np.concatenate(scores), map(len, xs))],
@@ -422,11 +442,15 @@ def score_models(rows: DataFrame, models: DataFrame, key: str = "warehouse_name"
     names = [c for c in rows.columns if c != key]
     x = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
     series = rows.groupBy(key).agg(F.collect_list(F.struct(F.struct(*names).alias("r"), x.alias("x"))).alias("s")).join(top, [key])
-    models = models.where(F.col("model_version").isin(versions)).select(key, "model_version", "threshold", "c_psi", *_stored(value))
+    kind = models.schema[key].dataType.simpleString()
+    models = models.where(F.col("model_version").isin(versions)).select(
+        key, F.col("model_version").cast("long"), "threshold", "c_psi", "seed", F.col("max_samples").cast("int"), F.col("n_trees").cast("int"),
+        *_stored(value)[3:]).mapInArrow(_packed, f"`{key}` {kind}, model_version long, threshold double, c_psi double, "
+                                        "seed long, max_samples int, n_trees int, leaf binary, xs array<double>")
     # merged: a model is many times its file's bytes in memory, and none is sent to the driver and to every executor
     met = series.join(models.hint("merge"), [key, "model_version"]).select(
         F.col(key).alias("key"), "threshold", F.transform("s", lambda s: s["r"]).alias("rows"), "c_psi",
-        F.transform("s", lambda s: s["x"]).alias("values"), "seed", "max_samples", "n_trees", "depth", "size", "xs")
+        F.transform("s", lambda s: s["x"]).alias("values"), "seed", "max_samples", "n_trees", "leaf", "xs")
     kind = met.schema["rows"].dataType.simpleString()
     out = met.mapInArrow(_scored, f"key string, threshold double, rows {kind}, score array<double>")
     out = out.select("key", "threshold", F.explode(F.arrays_zip("rows", "score")).alias("_t"))

@@ -267,3 +267,21 @@ def test_models_are_never_broadcast(spark, tmp_path):
     assert got.count() == 60
     met = got._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in met
+
+
+def test_leaves_are_shuffled_as_one_small_column(spark):
+    """Models meet the rows with their leaves packed, and the packing gives them back."""
+    import pyarrow as pa
+    xs = [np.arange(40.0), np.array([3.0]), np.random.default_rng(1).normal(0, 1, 700)]
+    b = pa.RecordBatch.from_arrays([pa.array(["a", "b", None]), pa.array([[0]] * 3), pa.array([list(x) for x in xs])], names=["key", "training", "xs"])
+    depth, size = (pa.concat_arrays([o.column(c) for o in forest._model_batches(100, 256, 0, 3.0)([b])]) for c in ("depth", "size"))
+    one = pa.array([1, 1, 1])
+    m = pa.RecordBatch.from_arrays([b.column(0), *[one] * 6, depth, size, b.column(2)], names=[str(i) for i in range(10)])
+    packed = next(forest._packed([m]))
+    back = forest._unpacked(packed, 7)
+    assert back.column(7).equals(depth) and back.column(8).equals(size) and back.column(9).equals(b.column(2))
+    assert packed.column(7).nbytes * 3 < depth.nbytes + size.nbytes
+    rows = [(w, D(2024, 1, 1) + dt.timedelta(days=i), float(i * 7 % 23), float(i)) for w in "AB" for i in range(30)]
+    df = spark.createDataFrame(rows, "warehouse_name string, usage_date date, residual double, credits_used double")
+    got = forest.score_models(df, forest.grow_models(df, n_trees=3).withColumn("model_version", F.lit(1)))
+    assert "leaf" in got._jdf.queryExecution().optimizedPlan().toString() and got.count() == 60
