@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import lit_date
@@ -43,6 +43,23 @@ def dense_grid(keys: DataFrame, key: str, first: Column, last: Column, date_col:
     return keys.select(key, F.explode(F.sequence(first, last)).alias(date_col))
 
 
+def fill_days(df: DataFrame, key: str, date_col: str, first: Column, last: Column, *values: str) -> DataFrame:
+    """Every day in [first, last] of every key, with 0 in every value where a day is missing.
+
+    ``df`` has at most one row per key and day, and only days in [first, last];
+    a row without a day stands for its key alone.  Each row emits itself and
+    the missing days up to its successor, the first of a key also those before
+    it: one window on the key and no row of the grid is shuffled.
+    """
+    w = Window.partitionBy(key).orderBy(F.col(date_col).asc_nulls_first())
+    start = F.when(F.row_number().over(w) == 1, first).otherwise(F.col(date_col))
+    end = F.coalesce(F.date_sub(F.lead(date_col).over(w), 1), last)
+    spans = df.select(key, date_col, *values, start.alias("_start"), end.alias("_end")).where("_start <= _end")
+    days = spans.select(key, date_col, *values, F.explode(F.sequence("_start", "_end")).alias("_d"))
+    return days.select(key, F.col("_d").alias(date_col), *[
+        F.when(F.col("_d") == F.col(date_col), F.col(v)).otherwise(F.lit(0).cast(df.schema[v].dataType)).alias(v) for v in values])
+
+
 def date_bounds(df: DataFrame, col: str):
     """(first, last) value of ``col``: two scalars fetched in one small job.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import dealt_by, in_day, lit_date, week_ending_sunday
-from .calendar import date_bounds, dense_grid
+from .calendar import date_bounds, fill_days
 
 MEASURES = ("credits_used", "credits_used_compute", "credits_used_cloud_services")
 
@@ -36,32 +36,29 @@ def metering_metrics(raw: DataFrame, calendar: DataFrame, ds) -> DataFrame:
     """Dense warehouse x day matrix up to ``ds``, zero filled, with 30-row SMA and STD.
 
     Plan: the first and last calendar day up to ``ds`` are fetched as two
-    literals (they prune the raw scan); the grid (named warehouses x those
-    days) is generated per warehouse with ``sequence``; the raw rows of those days are unioned with
-    zero rows and summed once (partial aggregation before the shuffle, so a
-    warehouse with a third of the rows is pre-reduced map-side); the six
-    moving statistics share one window spec, hence one sort.  Each window
+    literals; the raw rows are summed by day (partial aggregation before the
+    shuffle, so a warehouse with a third of the rows is pre-reduced map-side),
+    those of other days to one row of 0 without a day, which keeps their
+    warehouse.  Only these sums are shuffled: the missing days are generated
+    after they are dealt by warehouse (``fill_days``), so no row of the grid
+    moves.  The six moving statistics share one window spec.  Each window
     partition holds one warehouse's days, bounded by the calendar length.
     """
     lo, hi = date_bounds(calendar.where(F.col("usage_date") <= lit_date(ds)), "usage_date")
     lo, hi = lit_date(lo), lit_date(hi)
     named = raw.where(F.col("warehouse_name").isNotNull())
-    keys = named.select("warehouse_name").distinct()
+    within = F.col("usage_date").between(lo, hi)
     zero = F.lit(0).cast(schemas.CREDITS)
-    grid = dense_grid(keys, "warehouse_name", lo, hi).select(
-        "warehouse_name", "usage_date", *[zero.alias(m) for m in MEASURES])
-    facts = named.where(F.col("usage_date").between(lo, hi)).select(
-        "warehouse_name", "usage_date", *MEASURES)
-    daily = (grid.unionByName(facts)
-             .groupBy("warehouse_name", "usage_date")
-             .agg(*[F.coalesce(F.sum(m), zero).alias(m) for m in MEASURES]))
+    sums = (named.groupBy("warehouse_name", F.when(within, F.col("usage_date")).alias("usage_date"))
+            .agg(*[F.coalesce(F.sum(F.when(within, F.col(m))), zero).alias(m) for m in MEASURES]))
+    daily = fill_days(dealt_by(sums, "warehouse_name"), "warehouse_name", "usage_date", lo, hi, *MEASURES)
     w = Window.partitionBy("warehouse_name").orderBy("usage_date").rowsBetween(-29, 0)
     stats = []
     for m in MEASURES:
         stats.append(F.avg(m).over(w).cast(schemas.SMA).alias(f"{m}_sma30"))
     for m in MEASURES:
         stats.append(F.stddev_samp(m).over(w).alias(f"{m}_std30"))
-    return dealt_by(daily, "warehouse_name").select("warehouse_name", "usage_date", *MEASURES, *stats)
+    return daily.select("warehouse_name", "usage_date", *MEASURES, *stats)
 
 
 def usage_by_year_long(metering: DataFrame, value: str = "credits_used") -> DataFrame:

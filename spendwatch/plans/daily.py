@@ -132,11 +132,9 @@ def run_preparation(spark: SparkSession, t: Tables, start, ds) -> DataFrame:
     tables.replace_table(metering.metering_metrics(raw, cal, ds), t.metrics_warehouse_metering_history,
                          schemas.METERING_METRICS)
     metrics = table(spark, t, "metrics_warehouse_metering_history")
-    # staged once: if no series could be decomposed the feature table is left
-    # as it is (the emptiness check reads the small staged result)
-    feats = tables.materialize(decompose.seasonal_features(metrics, ds), "features")
-    if not feats.isEmpty():
-        tables.replace_table(feats, t.feature_metering_seasonal_decompose, schemas.SEASONAL_FEATURES)
+    # if no series could be decomposed the feature table is left as it is
+    tables.replace_table(decompose.seasonal_features(metrics, ds), t.feature_metering_seasonal_decompose,
+                         schemas.SEASONAL_FEATURES, unless_empty=True)
     return decompose.skipped_series(metrics, ds)
 
 

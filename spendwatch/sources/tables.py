@@ -110,9 +110,12 @@ def is_loaded(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(p))
 
 
-def overwrite_folder(df: DataFrame, target: str) -> None:
+def overwrite_folder(df: DataFrame, target: str, unless_empty: bool = False) -> bool:
     """Replace one folder by the rows of ``df``: write beside, switch, drop the old.
 
+    With ``unless_empty`` the folder stays as it is, and False is returned, if
+    ``df`` has no rows; the new files tell, so ``df`` is computed and written once.
+
     The new files are complete before the old folder moves away, so a failed
     write leaves the folder as it was, writers of other folders share nothing
     with it, and readers miss it only between two renames.  (Spark's own
@@ -126,10 +129,14 @@ def overwrite_folder(df: DataFrame, target: str) -> None:
     fs, p = _fs(spark, target)
     new, old = _fs(spark, beside)[1], _fs(spark, aside)[1]
     try:
-        df.write.mode("overwrite").parquet(beside)
+        df.write.mode("overwrite").option("compression", manifest.COMPRESSION).parquet(beside)
+        stays = unless_empty and spark.read.schema(df.schema).parquet(beside).isEmpty()
     except Exception:
         fs.delete(new, True)
         raise
+    if stays:
+        fs.delete(new, True)
+        return False
     had = fs.exists(p)
     if had and not fs.rename(p, old):
         raise OSError(f"cannot move {target} away")
@@ -137,11 +144,13 @@ def overwrite_folder(df: DataFrame, target: str) -> None:
         raise OSError(f"cannot move the new rows to {target}")
     if had:
         fs.delete(old, True)
+    return True
 
 
-def replace_table(df: DataFrame, path: str, schema: T.StructType, optional: tuple[str, ...] = ()) -> None:
-    """CREATE OR REPLACE TABLE AS SELECT: cast to the declared schema, replace the folder."""
-    overwrite_folder(conform(df, schema, optional), path)
+def replace_table(df: DataFrame, path: str, schema: T.StructType, optional: tuple[str, ...] = (),
+                  unless_empty: bool = False) -> bool:
+    """CREATE OR REPLACE TABLE AS SELECT: cast to the declared schema, replace the folder (see ``overwrite_folder``)."""
+    return overwrite_folder(conform(df, schema, optional), path, unless_empty)
 
 
 def next_version(spark: SparkSession, path: str) -> int:
@@ -182,7 +191,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     if STAGE_PLANS is not None:
         STAGE_PLANS.append((name, df._jdf.queryExecution().executedPlan().toString()))
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", manifest.COMPRESSION).parquet(path)
     return spark.read.parquet(path)
 
 

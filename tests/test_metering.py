@@ -138,3 +138,18 @@ def test_calendar_default_span(spark):
     c = cal.build_calendar(spark, "2023-01-01")
     r = c.agg(F.count("*").alias("n"), F.min("usage_date").alias("a"), F.max("usage_date").alias("b")).first()
     assert (r.n, r.a, r.b) == (1826, D(2023, 1, 1), D(2023, 1, 1) + dt.timedelta(days=1825))
+
+
+def test_only_days_with_rows_are_shuffled_for_the_matrix(spark):
+    """The missing days are made after the shuffles, and a warehouse without a row up to the day is all zeros."""
+    raw = spark.createDataFrame(
+        [("A", D(2024, 1, 2), Decimal(2)), ("A", D(2024, 1, 2), Decimal(1)), ("A", D(2024, 1, 4), None), ("B", D(2024, 1, 1), Decimal(5)),
+         ("C", D(2024, 1, 9), Decimal(7)), ("C", None, Decimal(7)), ("D", D(2023, 1, 1), Decimal(7)), ("D", D(2024, 1, 5), Decimal(4)),
+         (None, D(2024, 1, 3), Decimal(9))], "warehouse_name string, usage_date date, credits_used decimal(38,9)")
+    raw = raw.select("*", *[F.col("credits_used").alias(m) for m in metering.MEASURES[1:]])
+    got = metering.metering_metrics(raw, cal.build_calendar(spark, "2024-01-01", 30), "2024-01-05")
+    rows = {w: [int(r.credits_used) for r in sorted(got.collect(), key=lambda r: r.usage_date) if r.warehouse_name == w] for w in "ABCD"}
+    assert rows == {"A": [0, 3, 0, 0, 0], "B": [5, 0, 0, 0, 0], "C": [0] * 5, "D": [0, 0, 0, 0, 4]} and got.count() == 20
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange") and "Union" not in plan
+    assert metering.metering_metrics(raw, cal.build_calendar(spark, "2024-01-01", 0), "2024-01-05").count() == 0

@@ -133,3 +133,16 @@ def test_streaming_reloads_touched_days(spark):
     want = metering.ingest_metering(src, "ACME")
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
+
+
+def test_features_are_written_once_and_stay_if_none_are_made(spark):
+    """The new files tell whether there are rows: nothing is staged, and an empty result leaves the table."""
+    import glob
+    from spendwatch.sources import tables
+    path = tables.scratch_path(spark, "once")
+    schema = spark.range(1).schema
+    assert tables.replace_table(spark.range(3), path, schema, unless_empty=True)
+    assert not tables.replace_table(spark.range(0), path, schema, unless_empty=True)
+    assert spark.read.parquet(path).count() == 3
+    assert glob.glob(f"{path.removeprefix('file:')}/*.zstd.parquet") and not glob.glob(f"{path.rpartition('/')[0].removeprefix('file:')}/_new-*-{path.rpartition('/')[2]}")
+    assert tables.replace_table(spark.range(0), path, schema) and spark.read.parquet(path).count() == 0
