@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -15,15 +16,15 @@ def tree_seed_of(*parts) -> int:
     return int(hashlib.md5("|".join(str(p) for p in parts if p is not None).encode()).hexdigest()[:7], 16)
 
 
+@functools.lru_cache(8)
+def _numerals(n: int) -> list[bytes]:
+    return [b"%d" % i for i in range(n)]
+
+
 def tree_seeds(n: int, *parts) -> np.ndarray:
-    """``tree_seed_of(*parts, i)`` for i in 0 .. n - 1; the parts are hashed once."""
-    start = hashlib.md5("".join(f"{p}|" for p in parts if p is not None).encode())
-    found = []
-    for i in range(n):
-        h = start.copy()
-        h.update(b"%d" % i)
-        found.append(h.digest()[:4])
-    return (np.frombuffer(b"".join(found), ">u4") >> 4).astype(np.int64)
+    """``tree_seed_of(*parts, i)`` for i in 0 .. n - 1."""
+    start, md5 = "".join(f"{p}|" for p in parts if p is not None).encode(), hashlib.md5
+    return (np.frombuffer(b"".join([md5(start + i).digest()[:4] for i in _numerals(n)]), ">u4") >> 4).astype(np.int64)
 
 
 def mix_uniform_np(seed: np.ndarray, node: np.ndarray) -> np.ndarray:

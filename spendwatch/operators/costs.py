@@ -12,6 +12,9 @@ from . import cost_sql
 from ..functions.columns import TB_BYTES, in_day, json_text, lit_date
 from ..sources.tables import materialize as write_stage
 
+RANK_BLOCK = 1 << 10        # divides the first row numbers of tasks, multiples of 2^33
+
+
 def _day_filter(df: DataFrame, ts: str, ds) -> DataFrame:
     return df if ds is None else df.where(in_day(ts, ds))
 
@@ -29,8 +32,11 @@ def rank_desc_nulls_first(df: DataFrame, keys: list[str], value: str, out: str)
     With the tasks' row counts as offsets each row knows its place among all;
     the first places of its key and of its value come from its own task or, for
     the first rows of a task, from one line per earlier task.  The rank is
-    their difference.  Only these narrow rows are sorted; the wide rows move
-    once, joined by their row number.
+    their difference.  Only these narrow rows are sorted.  The ranks of
+    ``RANK_BLOCK`` rows that were numbered together become one array, and the
+    wide rows move once, by block, to these arrays: rows that were written
+    together stay together, none is sorted, and no rank is sent to the driver
+    however small the files of the ranks are.
     """
     wide = write_stage(df.withColumn("_row", F.monotonically_increasing_id()), "rank_rows")
     order = [*[F.col(k) for k in keys], F.col(value).desc_nulls_first(), F.col("_row")]
@@ -58,7 +64,12 @@ def rank_desc_nulls_first(df: DataFrame, keys: list[str], value: str, out: str)
         "_task", F.max("_k").over(earlier).alias("_k"), F.max("_v").over(earlier).alias("_v"))
     ranks = r.join(F.broadcast(carried), "_task").select(
         "_row", (F.coalesce("_value", "_v") - F.coalesce("_key", "_k") + 1).cast("long").alias(out))
-    return wide.join(ranks, "_row").select(*df.columns, out)
+    block = F.expr(f"_row div {RANK_BLOCK}").alias("_block")          # row numbers of a task have no gaps
+    blocks = ranks.groupBy(block).agg(F.sort_array(F.collect_list(F.struct("_row", out))).alias("_ranks")).select(
+        "_block", F.col(f"_ranks.{out}").alias("_ranks"))
+    place = F.pmod("_row", F.lit(RANK_BLOCK)).cast("int")
+    return wide.withColumn("_block", block).join(blocks.hint("shuffle_hash"), "_block").select(
+        *df.columns, F.get("_ranks", place).alias(out))
 
 
 def load_query_history(src: DataFrame, ds=None, rank_strategy: str | None = "ranges") -> DataFrame:

@@ -107,16 +107,21 @@ def grow(x: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> dict[str, np.n
     for depth in range(limit.max(initial=0) + 1):
         least, most = x[run["start"]], x[run["end"] - 1]
         splits = (run["end"] - run["start"] >= 2) & (most > least + FEATURE_THRESHOLD) & (depth < limit[run["tree"]])
-        leaves.append({**{c: v[~splits] for c, v in run.items()}, "depth": np.full((~splits).sum(), depth)})
-        run, least, most = {c: v[splits] for c, v in run.items()}, least[splits], most[splits]
+        stays, goes = np.flatnonzero(~splits), np.flatnonzero(splits)
+        leaves.append({**{c: v[stays] for c, v in run.items()}, "depth": np.full(len(stays), depth)})
+        run, least, most = {c: v[goes] for c, v in run.items()}, least[goes], most[goes]
         if not len(least):
             break
         at = _split(least, most, seeds[run["tree"]], run["node"])
-        low, high = run["start"], run["end"]          # the first value of the run above the split lies in [low, high)
-        while (low < high).any():
-            mid = (low + high) // 2
-            below = (x[np.minimum(mid, len(x) - 1)] <= at) & (low < high)
-            low, high = np.where(below, mid + 1, low), np.where(below | (low >= high), high, mid)
+        # the first value of the run above the split lies in [low, high]: its least value is not above it, its most is
+        low, high = run["start"] + 1, run["end"] - 1
+        left = np.flatnonzero(low < high)
+        while len(left):
+            i, j = low[left], high[left]
+            mid = (i + j) // 2
+            below = x[mid] <= at[left]
+            low[left], high[left] = i, j = np.where(below, mid + 1, i), np.where(below, j, mid)
+            left = left[i < j]
         run = {c: np.concatenate([v, v]) for c, v in run.items()}
         n = len(at)
         run["node"] = run["node"] * 2 + np.repeat([0, 1], n)
