@@ -6,7 +6,8 @@ times the smaller.  Sizes fall into bands [lo, lo / t]; a set joins its own
 band and, as the smaller side, the next one.  Within a band a sketch XORs the
 hash of every shingle into one of p = d + r pieces.  A differing shingle
 touches one piece, so linked sets agree in r pieces at least (pigeonhole).
-r is chosen above the usual number of empty pieces, so linked sets agree in a
+r is chosen above the usual number of empty pieces, for the band's sets and for
+the smaller ones that join it, so linked sets agree in a
 piece with content; those pieces become join keys.  A set with r or more empty
 pieces is dealt out anew with the next seed as well; two linked sets that share
 no key in one seed both do so, hence no link is lost.
@@ -19,9 +20,19 @@ only decides which keys are sent, never which links are found.
 
 Equal sets are one class throughout.  Keys are made and joined in up to ``PASSES``
 passes, each for the keys of one residue, so that only a part of them lies on
-disk at a time and a task sorts a bounded number of them.  Each task first joins some 300,000 keys at
-a time among themselves, so a key holds one set per such run when it is shuffled.  Sets that share keys form
-candidate groups; within a group, bit sketches (one bit flipped per shingle)
+disk at a time and a task sorts a bounded number of them.
+
+One shared key is no candidate yet: texts that only share a passage meet in a
+key now and then, and in a large table such pairs would tie nearly all sets to
+one group.  A set that leaves out u < r pieces (empty, or all common) shares
+r - u keys at least with each set it is linked with; of two sets that send all
+pieces each shares r - e with the other, e being its empty ones.  So the pairs of
+a key are counted, and fewer shared keys than promised, in every seed, rule a pair out.  A
+key of more than ``PAIRED`` classes forms no pairs; a set's promise is less by
+the keys of this kind it has.  Sets whose promise comes to nothing are open: one
+key ties them to each other, those of many classes too.
+
+The candidate pairs' components are the candidate groups; within a group, bit sketches (one bit flipped per shingle)
 give Hamming distances, which never exceed the symmetric difference, and pairs
 within the bound are verified on the shingles themselves.  A large group is cut
 by size and into blocks: blocks are joined within themselves, then only sets outside the
@@ -48,7 +59,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import materialize, release, small_side
 from .components import connected_components
@@ -58,7 +68,9 @@ BLOCK_SETS = 1024            # sets of a block
 BLOCK_SHINGLES = 1_500_000   # shingles of a block
 SEEDS = 16
 SAMPLE, COMMON = 20_000, 2   # texts of the sample, and how many of them make a shingle common
-KEYS_AT_ONCE = 300_000     # keys that a task joins among themselves before it sends them
+KEYS_AT_ONCE = 300_000     # keys among which a task drops repeats before it sends them
+PAIRED = 64                # classes of a key up to which its pairs are counted
+PLAIN, NEED = 1024, 2048   # a tag is level * NEED, + PLAIN where a set sends all its pieces, + promised keys below PLAIN
 PASSES = 4                 # passes over the texts in which keys are made and joined
 PASS_SHINGLES = 2_000_000  # shingles of all texts below which one pass is enough
 TASK_SHINGLES = 2_000_000  # shingles whose keys one task joins in a pass
@@ -80,8 +92,9 @@ class Bands:
             d = self.bound(hi, hi)
             p, r = d + 2, 2
             for _ in range(4):
-                empty = p * math.exp(-lo / p)
-                r = 1 + math.ceil(empty + 4 * math.sqrt(empty))
+                # of sets of the band, and of the smallest ones that join it from the band below
+                empty, more = p * math.exp(-lo / p), p * math.exp(-lo * self.num / self.den / p)
+                r = 1 + math.ceil(max(empty + 4 * math.sqrt(empty), more + 2 * math.sqrt(more)))
                 p = d + r
             self.pieces.append(p if d else 0)
             self.spare.append(r)
@@ -103,6 +116,12 @@ def fingerprints(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def join_keys(sets: np.ndarray, bounds: np.ndarray, ids: np.ndarray, bands: Bands,
               common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(key, id) of the pieces of the sets' sketches; ``common`` are sorted shingles that many texts have."""
+    return level_keys(sets, bounds, ids, bands, common)[:2]
+
+
+def level_keys(sets: np.ndarray, bounds: np.ndarray, ids: np.ndarray, bands: Bands,
+               common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``join_keys`` and the tag of each: its level (band and seed), whether the set sends all its pieces, its promise."""
     sizes = np.diff(bounds)
     bands.reach(int(sizes.max(initial=0)))
     lo, pieces, spare = (np.array(x, np.int64) for x in (bands.lo, bands.pieces, bands.spare))
@@ -110,7 +129,7 @@ def join_keys(sets: np.ndarray, bounds: np.ndarray, ids: np.ndarray, bands: Band
     if common is not None and len(common):
         rare = common[np.minimum(np.searchsorted(common, sets), len(common) - 1)] != sets
     own = np.searchsorted(lo, sizes, side="right") - 1
-    keys, owners = [], []
+    keys, owners, tags = [], [], []
     for band in (own, own + 1):
         active = (sizes > 0) & (pieces[np.maximum(band, 0)] > 0)
         active &= (band == own) | (sizes * bands.den >= lo[np.maximum(band, 0)] * bands.num)
@@ -133,49 +152,23 @@ def join_keys(sets: np.ndarray, bounds: np.ndarray, ids: np.ndarray, bands: Band
             row = np.searchsorted(base, filled, side="right") - 1
             few = p - np.bincount(row, minlength=len(rows))
             telling = np.logical_or.reduceat(rare[at][order], begin)
-            plain = p - np.bincount(row[telling], minlength=len(rows)) >= spare[band[rows]]
+            need = spare[band[rows]] - (p - np.bincount(row[telling], minlength=len(rows)))
+            plain = need <= 0
             sent = telling | plain[row]
+            tag_of = (band[rows] * SEEDS + seed) * NEED + plain * PLAIN
+            tag_of += np.clip(np.where(plain, spare[band[rows]] - few, need), 0, PLAIN - 1)
             value, filled, row = value[sent], filled[sent], row[sent]
             tag = (band[rows][row] * SEEDS + seed).astype(_U) * _U(0xD6E8FEB86659FD93) + (filled - base[row]).astype(_U)
             keys.append(mix(value + mix(tag)))
             owners.append(ids[rows][row])
+            tags.append(tag_of[row].astype(np.int32))
             active = np.zeros(len(sizes), bool)
             active[rows[few >= spare[band[rows]]]] = True
         rest = np.flatnonzero(active)             # empty pieces in every seed: one key for all of the band
         keys.append(mix(band[rest].astype(_U) + _U(0x7F4A7C159E3779B9)))
         owners.append(ids[rest])
-    return np.concatenate(keys), np.concatenate(owners)
-
-
-def reduce_keys(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One id per key; ids that met inside the batch are tied by spanning links under keys of their own."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-    tie = np.flatnonzero(~first & np.concatenate([[False], ids[1:] != ids[:-1]])) if len(keys) else first
-    pairs = np.unique(np.stack([ids[tie - 1], ids[tie]], 1), axis=0) if len(tie) else np.zeros((0, 2), _U)
-    pairs = np.array(spanning(pairs.tolist()), _U).reshape(-1, 2)
-    link = mix(pairs[:, 0] ^ mix(pairs[:, 1] + _U(0x1234567)))
-    return np.concatenate([keys[first], link, link]), np.concatenate([ids[first], pairs[:, 0], pairs[:, 1]])
-
-
-def spanning(pairs: list) -> list:
-    """The pairs that join two components so far."""
-    root: dict = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for a, b in pairs:
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+        tags.append(((band[rest] * SEEDS + SEEDS - 1) * NEED + PLAIN).astype(np.int32))
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(tags)
 
 
 def _set_rows(k: int):
@@ -209,33 +202,103 @@ def common_shingles(d: DataFrame, rows: int, k: int) -> np.ndarray:
 
 
 def _key_rows(k: int, num: int, den: int, common, at: int = 0, passes: int = 1):
-    """Keys of pass ``at`` of ``passes``, those of one residue, with the links of the sets that met in the task."""
-    def rows(keys, ids):
-        key, i = reduce_keys(np.concatenate(keys), np.concatenate(ids))
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(i.view(np.int64))], names=["key", "id"])
+    """Keys of pass ``at`` of ``passes``, those of one residue; equal sets of a batch of keys send theirs once."""
+    def rows(keys, ids, tags):
+        keys, ids, tags = np.concatenate(keys), np.concatenate(ids), np.concatenate(tags)
+        order = np.lexsort((ids, keys))
+        keys, ids, tags = keys[order], ids[order], tags[order]
+        first = _new(keys) | _new(ids)
+        cols = [pa.array(keys[first].view(np.int64)), pa.array(ids[first].view(np.int64)), pa.array(tags[first])]
+        return pa.RecordBatch.from_arrays(cols, names=["key", "id", "tag"])
 
     def run(batches):
         bands = Bands(num, den)
         frequent = common.value if common is not None else None
-        keys, ids, n = [], [], 0
+        keys, ids, tags, n = [], [], [], 0
         for b in batches:
             for _, _, data, bounds in chunks(b.column(0)):
                 sets, ends = shingle_sets(Words(data, bounds, SPACED), k)
-                key, own = join_keys(sets, ends, fingerprints(sets, ends), bands, frequent)
+                key, own, tag = level_keys(sets, ends, fingerprints(sets, ends), bands, frequent)
                 now = key % _U(passes) == _U(at)
                 keys.append(key[now])
                 ids.append(own[now])
+                tags.append(tag[now])
                 n += len(keys[-1])
                 if n > KEYS_AT_ONCE:
-                    yield rows(keys, ids)
-                    keys, ids, n = [], [], 0
+                    yield rows(keys, ids, tags)
+                    keys, ids, tags, n = [], [], [], 0
         if keys:
-            yield rows(keys, ids)
-        del keys, ids
+            yield rows(keys, ids, tags)
+        del keys, ids, tags
         give_back()
     return run
 
 
+def _new(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    out = np.ones(len(x), bool)
+    out[1:] = x[1:] != x[:-1]
+    return out
+
+
+def _pair_rows(batches):
+    """Pairs (a, b, tag_a, tag_b) of the classes of each key, from (key, id, tag) sorted by key and id.
+
+    The classes of a key that has more than ``PAIRED`` come each as (id, key, tag, -1).  At most ``PAIRED`` rows
+    of a key are held from one batch to the next.
+    """
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+    hot = None                                    # (key, id) of the last row, of a key of too many classes
+
+    def rows(a, b, tag_a, tag_b):
+        cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, tag_a, tag_b)]
+        cols = [pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+        return pa.RecordBatch.from_arrays(cols, names=["a", "b", "tag_a", "tag_b"])
+
+    def found(key, i, tag, begin, size):
+        """Rows of whole groups, and of the groups of keys known to have too many classes."""
+        a, b, tag_a, tag_b = [], [], [], []
+        many = size > PAIRED
+        if hot is not None and len(begin):
+            many[0] |= key[begin[0]] == hot[0]
+        if many.any():
+            at = np.flatnonzero(np.repeat(many, size))
+            a, b, tag_a, tag_b = [i[at]], [key[at]], [tag[at]], [np.full(len(at), -1, np.int32)]
+        for n in np.unique(size[~many & (size > 1)]).tolist():
+            x, y = np.triu_indices(n, 1)
+            at = begin[~many & (size == n)][:, None]
+            x, y = (at + x).ravel(), (at + y).ravel()
+            a.append(i[x])
+            b.append(i[y])
+            tag_a.append(tag[x])
+            tag_b.append(tag[y])
+        return rows(a, b, tag_a, tag_b)
+
+    for batch in batches:
+        key, i, tag = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns))
+        first = _new(key) | _new(i)
+        if hot is not None and len(key):
+            first[0] = (key[0], i[0]) != hot
+        key, i, tag = key[first], i[first], tag[first]
+        if not len(key):
+            continue
+        begin = np.flatnonzero(_new(key))
+        size = np.diff(np.append(begin, len(key)))
+        if size[-1] > PAIRED or hot is not None and key[-1] == hot[0]:
+            held = [x[:0] for x in held]
+            now = (key[-1], i[-1])
+        else:
+            held, now = [x[begin[-1]:] for x in (key, i, tag)], None
+            begin, size = begin[:-1], size[:-1]
+            key, i, tag = (x[:len(x) - len(held[0])] for x in (key, i, tag))
+        yield found(key, i, tag, begin, size)
+        hot = now
+    key, i, tag = held
+    if len(key):
+        yield found(key, i, tag, np.zeros(1, np.int64), np.array([len(key)]))
+    give_back()
+
+
 def verify(sets: list[np.ndarray], pairs_of, bands: Bands, label: np.ndarray) -> list[tuple[int, int]]:
     """Spanning links among ``sets``: for each set i the candidates ``pairs_of(i)`` with another label.
 
@@ -358,7 +421,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
 
 def _met(texts: DataFrame, shingles: int, k: int, num: int, den: int, common) -> DataFrame:
-    """(a, b): each class that shares a key with a smaller one, and the smallest of that key.
+    """(a, b): candidate pairs of classes, and links that tie the classes of keys that tell nothing.
 
     A pass is written before the next one begins, and Spark drops its shuffle files.
     """
@@ -367,15 +430,43 @@ def _met(texts: DataFrame, shingles: int, k: int, num: int, den: int, common) ->
     tasks = -(-shingles // (passes * TASK_SHINGLES))
     out = None
     for at in range(passes):
-        keys = texts.mapInArrow(_key_rows(k, num, den, common, at, passes), "key long, id long")
-        if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
-            keys = keys.repartition(tasks, "key")
-        met = keys.withColumn("least", F.min("id").over(Window.partitionBy("key"))).where("least <> id")
-        met = materialize(met.select(F.col("id").alias("a"), F.col("least").alias("b")), "met")
+        keys = texts.mapInArrow(_key_rows(k, num, den, common, at, passes), "key long, id long, tag int")
+        many = tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        keys = keys.repartition(tasks, "key") if many else keys.repartition("key")
+        met = keys.sortWithinPartitions("key", "id").mapInArrow(_pair_rows, "a long, b long, tag_a int, tag_b int")
+        met = materialize(met.groupBy("a", "b", "tag_a", "tag_b").agg(F.count("*").alias("shared")), "met")
         out = met if out is None else out.unionByName(met)
         del keys, met
         release(spark)
-    return out
+    edges = materialize(_candidates(out), "candidates")
+    release(spark)
+    return edges
+
+
+def _candidates(met: DataFrame) -> DataFrame:
+    """(a, b): the pairs of ``met`` that share as many keys as either set promises, and ties of open sets."""
+    def promised(side):
+        return F.pmod(F.col(f"tag_{side}"), F.lit(PLAIN)) - F.coalesce(F.col(f"lost_{side}"), F.lit(0))
+
+    def plain(side):
+        return F.pmod(F.col(f"tag_{side}"), F.lit(NEED)) >= PLAIN
+
+    hot = met.where("tag_b = -1").select("a", F.col("b").alias("key"), "tag_a")
+    lost = materialize(hot.groupBy("a", "tag_a").agg(F.count("*").alias("lost_a")), "lost")
+    pairs = met.where("tag_b <> -1").groupBy("a", "b", "tag_a", "tag_b").agg(F.sum("shared").alias("shared"))
+    pairs = pairs.join(lost, ["a", "tag_a"], "left").join(
+        lost.select(F.col("a").alias("b"), F.col("tag_a").alias("tag_b"), F.col("lost_a").alias("lost_b")), ["b", "tag_b"], "left")
+    # what a set that sends all its pieces promises holds for another such set only
+    least = [F.when(plain(x) & ~plain(y), 0).otherwise(promised(x)) for x, y in ("ab", "ba")]
+    pairs = pairs.where(F.col("shared") >= F.greatest(*least)).select("a", "b")
+
+    # an open set that left pieces out is tied to all sets of the key that are open or sent all of theirs
+    ties = hot.join(lost, ["a", "tag_a"]).select("key", "a", (promised("a") <= 0).alias("open"), plain("a").alias("plain"))
+    ties = materialize(ties.where("open or plain"), "open")
+    key = ties.groupBy("key").agg(F.max(F.expr("open and not plain")).alias("every"), F.min("a").alias("first"),
+                                  F.min(F.when(F.col("open"), F.col("a"))).alias("first_open"))
+    ties = ties.join(key, "key").where("open or every").select("a", F.expr("if(every, first, first_open)").alias("b"))
+    return pairs.unionByName(ties.where("a <> b")).distinct()
 
 
 def _components(docs: DataFrame, k: int, num: int, den: int, doc_id: str) -> DataFrame:

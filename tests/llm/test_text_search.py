@@ -219,6 +219,98 @@ def test_no_key_is_lost_in_sparse_sketches():
                     assert set(key[own == 1].tolist()) & set(key[own == 2].tolist()), (num, n)
 
 
+def test_linked_sets_share_what_they_promise():
+    """In some seed a linked pair shares as many keys as either set promises, whatever is held to be common."""
+    rnd = np.random.default_rng(6)
+    for num, den in ((90, 100), (80, 100)):
+        bands = ngram_join.Bands(num, den)
+        for n in [*range(2, 40), 97, 240, 999, 4200]:
+            for _ in range(10):
+                a = rnd.integers(1, 1 << 63, n, dtype=np.uint64)
+                b = a.copy()
+                for j in rnd.permutation(n)[:n * (den - num) // (den + num)]:
+                    b[j] = rnd.integers(1, 1 << 63, dtype=np.uint64)
+                b = b[rnd.integers(2):]
+                both = len(np.intersect1d(a, b))
+                if not both or len(a) + len(b) == 2 * both or den * both < num * (len(a) + len(b) - both):
+                    continue
+                sets = [np.unique(a), np.unique(b)]
+                at = np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])])
+                every = np.unique(np.concatenate(sets))
+                for common in (None, rnd.choice(every, max(1, n // 8), replace=False), rnd.choice(every, max(1, n // 2)), every):
+                    common = None if common is None else np.sort(common)
+                    key, own, tag = ngram_join.level_keys(np.concatenate(sets), at, np.array([1, 2], np.uint64), bands, common)
+                    held = [dict(zip(key[own == i].tolist(), tag[own == i].tolist())) for i in (1, 2)]
+                    shared = collections.Counter((held[0][x], held[1][x]) for x in held[0].keys() & held[1].keys())
+                    assert any(s >= max(x % 1024 if x & 1024 <= y & 1024 else 0, y % 1024 if y & 1024 <= x & 1024 else 0)
+                               for (x, y), s in shared.items()), (num, n)
+
+
+def test_long_texts_of_a_band_do_not_meet():
+    """Unrelated long sets share no key, also those that join the band above their own."""
+    rnd = np.random.default_rng(8)
+    sizes = rnd.integers(2000, 9500, 60)
+    key, own = ngram_join.join_keys(rnd.integers(1, 1 << 63, sizes.sum(), dtype=np.uint64), np.append(0, np.cumsum(sizes)),
+                                    np.arange(1, 61).astype(np.uint64), ngram_join.Bands(80, 100))
+    assert max(collections.Counter(key.tolist()).values()) == 1
+    assert np.bincount(own.astype(int))[1:].max() < 2 * sizes.max()
+
+
+def test_pairs_of_keys(monkeypatch):
+    """Pairs of the classes of each key, over batches cut anywhere; a key of too many classes gives its rows."""
+    monkeypatch.setattr(ngram_join, "PAIRED", 4)
+    rnd = random.Random(4)
+    rows = sorted({(rnd.randrange(40) ** 2 % 37, rnd.randrange(30)) for _ in range(260)} | {(50, i) for i in range(90)})
+    tags = {i: i * 7 for _, i in rows}
+    by = collections.defaultdict(list)
+    for key, i in rows:
+        by[key].append(i)
+    want = collections.Counter((a, b, tags[a], tags[b]) for v in by.values() if len(v) <= 4 for j, b in enumerate(v) for a in v[:j])
+    want.update((i, key, tags[i], -1) for key, v in by.items() if len(v) > 4 for i in v)
+    again = sorted(rows + rows[::3])                # equal sets of several tasks
+    for step in (1, 3, 7, 64, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()),
+                                               pa.array([tags[r[1]] for r in part], pa.int32())], names=["key", "id", "tag"])
+                   for part in (again[at:at + step] for at in range(0, len(again), step))]
+        got = collections.Counter(tuple(r.values()) for b in ngram_join._pair_rows(iter(batches)) for r in b.to_pylist())
+        assert got == want, step
+    assert sum(b.num_rows for b in ngram_join._pair_rows(iter([]))) == 0
+
+
+@pytest.mark.parametrize("paired,sample", [(2, 20_000), (3, 1), (8, 40)])
+def test_keys_of_many_classes(spark, monkeypatch, paired, sample):
+    """Keys beyond the pairs that are counted lose no link."""
+    monkeypatch.setattr(ngram_join, "PAIRED", paired)
+    monkeypatch.setattr(ngram_join, "SAMPLE", sample)
+    texts = [t for s, size in enumerate((8, 14, 33, 60, 150, 400)) for t in near_copies(30, size, max(1, size // 20), s)]
+    for k, num, den in ((3, 90, 100), (5, 80, 100)):
+        assert got(ngram_join.jaccard_components(frame(spark, texts), k, num, den)) == components(list(enumerate(texts)), k, num, den)
+
+
+def test_passages_that_the_sample_misses(spark, monkeypatch):
+    """Texts that share passages in chains, none seen to be common, are no candidates; the near copies among them are."""
+    monkeypatch.setattr(ngram_join, "SAMPLE", 0)
+    rnd = random.Random(12)
+    passages = [" ".join(f"p{rnd.randrange(10**6)}" for _ in range(50)) for _ in range(40)]
+    texts = []
+    for _ in range(200):
+        parts = [" ".join(f"u{rnd.randrange(10**6)}" for _ in range(50)) for _ in range(4)] + rnd.sample(passages, 3)
+        rnd.shuffle(parts)
+        texts.append(" ".join(parts))
+    texts += [t + " one more end" for t in texts[:10]]
+    rows, write = {}, ngram_join.materialize
+
+    def spy(df, name="stage"):
+        out = write(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", spy)
+    want = components(list(enumerate(texts)), 5, 80, 100)
+    assert got(ngram_join.jaccard_components(frame(spark, texts), 5, 80, 100)) == want
+    assert 20 <= rows["members"] <= 40
+
+
 def contamination(rows, items):
     out = collections.Counter()
     windows = {}
