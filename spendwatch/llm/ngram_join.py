@@ -69,7 +69,7 @@ BLOCK_SHINGLES = 1_500_000   # shingles of a block
 SEEDS = 16
 SAMPLE, COMMON = 20_000, 2   # texts of the sample, and how many of them make a shingle common
 KEYS_AT_ONCE = 300_000     # keys among which a task drops repeats before it sends them
-PAIRED = 64                # classes of a key up to which its pairs are counted
+PAIRED = 16                # classes of a key up to which its pairs are counted
 PLAIN, NEED = 1024, 2048   # a tag is level * NEED, + PLAIN where a set sends all its pieces, + promised keys below PLAIN
 PASSES = 4                 # passes over the texts in which keys are made and joined
 PASS_SHINGLES = 2_000_000  # shingles of all texts below which one pass is enough
@@ -241,62 +241,64 @@ def _new(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pair_rows(batches):
+def _pair_rows(paired: int):
     """Pairs (a, b, tag_a, tag_b) of the classes of each key, from (key, id, tag) sorted by key and id.
 
-    The classes of a key that has more than ``PAIRED`` come each as (id, key, tag, -1).  At most ``PAIRED`` rows
+    The classes of a key that has more than ``paired`` come each as (id, key, tag, -1).  At most ``paired`` rows
     of a key are held from one batch to the next.
     """
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-    hot = None                                    # (key, id) of the last row, of a key of too many classes
-
-    def rows(a, b, tag_a, tag_b):
-        cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, tag_a, tag_b)]
-        cols = [pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
-        return pa.RecordBatch.from_arrays(cols, names=["a", "b", "tag_a", "tag_b"])
-
-    def found(key, i, tag, begin, size):
-        """Rows of whole groups, and of the groups of keys known to have too many classes."""
-        a, b, tag_a, tag_b = [], [], [], []
-        many = size > PAIRED
-        if hot is not None and len(begin):
-            many[0] |= key[begin[0]] == hot[0]
-        if many.any():
-            at = np.flatnonzero(np.repeat(many, size))
-            a, b, tag_a, tag_b = [i[at]], [key[at]], [tag[at]], [np.full(len(at), -1, np.int32)]
-        for n in np.unique(size[~many & (size > 1)]).tolist():
-            x, y = np.triu_indices(n, 1)
-            at = begin[~many & (size == n)][:, None]
-            x, y = (at + x).ravel(), (at + y).ravel()
-            a.append(i[x])
-            b.append(i[y])
-            tag_a.append(tag[x])
-            tag_b.append(tag[y])
-        return rows(a, b, tag_a, tag_b)
-
-    for batch in batches:
-        key, i, tag = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns))
-        first = _new(key) | _new(i)
-        if hot is not None and len(key):
-            first[0] = (key[0], i[0]) != hot
-        key, i, tag = key[first], i[first], tag[first]
-        if not len(key):
-            continue
-        begin = np.flatnonzero(_new(key))
-        size = np.diff(np.append(begin, len(key)))
-        if size[-1] > PAIRED or hot is not None and key[-1] == hot[0]:
-            held = [x[:0] for x in held]
-            now = (key[-1], i[-1])
-        else:
-            held, now = [x[begin[-1]:] for x in (key, i, tag)], None
-            begin, size = begin[:-1], size[:-1]
-            key, i, tag = (x[:len(x) - len(held[0])] for x in (key, i, tag))
-        yield found(key, i, tag, begin, size)
-        hot = now
-    key, i, tag = held
-    if len(key):
-        yield found(key, i, tag, np.zeros(1, np.int64), np.array([len(key)]))
-    give_back()
+    def run(batches):
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        hot = None                                    # (key, id) of the last row, of a key of too many classes
+
+        def rows(a, b, tag_a, tag_b):
+            cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, tag_a, tag_b)]
+            cols = [pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "tag_a", "tag_b"])
+
+        def found(key, i, tag, begin, size):
+            """Rows of whole groups, and of the groups of keys known to have too many classes."""
+            a, b, tag_a, tag_b = [], [], [], []
+            many = size > paired
+            if hot is not None and len(begin):
+                many[0] |= key[begin[0]] == hot[0]
+            if many.any():
+                at = np.flatnonzero(np.repeat(many, size))
+                a, b, tag_a, tag_b = [i[at]], [key[at]], [tag[at]], [np.full(len(at), -1, np.int32)]
+            for n in np.unique(size[~many & (size > 1)]).tolist():
+                x, y = np.triu_indices(n, 1)
+                at = begin[~many & (size == n)][:, None]
+                x, y = (at + x).ravel(), (at + y).ravel()
+                a.append(i[x])
+                b.append(i[y])
+                tag_a.append(tag[x])
+                tag_b.append(tag[y])
+            return rows(a, b, tag_a, tag_b)
+
+        for batch in batches:
+            key, i, tag = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns))
+            first = _new(key) | _new(i)
+            if hot is not None and len(key):
+                first[0] = (key[0], i[0]) != hot
+            key, i, tag = key[first], i[first], tag[first]
+            if not len(key):
+                continue
+            begin = np.flatnonzero(_new(key))
+            size = np.diff(np.append(begin, len(key)))
+            if size[-1] > paired or hot is not None and key[-1] == hot[0]:
+                held = [x[:0] for x in held]
+                now = (key[-1], i[-1])
+            else:
+                held, now = [x[begin[-1]:] for x in (key, i, tag)], None
+                begin, size = begin[:-1], size[:-1]
+                key, i, tag = (x[:len(x) - len(held[0])] for x in (key, i, tag))
+            yield found(key, i, tag, begin, size)
+            hot = now
+        key, i, tag = held
+        if len(key):
+            yield found(key, i, tag, np.zeros(1, np.int64), np.array([len(key)]))
+        give_back()
+    return run
 
 
 def verify(sets: list[np.ndarray], pairs_of, bands: Bands, label: np.ndarray) -> list[tuple[int, int]]:
@@ -433,7 +435,7 @@ def _met(texts: DataFrame, shingles: int, k: int, num: int, den: int, common) ->
         keys = texts.mapInArrow(_key_rows(k, num, den, common, at, passes), "key long, id long, tag int")
         many = tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
         keys = keys.repartition(tasks, "key") if many else keys.repartition("key")
-        met = keys.sortWithinPartitions("key", "id").mapInArrow(_pair_rows, "a long, b long, tag_a int, tag_b int")
+        met = keys.sortWithinPartitions("key", "id").mapInArrow(_pair_rows(PAIRED), "a long, b long, tag_a int, tag_b int")
         met = materialize(met.groupBy("a", "b", "tag_a", "tag_b").agg(F.count("*").alias("shared")), "met")
         out = met if out is None else out.unionByName(met)
         del keys, met

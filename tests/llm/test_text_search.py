@@ -256,9 +256,8 @@ def test_long_texts_of_a_band_do_not_meet():
     assert np.bincount(own.astype(int))[1:].max() < 2 * sizes.max()
 
 
-def test_pairs_of_keys(monkeypatch):
+def test_pairs_of_keys():
     """Pairs of the classes of each key, over batches cut anywhere; a key of too many classes gives its rows."""
-    monkeypatch.setattr(ngram_join, "PAIRED", 4)
     rnd = random.Random(4)
     rows = sorted({(rnd.randrange(40) ** 2 % 37, rnd.randrange(30)) for _ in range(260)} | {(50, i) for i in range(90)})
     tags = {i: i * 7 for _, i in rows}
@@ -272,9 +271,9 @@ def test_pairs_of_keys(monkeypatch):
         batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()),
                                                pa.array([tags[r[1]] for r in part], pa.int32())], names=["key", "id", "tag"])
                    for part in (again[at:at + step] for at in range(0, len(again), step))]
-        got = collections.Counter(tuple(r.values()) for b in ngram_join._pair_rows(iter(batches)) for r in b.to_pylist())
+        got = collections.Counter(tuple(r.values()) for b in ngram_join._pair_rows(4)(iter(batches)) for r in b.to_pylist())
         assert got == want, step
-    assert sum(b.num_rows for b in ngram_join._pair_rows(iter([]))) == 0
+    assert sum(b.num_rows for b in ngram_join._pair_rows(4)(iter([]))) == 0
 
 
 @pytest.mark.parametrize("paired,sample", [(2, 20_000), (3, 1), (8, 40)])
